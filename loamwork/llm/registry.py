@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loamwork.llm import quality_rules, sharding
+from loamwork.llm import language_id, quality_classifier, quality_rules, sharding
 
-MODULES = (sharding, quality_rules)
+MODULES = (sharding, quality_rules, quality_classifier, language_id)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
