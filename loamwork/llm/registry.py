@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loamwork.llm import language_id, quality_classifier, quality_rules, sentencepiece_codec, sharding
+from loamwork.llm import language_id, license_scan, quality_classifier, quality_rules, sentencepiece_codec, sharding
 
-MODULES = (sharding, sentencepiece_codec, quality_rules, quality_classifier, language_id)
+MODULES = (sharding, sentencepiece_codec, license_scan, quality_rules, quality_classifier, language_id)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

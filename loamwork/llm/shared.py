@@ -103,17 +103,19 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a block of texts.
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a block of texts; ``apart`` and ``change`` give other separators or bytes.
 
     ``start``, ``end``: byte offsets in the block. ``doc``: the row of each word. ``first``: per row, the index of its
     first word, with the total at the end. ``hash``: 64 bits a word.
     """
 
-    def __init__(self, array: pa.Array) -> None:
+    def __init__(self, array: pa.Array, apart: np.ndarray = SPACE, change: np.ndarray | None = None) -> None:
         self.data, self.offsets = text_bytes(array)
+        if change is not None:
+            self.data = change[self.data]
         n = len(self.data)
         solid = np.zeros(n + 2, bool)
-        solid[1:-1] = ~SPACE[self.data]
+        solid[1:-1] = ~apart[self.data]
         cut = np.zeros(n + 2, bool)
         cut[self.offsets + 1] = True  # a text's first byte, seen in solid's numbering
         self.start = np.flatnonzero(solid[1:-1] & (~solid[:-2] | cut[1:-1]))
