@@ -1,0 +1,160 @@
+"""Secret scan: patterns find candidates, ownership frequency over the corpus says which look live.
+
+All built-in functions. A kind's matches come from ``regexp_extract_all`` and their places from the pieces between
+them, which ``split`` by the same pattern gives. Values go on as SHA-256. For each, distinct owners and repositories
+are counted from combinations that are first reduced in every task: one owner is ``live``, ``WIDE`` owners or more make
+it an ``example`` that was copied around, and placeholders are examples at once.
+
+Candidates meet the classes of hot values, at most ``HOT_PARTS`` of them as each holds that part of all candidates, by
+a broadcast of those few rows, and all others by a shuffle on the value.
+"""
+
+from __future__ import annotations
+
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from loamwork.llm.shared import stored
+from loamwork.sources.tables import table
+
+
+class Kind(NamedTuple):
+    """``group``: the value's group. ``gate``: what a text must hold for the pattern to be tried. ``base``: always a span."""
+
+    name: str
+    pattern: str
+    group: int
+    least: int
+    gate: str
+    base: bool
+
+
+#: Credential formats.
+KINDS: tuple[Kind, ...] = (
+    Kind("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, r"(?i:passw|secret|token|api_?key)", True),
+    Kind("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA", True),
+    Kind("hex", r"[0-9a-f]{24,}", 0, 24, r"[0-9a-f]{24}", True),
+    Kind("github", r"gh[pousr]_[A-Za-z0-9]{20,}", 0, 24, r"gh[pousr]_", False),
+    Kind("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15, r"xox[abprs]-", False),
+    Kind("stripe", r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}", 0, 24, r"[sr]k_(?:live|test)_", False),
+    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 29, r"eyJ", False),
+    Kind("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 27, r"PRIVATE KEY-----", False),
+)
+
+PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your_|xxxx|^(.)\1*$|^(?:0123|1234|abcd)"
+WIDE, HOT_PARTS = 3, 1000
+SPAN = "struct<start:int,nth:int,name:string,end:int,hash:string,placeholder:boolean>"
+
+
+def found(text: Column, nth: int, kind: Kind) -> Column:
+    """The kind's spans in order: leftmost matches that don't overlap; those whose value is too short are dropped."""
+    pattern = F.lit(kind.pattern)
+    whole, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, kind.pattern, -1)
+    value = F.regexp_extract_all(text, pattern, F.lit(kind.group)) if kind.group else whole
+    parts = F.arrays_zip(whole.alias("whole"), value.alias("value"), between.alias("before"))
+    spans = F.aggregate(
+        F.filter(parts, lambda x: x["whole"].isNotNull()),
+        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans")),
+        lambda acc, x: F.struct(
+            (acc["at"] + F.length(x["before"]) + F.length(x["whole"])).alias("at"),
+            F.when(F.length(x["value"]) < kind.least, acc["spans"])
+            .otherwise(
+                F.array_append(
+                    acc["spans"],
+                    F.struct(
+                        (acc["at"] + F.length(x["before"])).alias("start"), F.lit(nth).alias("nth"), F.lit(kind.name).alias("name"),
+                        (acc["at"] + F.length(x["before"]) + F.length(x["whole"])).alias("end"), F.sha2(x["value"], 256).alias("hash"), x["value"].rlike(PLACEHOLDER).alias("placeholder"),
+                    ).cast(SPAN),
+                )
+            )
+            .alias("spans"),
+        ),
+        lambda acc: acc["spans"],
+    )
+    return F.when(text.rlike(kind.gate), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def candidates(docs: DataFrame, kinds: tuple[Kind, ...], text_col: str) -> DataFrame:
+    """``docs`` with ``spans``: of all kinds, by start and then kind as listed."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    any_gate = text.rlike("|".join(f"(?:{k.gate})" for k in kinds))
+    every = F.concat(*(found(text, i, k) for i, k in enumerate(kinds)))
+    return docs.withColumn("spans", F.when(any_gate, F.sort_array(every)).otherwise(F.array().cast(f"array<{SPAN}>")))
+
+
+def ownership(rows: DataFrame, wide: int = WIDE) -> DataFrame:
+    """(hash, n_rows, n_owners, n_repos, class) of candidate rows with ``hash, owner, repo, placeholder``."""
+    by_repo = rows.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"), F.max("placeholder").alias("placeholder"))
+    by_owner = by_repo.groupBy("hash", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repos"), F.max("placeholder").alias("placeholder"))
+    by_hash = by_owner.groupBy("hash").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.max("placeholder").alias("placeholder"))
+    named = F.when(F.col("placeholder") | (F.col("n_owners") >= wide), "example").when(F.col("n_owners") == 1, "live").otherwise("shared")
+    return by_hash.select("hash", "n_rows", "n_owners", "n_repos", named.alias("class"))
+
+
+def text_of(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["name"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def classified(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), wide: int = WIDE) -> DataFrame:
+    """One row a row of ``docs``: uid, doc_id, spans (structs, base kinds), added (other kinds' spans unless examples), n_live, n_shared, n_example.
+
+    A null text counts as empty, a null owner or repository part as an unknown one of its own. Repeated rows are rows
+    of their own and count as more copies with the same owner.
+    """
+    repo = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in repo_cols))
+    owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("?"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), owner.alias("owner"), repo.alias("repo"))
+    rows = stored(candidates(slim, kinds, "text").drop("text").withColumn("uid", F.monotonically_increasing_id()), "secret-rows")
+    each = rows.where(F.size("spans") > 0).select("uid", "owner", "repo", F.explode("spans").alias("s")).select("uid", "owner", "repo", "s.*")
+    classes = stored(ownership(each, wide), "secret-classes")
+    total = classes.agg(F.sum("n_rows")).first()[0] or 0
+    hot = F.col("n_rows") * HOT_PARTS >= total
+    few, many = (classes.where(c).select("hash", F.col("class").alias(name)) for c, name in ((hot, "hot_class"), (~hot, "class")))
+    first = each.join(F.broadcast(few), "hash", "left")
+    rest = first.where(F.col("hot_class").isNull()).drop("hot_class").join(many, "hash")
+    joined = first.where(F.col("hot_class").isNotNull()).withColumnRenamed("hot_class", "class").unionByName(rest)
+    base = F.col("nth").isin(*(i for i, k in enumerate(kinds) if k.base))
+    added = F.when(~base & (F.col("class") != "example"), F.struct("start", "nth", "name", "end", "hash", "placeholder").cast(SPAN))
+    count = lambda name: F.count_if(F.col("class") == name).alias(f"n_{name}")
+    by_row = joined.groupBy("uid").agg(F.collect_list(added).alias("added"), count("live"), count("shared"), count("example"))
+    none = F.array().cast(f"array<{SPAN}>")
+    out = rows.join(by_row, "uid", "left")
+    kept = F.filter("spans", lambda s: s["nth"].isin(*(i for i, k in enumerate(kinds) if k.base)))
+    return out.select("uid", "doc_id", kept.alias("spans"), F.coalesce("added", none).alias("added"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_shared", "n_example")))
+
+
+def scan(docs: DataFrame, **options) -> DataFrame:
+    """One row a document: counts of the base kinds, their digest, and all spans as ``kind:start:end``."""
+    rows = classified(docs, **options)
+    count = lambda name: F.size(F.filter("spans", lambda s: s["name"] == name)).cast("long").alias(f"n_{name}")
+    return rows.select(
+        "doc_id", *(count(n) for n in ("assign", "access", "hex")), F.sha2(text_of(F.col("spans")), 256).alias("base_sha256"),
+        text_of(F.sort_array(F.concat("spans", "added"))).alias("spans"), "n_live", "n_shared", "n_example",
+    )
+
+
+MASK = "<secret>"
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """``text`` with every stretch that a span covers replaced; spans come by start and may overlap."""
+    done = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))).otherwise(acc["out"]).alias("out"),
+        ),
+        lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)),
+    )
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_secret_scan": op8_secret_scan}
+ORACLES: dict[str, str] = {}
