@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loamwork.llm import decontamination, language_id, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding
+from loamwork.llm import decontamination, language_id, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, substring_dedup
 
-MODULES = (sharding, sentencepiece_codec, license_scan, quality_rules, quality_classifier, language_id, secret_scan, decontamination)
+MODULES = (sharding, sentencepiece_codec, license_scan, quality_rules, quality_classifier, language_id, secret_scan, decontamination, substring_dedup)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

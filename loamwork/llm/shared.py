@@ -134,11 +134,15 @@ class Words:
 
     def windows(self, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the window that starts at each word, and whether it ends within the same text."""
-        n = len(self.start)
-        up, down = powers(WORD_BASE, n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hash * up[:n], out=sums[1:])
-        index = np.arange(n)
-        whole = index + size <= self.first[self.doc + 1]
-        last = np.minimum(index + size, n)
-        return mixed((sums[last] - sums[:n]) * down[:n], seed + size), whole
+        return window_hashes(self.hash, self.first[self.doc + 1] if len(self.doc) else self.doc, size, seed)
+
+
+def window_hashes(words: np.ndarray, ends: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the ``size`` words from each on, and whether they end by ``ends``, the place after its text's last word."""
+    n = len(words)
+    up, down = powers(WORD_BASE, n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * up[:n], out=sums[1:])
+    index = np.arange(n)
+    last = np.minimum(index + size, n)
+    return mixed((sums[last] - sums[:n]) * down[:n], seed + size), index + size <= ends
