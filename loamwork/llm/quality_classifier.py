@@ -163,6 +163,21 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``cut``, with all their columns, in one pass."""
+    small = model._replace(weight=model.weight.astype(np.float32), square=model.square.astype(np.float32))
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(FEATURES, bool)
+        for block in blocks(batches, "text"):
+            data, at = text_bytes(block.column("text"))
+            m = np.array([margin(small, features(data[at[i] : at[i + 1]], seen)) for i in range(block.num_rows)])
+            p = 1 / (1 + np.exp(-np.clip(small.slope * m + small.offset, -30, 30)))
+            yield block.filter(pa.array(p >= cut))
+
+    return docs.mapInArrow(filtered, docs.schema)
+
+
 def trained_model(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model:
     return fit(*training_rows(docs, labels, limit))
 

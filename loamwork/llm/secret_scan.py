@@ -98,14 +98,15 @@ def text_of(spans: Column) -> Column:
 
 
 def classified(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), wide: int = WIDE) -> DataFrame:
-    """One row a row of ``docs``: uid, doc_id, spans (structs, base kinds), added (other kinds' spans unless examples), n_live, n_shared, n_example.
+    """One row a row of ``docs``: uid, doc_id, key (MD5 of the text), spans (structs, base kinds), added (other kinds'
+    spans unless examples), real (spans of all kinds unless examples), n_live, n_shared, n_example.
 
     A null text counts as empty, a null owner or repository part as an unknown one of its own. Repeated rows are rows
     of their own and count as more copies with the same owner.
     """
     repo = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in repo_cols))
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("?"))
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), owner.alias("owner"), repo.alias("repo"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.md5(text_col).alias("key"), owner.alias("owner"), repo.alias("repo"))
     rows = stored(candidates(slim, kinds, "text").drop("text").withColumn("uid", F.monotonically_increasing_id()), "secret-rows")
     each = rows.where(F.size("spans") > 0).select("uid", "owner", "repo", F.explode("spans").alias("s")).select("uid", "owner", "repo", "s.*")
     classes = stored(ownership(each, wide), "secret-classes")
@@ -115,14 +116,16 @@ def classified(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, id_col: str = "
     first = each.join(F.broadcast(few), "hash", "left")
     rest = first.where(F.col("hot_class").isNull()).drop("hot_class").join(many, "hash")
     joined = first.where(F.col("hot_class").isNotNull()).withColumnRenamed("hot_class", "class").unionByName(rest)
-    base = F.col("nth").isin(*(i for i, k in enumerate(kinds) if k.base))
-    added = F.when(~base & (F.col("class") != "example"), F.struct("start", "nth", "name", "end", "hash", "placeholder").cast(SPAN))
+    real = F.when(F.col("class") != "example", F.struct("start", "nth", "name", "end", "hash", "placeholder").cast(SPAN))
     count = lambda name: F.count_if(F.col("class") == name).alias(f"n_{name}")
-    by_row = joined.groupBy("uid").agg(F.collect_list(added).alias("added"), count("live"), count("shared"), count("example"))
+    by_row = joined.groupBy("uid").agg(F.sort_array(F.collect_list(real)).alias("real"), count("live"), count("shared"), count("example"))
     none = F.array().cast(f"array<{SPAN}>")
     out = rows.join(by_row, "uid", "left")
-    kept = F.filter("spans", lambda s: s["nth"].isin(*(i for i, k in enumerate(kinds) if k.base)))
-    return out.select("uid", "doc_id", kept.alias("spans"), F.coalesce("added", none).alias("added"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_shared", "n_example")))
+    base = [i for i, k in enumerate(kinds) if k.base]
+    kept = F.filter("spans", lambda s: s["nth"].isin(*base))
+    real_spans = F.coalesce("real", none)
+    added = F.filter(real_spans, lambda s: ~s["nth"].isin(*base))
+    return out.select("uid", "doc_id", "key", kept.alias("spans"), added.alias("added"), real_spans.alias("real"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_shared", "n_example")))
 
 
 def scan(docs: DataFrame, **options) -> DataFrame:
@@ -152,6 +155,18 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
+def mask_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with MASK in place of every span that is no widely copied example; all other columns stay.
+
+    Rows find their spans by id and text, so repeated rows and null ids do, too.
+    """
+    real = classified(docs, id_col=id_col, text_col=text_col, **options).where(F.size("real") > 0)
+    real = real.groupBy("doc_id", "key").agg(F.first("real").alias("_real")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_real")
+    joined = docs.join(real, F.col(id_col).eqNullSafe(F.col("_id")) & (F.md5(text_col) == F.col("_key")), "left")
+    text = F.when(F.col("_real").isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col("_real")))
+    return joined.withColumn(text_col, text).select(*docs.columns)
+
+
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
