@@ -55,3 +55,64 @@ def macro(pairs: DataFrame, gold: str, predicted: str, labels: Sequence[str], by
         ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"),
         ratio(F.sum("tp"), F.sum("support")).alias("accuracy"),
     )
+
+
+def confusion(pairs: DataFrame, gold: str, predicted: str, labels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Every (gold, predicted) cell of the domain with its count, zeros included."""
+    counts = pairs.groupBy(*by, F.col(gold).alias("gold"), F.col(predicted).alias("pred")).count()
+    as_map = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "gold", "pred"), "count"))).alias("cells"))
+    cells = F.array(*(F.struct(F.lit(g).alias("gold"), F.lit(p).alias("pred")) for g in labels for p in labels))
+    long = as_map.select(*by, "cells", F.explode(cells).alias("x"))
+    return long.select(*by, "x.gold", "x.pred", F.coalesce(F.try_element_at("cells", F.concat_ws("|", "x.gold", "x.pred")), F.lit(0)).alias("n"))
+
+
+def decision(label: Column) -> Column:
+    """Four labels to three decisions; any other label is an error."""
+    return (
+        F.when(label == "SUPPORTED", "PRESENT")
+        .when(label == "NOT_SUPPORTED", "ABSENT")
+        .when(label.isin("INSUFFICIENT_CONTEXT", "ENTITY_OR_TYPE_ERROR"), "ABSTAIN")
+        .otherwise(F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(label, F.lit("null")))))
+    )
+
+
+def abstention(pairs: DataFrame, gold: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
+    """Coverage, covered accuracy, admission error and recalls of abstention, null where nothing supports them."""
+    g, p = F.col(gold), F.col(predicted)
+    apart = lambda c: c.isin("INSUFFICIENT_CONTEXT", "ENTITY_OR_TYPE_ERROR")
+    share = lambda of, where: F.round(F.avg(F.when(where, of.cast("double"))), 9)
+    columns = [
+        F.count("*").alias("items"),
+        F.count_if(apart(g)).alias("gold_abstentions"),
+        share(~apart(p), F.lit(True)).alias("coverage"),
+        share(g == p, ~apart(p)).alias("covered_accuracy"),
+        share(g != "SUPPORTED", p == "SUPPORTED").alias("admission_error"),
+        share(apart(p), apart(g)).alias("any_abstention_recall"),
+        share(p == "SUPPORTED", apart(g)).alias("false_present_rate"),
+        share(p == "SUPPORTED", g == "SUPPORTED").alias("supported_recall"),
+    ]
+    for reason in ("INSUFFICIENT_CONTEXT", "ENTITY_OR_TYPE_ERROR"):
+        short = reason.split("_")[0].lower()
+        columns += [share(p == reason, g == reason).alias(f"{short}_correct_recall"), share(apart(p), g == reason).alias(f"{short}_any_recall")]
+    return pairs.groupBy(*by).agg(*columns)
+
+
+def set_scores(gold: DataFrame, predicted: DataFrame, key: Sequence[str], group: str) -> DataFrame:
+    """Precision, recall and F1 of a set of keys against another, in all (``group`` null) and by group, in one pass."""
+    both = gold.select(*key).distinct().withColumn("_g", F.lit(1)).join(predicted.select(*key).distinct().withColumn("_p", F.lit(1)), list(key), "full_outer")
+    hits = both.select(group, (F.col("_g").isNotNull() & F.col("_p").isNotNull()).cast("int").alias("tp"), F.col("_g").isNull().cast("int").alias("fp"), F.col("_p").isNull().cast("int").alias("fn"))
+    counts = hits.rollup(group).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.grouping(group).alias("in_all"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return counts.select(
+        group, F.col("in_all").cast("int").alias("in_all"), "tp", "fp", "fn",
+        F.round(ratio(tp, tp + fp), 9).alias("precision"), F.round(ratio(tp, tp + fn), 9).alias("recall"), F.round(ratio(2 * tp, 2 * tp + fp + fn), 9).alias("f1"),
+    )
+
+
+def average_precision(rows: DataFrame, score: str, positive: str) -> DataFrame:
+    """Mean over positives of the precision at their score; rows of one score count together."""
+    by_score = rows.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count("*").alias("n"))
+    from loamwork.operators.ordering import running
+
+    total = running(by_score, score, ("p", "n"), descending=True)
+    return total.agg(F.round(F.coalesce(F.try_divide(F.sum(F.col("p") * F.col("run_p") / F.col("run_n")), F.sum("p")), F.lit(0.0)), 9).alias("average_precision"))

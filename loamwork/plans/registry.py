@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loamwork.plans import evaluation, graph
+from loamwork.plans import evaluation, graph, ratings
 
-MODULES = (evaluation, graph)
+MODULES = (evaluation, graph, ratings)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
