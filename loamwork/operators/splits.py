@@ -25,13 +25,16 @@ def fixed_per_stratum(rows: DataFrame, stratum: str, key: str, n: int, seed: int
     return first.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key))).where(F.col("_r") <= n).drop("_h", "_p", "_r")
 
 
-def split_by_position(rows: DataFrame, stratum: str, key: str, seed: int, train: float = 0.7, dev: float = 0.1) -> DataFrame:
-    """``rows`` with ``split``: each stratum's rows in hash order, cut at half-even rounded shares."""
+def split_by_position(rows: DataFrame, stratum: str, key: str, seed: int, test: float = 0.2, dev: float = 0.1) -> DataFrame:
+    """``rows`` with ``split``: of each stratum in hash order, first the test rows, then dev, the rest train.
+
+    Shares are rounded half to even and take one row at least.
+    """
     order = Window.partitionBy(stratum).orderBy("_h", key)
     out = rows.withColumn("_h", hash_order(seed, F.col(key))).withColumn("_i", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(stratum)))
-    first = F.bround(F.col("_n") * train, 0)
-    second = first + F.bround(F.col("_n") * dev, 0)
-    return out.withColumn("split", F.when(F.col("_i") <= first, "train").when(F.col("_i") <= second, "dev").otherwise("test")).drop("_h", "_i", "_n")
+    tested = F.greatest(F.lit(1), F.bround(F.col("_n") * test, 0))
+    developed = tested + F.greatest(F.lit(1), F.bround(F.col("_n") * dev, 0))
+    return out.withColumn("split", F.when(F.col("_i") <= tested, "test").when(F.col("_i") <= developed, "dev").otherwise("train")).drop("_h", "_i", "_n")
 
 
 def root_allocation(sizes: DataFrame, stratum: str, size: str, total: int) -> DataFrame:

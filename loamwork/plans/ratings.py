@@ -203,7 +203,7 @@ def split_positions(spark, sf_dir):
 
 _EVEN = lambda x: f"round_even({x}, 0)"
 SPLIT_SQL = f"""WITH {_OK}, r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_H(37)}, doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM g)
-SELECT doc_id, lang, CASE WHEN i <= {_EVEN('n * 0.7::DOUBLE')} THEN 'train' WHEN i <= {_EVEN('n * 0.7::DOUBLE')} + {_EVEN('n * 0.1::DOUBLE')} THEN 'dev' ELSE 'test' END AS split FROM r"""
+SELECT doc_id, lang, CASE WHEN i <= greatest(1, {_EVEN('n * 0.2::DOUBLE')}) THEN 'test' WHEN i <= greatest(1, {_EVEN('n * 0.2::DOUBLE')}) + greatest(1, {_EVEN('n * 0.1::DOUBLE')}) THEN 'dev' ELSE 'train' END AS split FROM r"""
 
 
 def allocation(spark, sf_dir):
