@@ -178,26 +178,26 @@ SELECT p_brand, count(*) AS n, round(avg(CAST(d AS DOUBLE) / n), 6) AS mean_cer,
 
 def _lexicon(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[^A-Za-z]+")).alias("text")).withColumn("label", F.when(F.col("text").rlike("^[A-Z]"), "NAME").otherwise("WORD"))
-    return spans.lexicon(words, 2, 9, ("NAME",)).where(F.length("text").isin(9, 10, 11))
+    return spans.lexicon(words, 3, 5, ("NAME",)).where(F.length("text").isin(4, 5, 6))
 
 
-_LEX = """lex AS (SELECT text, label, count(*) AS n FROM (SELECT text, CASE WHEN regexp_matches(text, '^[A-Z]') THEN 'NAME' ELSE 'WORD' END AS label FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS text FROM benchmark)) WHERE trim(text) <> '' GROUP BY ALL HAVING count(*) >= 2 AND (length(text) >= 9 OR label = 'NAME'))"""
+_LEX = """lex AS (SELECT text, label, count(*) AS n FROM (SELECT text, CASE WHEN regexp_matches(text, '^[A-Z]') THEN 'NAME' ELSE 'WORD' END AS label FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS text FROM benchmark)) WHERE trim(text) <> '' GROUP BY ALL HAVING count(*) >= 3 AND (length(text) >= 5 OR label = 'NAME'))"""
 
 
 def lexicon_matches(spark, sf_dir):
-    """Every place in a turn of a conversation where a frequent word of the benchmark stands."""
-    docs = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("record_id"), "text")
-    return spans.occurrences(docs, _lexicon(spark, sf_dir), [9, 10, 11])
+    """Every place in an item of the benchmark where one of its frequent long words stands, inside words too."""
+    docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("record_id"), "text")
+    return spans.occurrences(docs, _lexicon(spark, sf_dir), [4, 5, 6])
 
 
-LEXICON_SQL = f"""WITH {_LEX}, d AS (SELECT conv_id * 1000 + turn AS record_id, text FROM conversations), s AS (SELECT record_id, unnest(range(length(text))) AS start, text FROM d),
-w AS (SELECT record_id, start, k, substr(text, start + 1, k) AS part FROM s, (SELECT unnest([9, 10, 11]) AS k))
-SELECT record_id, CAST(start AS INT) AS start, CAST(start + k AS INT) AS end, label, lex.text, n FROM w JOIN lex ON w.part = lex.text WHERE length(part) = k"""
+LEXICON_SQL = f"""WITH {_LEX}, c AS (SELECT item_id AS record_id, string_split(text, '') AS c FROM benchmark),
+w AS (SELECT record_id, k, unnest([array_to_string(c[i:i + k - 1], '') FOR i IN range(1, len(c) - k + 2)]) AS part, unnest(range(0, len(c) - k + 1)) AS start FROM c, (SELECT unnest([4, 5, 6]) AS k) WHERE len(c) >= k)
+SELECT record_id, CAST(start AS INT) AS start, CAST(start + k AS INT) AS end, label, lex.text, n FROM w JOIN lex ON w.part = lex.text"""
 
 
 def longest_matches(spark, sf_dir):
     """Rows only: the greedy choice among them, and back from BIO tags."""
-    docs = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("record_id"), "text").dropDuplicates(["record_id"])
+    docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("record_id"), "text")
     kept = spans.without_overlap(lexicon_matches(spark, sf_dir))
     return spans.spans_from_tags(spans.bio_tags(docs, kept))
 
