@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loamwork.llm import decontamination, jaccard_join, quality_classifier, secret_scan, sentencepiece_codec
 from loamwork.llm.shared import stored
+from loamwork.sources.package import ship
 from loamwork.sources.tables import table
 
 
@@ -57,9 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{i + 1}")
+            docs = stored(docs, f"pipeline-{i + 1}", "zstd")
     return docs

@@ -35,11 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lost executors cost no more than a file's tasks."""
+def stored(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: lost executors cost no more than a file's tasks.
+
+    Tables of ids and hashes gain nothing from compression; those with texts are stored with ``zstd``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
