@@ -20,7 +20,7 @@ def kappa(spark, sf_dir):
 KAPPA_SQL = f"""WITH r AS ({RATER_SQL}), x AS (SELECT lang, first, second FROM r UNION ALL SELECT NULL, first, second FROM r), c AS (SELECT unnest(['yes', 'no', 'unsure']) AS k),
 m AS (SELECT coalesce(lang, '*') AS l, k, count(*) FILTER (first = k) AS a, count(*) FILTER (second = k) AS b, count(*) FILTER (first = k AND second = k) AS same FROM x, c GROUP BY ALL),
 s AS (SELECT l, sum(a) AS n, sum(same) / sum(a) AS o, sum(a * b) / (sum(a) * sum(a)) AS e FROM m GROUP BY l)
-SELECT nullif(l, '*') AS lang, CAST(n AS BIGINT) AS n, round(o, 6) AS observed, round(e, 6) AS expected, round((o - e) / (1 - e), 6) AS kappa FROM s"""
+SELECT nullif(l, '*') AS lang, CAST(n AS BIGINT) AS n, round(o, 6) AS observed, round(e, 6) AS expected, round(CASE WHEN e = 1 THEN 1 ELSE (o - e) / (1 - e) END, 6) AS kappa FROM s"""
 
 
 def rating_table(spark, sf_dir):
