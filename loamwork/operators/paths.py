@@ -64,3 +64,16 @@ def select_paths(paths: DataFrame, most: int = 32, passage_quota: int = 16, sema
 def path_counts(paths: DataFrame) -> DataFrame:
     """Paths an item, in all and by kind."""
     return paths.groupBy("item_id").agg(F.count("*").alias("path_count"), F.count_if("passage_conditioned").alias("passage_paths"), F.count_if(~F.col("passage_conditioned")).alias("semantic_paths"), F.min("hops").alias("least_hops"))
+
+
+def relevance(passage, nodes="nodes"):
+    """How well a path fits a passage: it goes through it, the passage names its inner nodes, semantic edges, few hops."""
+    inner = F.filter(F.slice(nodes, 2, F.greatest(F.size(nodes) - 2, F.lit(0))), lambda n: (n != PASSAGE) & (n != "") & F.contains(passage, n))
+    return 4.0 * F.col("passage_conditioned").cast("int") + 1.5 * F.size(inner) + 0.25 * F.col("semantic_edges") - 0.15 * F.col("hops")
+
+
+def path_features(paths: DataFrame) -> DataFrame:
+    """(item_id, feature, value): how often each edge token and each number of hops occurs, and both kinds' counts."""
+    kind = F.when(F.col("passage_conditioned"), "kind=passage").otherwise("kind=semantic")
+    names = F.concat(F.transform("edges", lambda e: F.concat(F.lit("edge="), e)), F.array(F.concat(F.lit("hops="), F.col("hops").cast("string")), kind, F.lit("paths")))
+    return paths.select("item_id", F.explode(names).alias("feature")).groupBy("item_id", "feature").agg(F.count("*").alias("value"))

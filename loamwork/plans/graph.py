@@ -169,11 +169,32 @@ def path_coverage(spark, sf_dir):
 
 COVERAGE_SQL = _PATHS + "SELECT item_id, count(*) AS path_count, count(*) FILTER (passage_conditioned) AS passage_paths, count(*) FILTER (NOT passage_conditioned) AS semantic_paths, min(hops) AS least_hops FROM allp GROUP BY item_id"
 
+def path_features(spark, sf_dir):
+    return paths.path_features(_paths(spark, sf_dir))
+
+
+FEATURES_SQL = _PATHS + """, f AS (SELECT item_id, 'edge=' || unnest(edges) AS feature FROM allp UNION ALL SELECT item_id, 'hops=' || hops FROM allp
+  UNION ALL SELECT item_id, CASE WHEN passage_conditioned THEN 'kind=passage' ELSE 'kind=semantic' END FROM allp UNION ALL SELECT item_id, 'paths' FROM allp)
+SELECT item_id, feature, count(*) AS value FROM f GROUP BY ALL"""
+
+
+def path_relevance(spark, sf_dir):
+    """The most relevant path of each item against a passage that names its regions."""
+    passage = F.lit("R0 R1 R2 R3 R4 P1 P2 P3")
+    scored = _paths(spark, sf_dir).withColumn("score", F.round(paths.relevance(passage), 6))
+    return scored.groupBy("item_id").agg(F.max("score").alias("best"), F.round(F.avg("score"), 6).alias("mean"))
+
+
+RELEVANCE_SQL = _PATHS + """, r AS (SELECT item_id, round(4.0 * CAST(passage_conditioned AS INT) + 1.5 * len([n FOR n IN nodes[2:-2] IF n <> '__PASSAGE__' AND contains('R0 R1 R2 R3 R4 P1 P2 P3', n)]) + 0.25 * semantic_edges - 0.15 * hops, 6) AS score FROM allp)
+SELECT item_id, CAST(max(score) AS DOUBLE) AS best, round(CAST(avg(score) AS DOUBLE), 6) AS mean FROM r GROUP BY item_id"""
+
 QUERIES = {
+    "path_features": path_features, "path_relevance": path_relevance,
     "rule_b1": rule_b1, "rule_b2": rule_b2, "rule_b3": rule_b3, "rule_a": rule_a, "rule_c": rule_c, "role_views": role_views, "best_edge": best_edge,
     "target_deleted_paths": target_deleted_paths, "selected_paths": selected_paths, "path_coverage": path_coverage,
 }
 ORACLES = {
+    "path_features": FEATURES_SQL, "path_relevance": RELEVANCE_SQL,
     "rule_b1": B1_SQL, "rule_b2": B2_SQL, "rule_b3": B3_SQL, "rule_a": RULE_A_SQL, "rule_c": RULE_C_SQL, "role_views": ROLE_VIEWS_SQL, "best_edge": BEST_EDGE_SQL,
     "target_deleted_paths": PATHS_SQL, "selected_paths": SELECTED_SQL, "path_coverage": COVERAGE_SQL,
 }
