@@ -1,8 +1,8 @@
 """Quality rules: a table of thresholds compiled into one projection of built-in functions.
 
 Length, symbol, stop-word and line ratios and the verdict are built-in functions in one projection. Only the base count
-of repeated windows is an Arrow function over whole batches: with built-in array functions it alone took about 2.5
-microseconds a word, most of the time that there is.
+of repeated windows is an Arrow function over whole batches; with built-in array functions it took about 2.5
+microseconds a word in a local measurement.
 """
 
 from __future__ import annotations
