@@ -27,10 +27,14 @@ UNION ALL SELECT p_partkey, 'hasFlavor', 'Ingredient', CAST(p_partkey AS VARCHAR
 """
 
 
-def edges(spark: SparkSession, sf_dir: str, relations: tuple[str, ...]) -> DataFrame:
-    """Edge records of the named relations: only the tables these need are read."""
+def edges(spark: SparkSession, sf_dir: str, relations: tuple[str, ...], whole: bool = False) -> DataFrame:
+    """Edge records of the named relations: only the tables these need are read.
+
+    ``whole`` takes every row of lineitem and customer, without the limits on values and keys that EDGES_SQL sets.
+    """
     t = lambda name: table(spark, sf_dir, name)
-    line = t("lineitem").where((F.col("l_quantity") >= 48) & (F.col("l_discount") >= 0.08)).select(
+    limited = lambda df, condition: df if whole else df.where(condition)
+    line = limited(t("lineitem"), (F.col("l_quantity") >= 48) & (F.col("l_discount") >= 0.08)).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"),
         F.when(F.col("l_quantity") == 50, 4).when(F.col("l_quantity") == 49, 3).otherwise(2).alias("authority_rank"),
         (F.col("l_orderkey") % 3 + 1).cast("int").alias("books"), F.col("l_linenumber").alias("support"), F.col("l_discount").alias("confidence"),
@@ -50,8 +54,8 @@ def edges(spark: SparkSession, sf_dir: str, relations: tuple[str, ...]) -> DataF
         "entersmeridian": lambda r: edge(line.join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")), r, "edge_id", "Ingredient", text("l_partkey"), "Meridian", text("s_nationkey")),
         "containsIngredient": lambda r: edge(line, r, "edge_id", "Recipe", text("l_orderkey"), "Ingredient", text("l_partkey")),
         "treats": lambda r: edge(treated(), r, "edge_id", "Ingredient", text("l_partkey"), "Disease", disease("o_custkey")),
-        "contraindicates": lambda r: edge(treated().where("l_partkey % 3 = 0"), r, "edge_id", "Ingredient", text("l_partkey"), "Disease", disease("o_custkey")),
-        "affectsOrgan": lambda r: edge(t("customer").where("c_acctbal < 0").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")), r, "c_custkey", "Disease", disease("c_custkey"), "Organ", text("n_regionkey"), (1, 1, 1, 0.5)),
+        "contraindicates": lambda r: edge(limited(treated(), "l_partkey % 3 = 0"), r, "edge_id", "Ingredient", text("l_partkey"), "Disease", disease("o_custkey")),
+        "affectsOrgan": lambda r: edge(limited(t("customer"), "c_acctbal < 0").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")), r, "c_custkey", "Disease", disease("c_custkey"), "Organ", text("n_regionkey"), (1, 1, 1, 0.5)),
         "correspondsToOrgan": lambda r: edge(t("nation"), r, "n_nationkey", "Meridian", text("n_nationkey"), "Organ", text("n_regionkey"), (4, 2, 3, 0.9)),
         "treatedByRecipe": lambda r: edge(t("orders"), r, "o_orderkey", "Disease", disease("o_custkey"), "Recipe", text("o_orderkey"), (1, 1, 1, 0.25)),
         "hasNature": lambda r: edge(t("part"), r, "p_partkey", "Ingredient", text("p_partkey"), "Nature", F.col("p_brand"), (2, 1, 1, 0.5)),
