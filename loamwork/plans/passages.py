@@ -177,8 +177,9 @@ SELECT p_brand, count(*) AS n, round(avg(CAST(d AS DOUBLE) / n), 6) AS mean_cer,
 
 
 def _lexicon(spark, sf_dir):
+    """Frequent words of the benchmark of five letters or more, and frequent names of any length."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[^A-Za-z]+")).alias("text")).withColumn("label", F.when(F.col("text").rlike("^[A-Z]"), "NAME").otherwise("WORD"))
-    return spans.lexicon(words, 3, 5, ("NAME",)).where(F.length("text").isin(4, 5, 6))
+    return spans.lexicon(words, 3, 5, ("NAME",))
 
 
 _LEX = """lex AS (SELECT text, label, count(*) AS n FROM (SELECT text, CASE WHEN regexp_matches(text, '^[A-Z]') THEN 'NAME' ELSE 'WORD' END AS label FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS text FROM benchmark)) WHERE trim(text) <> '' GROUP BY ALL HAVING count(*) >= 3 AND (length(text) >= 5 OR label = 'NAME'))"""
@@ -190,15 +191,25 @@ def lexicon_matches(spark, sf_dir):
     return spans.occurrences(docs, _lexicon(spark, sf_dir), [4, 5, 6])
 
 
+def document_lexicon_matches(spark, sf_dir):
+    """Rows only: every place in a document where an entry of the lexicon stands, of whatever length."""
+    words = _lexicon(spark, sf_dir)
+    lengths = sorted(r[0] for r in words.select(F.length("text")).distinct().collect())
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "text")
+    if not lengths:
+        return docs.select("record_id", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("label"), "text", F.lit(0).cast("long").alias("n")).where(F.lit(False))
+    return spans.occurrences(docs, words, lengths)
+
+
 LEXICON_SQL = f"""WITH {_LEX}, c AS (SELECT item_id AS record_id, string_split(text, '') AS c FROM benchmark),
 w AS (SELECT record_id, k, unnest([array_to_string(c[i:i + k - 1], '') FOR i IN range(1, len(c) - k + 2)]) AS part, unnest(range(0, len(c) - k + 1)) AS start FROM c, (SELECT unnest([4, 5, 6]) AS k) WHERE len(c) >= k)
 SELECT record_id, CAST(start AS INT) AS start, CAST(start + k AS INT) AS end, label, lex.text, n FROM w JOIN lex ON w.part = lex.text"""
 
 
 def longest_matches(spark, sf_dir):
-    """Rows only: the greedy choice among them, and back from BIO tags."""
-    docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("record_id"), "text")
-    kept = spans.without_overlap(lexicon_matches(spark, sf_dir))
+    """Rows only: the greedy choice among a document's matches, and back from BIO tags."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "text")
+    kept = spans.without_overlap(document_lexicon_matches(spark, sf_dir))
     return spans.spans_from_tags(spans.bio_tags(docs, kept))
 
 
@@ -362,7 +373,7 @@ LONG_SQL = "SELECT 'p_size' AS name, count(*) AS n, round(CAST(sum(p_size) AS DO
 QUERIES = {
     "text_segments": text_segments, "text_measures": text_measures, "span_tokens": span_tokens, "located_spans": located_spans, "offset_integrity": offset_integrity, "bigram_sets": bigram_sets,
     "window_plan": window_plan, "context_windows": context_windows, "evidence_windows": evidence_windows, "omission_masks": omission_masks, "stable_ids": stable_ids, "salvaged_decisions": salvaged_decisions,
-    "page_split": page_split, "character_errors": character_errors, "lexicon_matches": lexicon_matches, "longest_matches": longest_matches, "retrieval": retrieval, "donors": donors,
+    "page_split": page_split, "character_errors": character_errors, "lexicon_matches": lexicon_matches, "longest_matches": longest_matches, "document_lexicon_matches": document_lexicon_matches, "retrieval": retrieval, "donors": donors,
     "identity_lexicon": identity_lexicon, "identity_features": identity_features, "majorities": majorities, "vocabulary": vocabulary, "crosswalk_summary": crosswalk_summary, "coverage_counters": coverage_counters,
     "payload_long": payload_long, "seed_means": seed_means, "intervention_effects": intervention_effects, "key_sets": key_sets, "long_scores": long_scores,
 }

@@ -92,3 +92,15 @@ def test_whole_paths(spark, small):
     assert {r.item_id: r.value for r in run("whole_path_features") if r.feature == "paths"} == count
     assert {r.item_id for r in run("whole_path_relevance")} == set(count)
     assert {(r.item_id, r.nodes, r.edges) for r in run("whole_selected_paths")} <= want
+
+
+def test_lexicon_of_every_length_in_documents(spark, tmp_path):
+    items = ["Al met Christopher near considerable hills"] * 3 + ["rare considerably"]
+    docs = [(1, "Al saw considerable hills; Christopher, inconsiderable Al"), (2, ""), (3, None), (4, "nothing here")]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    entries = {"Al": "NAME", "Christopher": "NAME", "considerable": "WORD", "hills": "WORD"}
+    want = {(i, k, k + len(w), label, w, 3) for i, t in docs for w, label in entries.items() for k in range(len(t or "")) if t.startswith(w, k)}
+    assert {tuple(r) for r in run("document_lexicon_matches")} == want and len(want) == 6
+    assert {tuple(r) for r in run("longest_matches")} == {(i, a, b, label) for i, a, b, label, _, _ in want}
