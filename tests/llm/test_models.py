@@ -109,6 +109,23 @@ def test_decontamination(spark, docs_of):
     assert decontamination.matches(docs_of(rows), benchmark.where("false")).count() == 0
 
 
+def test_decontamination_of_names_at_sentence_starts_and_of_short_items(spark, docs_of):
+    tom = "Tom has 5 apples. Tom buys 3 more. How many apples does he have now?"
+    city, price = "What is the largest city of the northern island?", "the price of 1,250.75 dollars"
+    benchmark = spark.createDataFrame([(1, tom), (2, city), (3, price)], "item_id long, text string")
+    anna = tom.replace("Tom", "Anna").replace("5", "7").replace("3", "4")
+    rows = [
+        (1, anna), (2, "They said: " + anna), (3, tom.lower()), (4, anna.replace("Anna buys", "Mary buys")),
+        (5, "so it goes on, " + city), (6, "so it goes on and " + city + " And more"), (7, "so it is. " + city), (8, city.lower()),
+        (9, "the price of 99 dollars"), (10, "the price of 3.50 dollars"), (11, "Anna Has Many Apples And Paul Has None Of Them But Who Knows"),
+    ]
+    for most in (decontamination.BROADCAST_WINDOWS, 1):
+        out = {(r.doc_id, r.item_id): r for r in decontamination.matches(docs_of(rows), benchmark, most=most).collect()}
+        assert set(out) == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 2), (7, 2), (8, 2), (9, 3), (10, 3)}
+        assert out[4, 1].covered < out[1, 1].covered == 1  # its first window holds both names
+        assert out[1, 1].reparameterised and not out[3, 1].reparameterised and out[5, 2].covered == out[9, 3].covered == 1
+
+
 def test_decontamination_finds_planted_passages(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     words = lambda t: re.findall(r"\w+", (t or "").lower())
