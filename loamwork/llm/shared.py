@@ -35,15 +35,33 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.sc().hadoopConfiguration()).deleteOnExit(folder)
+
+
 def stored(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lost executors cost no more than a file's tasks.
 
-    Tables of ids and hashes gain nothing from compression; those with texts are stored with ``zstd``.
+    Tables of ids and hashes gain nothing from compression; those with texts are stored with ``zstd``. The table goes
+    when the driver's JVM ends, as results that read it may be computed until then, or with ``discarded``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    delete_on_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more."""
+    for df in tables:
+        path = df.__dict__.get("stored_at")
+        if path is not None:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(folder, True)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
