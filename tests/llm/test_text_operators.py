@@ -106,6 +106,49 @@ def test_substring_dedup(docs_of, monkeypatch):
     assert substring_dedup.remove_repeats(docs_of([(None, "x " * 40), (1, "x " * 40)])).count() == 2
 
 
+def plain_repeats(rows):
+    out, seen = {}, set()
+    for i, text in sorted(rows):
+        w = WORD.findall(text or "")
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            window = tuple(w[k : k + 20])
+            if window in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(window)
+        out[i] = len(w), sum(gone), hashlib.sha256(" ".join(a for a, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()
+    return out
+
+
+def test_substring_dedup_grows_prefixes(docs_of, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK", 4000)
+    monkeypatch.setattr(substring_dedup, "TOGETHER", 7)
+    random.seed(5)
+    common = [" ".join(random.choice("abcdefgh") * 2 for _ in range(n)) for n in (25, 40, 90)]
+    rows = some_texts() + [(2000 + i, f"{random.choice(common)} u{i} {random.choice(common)} {'rep ' * (i % 50)}") for i in range(200)]
+    want = plain_repeats(rows)
+    for most in (1, 3, 12, 100_000):  # all prefixes grow to whole windows, some do, none does
+        monkeypatch.setattr(substring_dedup, "GROUP", most)
+        out = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs_of(rows).repartition(5)).collect()}
+        assert out == want, most
+
+
+def test_buckets_are_those_of_the_writer(spark):
+    ids = [0, 1, -5, 7 << 32, (9 << 32) + 4, (1 << 62) + 3]
+    got = spark.createDataFrame([(i,) for i in ids], "x long").selectExpr("x", "pmod(hash(x), 13) AS b").collect()
+    assert [substring_dedup.bucket_of(r.x, 13) for r in got] == [r.b for r in got]
+
+
+def test_substring_dedup_odd_tables(docs_of):
+    long = "z" * 300_000 + " " + "ab " * 150_000
+    rows = [(1, long), (2, long), (None, None), (3, ""), (3, "q " * 30)]
+    docs = docs_of(rows)
+    for name in ("block", "prefix", "at", "n"):
+        docs = docs.withColumn(name, docs.lang)
+    out = sorted(((r.doc_id or 0), r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect())
+    assert out == [(0, 0, 0), (1, 150_001, 149_999), (2, 150_001, 150_001), (3, 0, 0), (3, 30, 29)]
+
+
 def test_jaccard_join(docs_of, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE", 12)
     monkeypatch.setattr(jaccard_join, "SMALL_BUCKET", 6)
