@@ -1,19 +1,14 @@
 """Quality rules: a table of thresholds compiled into one projection of built-in functions.
 
-Length, symbol, stop-word and line ratios and the verdict are built-in functions in one projection. Only the base count
-of repeated windows is an Arrow function over whole batches; with built-in array functions it took about 2.5
-microseconds a word in a local measurement.
+Length, symbol, stop-word and line ratios, the base count of repeated windows and the verdict are all built-in functions
+over a row; nothing is shuffled and no user function runs.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from loamwork.llm.shared import Words, blocks
 from loamwork.sources.tables import table
 
 #: Frequent words of English, French, German and Spanish.
@@ -55,36 +50,42 @@ def _lines_with_words(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
 
 
-def repeated_words(texts: pa.Array, size: int = WINDOW) -> pa.Array:
-    """Words inside windows of ``size`` that occur twice or more in their text, first ones included."""
-    out = []
-    for block in blocks(iter([pa.record_batch([texts], names=["text"])]), "text"):
-        words = Words(block.column(0))
-        key, whole = words.windows(size)
-        at = np.flatnonzero(whole)
-        at = at[np.lexsort((key[at], words.doc[at]))]
-        same = (key[at][1:] == key[at][:-1]) & (words.doc[at][1:] == words.doc[at][:-1])
-        twin = np.zeros(len(at) + 1, bool)
-        twin[1:-1] = same
-        edges = np.zeros(len(words.start) + 1, np.int64)
-        found = at[twin[1:] | twin[:-1]]
-        np.add.at(edges, found, 1)
-        np.add.at(edges, found + size, -1)
-        covered = np.cumsum(edges)[:-1] > 0
-        out.append(np.add.reduceat(np.append(covered, False).astype(np.int64), words.first[:-1]) * (words.count > 0))
-    return pa.array(np.concatenate([*out, np.zeros(0, np.int64)]))
+def with_window_hashes(rows: DataFrame, words: str, out: str) -> DataFrame:
+    """``rows`` with the hashes of all windows of ``WINDOW`` words, a power of two, as array ``out``.
+
+    A window's hash comes from those of its halves, so each doubling is one pass over the array before.
+    """
+    rows = rows.withColumn(out, F.transform(words, lambda w: F.xxhash64(w)))
+    size = 1
+    while size < WINDOW:
+        ahead = F.slice(out, size + 1, F.greatest(F.size(out) - size, F.lit(0)))
+        rows = rows.withColumn(out, F.zip_with(out, ahead, lambda a, b: F.xxhash64(a, b)))
+        size *= 2
+    return rows.withColumn(out, F.slice(out, 1, F.greatest(F.size(out) - (WINDOW - 1), F.lit(0))))
 
 
-@F.arrow_udf(T.LongType())
-def _repeated_words(texts: pa.Array) -> pa.Array:
-    return repeated_words(texts)
+def repeated_words(rows: DataFrame, hashes: str, out: str) -> DataFrame:
+    """``rows`` with the number of words in windows whose hash occurs twice or more, first ones included.
+
+    Texts whose hashes are all different, which most are, have none; only the others are sorted, and twins are
+    neighbours then.
+    """
+    some = F.size(F.array_distinct(hashes)) < F.size(hashes)
+    by_hash = F.when(some, F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    rows = rows.withColumn("_s", by_hash)
+    twins = F.filter("_s", lambda x, i: (x["h"] == F.get("_s", i - 1)["h"]) | (x["h"] == F.get("_s", i + 1)["h"]))
+    rows = rows.withColumn("_p", F.sort_array(F.transform(twins, lambda x: x["i"])))
+    each = F.transform("_p", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_p", i + 1) - p, F.lit(WINDOW))))
+    total = F.aggregate(each, F.lit(0).cast("long"), lambda n, x: n + x)
+    return rows.withColumn(out, F.coalesce(total, F.lit(0)).cast("long")).drop("_s", "_p")
 
 
 def measures(docs: DataFrame, text_col: str = "text", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """``docs`` with the counts and ratios that rules may name; a null text counts as empty. Ratios of nothing are 0."""
     classes = F.regexp_replace(F.col("_t"), r"[^\p{Lu}#*$%&|<>\x20\x09-\x0D]+", "")
-    taken = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit(""))).withColumn("n_repeat_words", _repeated_words("_t"))
-    split = taken.withColumn("_w", _words(F.col("_t"))).withColumn("_l", _lines_with_words(F.col("_t"))).withColumn("_c", classes)
+    taken = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_w", _words(F.col("_t")))
+    hashed = repeated_words(with_window_hashes(taken, "_w", "_h"), "_h", "n_repeat_words").drop("_h")
+    split = hashed.withColumn("_l", _lines_with_words(F.col("_t"))).withColumn("_c", classes)
     count = lambda c: c.cast("long")
     less = lambda chars: F.length("_c") - F.length(F.translate(F.col("_c"), chars, ""))
     counted = split.select(
