@@ -4,7 +4,7 @@ Texts are cut into spans of ``SPAN`` bytes, which start from zero states both in
 probability for each language from the forward and the backward state at it; a text's are their means. The network is
 small, so that all spans of a block advance together as one matrix a step.
 
-The fit uses spans spread over at most ``SAMPLE_DOCS`` texts, those with the smallest hashes of their ids.
+The fit uses spans spread over at most ``SAMPLE_DOCS`` texts, those with the smallest hashes.
 """
 
 from __future__ import annotations
@@ -154,9 +154,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def training_spans(docs: DataFrame, limit: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Spans spread evenly over each of at most ``limit`` texts, with lengths, classes and the classes' names."""
+    """Spans spread evenly over each of at most ``limit`` different texts, with lengths, classes and the classes' names.
+
+    They are chosen by (id, language, hash of the text), as ids may repeat, with the least hashes of these; copies of a
+    chosen row are dropped before anything is collected.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out())
-    chosen = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(limit)
+    keyed = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("key"), "text")
+    chosen = keyed.select("doc_id", "lang", "key").orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key", "lang").limit(limit).distinct()
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -165,18 +170,20 @@ def training_spans(docs: DataFrame, limit: int = SAMPLE_DOCS) -> tuple[np.ndarra
             first = np.searchsorted(row, np.arange(block.num_rows + 1))
             pick = [j for a, b in zip(first[:-1], first[1:], strict=True) for j in sorted({int(x) for x in np.linspace(a, b - 1, min(SPANS_A_DOC, b - a)).round()})]
             langs = block.column("lang").to_pylist()
+            of, nth = pa.array(row[pick]), pa.array([int(j - first[row[j]]) for j in pick], pa.int32())
             yield pa.record_batch(
-                [block.column("doc_id").take(pa.array(row[pick])), pa.array([langs[row[j]] for j in pick], pa.string()), pa.array([spans[j, : lengths[j]].tobytes() for j in pick], pa.binary())],
-                names=["doc_id", "lang", "span"],
+                [block.column("doc_id").take(of), block.column("key").take(of), pa.array([langs[row[j]] for j in pick], pa.string()), nth, pa.array([spans[j, : lengths[j]].tobytes() for j in pick], pa.binary())],
+                names=["doc_id", "key", "lang", "nth", "span"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text")
-    rows = sorted((r.doc_id, r.lang, bytes(r.span)) for r in texts.mapInArrow(taken, "doc_id long, lang string, span binary").collect())
-    names = sorted({r[1] for r in rows})
+    texts = keyed.join(F.broadcast(chosen), ["doc_id", "lang", "key"]).select("doc_id", "key", "lang", "text")
+    once = texts.mapInArrow(taken, "doc_id long, key long, lang string, nth int, span binary").dropDuplicates(["doc_id", "key", "lang", "nth"])
+    rows = sorted((r.doc_id, r.key, r.lang, r.nth, bytes(r.span)) for r in once.collect())
+    names = sorted({r[2] for r in rows})
     spans = np.zeros((len(rows), SPAN), np.uint8)
-    for i, (_, _, b) in enumerate(rows):
-        spans[i, : len(b)] = np.frombuffer(b, np.uint8)
-    return spans, np.array([len(r[2]) for r in rows], np.int64), np.array([names.index(r[1]) for r in rows], np.int64), names
+    for i, r in enumerate(rows):
+        spans[i, : len(r[4])] = np.frombuffer(r[4], np.uint8)
+    return spans, np.array([len(r[4]) for r in rows], np.int64), np.array([names.index(r[2]) for r in rows], np.int64), names
 
 
 def has_letter(text: str | None) -> bool:
@@ -210,7 +217,9 @@ def identify(docs: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
     """Language of every row of ``docs``: doc_id, held_out, lang_pred, score.
 
     ``und`` with score 0 where the text is null or has no letter, and for all rows if there is nothing to learn from.
-    A null id counts as not held out and is not learned from. Rows are judged each for itself.
+    A null id counts as not held out and is not learned from. Rows are judged each for itself, so repeated rows get equal
+    answers; of equal probabilities the language first in order is taken. An empty table gives no rows, other columns
+    make no difference, and texts are read whole.
     """
     spans, lengths, target, names = training_spans(docs, limit)
     p = fit(spans, lengths, target, len(names)) if len(names) else None

@@ -4,8 +4,8 @@ A text's features say which hashed byte trigrams occur in it. Each is scaled by
 the vector is brought to length 1, and dual coordinate descent fits hinge loss on the result. A logistic curve through
 margins of two-fold cross-validation turns a margin into a score.
 
-The fit uses at most ``SAMPLE_ROWS`` labelled rows, those with the smallest hashes of their ids, as packed bits of
-``FEATURES / 8`` bytes each, so the driver's memory is bounded. Scoring is one pass over all texts without a shuffle.
+The fit uses at most ``SAMPLE_ROWS`` labelled texts, those with the smallest hashes, as packed bits of ``FEATURES / 8``
+bytes each, so the driver's memory is bounded. Scoring is one pass over all texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -125,9 +125,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most ``limit`` labelled rows. Only ids and labels, ``limit`` of them, are broadcast."""
-    known = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(limit)
+    """Features and labels of at most ``limit`` different labelled texts.
+
+    They are chosen by (id, hash of the text), as ids may repeat, with the least hashes of both; only these and the
+    labels, ``limit`` of them, are broadcast, and copies of a chosen row are dropped before anything is collected.
+    """
+    known = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).distinct()
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    order = (F.xxhash64("doc_id", "key"), "doc_id", "key", "quality")
+    chosen = keyed.select("doc_id", "key").join(known, "doc_id").orderBy(*order).limit(limit).distinct()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(FEATURES, bool)
@@ -139,10 +145,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS)
                     seen[trigram_codes(data[at[i] : at[i + 1]])] = True
                 bits.append(np.packbits(seen).tobytes())
                 seen[:] = False
-            yield pa.record_batch([block.column("doc_id"), block.column("quality").cast(pa.int32()), pa.array(bits, pa.binary())], names=["doc_id", "quality", "bits"])
+            yield pa.record_batch([block.column("doc_id"), block.column("key"), block.column("quality"), pa.array(bits, pa.binary())], names=["doc_id", "key", "quality", "bits"])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    found = sorted(texts.mapInArrow(packed, "doc_id long, quality int, bits binary").collect(), key=lambda r: (r.doc_id, r.quality, bytes(r.bits)))
+    texts = keyed.join(F.broadcast(chosen), ["doc_id", "key"]).select(F.col("doc_id").cast("long").alias("doc_id"), "key", F.col("quality").cast("int").alias("quality"), "text")
+    once = texts.mapInArrow(packed, "doc_id long, key long, quality int, bits binary").dropDuplicates(["doc_id", "key", "quality"])
+    found = sorted(once.collect(), key=lambda r: (r.doc_id, r.key, r.quality))
     order = np.random.default_rng(3).permutation(len(found))
     rows = [np.flatnonzero(np.unpackbits(np.frombuffer(bytes(found[i].bits), np.uint8))) for i in order]
     return rows, np.array([found[i].quality for i in order], np.int64)
@@ -186,7 +193,8 @@ def classify(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS, cut:
     """Quality of every row of ``docs``: doc_id, held_out, score in 0 to 1, predicted.
 
     Only ``text`` enters a score. Null and empty texts have no trigram and get the score of the bias alone. A null id
-    counts as not held out. Rows are scored each for itself; repeated rows and other columns make no difference.
+    counts as not held out and is not learned from. Rows are scored each for itself; repeated rows and other columns make
+    no difference, equal margins get equal scores, and an empty table gives no rows. Texts are read whole.
     """
     out = scores(docs, trained_model(docs, labels, limit))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
