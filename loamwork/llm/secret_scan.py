@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.shared import stored
+from loamwork.llm.shared import fresh, let, running, stored
 from loamwork.sources.tables import table
 
 
@@ -49,32 +49,29 @@ WIDE, HOT_PARTS = 3, 1000
 SPAN = "struct<start:int,nth:int,name:string,end:int,hash:string,placeholder:boolean>"
 
 
+def none() -> Column:
+    return F.array().cast(f"array<{SPAN}>")
+
+
 def found(text: Column, nth: int, kind: Kind) -> Column:
     """The kind's spans in order: leftmost matches that don't overlap; those whose value is too short are dropped."""
     pattern = F.lit(kind.pattern)
     whole, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, kind.pattern, -1)
     value = F.regexp_extract_all(text, pattern, F.lit(kind.group)) if kind.group else whole
-    parts = F.arrays_zip(whole.alias("whole"), value.alias("value"), between.alias("before"))
-    spans = F.aggregate(
-        F.filter(parts, lambda x: x["whole"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["before"]) + F.length(x["whole"])).alias("at"),
-            F.when(F.length(x["value"]) < kind.least, acc["spans"])
-            .otherwise(
-                F.array_append(
-                    acc["spans"],
-                    F.struct(
-                        (acc["at"] + F.length(x["before"])).alias("start"), F.lit(nth).alias("nth"), F.lit(kind.name).alias("name"),
-                        (acc["at"] + F.length(x["before"]) + F.length(x["whole"])).alias("end"), F.sha2(x["value"], 256).alias("hash"), x["value"].rlike(PLACEHOLDER).alias("placeholder"),
-                    ).cast(SPAN),
-                )
-            )
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(text.rlike(kind.gate), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    parts = F.filter(F.arrays_zip(whole.alias("whole"), value.alias("value"), between.alias("before")), lambda x: x["whole"].isNotNull())
+
+    def spans(x: Column) -> Column:
+        ends = running(F.transform(x, lambda p: F.length(p["before"]) + F.length(p["whole"])), lambda a, b: a + b, F.lit(0).cast("long"))
+        long_enough = F.filter(F.arrays_zip(x.alias("part"), ends.alias("end")), lambda z: F.length(z["part"]["value"]) >= kind.least)
+        return F.transform(
+            long_enough,
+            lambda z: F.struct(
+                (z["end"] - F.length(z["part"]["whole"])).alias("start"), F.lit(nth).alias("nth"), F.lit(kind.name).alias("name"),
+                z["end"].alias("end"), F.sha2(z["part"]["value"], 256).alias("hash"), z["part"]["value"].rlike(PLACEHOLDER).alias("placeholder"),
+            ).cast(SPAN),
+        )
+
+    return F.when(text.rlike(kind.gate), let(parts, lambda x: F.when(F.size(x) > 0, spans(x)).otherwise(none()))).otherwise(none())
 
 
 def candidates(docs: DataFrame, kinds: tuple[Kind, ...], text_col: str) -> DataFrame:
@@ -82,7 +79,7 @@ def candidates(docs: DataFrame, kinds: tuple[Kind, ...], text_col: str) -> DataF
     text = F.coalesce(F.col(text_col), F.lit(""))
     any_gate = text.rlike("|".join(f"(?:{k.gate})" for k in kinds))
     every = F.concat(*(found(text, i, k) for i, k in enumerate(kinds)))
-    return docs.withColumn("spans", F.when(any_gate, F.sort_array(every)).otherwise(F.array().cast(f"array<{SPAN}>")))
+    return docs.withColumn("spans", F.when(any_gate, F.sort_array(every)).otherwise(none()))
 
 
 def ownership(rows: DataFrame, wide: int = WIDE) -> DataFrame:
@@ -120,11 +117,10 @@ def classified(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, id_col: str = "
     real = F.when(F.col("class") != "example", F.struct("start", "nth", "name", "end", "hash", "placeholder").cast(SPAN))
     count = lambda name: F.count_if(F.col("class") == name).alias(f"n_{name}")
     by_row = joined.groupBy("uid").agg(F.sort_array(F.collect_list(real)).alias("real"), count("live"), count("shared"), count("example"))
-    none = F.array().cast(f"array<{SPAN}>")
     out = rows.join(by_row, "uid", "left")
     base = [i for i, k in enumerate(kinds) if k.base]
     kept = F.filter("spans", lambda s: s["nth"].isin(*base))
-    real_spans = F.coalesce("real", none)
+    real_spans = F.coalesce("real", none())
     added = F.filter(real_spans, lambda s: ~s["nth"].isin(*base))
     return out.select("uid", "doc_id", "key", kept.alias("spans"), added.alias("added"), real_spans.alias("real"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_shared", "n_example")))
 
@@ -143,28 +139,34 @@ MASK = "<secret>"
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """``text`` with every stretch that a span covers replaced; spans come by start and may overlap."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)),
-    )
+    """``text`` with every stretch that a span covers replaced; spans come by start and may overlap.
+
+    Pieces are cut out of the text in UTF-32, where a code point's place needs no count from the text's beginning.
+    """
+    cut = lambda raw, a, b: F.decode(F.substring(raw, a.cast("int") * 4 + 1, (b - a).cast("int") * 4), "UTF-32")
+
+    def joined(raw: Column, some: Column, reach: Column) -> Column:
+        covered = F.zip_with(some, F.concat(F.array(F.lit(-1).cast("long")), reach), lambda s, before: F.when(s["start"] > before, s["start"].cast("long")))
+        begins = F.filter(F.transform(covered, lambda start, i: F.struct(start.alias("start"), F.get(reach, i - 1).alias("before"))), lambda x: x["start"].isNotNull())
+        pieces = F.transform(begins, lambda x: F.concat(cut(raw, F.coalesce(x["before"], F.lit(0).cast("long")), x["start"]), F.lit(MASK)))
+        return F.concat(F.array_join(pieces, ""), cut(raw, F.get(reach, F.size(reach) - 1), F.length(text).cast("long")))
+
+    reach = running(F.transform(spans, lambda s: s["end"]), F.greatest, F.lit(0).cast("long"))
+    done = let(F.encode(text, "UTF-32"), lambda raw: let(spans, lambda some: let(reach, lambda r: joined(raw, some, r))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with MASK in place of every span that is no widely copied example; all other columns stay.
 
-    Rows find their spans by id and text, so repeated rows and null ids do, too.
+    Rows find their spans by id and text, so repeated rows and null ids do, too. Spans that touch or overlap become one
+    MASK each stretch. A null text stays null; an empty table gives no rows; column names may be any.
     """
+    named, key, spans = fresh(docs.columns, "id", "key", "real")
     real = classified(docs, id_col=id_col, text_col=text_col, **options).where(F.size("real") > 0)
-    real = real.groupBy("doc_id", "key").agg(F.first("real").alias("_real")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_real")
-    joined = docs.join(real, F.col(id_col).eqNullSafe(F.col("_id")) & (F.md5(text_col) == F.col("_key")), "left")
-    text = F.when(F.col("_real").isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col("_real")))
+    real = real.groupBy("doc_id", "key").agg(F.first("real").alias(spans)).select(F.col("doc_id").alias(named), F.col("key").alias(key), spans)
+    joined = docs.join(real, F.col(id_col).eqNullSafe(F.col(named)) & (F.md5(text_col) == F.col(key)), "left")
+    text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col(spans)))
     return joined.withColumn(text_col, text).select(*docs.columns)
 
 

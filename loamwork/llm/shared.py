@@ -11,11 +11,12 @@ import functools
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that numpy works on at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -64,6 +65,43 @@ def discarded(*tables: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(folder, True)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` names it inside of lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, step: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each element of an array, ``step`` folded over the elements up to it, from ``zero``; ``step`` is associative.
+
+    The array is folded in parts of about the square root of its size, as an append copies what is there: time is the
+    1.5th power of the size, not its square.
+    """
+    none = F.array().cast("array<long>")
+    fold = lambda part: F.aggregate(part, none, lambda acc, x: F.array_append(acc, step(F.coalesce(F.get(acc, F.size(acc) - 1), zero), x)))
+
+    def parts(v: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), size), lambda k: fold(F.slice(v, k + 1, size)))
+
+    def put_together(folded: Column) -> Column:
+        ends = fold(F.transform(folded, lambda part: F.coalesce(F.get(part, F.size(part) - 1), zero)))
+        before = F.concat(F.array(zero), ends)
+        return F.flatten(F.zip_with(folded, F.slice(before, 1, F.size(folded)), lambda part, b: F.transform(part, lambda x: step(b, x))))
+
+    return let(values.cast("array<long>"), lambda v: let(parts(v), put_together))
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that are taken."""
+    low = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` bytes of text each."""
     for batch in batches:
