@@ -174,5 +174,32 @@ def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_EACH = " UNION ALL ".join(
+    f"SELECT doc_id, o, {i} AS nth, '{k.name}' AS name, {k.least} AS least, regexp_extract_all(t, {_quoted(k.pattern)}) AS w, "
+    f"regexp_extract_all(t, {_quoted(k.pattern)}, {k.group}) AS v, string_split_regex(t, {_quoted(k.pattern)}) AS b FROM d"
+    for i, k in enumerate(KINDS)
+)
+_BASE = ", ".join(f"'{k.name}'" for k in KINDS if k.base)
+#: The placeholder of one repeated character is spelled without a back reference.
+_WORDS = PLACEHOLDER.replace(r"|(.)\1*)$", ")$")
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '?') AS o FROM documents),
+m AS (SELECT doc_id, o, nth, name, least, unnest(w) AS w, unnest(v) AS v, unnest(b[1:len(w)]) AS b, generate_subscripts(w, 1) AS i FROM ({_EACH}) WHERE len(w) > 0),
+p AS (SELECT *, sum(length(b) + length(w)) OVER (PARTITION BY doc_id, nth ORDER BY i) AS e FROM m),
+s AS (SELECT doc_id, o, nth, name, v, CAST(e - length(w) AS BIGINT) AS a, CAST(e AS BIGINT) AS e FROM p WHERE length(v) >= least),
+c AS (SELECT v, CASE WHEN bool_or(regexp_matches(v, {_quoted(_WORDS)}) OR replace(lower(v), lower(v)[1], '') = '') OR count(DISTINCT o) >= {WIDE} THEN 'example'
+  WHEN count(DISTINCT o) = 1 THEN 'live' ELSE 'shared' END AS class FROM s GROUP BY v),
+x AS (SELECT s.*, class, name || ':' || a || ':' || e AS span, name IN ({_BASE}) AS base FROM s JOIN c USING (v)),
+g AS (SELECT doc_id, count(*) FILTER (name = 'assign') AS n_assign, count(*) FILTER (name = 'access') AS n_access, count(*) FILTER (name = 'hex') AS n_hex,
+  string_agg(span, ',' ORDER BY a, nth) FILTER (base) AS b, string_agg(span, ',' ORDER BY a, nth) FILTER (base OR class <> 'example') AS spans,
+  count(*) FILTER (class = 'live') AS n_live, count(*) FILTER (class = 'shared') AS n_shared, count(*) FILTER (class = 'example') AS n_example FROM x GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN g USING (doc_id)
+"""
+
 QUERIES = {"op8_secret_scan": op8_secret_scan}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_secret_scan": OP8_SQL}
