@@ -375,4 +375,15 @@ def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_substring_dedup": op9_substring_dedup}
-ORACLES: dict[str, str] = {}
+OP9_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w WHERE len(w) >= {WINDOW})),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM e) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS i FROM r),
+s AS (SELECT doc_id, min(i) - 1 AS a, max(i) AS b FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g) GROUP BY doc_id, island),
+t AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS repeats, CAST(sum(b - a) AS BIGINT) AS n FROM s GROUP BY doc_id),
+u AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w WHERE len(w) > 0) z ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(repeats, '') AS repeats
+FROM w LEFT JOIN t USING (doc_id) LEFT JOIN u USING (doc_id)
+"""
+ORACLES = {"op9_substring_dedup": OP9_SQL}
