@@ -349,4 +349,18 @@ def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_jaccard_join": op7_jaccard_join}
-ORACLES: dict[str, str] = {}
+OP7_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT min(doc_id) AS u, count(*) AS copies, text, any_value(w) AS w FROM d WHERE len(w) > 0 GROUP BY text),
+s AS (SELECT DISTINCT u, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS k FROM (SELECT u, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i FROM u)),
+n AS (SELECT u, count(*) AS n FROM s GROUP BY u),
+p AS (SELECT a.u AS a, b.u AS b FROM s a JOIN s b USING (k) JOIN n na ON na.u = a.u JOIN n nb ON nb.u = b.u WHERE a.u <> b.u
+  GROUP BY a.u, b.u HAVING count(*) >= {THRESHOLD} * (any_value(na.n) + any_value(nb.n) - count(*)) - 1e-9),
+c(u, r) AS (SELECT u, u FROM u UNION SELECT c.u, p.b FROM c JOIN p ON p.a = c.r),
+k AS (SELECT u, min(r) AS class_id FROM c GROUP BY u),
+l AS (SELECT p.a AS u, sum(o.copies) AS links FROM p JOIN u o ON o.u = p.b GROUP BY p.a)
+SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, CAST(coalesce(l.links, 0) + coalesce(u.copies, 1) - 1 AS BIGINT) AS n_links, CAST(coalesce(n.n, 0) AS INTEGER) AS n_shingles,
+  k.class_id IS NULL OR k.class_id = d.doc_id AS is_first
+FROM d LEFT JOIN u ON d.text = u.text LEFT JOIN n ON n.u = u.u LEFT JOIN k ON k.u = u.u LEFT JOIN l ON l.u = u.u
+"""
+ORACLES = {"op7_jaccard_join": OP7_SQL}
