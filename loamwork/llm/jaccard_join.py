@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.graph import components
-from loamwork.llm.shared import Words, blocks, mixed, stored
+from loamwork.llm.shared import Words, blocks, fresh, mixed, stored
 from loamwork.sources.tables import table
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -291,11 +291,13 @@ def tile_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a row of ``docs``: doc_id, class_id, n_links, n_shingles, is_first.
+    """One row a row of ``docs``: doc_id, class_id, n_links, n_shingles, is_first, text_key (MD5 of the text, or ``none``).
 
     ``n_links``: other rows with Jaccard similarity of at least 0.8, equal texts included. ``class_id``: least id of
-    the rows that links connect. ``is_first``: the one row of its class that stays when near copies go. Rows without a
-    word have no links and a class of their own each. A null id takes part and sorts first; repeated rows are rows.
+    the rows that links connect. ``is_first``: the one row of its class that stays when near copies go, the least by id
+    and then by the text's key. Rows without a
+    word have no links and a class of their own each. A null id takes part and sorts first; repeated rows are rows. An
+    empty table gives no rows, other columns make no difference, and texts of any length are taken whole.
     """
     rows = signed_rows(docs, id_col, text_col)
     reps = stored(rows.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "rid")).alias("least"), F.count("*").alias("copies")).select("key", "least.*", "copies"), "jaccard-units")
@@ -321,7 +323,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counted = links.groupBy("rid").agg(F.sum("links").alias("links"))
     by_unit = reps.join(counted, "rid", "left").join(roots.withColumnRenamed("node", "rid"), "rid", "left")
     by_unit = by_unit.select("key", "doc_id", "rid", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "rid").alias("label"))
-    least = by_unit.groupBy("label").agg(F.min(F.struct("doc_id", "rid")).alias("least"))
+    least = by_unit.groupBy("label").agg(F.min(F.struct("doc_id", "key", "rid")).alias("least"))
     by_unit = by_unit.join(least, "label").select("key", "links", "copies", F.col("least.doc_id").alias("class_id"), F.col("least.rid").alias("first_rid"))
     out = rows.select("rid", "doc_id", "key", "n").join(by_unit, "key", "left")
     worded = F.col("n") > 0
@@ -331,9 +333,28 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.when(worded, F.col("links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
         F.col("n").alias("n_shingles"),
         (~worded | (F.col("rid") == F.col("first_rid"))).alias("is_first"),
+        F.col("key").alias("text_key"),
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies, with all their columns: one row of each class of ``similarity_classes`` stays.
+
+    Rows are told apart by id and text, null ids included, so a row of one id may go while another of the same id
+    stays. Rows that repeat id and text of one that stays are the same document: the least of them by all columns stays,
+    also where the text is null or has no word. Column names may be any.
+    """
+    classes = similarity_classes(docs, id_col, text_col)
+    by_row = classes.groupBy("doc_id", "text_key").agg(F.bool_or("is_first").alias("stays"), F.count("*").alias("n"))
+    named, key, stays = fresh(docs.columns, "doc", "text_key", "stays")
+    special = by_row.where(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias(named), F.col("text_key").alias(key), F.col("stays").alias(stays))
+    special = stored(special, "jaccard-special")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(named)) & (F.coalesce(F.md5(text_col), F.lit("none")) == F.col(key))
+    once = docs.join(special, same, "left_anti")
+    again = docs.join(special.where(stays), same).groupBy(named, key).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.select(*docs.columns).unionByName(again.select("row.*"))
+
+
 def tile_task(rows: pa.Table) -> pa.Table:
     """A task of two different tiles compares only across them; their own pairs belong to the tiles' own tasks."""
     i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
@@ -345,7 +366,7 @@ def tile_task(rows: pa.Table) -> pa.Table:
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return similarity_classes(table(spark, sf_dir, "documents"))
+    return similarity_classes(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 QUERIES = {"op7_jaccard_join": op7_jaccard_join}
