@@ -16,32 +16,36 @@ from loamwork.sources.tables import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from the labels of the documents that are here."""
+    """Rows that the classifier accepts; it learns from the labels of the documents that are here.
+
+    A null or empty text is judged like any other, by the bias alone; repeated rows get equal verdicts; no rows give none.
+    """
     model = quality_classifier.trained_model(docs, table(spark, sf_dir, "labels"))
     return quality_classifier.keep_good(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similar texts, the one with the least id; rows that repeat it whole are the same document."""
-    classes = jaccard_join.similarity_classes(docs)
-    gone = classes.groupBy("doc_id").agg(F.bool_or("is_first").alias("stays")).where(~F.col("stays")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of similar texts, the one with the least id, null before all.
+
+    Rows are told apart by id and text; those that repeat both are one document, of which one row stays. Texts without
+    a word are similar to nothing.
+    """
+    return jaccard_join.one_of_each(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark, with other numbers or names either."""
-    hit = decontamination.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold no item of the benchmark, with other numbers or names either; null ids and repeated ids are rows like any."""
+    return decontamination.benchmark_free(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked that are no widely copied examples, and their lengths counted again."""
+    """All rows, with secrets masked that are no widely copied examples, and their lengths counted again, 0 for null texts."""
     masked = secret_scan.mask_secrets(docs)
     return masked.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and N-best scores, with whether decoding restores the text."""
+    """The rows' pieces and N-best scores, with whether decoding restores the text; null texts have null pieces."""
     return sentencepiece_codec.encode(docs)
 
 
@@ -53,7 +57,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", pieces),
 ]
 
-#: No stage but the third and fourth could be written in SQL; the tests hold the run against a plain version instead.
+#: The first and the last stage can't be written in SQL; the tests hold the run against a plain version instead.
 ORACLE_SQL = None
 
 
