@@ -121,9 +121,12 @@ class Block:
         order = at[np.argsort(key[at], kind="stable")]
         new = np.ones(len(order), bool)
         new[1:] = key[order][1:] != key[order][:-1]
-        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        twin = np.flatnonzero(~new)
+        one, head = order[twin], order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))[twin]]
+        other = np.zeros(len(twin), bool)
         for k in range(WINDOW):  # equal hashes of other words don't count
-            new |= self.hash[order + k] != self.hash[head + k]
+            other |= self.hash[one + k] != self.hash[head + k]
+        new[twin[other]] = True
         return np.sort(order[new]), np.sort(order[~new])
 
     def prefixes(self, at: np.ndarray, length: int) -> np.ndarray:
