@@ -16,6 +16,7 @@ the tasks with the function.
 
 from __future__ import annotations
 
+import array
 import functools
 import heapq
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ from loamwork.llm.shared import BYTE_BASE, BYTE_CODES, blocks, mixed, powers, te
 from loamwork.sources.tables import table
 
 N_BEST = 4
+#: Bytes of a segment beyond which it goes by itself, and what scores are multiples of, so that sums are exact.
+LONG, UNIT = 512, 2.0**-16
 SLOT_BITS, SLOT_FACTOR = 20, np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text whose distinct segments are looked up together.
 ENCODE_BYTES = 2 << 20
@@ -75,8 +78,10 @@ class Lattice:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
         self.ids = {p: i for i, p in enumerate(vocabulary.pieces) if p}
-        self.longest = max(map(len, self.ids))
         self.sizes = sorted({len(p) for p in self.ids})
+        self.widths = self.sizes[::-1]
+        self.scores = np.round(vocabulary.scores / UNIT) * UNIT
+        self.costs, self.fallback = self.scores.tolist(), round(vocabulary.fallback / UNIT) * UNIT
         joined = np.zeros((256, 256), bool)
         for p in self.ids:
             for a, b in zip(p[:-1], p[1:], strict=True):
@@ -96,7 +101,7 @@ class Lattice:
         self.flat = np.frombuffer(b"".join(p if p else b"" for p in self.spelled()), np.uint8)
         sizes = np.array([len(p) for p in self.spelled()], np.int64)
         self.piece_size, self.piece_at = sizes, np.cumsum(sizes) - sizes
-        self.nbest = functools.lru_cache(1 << 17)(self._nbest)
+        self.remembered = functools.lru_cache(1 << 17)(self._nbest)
 
     def spelled(self) -> list[bytes]:
         out = list(self.v.pieces)
@@ -113,42 +118,79 @@ class Lattice:
         hit = (k >= 0) & (self.hashes[np.maximum(k, 0)] == hashes)
         return np.where(hit, self.by_hash[np.maximum(k, 0)], -1)
 
-    def edges(self, segment: bytes) -> list[list[tuple[int, float, int]]]:
-        """For each end in the segment: (start, score, id) of the lattice's edges, the longest first."""
-        out: list[list[tuple[int, float, int]]] = [[] for _ in range(len(segment) + 1)]
+    def spelled_out(self, segment: bytes) -> bytearray:
+        """For each byte of the segment, whether it belongs to a character without a piece of its own."""
         size_of = lambda b: 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-        spell = np.zeros(len(segment), bool)
-        i = 0
+        out, i = bytearray(len(segment)), 0
         while i < len(segment):
             n = size_of(segment[i]) if segment[i] >= 0xC0 or segment[i] < 0x80 else 1
-            spell[i : i + n] = segment[i : i + n] not in self.ids
+            if segment[i : i + n] not in self.ids:
+                out[i : i + n] = b"\1" * len(segment[i : i + n])
             i += n
-        for end in range(1, len(segment) + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = self.ids.get(segment[start:end])
+        return out
+
+    def edges_at(self, segment: bytes, spell: bytearray, end: int) -> list[tuple[int, float, int]]:
+        """(start, score, id) of the lattice's edges that end there, the longest first."""
+        out = []
+        for width in self.widths:
+            if width <= end:
+                piece = self.ids.get(segment[end - width : end])
                 if piece is not None:
-                    out[end].append((start, float(self.v.scores[piece]), piece))
-            if spell[end - 1]:
-                out[end].append((end - 1, self.v.fallback, int(self.v.byte_ids[segment[end - 1]])))
+                    out.append((end - width, self.costs[piece], piece))
+        if spell[end - 1]:
+            out.append((end - 1, self.fallback, int(self.v.byte_ids[segment[end - 1]])))
         return out
 
+    def edges(self, segment: bytes) -> list[list[tuple[int, float, int]]]:
+        spell = self.spelled_out(segment)
+        return [[], *(self.edges_at(segment, spell, end) for end in range(1, len(segment) + 1))]
+
+    def forward(self, segment: bytes) -> tuple[list[float], list[float], array.array, array.array]:
+        """For each place in the segment: best and second-best score of its prefix, and the best one's last width and piece."""
+        n, spell, lost = len(segment), self.spelled_out(segment), float("-inf")
+        best, second = array.array("d", [lost]) * (n + 1), array.array("d", [lost]) * (n + 1)
+        width, taken = array.array("i", [0]) * (n + 1), array.array("i", [0]) * (n + 1)
+        best[0] = 0.0
+        for end in range(1, n + 1):
+            one = two = lost
+            for start, score, piece in self.edges_at(segment, spell, end):
+                s, t = best[start] + score, second[start] + score
+                if s > one:
+                    one, two, width[end], taken[end] = s, max(one, t), end - start, piece
+                else:
+                    two = max(two, s, t)
+                two = max(two, t)
+            best[end], second[end] = one, two
+        return best, second, width, taken
+
     def _nbest(self, segment: bytes, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best segmentations as (score, ids), best first; equal scores in order of their ids from the end."""
-        edges = self.edges(segment)
-        forward = [0.0] + [float("-inf")] * len(segment)
-        for end in range(1, len(segment) + 1):
-            forward[end] = max((forward[start] + score for start, score, _ in edges[end]), default=float("-inf"))
-        heap, found = [(-forward[-1], (), len(segment), 0.0)], []
+        """The ``n`` best segmentations as (score, ids), best first.
+
+        Scores are exact multiples of ``UNIT``, so the forward score of a prefix and the cost behind it add up to the
+        same total all along a path. Of equal totals the search follows the one that is nearest to the beginning, so a
+        segmentation costs a step a piece, however many are as good; a path is a chain of back-pointers.
+        """
+        spell, forward, count = self.spelled_out(segment), self.forward(segment)[0], 0
+        heap: list[tuple] = [(-forward[-1], len(segment), 0, 0.0, None)]
+        found = []
         while heap and len(found) < n:
-            _, tail, end, behind = heapq.heappop(heap)
+            _, end, _, behind, path = heapq.heappop(heap)
             if end == 0:
-                found.append((behind, tail[::-1]))
+                ids = []
+                while path is not None:
+                    piece, path = path
+                    ids.append(piece)
+                found.append((behind, tuple(ids)))
                 continue
-            for start, score, piece in edges[end]:
+            for start, score, piece in self.edges_at(segment, spell, end):
                 if forward[start] > float("-inf"):
-                    heapq.heappush(heap, (-(forward[start] + score + behind), (*tail, piece), start, behind + score))
+                    count += 1
+                    heapq.heappush(heap, (-(forward[start] + score + behind), start, count, behind + score, (piece, path)))
         return found
 
+    def nbest(self, segment: bytes, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        return self._nbest(segment, n) if len(segment) > LONG else self.remembered(segment, n)
+
     def segments(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the segments of the rows whose bytes, dummy space first, lie between the offsets."""
         cut = np.ones(len(data) + 1, bool)
@@ -161,6 +203,28 @@ class Lattice:
     def viterbi(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Best and second-best score of each segment of ``data``, and the best one's piece ids, with their numbers.
 
+        Segments of more than ``LONG`` bytes go one by one, in time proportional to their length; all others together.
+        """
+        long = np.flatnonzero(size > LONG)
+        if not len(long):
+            return self.viterbi_together(data, size)
+        begin, short = np.cumsum(size) - size, np.flatnonzero(size <= LONG)
+        best, second, count, ids = np.zeros(len(size)), np.zeros(len(size)), np.zeros(len(size), np.int64), [np.zeros(0, np.int32)] * len(size)
+        best[short], second[short], some, count[short] = self.viterbi_together(spread(data, begin[short], size[short]), size[short])
+        for i, part in zip(short.tolist(), np.split(some, np.cumsum(count[short])[:-1]), strict=True) if len(short) else ():
+            ids[i] = part
+        for i in long.tolist():
+            one, two, width, taken = self.forward(data[begin[i] : begin[i] + size[i]].tobytes())
+            best[i], second[i], end, back = one[-1], two[-1], int(size[i]), []
+            while end:
+                back.append(taken[end])
+                end -= width[end]
+            ids[i], count[i] = np.array(back[::-1], np.int32), len(back)
+        return best, second, np.concatenate(ids), count
+
+    def viterbi_together(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``viterbi`` of all segments at once.
+
         Nodes are the places between bytes, ``size + 1`` a segment. Edges go by their place within their segment and
         their length, so that no two of a group meet and all segments advance together.
         """
@@ -182,7 +246,7 @@ class Lattice:
             places.append(at)
             widths.append(np.full(len(at), width, np.int32))
             pieces.append(found)
-            scores.append(self.v.scores[found])
+            scores.append(self.scores[found])
             if width <= 4:
                 alone = at[lead[at] == width]
                 for j in range(width):
@@ -190,7 +254,7 @@ class Lattice:
         at = np.flatnonzero(spell)
         place, width = np.concatenate([*places, at]), np.concatenate([*widths, np.ones(len(at), np.int32)])
         piece = np.concatenate([*pieces, self.v.byte_ids[data[at]]])
-        score = np.concatenate([*scores, np.full(len(at), self.v.fallback)])
+        score = np.concatenate([*scores, np.full(len(at), self.fallback)])
         key = (within[place] + width) * 64 + (63 - np.minimum(width, 63))
         order = np.argsort(key.astype(np.uint16) if len(key) and key.max() < 1 << 16 else key, kind="stable")
         place, width, piece, score, key = place[order], width[order], piece[order], score[order], key[order]
@@ -306,7 +370,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, n: int = N_BES
 
     ``ids`` is the best; ``alternatives[k]`` says which pieces differ in the (k + 2)-nd best; ``round_trip`` whether
     decoding ``ids`` gives the text. A null text has null ids, an empty one no pieces; both score 0. Among equal scores
-    the longest last piece comes first. Rows are encoded each for itself; other columns are left out.
+    the best one takes the longest last piece; which of equal alternatives come is fixed by the search. Rows are encoded
+    each for itself, whole, in time proportional to their length, so repeated rows get equal pieces; other columns are
+    left out, and an empty table gives no rows.
     """
     v = vocabulary or load_vocabulary()
     packed = (v.pieces, v.scores.tobytes(), v.byte_ids.tobytes(), v.fallback)
