@@ -9,55 +9,55 @@ from loamwork.sources.tables import table
 
 # -- graph ----------------------------------------------------------------------------------------
 
-#: Edges of all relations: one row an edge record, several records a (head, tail) pair.
+#: Edges of all relations: one row an edge record, several records a (head, tail) pair. Ingredients are parts, recipes
+#: are customers (of all that they bought), diseases are nations of customers, meridians are nations of suppliers.
 EDGES_SQL = """
-WITH thin AS (SELECT * FROM lineitem WHERE l_quantity >= 48 AND l_discount >= 0.08),
-line AS (SELECT l_orderkey * 10 + l_linenumber AS edge_id, CASE l_quantity WHEN 50 THEN 4 WHEN 49 THEN 3 ELSE 2 END AS authority_rank,
-  CAST(l_orderkey % 3 + 1 AS INT) AS books, CAST(l_linenumber AS INT) AS support, l_discount AS confidence, l_orderkey, l_partkey, l_suppkey, l_returnflag FROM thin),
+WITH line AS (SELECT l_orderkey * 10 + l_linenumber AS edge_id, CASE WHEN l_quantity >= 40 THEN 4 WHEN l_quantity >= 25 THEN 3 WHEN l_quantity >= 10 THEN 2 ELSE 1 END AS authority_rank,
+  CAST(l_orderkey % 3 + 1 AS INT) AS books, CAST(l_linenumber AS INT) AS support, l_discount AS confidence, o_custkey, 'd' || CAST(c_nationkey AS VARCHAR) AS disease, l_partkey, l_suppkey, l_returnflag
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
 e AS (
 SELECT edge_id, 'entersmeridian' AS relation, 'Ingredient' AS head_type, CAST(l_partkey AS VARCHAR) AS head, 'Meridian' AS tail_type, CAST(s_nationkey AS VARCHAR) AS tail, authority_rank, books, support, confidence FROM line JOIN supplier ON l_suppkey = s_suppkey
-UNION ALL SELECT edge_id, 'containsIngredient', 'Recipe', CAST(l_orderkey AS VARCHAR), 'Ingredient', CAST(l_partkey AS VARCHAR), authority_rank, books, support, confidence FROM line
-UNION ALL SELECT edge_id, 'treats', 'Ingredient', CAST(l_partkey AS VARCHAR), 'Disease', 'c' || CAST(o_custkey AS VARCHAR), authority_rank, books, support, confidence FROM line JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'
-UNION ALL SELECT edge_id, 'contraindicates', 'Ingredient', CAST(l_partkey AS VARCHAR), 'Disease', 'c' || CAST(o_custkey AS VARCHAR), authority_rank, books, support, confidence FROM line JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_partkey % 3 = 0
-UNION ALL SELECT c_custkey, 'affectsOrgan', 'Disease', 'c' || CAST(c_custkey AS VARCHAR), 'Organ', CAST(n_regionkey AS VARCHAR), 1, 1, 1, 0.5 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0
+UNION ALL SELECT edge_id, 'containsIngredient', 'Recipe', CAST(o_custkey AS VARCHAR), 'Ingredient', CAST(l_partkey AS VARCHAR), authority_rank, books, support, confidence FROM line
+UNION ALL SELECT edge_id, 'treats', 'Ingredient', CAST(l_partkey AS VARCHAR), 'Disease', disease, authority_rank, books, support, confidence FROM line WHERE l_returnflag = 'R'
+UNION ALL SELECT edge_id, 'contraindicates', 'Ingredient', CAST(l_partkey AS VARCHAR), 'Disease', disease, authority_rank, books, support, confidence FROM line WHERE l_returnflag = 'A'
+UNION ALL SELECT c_custkey, 'affectsOrgan', 'Disease', 'd' || CAST(c_nationkey AS VARCHAR), 'Organ', CAST(n_regionkey AS VARCHAR), 1, 1, 1, 0.5 FROM customer JOIN nation ON c_nationkey = n_nationkey
 UNION ALL SELECT n_nationkey, 'correspondsToOrgan', 'Meridian', CAST(n_nationkey AS VARCHAR), 'Organ', CAST(n_regionkey AS VARCHAR), 4, 2, 3, 0.9 FROM nation
-UNION ALL SELECT o_orderkey, 'treatedByRecipe', 'Disease', 'c' || CAST(o_custkey AS VARCHAR), 'Recipe', CAST(o_orderkey AS VARCHAR), 1, 1, 1, 0.25 FROM orders
+UNION ALL SELECT o_orderkey, 'treatedByRecipe', 'Disease', 'd' || CAST(c_nationkey AS VARCHAR), 'Recipe', CAST(o_custkey AS VARCHAR), 1, 1, 1, 0.25 FROM orders JOIN customer ON o_custkey = c_custkey
 UNION ALL SELECT p_partkey, 'hasNature', 'Ingredient', CAST(p_partkey AS VARCHAR), 'Nature', p_brand, 2, 1, 1, 0.5 FROM part
 UNION ALL SELECT p_partkey, 'hasFlavor', 'Ingredient', CAST(p_partkey AS VARCHAR), 'Flavor', p_type, 2, 1, 1, 0.5 FROM part)
 """
 
 
-def edges(spark: SparkSession, sf_dir: str, relations: tuple[str, ...], whole: bool = False) -> DataFrame:
-    """Edge records of the named relations: only the tables these need are read.
-
-    ``whole`` takes every row of lineitem and customer, without the limits on values and keys that EDGES_SQL sets.
-    """
+def edges(spark: SparkSession, sf_dir: str, relations: tuple[str, ...]) -> DataFrame:
+    """Edge records of the named relations, of all rows: only the tables these need are read."""
     t = lambda name: table(spark, sf_dir, name)
-    limited = lambda df, condition: df if whole else df.where(condition)
-    line = limited(t("lineitem"), (F.col("l_quantity") >= 48) & (F.col("l_discount") >= 0.08)).select(
+    own = ("authority_rank", "books", "support", "confidence")
+    text = lambda c: F.col(c).cast("string")
+    disease = F.concat(F.lit("d"), text("c_nationkey"))
+    quantity = F.col("l_quantity")
+    line = t("lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"),
-        F.when(F.col("l_quantity") == 50, 4).when(F.col("l_quantity") == 49, 3).otherwise(2).alias("authority_rank"),
+        F.when(quantity >= 40, 4).when(quantity >= 25, 3).when(quantity >= 10, 2).otherwise(1).alias("authority_rank"),
         (F.col("l_orderkey") % 3 + 1).cast("int").alias("books"), F.col("l_linenumber").alias("support"), F.col("l_discount").alias("confidence"),
         "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag",
     )
-    own = ("authority_rank", "books", "support", "confidence")
-    text = lambda c: F.col(c).cast("string")
-    disease = lambda c: F.concat(F.lit("c"), text(c))
+    bought = lambda: line.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    people = lambda: t("customer").select("c_custkey", "c_nationkey")
+    flagged = lambda flag: bought().where(F.col("l_returnflag") == flag).join(people(), F.col("o_custkey") == F.col("c_custkey"))
 
     def edge(df, relation, edge_id, head_type, head, tail_type, tail, score=own):
         fixed = dict(zip(own, score, strict=True)) if score is not own else None
         columns = [F.lit(fixed[c]).alias(c) for c in own] if fixed else [F.col(c) for c in own]
         return df.select(F.col(edge_id).cast("long").alias("edge_id"), F.lit(relation).alias("relation"), F.lit(head_type).alias("head_type"), head.alias("head"), F.lit(tail_type).alias("tail_type"), tail.alias("tail"), *columns)
 
-    treated = lambda: line.where("l_returnflag = 'R'").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     build = {
         "entersmeridian": lambda r: edge(line.join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")), r, "edge_id", "Ingredient", text("l_partkey"), "Meridian", text("s_nationkey")),
-        "containsIngredient": lambda r: edge(line, r, "edge_id", "Recipe", text("l_orderkey"), "Ingredient", text("l_partkey")),
-        "treats": lambda r: edge(treated(), r, "edge_id", "Ingredient", text("l_partkey"), "Disease", disease("o_custkey")),
-        "contraindicates": lambda r: edge(limited(treated(), "l_partkey % 3 = 0"), r, "edge_id", "Ingredient", text("l_partkey"), "Disease", disease("o_custkey")),
-        "affectsOrgan": lambda r: edge(limited(t("customer"), "c_acctbal < 0").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")), r, "c_custkey", "Disease", disease("c_custkey"), "Organ", text("n_regionkey"), (1, 1, 1, 0.5)),
+        "containsIngredient": lambda r: edge(bought(), r, "edge_id", "Recipe", text("o_custkey"), "Ingredient", text("l_partkey")),
+        "treats": lambda r: edge(flagged("R"), r, "edge_id", "Ingredient", text("l_partkey"), "Disease", disease),
+        "contraindicates": lambda r: edge(flagged("A"), r, "edge_id", "Ingredient", text("l_partkey"), "Disease", disease),
+        "affectsOrgan": lambda r: edge(people().join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")), r, "c_custkey", "Disease", disease, "Organ", text("n_regionkey"), (1, 1, 1, 0.5)),
         "correspondsToOrgan": lambda r: edge(t("nation"), r, "n_nationkey", "Meridian", text("n_nationkey"), "Organ", text("n_regionkey"), (4, 2, 3, 0.9)),
-        "treatedByRecipe": lambda r: edge(t("orders"), r, "o_orderkey", "Disease", disease("o_custkey"), "Recipe", text("o_orderkey"), (1, 1, 1, 0.25)),
+        "treatedByRecipe": lambda r: edge(t("orders").join(people(), F.col("o_custkey") == F.col("c_custkey")), r, "o_orderkey", "Disease", disease, "Recipe", text("o_custkey"), (1, 1, 1, 0.25)),
         "hasNature": lambda r: edge(t("part"), r, "p_partkey", "Ingredient", text("p_partkey"), "Nature", F.col("p_brand"), (2, 1, 1, 0.5)),
         "hasFlavor": lambda r: edge(t("part"), r, "p_partkey", "Ingredient", text("p_partkey"), "Flavor", F.col("p_type"), (2, 1, 1, 0.5)),
     }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from loamwork.operators import paths, rules
@@ -41,37 +39,35 @@ B3_SQL = _candidate_sql(
 )
 
 
-def rule_b1(spark, sf_dir, whole=False):
-    return rules.b1(edges(spark, sf_dir, ("entersmeridian", "correspondsToOrgan", "affectsOrgan", "treats"), whole))
+def rule_b1(spark, sf_dir):
+    return rules.b1(edges(spark, sf_dir, ("entersmeridian", "correspondsToOrgan", "affectsOrgan", "treats")))
 
 
-def rule_b2(spark, sf_dir, whole=False):
-    return rules.b2(edges(spark, sf_dir, ("containsIngredient", "treats"), whole))
+def rule_b2(spark, sf_dir):
+    return rules.b2(edges(spark, sf_dir, ("containsIngredient", "treats")))
 
 
-def rule_b3(spark, sf_dir, whole=False):
-    return rules.b3(edges(spark, sf_dir, ("treatedByRecipe", "containsIngredient", "treats"), whole))
+def rule_b3(spark, sf_dir):
+    return rules.b3(edges(spark, sf_dir, ("treatedByRecipe", "containsIngredient", "treats")))
 
 
-def rule_a(spark, sf_dir, whole=False):
-    """A1 to A3 with a vocabulary of natures and flavours."""
-    e = edges(spark, sf_dir, ("containsIngredient", "hasNature", "hasFlavor", "entersmeridian"), whole)
-    part = table(spark, sf_dir, "part")
-    limited = lambda df, condition: df if whole else df.where(condition)
-    words = limited(part, "p_size % 2 = 0").select(F.lit("A1").alias("rule"), F.col("p_brand").alias("tail")).unionByName(limited(part, "p_size % 5 = 0").select(F.lit("A2").alias("rule"), F.col("p_type").alias("tail")))
-    meridians = limited(table(spark, sf_dir, "nation"), "n_nationkey < 20").select(F.lit("A3").alias("rule"), F.col("n_nationkey").cast("string").alias("tail"))
-    return rules.inherited(e, words.unionByName(meridians).distinct())
+def rule_a(spark, sf_dir):
+    """A1 to A3 with a vocabulary of natures and flavours that a dozen parts have."""
+    e = edges(spark, sf_dir, ("containsIngredient", "hasNature", "hasFlavor", "entersmeridian"))
+    often = lambda rule, c: table(spark, sf_dir, "part").groupBy(F.lit(rule).alias("rule"), F.col(c).alias("tail")).count().where("count >= 12").drop("count")
+    meridians = table(spark, sf_dir, "nation").select(F.lit("A3").alias("rule"), F.col("n_nationkey").cast("string").alias("tail"))
+    return rules.inherited(e, often("A1", "p_brand").unionByName(often("A2", "p_type")).unionByName(meridians))
 
 
-RULE_A_SQL = EDGES_SQL + """, v AS (SELECT DISTINCT 'A1' AS rule, p_brand AS tail FROM part WHERE p_size % 2 = 0 UNION SELECT DISTINCT 'A2', p_type FROM part WHERE p_size % 5 = 0
-  UNION SELECT 'A3', CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey < 20),
+RULE_A_SQL = EDGES_SQL + """, v AS (SELECT 'A1' AS rule, p_brand AS tail FROM part GROUP BY p_brand HAVING count(*) >= 12 UNION SELECT 'A2', p_type FROM part GROUP BY p_type HAVING count(*) >= 12
+  UNION SELECT 'A3', CAST(n_nationkey AS VARCHAR) FROM nation),
 p AS (SELECT DISTINCT head AS ingredient, tail, CASE relation WHEN 'hasNature' THEN 'A1' WHEN 'hasFlavor' THEN 'A2' ELSE 'A3' END AS rule FROM e WHERE relation IN ('hasNature', 'hasFlavor', 'entersmeridian'))
 SELECT DISTINCT p.rule, c.head, p.tail FROM e c JOIN p ON c.relation = 'containsIngredient' AND c.tail = p.ingredient JOIN v ON v.rule = p.rule AND v.tail = p.tail"""
 
 
-def rule_c(spark, sf_dir, whole=False):
+def rule_c(spark, sf_dir):
     """C1 by keyword overlap, C2 by the lack of it, C3 by contradiction."""
-    e = edges(spark, sf_dir, ("hasNature", "entersmeridian", "treats", "contraindicates"), whole)
+    e = edges(spark, sf_dir, ("hasNature", "entersmeridian", "treats", "contraindicates"))
     last = lambda c: F.substring(c, -1, 1)
     c1 = rules.keyword_conflicts(e, "hasNature", "C1", F.contains(F.col("disease"), last("property")))
     c2 = rules.keyword_conflicts(e, "entersmeridian", "C2", ~F.contains(F.col("disease"), last("property")))
@@ -86,9 +82,9 @@ UNION ALL SELECT 'C2', m.head, m.tail, t.tail FROM m JOIN t ON m.head = t.head W
 UNION ALL SELECT 'C3', t.head, 'contraindicates', t.tail FROM t JOIN c ON t.head = c.head AND t.tail = c.tail"""
 
 
-def role_views(spark, sf_dir, whole=False):
+def role_views(spark, sf_dir):
     """Edges and mean support that each role sees, by relation."""
-    e = edges(spark, sf_dir, ("entersmeridian", "affectsOrgan", "treats", "correspondsToOrgan"), whole)
+    e = edges(spark, sf_dir, ("entersmeridian", "affectsOrgan", "treats", "correspondsToOrgan"))
     out = None
     for role in ("general", "professional", "researcher"):
         part = rules.role_view(e, role, "Organ").groupBy("relation").agg(F.count("*").alias("n_edges"), F.round(F.avg("support"), 6).alias("mean_support")).withColumn("role", F.lit(role))
@@ -102,8 +98,8 @@ r AS (SELECT 'general' AS role, * FROM x WHERE head_type <> 'Organ' AND tail_typ
 SELECT role, relation, count(*) AS n_edges, round(avg(support), 6) AS mean_support FROM r GROUP BY role, relation"""
 
 
-def best_edge(spark, sf_dir, whole=False):
-    e = edges(spark, sf_dir, ("entersmeridian", "containsIngredient", "treats"), whole)
+def best_edge(spark, sf_dir):
+    e = edges(spark, sf_dir, ("entersmeridian", "containsIngredient", "treats"))
     return rules.best_edges(e, ("relation", "head", "tail"))
 
 
@@ -111,7 +107,7 @@ BEST_EDGE_SQL = _BEST + "SELECT relation, head, tail, authority_rank, books, sup
 
 _PATH_EDGES = """
 WITH ed AS (SELECT 'N' || n_nationkey AS head, 'inRegion' AS relation, 'R' || n_regionkey AS tail FROM nation
-  UNION SELECT DISTINCT 'N' || s_nationkey, 'sells', 'P' || l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49 AND l_discount >= 0.1),
+  UNION SELECT DISTINCT 'N' || s_nationkey, 'sells', 'P' || l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 item AS (SELECT x.n_nationkey * 100 + y.n_nationkey AS item_id, 'N' || x.n_nationkey AS head, 'inRegion' AS relation, CASE WHEN (x.n_nationkey + y.n_nationkey) % 2 = 0 THEN 'R' || x.n_regionkey ELSE 'N' || y.n_nationkey END AS tail
   FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey),
 men AS (SELECT item_id, head AS node FROM item UNION SELECT item_id, tail FROM item UNION SELECT item_id, ed.tail FROM item JOIN ed ON ed.head = item.head AND ed.relation = 'sells'),
@@ -124,7 +120,7 @@ f0 AS (SELECT item_id, head, relation, tail, head AS node, [head] AS nodes, CAST
 
 def _hop_sql(n: int) -> str:
     return f""", r{n} AS (SELECT f.item_id, f.head, f.relation, f.tail, s.nb AS node, list_append(f.nodes, s.nb) AS nodes, list_append(f.edges, s.token) AS edges, f.sem + s.sem AS sem
-  FROM f{n - 1} f JOIN step s ON s.node = f.node AND (s.item_id IS NULL OR s.item_id = f.item_id)
+  FROM f{n - 1} f JOIN step s ON s.node = f.node {'AND s.nb = f.tail ' if n == 3 else ''}AND (s.item_id IS NULL OR s.item_id = f.item_id)
   WHERE NOT coalesce(s.relation = f.relation AND ((f.node = f.head AND s.nb = f.tail) OR (f.node = f.tail AND s.nb = f.head)), false) AND NOT list_contains(f.nodes, s.nb)),
 f{n} AS (SELECT * FROM r{n} WHERE node <> tail)"""
 
@@ -134,11 +130,10 @@ _PATHS = _PATH_EDGES + "".join(_hop_sql(n) for n in (1, 2, 3)) + """, allp AS (S
 """
 
 
-def _paths(spark, sf_dir, whole=False):
+def _paths(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
     name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
-    line = table(spark, sf_dir, "lineitem")
-    sold = (line if whole else line.where((F.col("l_quantity") >= 49) & (F.col("l_discount") >= 0.1))).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    sold = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     sells = sold.select(name("N", "s_nationkey").alias("head"), F.lit("sells").alias("relation"), name("P", "l_partkey").alias("tail")).distinct()
     graph = nation.select(name("N", "n_nationkey").alias("head"), F.lit("inRegion").alias("relation"), name("R", "n_regionkey").alias("tail")).unionByName(sells)
     other = nation.select(F.col("n_nationkey").alias("k2"), F.col("n_regionkey").alias("n_regionkey"))
@@ -149,16 +144,16 @@ def _paths(spark, sf_dir, whole=False):
     return paths.enumerate_paths(items, graph, mentions, 3)
 
 
-def target_deleted_paths(spark, sf_dir, whole=False):
-    p = _paths(spark, sf_dir, whole)
+def target_deleted_paths(spark, sf_dir):
+    p = _paths(spark, sf_dir)
     return p.select("item_id", F.array_join("nodes", ">").alias("nodes"), F.array_join("edges", ">").alias("edges"), "hops", "semantic_edges", "passage_conditioned")
 
 
 PATHS_SQL = _PATHS + "SELECT item_id, array_to_string(nodes, '>') AS nodes, array_to_string(edges, '>') AS edges, hops, semantic_edges, passage_conditioned FROM allp"
 
 
-def selected_paths(spark, sf_dir, whole=False):
-    p = paths.select_paths(_paths(spark, sf_dir, whole), 8, 4, 4)
+def selected_paths(spark, sf_dir):
+    p = paths.select_paths(_paths(spark, sf_dir), 8, 4, 4)
     return p.select("item_id", "rank", F.array_join("nodes", ">").alias("nodes"), F.array_join("edges", ">").alias("edges"), "passage_conditioned")
 
 
@@ -167,14 +162,14 @@ k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY in_quota DESC,
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY hops, passage_conditioned DESC, edges, nodes) AS INT) AS rank, array_to_string(nodes, '>') AS nodes, array_to_string(edges, '>') AS edges, passage_conditioned FROM k WHERE place <= 8"""
 
 
-def path_coverage(spark, sf_dir, whole=False):
-    return paths.path_counts(_paths(spark, sf_dir, whole))
+def path_coverage(spark, sf_dir):
+    return paths.path_counts(_paths(spark, sf_dir))
 
 
 COVERAGE_SQL = _PATHS + "SELECT item_id, count(*) AS path_count, count(*) FILTER (passage_conditioned) AS passage_paths, count(*) FILTER (NOT passage_conditioned) AS semantic_paths, min(hops) AS least_hops FROM allp GROUP BY item_id"
 
-def path_features(spark, sf_dir, whole=False):
-    return paths.path_features(_paths(spark, sf_dir, whole))
+def path_features(spark, sf_dir):
+    return paths.path_features(_paths(spark, sf_dir))
 
 
 FEATURES_SQL = _PATHS + """, f AS (SELECT item_id, 'edge=' || unnest(edges) AS feature FROM allp UNION ALL SELECT item_id, 'hops=' || hops FROM allp
@@ -182,10 +177,10 @@ FEATURES_SQL = _PATHS + """, f AS (SELECT item_id, 'edge=' || unnest(edges) AS f
 SELECT item_id, feature, count(*) AS value FROM f GROUP BY ALL"""
 
 
-def path_relevance(spark, sf_dir, whole=False):
+def path_relevance(spark, sf_dir):
     """The most relevant path of each item against a passage that names its regions."""
     passage = F.lit("R0 R1 R2 R3 R4 P1 P2 P3")
-    scored = _paths(spark, sf_dir, whole).withColumn("score", F.round(paths.relevance(passage), 6))
+    scored = _paths(spark, sf_dir).withColumn("score", F.round(paths.relevance(passage), 6))
     return scored.groupBy("item_id").agg(F.max("score").alias("best"), F.round(F.avg("score"), 6).alias("mean"))
 
 
@@ -197,8 +192,6 @@ QUERIES = {
     "rule_b1": rule_b1, "rule_b2": rule_b2, "rule_b3": rule_b3, "rule_a": rule_a, "rule_c": rule_c, "role_views": role_views, "best_edge": best_edge,
     "target_deleted_paths": target_deleted_paths, "selected_paths": selected_paths, "path_coverage": path_coverage,
 }
-#: The same over all of lineitem, customer, part and nation. They have no SQL: EDGES_SQL and _PATH_EDGES hold the limits.
-QUERIES |= {f"whole_{name}": functools.partial(query, whole=True) for name, query in list(QUERIES.items())}
 ORACLES = {
     "path_features": FEATURES_SQL, "path_relevance": RELEVANCE_SQL,
     "rule_b1": B1_SQL, "rule_b2": B2_SQL, "rule_b3": B3_SQL, "rule_a": RULE_A_SQL, "rule_c": RULE_C_SQL, "role_views": ROLE_VIEWS_SQL, "best_edge": BEST_EDGE_SQL,
