@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions import text as X
 
+MOST_ENTRIES = 10_000
+
 
 def lexicon(spans: DataFrame, least_count: int = 1, least_length: int = 1, single_labels: tuple[str, ...] = ()) -> DataFrame:
     """(text, label, n) of entity mentions that occur often enough and are long enough, or carry a label that may be short."""
@@ -14,56 +19,83 @@ def lexicon(spans: DataFrame, least_count: int = 1, least_length: int = 1, singl
     return counts.where((F.col("n") >= least_count) & ((F.length("text") >= least_length) | F.col("label").isin(*single_labels)))
 
 
-def occurrences(docs: DataFrame, words: DataFrame, lengths: list[int], id_col: str = "record_id", text_col: str = "text") -> DataFrame:
-    """(id, start, end, label, text, n): every place where a lexicon entry stands.
+def occurrences(docs: DataFrame, words: DataFrame, id_col: str = "record_id", text_col: str = "text", most: int = MOST_ENTRIES) -> DataFrame:
+    """(id, start, end, label, text, n): every place where a lexicon entry stands, whatever its length.
 
-    All substrings of the lexicon's few lengths meet it in an equi-join on the text, so no pair of document and entry is
-    tried in vain.
+    All substrings as long as an entry meet the lexicon in an equi-join, so no pair of document and entry is tried in
+    vain. A lexicon of at most ``most`` entries goes to the tasks, and only its own substrings leave the row; those of
+    a larger one are all sent. A null text has no place; an empty lexicon gives no rows.
     """
+    lengths = sorted(r[0] for r in words.where(F.length("text") > 0).select(F.length("text")).distinct().collect())
+    few = words.limit(most + 1).count() <= most
+    entries = sorted(r[0] for r in words.select("text").distinct().collect()) if few and lengths else []
+
     def places(chars, n: int):
-        return F.transform(X._grams(chars, n), lambda g, i: F.struct(i.alias("start"), (i + n).alias("end"), g.alias("text")))
+        every = F.transform(X._grams(chars, n), lambda g, i: F.struct(i.alias("start"), (i + n).alias("end"), g.alias("text")))
+        own = [e for e in entries if len(e) == n]
+        return F.filter(every, lambda x: x["text"].isin(*own)) if few else every
 
-    grams = lambda chars: F.concat(*(places(chars, n) for n in lengths))
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    grams = lambda chars: F.concat(none, *(places(chars, n) for n in lengths))
     parts = docs.select(id_col, F.explode(X.bound(X.characters(F.col(text_col)), grams)).alias("g")).select(id_col, "g.*")
-    return parts.join(words, "text").select(id_col, "start", "end", "label", "text", "n")
+    return parts.join(F.broadcast(words) if few else words, "text").select(id_col, "start", "end", "label", "text", "n")
 
 
 def without_overlap(candidates: DataFrame, id_col: str = "record_id", order: str = "longest") -> DataFrame:
     """Greedy choice a document: longest first (``order`` "longest"), or earliest first and longer on ties ("first").
 
-    A document's candidates are folded in order, a candidate is kept if it crosses none kept before.
+    A candidate is kept if it crosses none kept before, which the kept one before it in the text and the one after it
+    tell. A document's candidates are in memory together; documents are independent of each other.
     """
-    size = F.col("end") - F.col("start")
-    key = [(-size).alias("k1"), F.col("start").alias("k2"), (-F.col("n")).alias("k3")] if order == "longest" else [F.col("start").alias("k1"), (-size).alias("k2"), F.lit(0).alias("k3")]
-    row = F.struct(*key, "label", "text", F.col("start").alias("start"), F.col("end").alias("end"))
-    every = candidates.groupBy(id_col).agg(F.sort_array(F.collect_list(row)).alias("all"))
-    empty = F.slice("all", 1, 0)
-    crosses = lambda kept, x: F.exists(kept, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
-    kept = F.aggregate("all", empty, lambda acc, x: F.when(crosses(acc, x), acc).otherwise(F.array_append(acc, x)))
-    return every.select(id_col, F.explode(kept).alias("s")).select(id_col, "s.start", "s.end", "s.label", "s.text")
+    def kept(rows: pa.Table) -> pa.Table:
+        start, end = rows.column("start").to_pylist(), rows.column("end").to_pylist()
+        n, label, text = (rows.column(c).to_pylist() for c in ("n", "label", "text"))
+        rank = (lambda i: (start[i] - end[i], start[i], -n[i], label[i], text[i])) if order == "longest" else (lambda i: (start[i], start[i] - end[i], label[i], text[i]))
+        places, chosen, out = [], {}, []
+        for i in sorted(range(len(start)), key=rank):
+            k = bisect.bisect_left(places, start[i])
+            before, after = places[k - 1] if k else None, places[k] if k < len(places) else None
+            if (before is None or end[chosen[before]] <= start[i]) and (after is None or end[i] <= after):
+                places.insert(k, start[i])
+                chosen[start[i]] = i
+                out.append(i)
+        return rows.take(pa.array(out, pa.int64())).select([id_col, "start", "end", "label", "text"])
+
+    rows = candidates.select(id_col, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.coalesce("label", F.lit("")).alias("label"), F.coalesce("text", F.lit("")).alias("text"), F.col("n").cast("long").alias("n")).where("start < end")
+    kind = dict(candidates.dtypes)[id_col]
+    return rows.groupBy(id_col).applyInArrow(kept, f"{id_col} {kind}, start int, end int, label string, text string")
 
 
 def bio_tags(docs: DataFrame, spans: DataFrame, id_col: str = "record_id", text_col: str = "text") -> DataFrame:
-    """(id, tags): a tag a character; spans out of bounds and those that cross an earlier, longer one are left out."""
+    """(id, tags): a tag a character; spans out of bounds and those that cross an earlier, longer one are left out.
+
+    Tags are laid out span by span, each after the gap before it.
+    """
     valid = spans.join(docs.select(id_col, F.length(text_col).alias("_n")), id_col).where((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("_n")))
     kept = without_overlap(valid.withColumn("n", F.lit(0)).withColumn("text", F.lit("")).drop("_n"), id_col, "first")
-    by_doc = kept.groupBy(id_col).agg(F.collect_list(F.struct("start", "end", "label")).alias("_s"))
-    inside = lambda i: F.get(F.filter("_s", lambda s: (s["start"] <= i) & (i < s["end"])), F.lit(0))
-    tag = lambda i: F.coalesce(F.concat(F.when(inside(i)["start"] == i, "B-").otherwise("I-"), inside(i)["label"]), F.lit("O"))
-    places = F.when(F.length(text_col) > 0, F.sequence(F.lit(0), F.length(text_col) - 1)).otherwise(F.array().cast("array<int>"))
-    return docs.join(by_doc, id_col, "left").select(id_col, F.transform(places, tag).alias("tags"))
+    by_doc = kept.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("_s"))
+    outside = lambda n: F.array_repeat(F.lit("O"), n.cast("int"))
+    inside = lambda s: F.concat(F.array(F.concat(F.lit("B-"), s["label"])), F.array_repeat(F.concat(F.lit("I-"), s["label"]), s["end"] - s["start"] - 1))
+
+    def laid_out(s):
+        ends = F.concat(F.array(F.lit(0)), F.transform(s, lambda x: x["end"]))
+        pieces = F.zip_with(s, F.slice(ends, 1, F.size(s)), lambda x, before: F.concat(outside(x["start"] - before), inside(x)))
+        return F.concat(F.flatten(pieces), outside(F.length(text_col) - F.get(ends, F.size(ends) - 1)))
+
+    none = F.array().cast("array<struct<start:int,end:int,label:string>>")
+    return docs.join(by_doc, id_col, "left").select(id_col, F.when(F.length(text_col) > 0, X.bound(F.coalesce("_s", none), laid_out)).otherwise(F.array().cast("array<string>")).alias("tags"))
 
 
 def spans_from_tags(tags: DataFrame, id_col: str = "record_id") -> DataFrame:
     """(id, start, end, label): maximal runs, a B- with the I- of its label that follow; an I- without one is nothing."""
     t = tags.select(id_col, F.posexplode("tags").alias("i", "tag"))
     order = Window.partitionBy(id_col).orderBy("i")
-    label = F.substring("tag", 3, 1000)
+    label = F.substr("tag", F.lit(3))
     # a run breaks at B-, at O and at a change of label
-    breaks = F.col("tag").startswith("B-") | (F.col("tag") == "O") | (label != F.coalesce(F.substring(F.lag("tag").over(order), 3, 1000), F.lit("")))
+    breaks = F.col("tag").startswith("B-") | (F.col("tag") == "O") | (label != F.coalesce(F.substr(F.lag("tag").over(order), F.lit(3)), F.lit("")))
     runs = t.withColumn("run", F.sum(breaks.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     whole = runs.groupBy(id_col, "run").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("end"), F.min_by("tag", "i").alias("first"))
-    return whole.where(F.col("first").startswith("B-")).select(id_col, "start", "end", F.substring("first", 3, 1000).alias("label"))
+    return whole.where(F.col("first").startswith("B-")).select(id_col, "start", "end", F.substr("first", F.lit(3)).alias("label"))
 
 
 def stitched(spans: DataFrame, own: DataFrame) -> DataFrame:

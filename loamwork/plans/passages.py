@@ -58,16 +58,16 @@ SELECT CASE WHEN gap < 0 THEN 'SPAN_OVERLAP' WHEN gap = 0 THEN 'GAP_0' WHEN gap
 
 def located_spans(spark, sf_dir):
     """Spans declared up to two places off; and the same for parts that are not there."""
-    d = table(spark, sf_dir, "documents").where(F.length("text") >= 20)
+    d = table(spark, sf_dir, "documents")
     part = F.when(F.col("doc_id") % 4 == 3, "@absent@").otherwise(F.substr("text", F.lit(11), F.lit(6)))
     start = (10 + F.col("doc_id") % 3).cast("int")
     at = X.located(F.col("text"), part, start, start + 6)
     return d.select("doc_id", at["start"].alias("start"), at["end"].alias("end"), X.offset_status(F.col("text"), part, start, start + 6).alias("status"))
 
 
-LOCATED_SQL = """WITH s AS (SELECT doc_id, text, CASE WHEN doc_id % 4 = 3 THEN '@absent@' ELSE substr(text, 11, 6) END AS part, 10 + doc_id % 3 AS st FROM documents WHERE length(text) >= 20),
-f AS (SELECT *, substr(text, st + 1, 6) = part AS exact, instr(text, part) - 1 AS found FROM s)
-SELECT doc_id, CAST(CASE WHEN exact THEN st ELSE found END AS INT) AS start, CAST(CASE WHEN exact THEN st + 6 WHEN found >= 0 THEN found + length(part) ELSE -1 END AS INT) AS end,
+LOCATED_SQL = """WITH s AS (SELECT doc_id, text, CASE WHEN doc_id % 4 = 3 THEN '@absent@' ELSE substr(text, 11, 6) END AS part, 10 + doc_id % 3 AS st FROM documents),
+f AS (SELECT *, substr(text, st + 1, 6) = part AS exact, CASE WHEN substr(text, st + 1, 6) = part AND st + 6 <= length(text) THEN st WHEN part = '' THEN -1 ELSE instr(text, part) - 1 END AS pos FROM s)
+SELECT doc_id, CAST(pos AS INT) AS start, CAST(CASE WHEN pos >= 0 THEN pos + length(part) ELSE -1 END AS INT) AS end,
   CASE WHEN exact THEN 'exact' WHEN contains(text, part) THEN 'elsewhere' ELSE 'absent' END AS status FROM f"""
 
 
@@ -110,7 +110,7 @@ SELECT doc_id, md5(CASE WHEN st > 0 THEN '…' ELSE '' END || substr(text, CAST(
 
 def evidence_windows(spark, sf_dir):
     """Rows only: marked windows around two spans."""
-    d = table(spark, sf_dir, "documents").where(F.length("text") >= 40)
+    d = table(spark, sf_dir, "documents")
     head, tail = F.substr("text", F.lit(5), F.lit(6)), F.substr("text", F.length("text") - 8, F.lit(7))
     h = X.located(F.col("text"), head, F.lit(4), F.lit(10))
     t = X.located(F.col("text"), tail, F.lit(-1), F.lit(-1))
@@ -119,16 +119,16 @@ def evidence_windows(spark, sf_dir):
 
 def omission_masks(spark, sf_dir):
     """Characters masked at equal length when evidence is left out."""
-    d = table(spark, sf_dir, "documents").where(F.length("text") >= 20)
+    d = table(spark, sf_dir, "documents")
     out = X.omitted(F.col("text"), X.segments(F.col("text")), F.lit(2), F.lit(6), F.lit(10), F.lit(14))
     return d.select("doc_id", F.length(out).alias("n"), X.count_of(out, "□").alias("masked"), F.substr(out, F.lit(3), F.lit(4)).alias("head"))
 
 
-OMISSION_SQL = rf"""WITH p AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '{_SEG}')) AS part, generate_subscripts(regexp_extract_all(text, '{_SEG}'), 1) AS i FROM documents WHERE length(text) >= 20),
+OMISSION_SQL = rf"""WITH p AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '{_SEG}')) AS part, generate_subscripts(regexp_extract_all(text, '{_SEG}'), 1) AS i FROM documents),
 o AS (SELECT *, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) - length(part) AS pos FROM p),
 c AS (SELECT doc_id, text, pos + length(part) - length(regexp_replace(part, '^\s+', '')) AS st, regexp_replace(part, '^\s+|\s+$', '', 'g') AS clean FROM o),
 r AS (SELECT doc_id, min(st) AS lo, max(st + length(clean)) AS hi FROM c WHERE clean <> '' AND ((st <= 2 AND 6 <= st + length(clean)) OR (st <= 10 AND 14 <= st + length(clean))) GROUP BY doc_id),
-b AS (SELECT d.doc_id, text, CAST(coalesce(lo, 0) AS INT) AS lo, CAST(coalesce(hi, least(74, length(text))) AS INT) AS hi FROM (SELECT * FROM documents WHERE length(text) >= 20) d LEFT JOIN r USING (doc_id)),
+b AS (SELECT d.doc_id, text, CAST(coalesce(lo, 0) AS INT) AS lo, CAST(coalesce(hi, least(74, length(text))) AS INT) AS hi FROM (SELECT * FROM documents) d LEFT JOIN r USING (doc_id)),
 k AS (SELECT doc_id, length(text) AS n, substr(text, 3, 4) AS head, length(regexp_replace(substr(text, lo + 1, hi - lo), '\s', '', 'g')) AS whole,
   length(regexp_replace(substr(text, greatest(lo, 2) + 1, greatest(least(hi, 6) - greatest(lo, 2), 0)), '\s', '', 'g')) + length(regexp_replace(substr(text, greatest(lo, 10) + 1, greatest(least(hi, 14) - greatest(lo, 10), 0)), '\s', '', 'g')) AS kept FROM b)
 SELECT doc_id, n, CAST(whole - kept AS INT) AS masked, head FROM k"""
@@ -186,30 +186,19 @@ _LEX = """lex AS (SELECT text, label, count(*) AS n FROM (SELECT text, CASE WHEN
 
 
 def lexicon_matches(spark, sf_dir):
-    """Every place in an item of the benchmark where one of its frequent long words stands, inside words too."""
-    docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("record_id"), "text")
-    return spans.occurrences(docs, _lexicon(spark, sf_dir), [4, 5, 6])
-
-
-def document_lexicon_matches(spark, sf_dir):
-    """Rows only: every place in a document where an entry of the lexicon stands, of whatever length."""
-    words = _lexicon(spark, sf_dir)
-    lengths = sorted(r[0] for r in words.select(F.length("text")).distinct().collect())
+    """Every place in a document where one of the benchmark's frequent long words or names stands, inside words too."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "text")
-    if not lengths:
-        return docs.select("record_id", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("label"), "text", F.lit(0).cast("long").alias("n")).where(F.lit(False))
-    return spans.occurrences(docs, words, lengths)
+    return spans.occurrences(docs, _lexicon(spark, sf_dir))
 
 
-LEXICON_SQL = f"""WITH {_LEX}, c AS (SELECT item_id AS record_id, string_split(text, '') AS c FROM benchmark),
-w AS (SELECT record_id, k, unnest([array_to_string(c[i:i + k - 1], '') FOR i IN range(1, len(c) - k + 2)]) AS part, unnest(range(0, len(c) - k + 1)) AS start FROM c, (SELECT unnest([4, 5, 6]) AS k) WHERE len(c) >= k)
-SELECT record_id, CAST(start AS INT) AS start, CAST(start + k AS INT) AS end, label, lex.text, n FROM w JOIN lex ON w.part = lex.text"""
+LEXICON_SQL = f"""WITH {_LEX}, p AS (SELECT doc_id AS record_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents), g AS (SELECT record_id, i, substr(text, i, (SELECT max(length(text)) FROM lex)) AS g FROM p)
+SELECT record_id, CAST(i - 1 AS INT) AS start, CAST(i - 1 + length(lex.text) AS INT) AS end, label, lex.text, n FROM g JOIN lex ON left(g, length(lex.text)) = lex.text"""
 
 
 def longest_matches(spark, sf_dir):
     """Rows only: the greedy choice among a document's matches, and back from BIO tags."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "text")
-    kept = spans.without_overlap(document_lexicon_matches(spark, sf_dir))
+    kept = spans.without_overlap(lexicon_matches(spark, sf_dir))
     return spans.spans_from_tags(spans.bio_tags(docs, kept))
 
 
@@ -373,7 +362,7 @@ LONG_SQL = "SELECT 'p_size' AS name, count(*) AS n, round(CAST(sum(p_size) AS DO
 QUERIES = {
     "text_segments": text_segments, "text_measures": text_measures, "span_tokens": span_tokens, "located_spans": located_spans, "offset_integrity": offset_integrity, "bigram_sets": bigram_sets,
     "window_plan": window_plan, "context_windows": context_windows, "evidence_windows": evidence_windows, "omission_masks": omission_masks, "stable_ids": stable_ids, "salvaged_decisions": salvaged_decisions,
-    "page_split": page_split, "character_errors": character_errors, "lexicon_matches": lexicon_matches, "longest_matches": longest_matches, "document_lexicon_matches": document_lexicon_matches, "retrieval": retrieval, "donors": donors,
+    "page_split": page_split, "character_errors": character_errors, "lexicon_matches": lexicon_matches, "longest_matches": longest_matches, "retrieval": retrieval, "donors": donors,
     "identity_lexicon": identity_lexicon, "identity_features": identity_features, "majorities": majorities, "vocabulary": vocabulary, "crosswalk_summary": crosswalk_summary, "coverage_counters": coverage_counters,
     "payload_long": payload_long, "seed_means": seed_means, "intervention_effects": intervention_effects, "key_sets": key_sets, "long_scores": long_scores,
 }

@@ -107,5 +107,5 @@ def test_lexicon_of_every_length_in_documents(spark, tmp_path):
     run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
     entries = {"Al": "NAME", "Christopher": "NAME", "considerable": "WORD", "hills": "WORD"}
     want = {(i, k, k + len(w), label, w, 3) for i, t in docs for w, label in entries.items() for k in range(len(t or "")) if t.startswith(w, k)}
-    assert {tuple(r) for r in run("document_lexicon_matches")} == want and len(want) == 6
+    assert {tuple(r) for r in run("lexicon_matches")} == want and len(want) == 6
     assert {tuple(r) for r in run("longest_matches")} == {(i, a, b, label) for i, a, b, label, _, _ in want}
