@@ -116,3 +116,26 @@ def average_precision(rows: DataFrame, score: str, positive: str) -> DataFrame:
 
     total = running(by_score, score, ("p", "n"), descending=True)
     return total.agg(F.round(F.coalesce(F.try_divide(F.sum(F.col("p") * F.col("run_p") / F.col("run_n")), F.sum("p")), F.lit(0.0)), 9).alias("average_precision"))
+
+
+def selection_score(rows: DataFrame, gold: str, predicted: str, source: str, known_sources: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """One row: macro-F1 of four labels and of three decisions, the same over rows of sources that ``known_sources`` lacks, and the harmonic mean.
+
+    Without any such row the unseen score is that of all rows. Sources are marked by a join, and all scores come from
+    one table of counts by (unseen, gold, predicted).
+    """
+    known = known_sources.select(F.col(source).alias("_known")).distinct()
+    marked = rows.join(known, F.col(source) == F.col("_known"), "left").withColumn("unseen", F.col("_known").isNull())
+    cells = marked.groupBy("unseen", F.col(gold).alias("gold"), F.col(predicted).alias("pred")).agg(F.count("*").alias("n"))
+    parts = F.explode(F.when(F.col("unseen"), F.array(F.lit("four"), F.lit("three"), F.lit("unseen"))).otherwise(F.array(F.lit("four"), F.lit("three"))))
+    each = cells.select("unseen", "gold", "pred", "n", parts.alias("part"))
+    view = lambda c: F.when(F.col("part") == "four", F.col(c)).otherwise(decision(F.col(c)))
+    each = each.select("part", "n", view("gold").alias("gold"), view("pred").alias("pred")).groupBy("part", "gold", "pred").agg(F.sum("n").alias("n"))
+    zero = F.lit(0).cast("long")
+    sides = F.explode(F.array(F.struct(F.col("gold").alias("label"), F.col("n").alias("g"), zero.alias("p")), F.struct(F.col("pred").alias("label"), zero.alias("g"), F.col("n").alias("p"))))
+    hit = F.when((F.col("gold") == F.col("pred")) & (F.col("s.g") > 0), F.col("n")).otherwise(0)
+    f1 = each.select("*", sides.alias("s")).groupBy("part", "s.label").agg(ratio(2 * F.sum(hit), F.sum("s.g") + F.sum("s.p")).alias("f1"), F.sum("s.g").alias("g"))
+    score = lambda part, size: F.sum(F.when(F.col("part") == part, F.col("f1"))) / size
+    out = f1.agg(score("four", len(labels)).alias("four"), score("three", 3).alias("three"), score("unseen", 3).alias("other"), F.coalesce(F.sum(F.when(F.col("part") == "unseen", F.col("g"))), F.lit(0)).cast("long").alias("unseen_items"))
+    unseen = F.coalesce("other", "three")
+    return out.select(F.round("four", 9).alias("four_class"), F.round("three", 9).alias("three_decision"), F.round(unseen, 9).alias("unseen_three_decision"), F.round(ratio(2 * F.col("three") * unseen, F.col("three") + unseen), 9).alias("harmonic"), "unseen_items")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 512
@@ -39,3 +41,34 @@ def running(df: DataFrame, value: str, sums: tuple[str, ...], descending: bool =
     within = Window.partitionBy("_range").orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.select("*", *(F.sum(c).over(within).alias(f"_w_{c}") for c in sums)).join(F.broadcast(starts), "_range")
     return out.select(*df.columns, *((F.col(f"_w_{c}") + F.col(f"_s_{c}")).alias(f"run_{c}") for c in sums))
+
+
+def text_place(column: Column) -> Column:
+    """A number that grows with a text's first six bytes, or stays."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
+def numbered(df: DataFrame, place: Column, order: Sequence[Column | str], name: str = "rank", ranges: int = RANGES) -> DataFrame:
+    """``df`` numbered from 1 by ``order``; ``place`` is a number that never falls along it and cuts the rows into ranges, as in ``ranked``."""
+    rows = df.withColumn("_place", place)
+    splits = rows.agg(F.percentile_approx("_place", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
+    cuts = F.array(*(F.lit(float(s)) for s in sorted(set(splits)))) if splits else F.array().cast("array<double>")
+    rows = rows.withColumn("_range", F.when(F.col("_place").isNull(), -1).otherwise(F.size(F.filter(cuts, lambda s: s <= F.col("_place")))))
+    counts = rows.groupBy("_range").count()
+    starts = counts.select("_range", (F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("_start"))
+    within = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_range").orderBy(*order))).join(F.broadcast(starts), "_range")
+    return within.withColumn(name, F.col("_start") + F.col("_row")).drop("_range", "_start", "_row", "_place")
+
+
+def hash_ranked(df: DataFrame, block: Column, digest: Column, tie: str) -> DataFrame:
+    """``df`` with ``rank`` from 1 in the order of a hexadecimal ``digest`` within ``block``, and the block's size ``n``.
+
+    Digests are even, so their first byte cuts every block, however large, into 256 parts that are sorted apart.
+    """
+    rows = df.withColumn("_block", F.coalesce(block.cast("string"), F.lit("\0"))).withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, 2))
+    counts = rows.groupBy("_block", "_part").count()
+    all_ = Window.partitionBy("_block")
+    upto = F.sum("count").over(all_.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")
+    starts = counts.select("_block", "_part", upto.alias("_start"), F.sum("count").over(all_).alias("n"))
+    row = F.row_number().over(Window.partitionBy("_block", "_part").orderBy("_digest", tie))
+    return rows.withColumn("_row", row).join(starts, ["_block", "_part"]).withColumn("rank", F.col("_start") + F.col("_row")).drop("_part", "_digest", "_start", "_row")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions import text as X
+from loamwork.operators.ordering import RANGES, numbered, text_place
 
 
 def term_weights(units: DataFrame, key: Sequence[str], text_col: str, low: int = 1, high: int = 3, least_df: int = 2, most_features: int | None = None) -> DataFrame:
@@ -62,6 +63,37 @@ def nearest_donor(items: DataFrame, donors: DataFrame, tiers: Sequence[Sequence[
     return out
 
 
+def closest_donor(items: DataFrame, donors: DataFrame, tiers: Sequence[Sequence[str]], by: str, key: str = "item_id") -> DataFrame:
+    """(key, donor, tier, score): ``nearest_donor`` for the score -|difference of ``by``|, without pairs.
+
+    Within the keys of a tier, cut into ranges of ``by`` so that no key lies in one task, a running maximum gives the
+    nearest donor on either side, and a row a key and range carries it over the ranges between. ``by`` is not null.
+    """
+    splits = donors.agg(F.percentile_approx(F.col(by).cast("double"), [i / RANGES for i in range(1, RANGES)], 20 * RANGES)).first()[0] or []
+    cuts = F.array(*(F.lit(float(s)) for s in sorted(set(splits)))) if splits else F.array().cast("array<double>")
+    left, out = items, None
+    side = lambda df, donor: df.where(F.col(by).isNotNull()).withColumn("_range", F.size(F.filter(cuts, lambda s: s <= F.col(by).cast("double")))).withColumn("_donor", F.lit(donor))
+    for tier, on in enumerate(tiers, 1):
+        columns = [key, by, "_range", "_donor", *on]
+        both = side(left, 0).select(columns).unionByName(side(donors, 1).select(columns))
+        # below: greatest value, then least key; above: least value, then least key
+        low = F.when(F.col("_donor") == 1, F.struct(F.col(by).alias("v"), (-F.col(key)).alias("k")))
+        high = F.when(F.col("_donor") == 1, F.struct((-F.col(by)).alias("v"), (-F.col(key)).alias("k")))
+        edges = both.groupBy(*on, "_range").agg(F.max(low).alias("last"), F.max(high).alias("first"))
+        ranges = Window.partitionBy(*on).orderBy("_range")
+        carried = edges.select(*on, "_range", F.max("last").over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"), F.max("first").over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("_above"))
+        within = Window.partitionBy(*on, "_range").orderBy(by)
+        near = both.withColumn("_low", F.max(low).over(within.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_high", F.max(high).over(within.rangeBetween(0, Window.unboundedFollowing)))
+        met = near.where(F.col("_donor") == 0).join(carried, [*on, "_range"])
+        sides = [F.struct((-F.abs(F.col(f"{c}.v") * sign - F.col(by))).cast("double").alias("score"), F.col(f"{c}.k").alias("minus")) for c, sign in (("_low", 1), ("_below", 1), ("_high", -1), ("_above", -1))]
+        found = met.where(F.coalesce(*(F.col(c) for c in ("_low", "_below", "_high", "_above"))).isNotNull())
+        best = F.array_max(F.filter(F.array(*sides), lambda x: x["score"].isNotNull()))
+        chosen = found.withColumn("b", best).select(key, (-F.col("b.minus")).alias("donor"), F.lit(tier).alias("tier"), F.col("b.score").alias("score"))
+        out = chosen if out is None else out.unionByName(chosen)
+        left = left.join(chosen.select(key), key, "left_anti")
+    return out
+
+
 def identity_lexicon(rows: DataFrame, error_label: str = "ENTITY_OR_TYPE_ERROR") -> DataFrame:
     """(surface, type, n, heads, tails) of mentions in rows not marked as errors."""
     side = lambda role: F.struct(X.surface(F.col(f"{role}_text"), False).alias("surface"), F.col(f"{role}_type").alias("type"), F.lit(role).alias("role"))
@@ -83,6 +115,36 @@ def identity_features(rows: DataFrame, lexicon: DataFrame, role: str) -> DataFra
     )
 
 
+#: Endings of recipe names and of meridian names, and the quotation marks of titles.
+RECIPE_ENDINGS, MERIDIAN_ENDING = ("方", "汤", "丸", "散", "羹", "粥", "酒", "饮"), "经"
+TITLE_QUOTES = (("《", "》"), ("<", "》"), ("〈", "〉"))
+
+
+def source_titles(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(title): the distinct comparison forms of the named columns, errors included, empty ones left out."""
+    long = rows.select(F.explode(F.array(*(X.source_title(F.col(c), False) for c in columns))).alias("title"))
+    return long.where(F.col("title") != "").distinct()
+
+
+def span_flags(rows: DataFrame, titles: DataFrame, role: str, passage: str) -> DataFrame:
+    """``rows`` with what a mention's own text and passage say: size, visible share, occurrences, titles and endings."""
+    raw, surface = F.coalesce(F.col(f"{role}_text"), F.lit("")), X.surface(F.col(f"{role}_text"), False)
+    text = F.coalesce(F.col(passage), F.lit(""))
+    quoted = F.lit(False)
+    for left, right in TITLE_QUOTES:
+        quoted = quoted | F.contains(text, F.concat(F.lit(left), raw, F.lit(right)))
+    marked = rows.withColumn("_surface", surface).join(titles.select(F.col("title").alias("_surface"), F.lit(1).alias("_known")), "_surface", "left")
+    flag = lambda c: c.cast("int")
+    ends = F.lit(False)
+    for ending in RECIPE_ENDINGS:
+        ends = ends | F.endswith("_surface", F.lit(ending))
+    return marked.select(
+        *rows.columns, flag(F.length("_surface") <= 2).alias(f"{role}_short"), X.share_of(raw, r"\p{L}\p{N}\x{3400}-\x{9FFF}").alias(f"{role}_visible"), X.occurrences(X.surface(text, False), F.col("_surface")).alias(f"{role}_occurrences"),
+        flag(F.col("_known").isNotNull() & (F.col("_surface") != "")).alias(f"{role}_known_title"), flag((raw != "") & quoted).alias(f"{role}_quoted"), flag(ends).alias(f"{role}_recipe_ending"),
+        flag(F.endswith("_surface", F.lit(MERIDIAN_ENDING))).alias(f"{role}_meridian_ending"),
+    )
+
+
 def majority(rows: DataFrame, field: str | None, label: str) -> DataFrame:
     """The most frequent label, in all or for each value of ``field``; ties go to the first in order."""
     own = [field] if field else []
@@ -93,9 +155,10 @@ def majority(rows: DataFrame, field: str | None, label: str) -> DataFrame:
 
 
 def vocabulary(values: DataFrame, column: str) -> DataFrame:
-    """(value, n, index): values by falling count and then by name, numbered from 1. For small vocabularies."""
+    """(value, n, index): values by falling count and then by name, numbered from 1, in ranges and not in one task."""
     counts = values.groupBy(column).agg(F.count("*").alias("n"))
-    return counts.withColumn("index", F.row_number().over(Window.orderBy(F.desc("n"), column)))
+    place = -F.col("n").cast("double") + F.coalesce(text_place(F.col(column)), F.lit(0.0)) / 2.0**50
+    return numbered(counts, place, [F.desc("n"), column], "index").withColumn("index", F.col("index").cast("int"))
 
 
 def error_rates(pairs: DataFrame, reference: str = "reference", raw: str = "raw") -> DataFrame:

@@ -5,6 +5,8 @@ An iterated join extends all items' frontiers together, one hop a round, so that
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,3 +90,34 @@ def path_features(paths: DataFrame) -> DataFrame:
     kind = F.when(F.col("passage_conditioned"), "kind=passage").otherwise("kind=semantic")
     names = F.concat(F.transform("edges", lambda e: F.concat(F.lit("edge="), e)), F.array(F.concat(F.lit("hops="), F.col("hops").cast("string")), kind, F.lit("paths")))
     return paths.select("item_id", F.explode(names).alias("feature")).groupBy("item_id", "feature").agg(F.count("*").alias("value"))
+
+
+def encoded(paths: DataFrame, tokens: DataFrame, node_type, most: int = 16, hops: int = 3) -> DataFrame:
+    """item_id, edge_ids, type_ids, hop_mask, path_mask, path_features, graph_features: arrays of one size for every item.
+
+    ``tokens``: (kind, token, id) of edges and node types from 1; ids that are not known and padding are 0. Paths go by
+    passage first, then more semantic edges, fewer hops and their edges. ``node_type`` maps a node column to its type.
+    Fixed values: counts are scaled by the logarithm of 33.
+    """
+    order = F.struct((-F.col("passage_conditioned").cast("int")).alias("a"), (-F.col("semantic_edges")).alias("b"), F.col("hops").alias("c"), F.array_join("edges", "|").alias("d"), F.array_join("nodes", "|").alias("e"), "nodes", "edges", "passage_conditioned", "semantic_edges")
+    place = Window.partitionBy("item_id").orderBy("order")
+    first = paths.select("item_id", order.alias("order")).withColumn("nth", F.row_number().over(place)).where(F.col("nth") <= most)
+    long = first.select("item_id", "nth", F.posexplode(F.concat(F.transform(F.slice("order.edges", 1, hops), lambda x: F.struct(F.lit("edge").alias("kind"), x.alias("token"))), F.transform(F.slice("order.nodes", 1, hops + 1), lambda x: F.struct(F.lit("type").alias("kind"), node_type(x).alias("token"))))).alias("at", "x")).select("item_id", "nth", "at", "x.*")
+    known = long.join(tokens, ["kind", "token"], "left").groupBy("item_id", "nth").agg(F.sort_array(F.collect_list(F.struct("kind", "at", F.coalesce("id", F.lit(0)).alias("id")))).alias("ids"))
+    ids = lambda kind, size: F.slice(F.concat(F.transform(F.filter("ids", lambda x: x["kind"] == kind), lambda x: x["id"]), F.array_repeat(F.lit(0), size)), 1, size)
+    own = F.size(F.filter("ids", lambda x: x["kind"] == "edge"))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(hops - 1)), lambda i: i < own)
+    features = F.array(F.col("order.passage_conditioned").cast("double"), F.col("order.semantic_edges") / float(hops), own / float(hops))
+    rows = known.join(first, ["item_id", "nth"]).select("item_id", F.struct("nth", ids("edge", hops).alias("edges"), ids("type", hops + 1).alias("types"), mask.alias("mask"), features.alias("features")).alias("p"))
+    packed = rows.groupBy("item_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    counts = path_counts(paths).withColumn("n", F.col("path_count").cast("double"))
+    graph = F.array(F.log1p("n") / math.log(33.0), F.col("passage_paths") / F.greatest("n", F.lit(1.0)), F.col("semantic_paths") / F.greatest("n", F.lit(1.0)))
+
+    def padded(part: str, empty):
+        return F.flatten(F.slice(F.concat(F.transform("ps", lambda p: p[part]), F.array_repeat(empty, most)), 1, most))
+
+    zeros = lambda size, kind: F.array_repeat(F.lit(0).cast(kind), size)
+    return packed.join(counts, "item_id").select(
+        "item_id", padded("edges", zeros(hops, "int")).alias("edge_ids"), padded("types", zeros(hops + 1, "int")).alias("type_ids"), padded("mask", F.array_repeat(F.lit(False), hops)).alias("hop_mask"),
+        F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: i <= F.size("ps")).alias("path_mask"), padded("features", zeros(3, "double")).alias("path_features"), graph.alias("graph_features"),
+    )

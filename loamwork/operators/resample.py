@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.operators.ordering import ranked
+from loamwork.operators.ordering import numbered, ranked, text_place
 
 
 def uniform(*parts: Column | str | int) -> Column:
@@ -40,6 +40,12 @@ def interval(values: DataFrame, value: str, by: Sequence[str] = (), method: str
     return ordered.select(*by, at(low).alias("low"), at(high).alias("high"), F.size("v").cast("long").alias("replicates"))
 
 
+def unit_numbers(clusters: DataFrame, key: str) -> DataFrame:
+    """``clusters`` with ``unit``, their numbers from 0 by ``key``, a text or a number; none of it in one task."""
+    place = text_place(F.col(key)) if clusters.schema[key].dataType.simpleString() == "string" else F.col(key).cast("double")
+    return numbered(clusters, place, [key], "unit").withColumn("unit", F.col("unit") - 1)
+
+
 def bootstrap_mean(rows: DataFrame, value: str, key: str, replicates: int, seed: int) -> DataFrame:
     """A: (replicate, estimate), the means of rows drawn one by one."""
     spark = rows.sparkSession
@@ -51,7 +57,7 @@ def bootstrap_mean(rows: DataFrame, value: str, key: str, replicates: int, seed:
 def bootstrap_clusters(rows: DataFrame, cluster: str, value: str, replicates: int, seed: int) -> DataFrame:
     """B: means of whole clusters drawn; each cluster is reduced to a sum and a count before it meets the draws."""
     parts = rows.groupBy(cluster).agg(F.sum(value).alias("s"), F.count("*").alias("c"))
-    units = ranked(parts.withColumn("_order", F.pmod(F.crc32(F.col(cluster).cast("string")), F.lit(1 << 31)).cast("long")), "_order", cluster).withColumn("unit", F.col("rank") - 1)
+    units = unit_numbers(parts, cluster)
     weights = draws(rows.sparkSession, replicates, parts.agg(F.count("*").alias("n")), seed)
     return weights.join(units, "unit").groupBy("replicate").agg((F.sum(F.col("weight") * F.col("s")) / F.sum(F.col("weight") * F.col("c"))).alias("estimate"))
 
@@ -74,8 +80,8 @@ def two_stage_weights(rows: DataFrame, cluster: str, key: str, replicates: int,
     from pyspark.sql import Window
 
     sizes = rows.groupBy(cluster).agg(F.count("*").alias("n"))
-    numbered = sizes.withColumn("unit", F.row_number().over(Window.orderBy(cluster)).cast("long") - 1)
-    drawn = draws(rows.sparkSession, replicates, sizes.agg(F.count("*").alias("n")), seed).join(F.broadcast(numbered), "unit")
+    units = unit_numbers(sizes, cluster)
+    drawn = draws(rows.sparkSession, replicates, sizes.agg(F.count("*").alias("n")), seed).join(units, "unit")
     each = drawn.select("replicate", cluster, "n", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))).alias("turn")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
     u = uniform(seed, F.lit("item"), F.col("replicate"), F.col(cluster), F.col("turn"), F.col("draw"))
     picked = each.withColumn("item", F.floor(u * F.col("n")).cast("long")).groupBy("replicate", cluster, "item").agg(F.count("*").alias("weight"))
@@ -102,18 +108,16 @@ def weighted_macro_f1(weights: DataFrame, rows: DataFrame, key: str, gold: str,
 
 def paired_f1(rows: DataFrame, cluster: str, gold: str, one: str, other: str, replicates: int, seed: int) -> DataFrame:
     """E: (replicate, difference) of pooled F1 of two sets of 0/1 decisions; whole clusters are drawn."""
-    from pyspark.sql import Window
-
     from loamwork.operators.metrics import ratio
 
     g = F.col(gold) == 1
     count = lambda c, name: [F.count_if(g & (F.col(c) == 1)).alias(f"tp_{name}"), F.count_if(~g & (F.col(c) == 1)).alias(f"fp_{name}"), F.count_if(g & (F.col(c) == 0)).alias(f"fn_{name}")]
     parts = rows.groupBy(cluster).agg(*count(one, "a"), *count(other, "b"))
-    units = parts.withColumn("unit", F.row_number().over(Window.orderBy(cluster)).cast("long") - 1)
+    units = unit_numbers(parts, cluster)
     weights = draws(rows.sparkSession, replicates, parts.agg(F.count("*").alias("n")), seed)
     total = lambda c: F.sum(F.col("weight") * F.col(c))
     f1 = lambda n: ratio(2 * total(f"tp_{n}"), 2 * total(f"tp_{n}") + total(f"fp_{n}") + total(f"fn_{n}"))
-    return weights.join(F.broadcast(units), "unit").groupBy("replicate").agg((f1("a") - f1("b")).alias("difference"))
+    return weights.join(units, "unit").groupBy("replicate").agg((f1("a") - f1("b")).alias("difference"))
 
 
 def two_sided(differences: DataFrame, value: str = "difference") -> DataFrame:

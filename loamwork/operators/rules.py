@@ -107,3 +107,32 @@ def role_view(edges: DataFrame, role: str, hidden_type: str = "AncientText") ->
 def by_support(edges: DataFrame) -> DataFrame:
     """D4: strongest support first."""
     return edges.orderBy(F.desc("support"), F.desc("books"), F.desc("confidence"), "relation", "edge_id")
+
+
+def propagated(edges: DataFrame) -> DataFrame:
+    """B1 to B3 as sets: (rule, head, tail), asserted pairs included, each once. Edges are reduced to pairs before they meet."""
+    pairs = lambda relation, head_type, tail_type, head, tail: of_type(edges, relation, head_type, tail_type).select(F.col("head").alias(head), F.col("tail").alias(tail)).distinct()
+    contains = pairs("containsIngredient", "Recipe", "Ingredient", "recipe", "ingredient")
+    to_organ = pairs("entersmeridian", "Ingredient", "Meridian", "ingredient", "meridian").join(pairs("correspondsToOrgan", "Meridian", "Organ", "meridian", "organ"), "meridian").select("ingredient", "organ").distinct()
+    b1_ = to_organ.join(pairs("affectsOrgan", "Disease", "Organ", "disease", "organ"), "organ").select(F.lit("B1").alias("rule"), F.col("ingredient").alias("head"), F.col("disease").alias("tail"))
+    b2_ = contains.join(pairs("treats", "Ingredient", "Disease", "ingredient", "disease"), "ingredient").select(F.lit("B2").alias("rule"), F.col("recipe").alias("head"), F.col("disease").alias("tail"))
+    b3_ = contains.join(pairs("treatedByRecipe", "Disease", "Recipe", "disease", "recipe"), "recipe").select(F.lit("B3").alias("rule"), F.col("ingredient").alias("head"), F.col("disease").alias("tail"))
+    return b1_.unionByName(b2_).unionByName(b3_).distinct()
+
+
+def flattened(found: DataFrame, edges: DataFrame, relations: Sequence[str], most: int = 3) -> DataFrame:
+    """``found`` with its path's edges in columns ``edge1_...``, the least authority of them and their distinct books in order of the path.
+
+    ``relations`` names the relation of each edge of the path; edges that a shorter path lacks are null.
+    """
+    out = found
+    for i in range(most):
+        if i < len(relations):
+            own = edges.where(F.col("relation") == relations[i]).dropDuplicates(["edge_id"]).select(F.col("edge_id").alias("_id"), *(F.col(c).alias(f"edge{i + 1}_{c}") for c in ("relation", "head", "tail", "authority_rank", "books")))
+            out = out.join(own, F.get("path", F.lit(i)) == F.col("_id"), "left").drop("_id")
+        else:
+            kinds = {"authority_rank": "int", "books": "int"}
+            out = out.withColumns({f"edge{i + 1}_{c}": F.lit(None).cast(kinds.get(c, "string")) for c in ("relation", "head", "tail", "authority_rank", "books")})
+    ranks = F.array(*(F.col(f"edge{i + 1}_authority_rank") for i in range(most)))
+    books = F.array_distinct(F.array_compact(F.array(*(F.col(f"edge{i + 1}_books").cast("string") for i in range(most)))))
+    return out.withColumn("path_authority", F.array_min(ranks)).withColumn("path_books", F.array_join(books, ";"))

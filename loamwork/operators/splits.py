@@ -8,6 +8,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamwork.operators.ordering import hash_ranked
+
+#: Into how many units groups are brought together before they are dealt on the driver.
+UNITS = 10_000
+
 
 def hash_order(seed: int, key: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), key.cast("string")), 256)
@@ -30,11 +35,10 @@ def split_by_position(rows: DataFrame, stratum: str, key: str, seed: int, test:
 
     Shares are rounded half to even and take one row at least.
     """
-    order = Window.partitionBy(stratum).orderBy("_h", key)
-    out = rows.withColumn("_h", hash_order(seed, F.col(key))).withColumn("_i", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(stratum)))
-    tested = F.greatest(F.lit(1), F.bround(F.col("_n") * test, 0))
-    developed = tested + F.greatest(F.lit(1), F.bround(F.col("_n") * dev, 0))
-    return out.withColumn("split", F.when(F.col("_i") <= tested, "test").when(F.col("_i") <= developed, "dev").otherwise("train")).drop("_h", "_i", "_n")
+    out = hash_ranked(rows, F.col(stratum), hash_order(seed, F.col(key)), key)
+    tested = F.greatest(F.lit(1), F.bround(F.col("n") * test, 0))
+    developed = tested + F.greatest(F.lit(1), F.bround(F.col("n") * dev, 0))
+    return out.withColumn("split", F.when(F.col("rank") <= tested, "test").when(F.col("rank") <= developed, "dev").otherwise("train")).drop("rank", "n", "_block")
 
 
 def root_allocation(sizes: DataFrame, stratum: str, size: str, total: int) -> DataFrame:
@@ -53,45 +57,58 @@ def root_allocation(sizes: DataFrame, stratum: str, size: str, total: int) -> Da
 def group_folds(rows: DataFrame, group: str, label: str, labels: Sequence[str], folds: int = 5, seed: int = 0) -> DataFrame:
     """``rows`` with ``fold``: whole groups, dealt so that each fold's label counts stay even.
 
-    Label counts of groups are summed in Spark; the groups, a small number, are dealt on the driver, largest first, to
-    the fold whose counts then stray least, and come back by a join.
+    Label counts of groups are summed in Spark and dealt on the driver, largest first, to the fold whose counts then
+    stray least. A group of less than a ``UNITS``-th of all rows is dealt with others of its hash, so the driver sees at
+    most twice ``UNITS`` of them, whatever the number of groups.
     """
-    counts = rows.groupBy(group).pivot(label, list(labels)).count().na.fill(0)
-    found = [(r[group], [r[x] for x in labels]) for r in counts.orderBy(group).collect()]
+    counts = rows.groupBy(group).agg(F.count("*").alias("_n"), *(F.count_if(F.col(label) == x).alias(f"_{i}") for i, x in enumerate(labels)))
+    total_rows = rows.count()
+    text = F.coalesce(F.col(group).cast("string"), F.lit("\0"))
+    unit = F.when(F.col("_n") * UNITS >= total_rows, F.concat(F.lit("="), text)).otherwise(F.concat(F.lit("#"), F.pmod(F.crc32(text), F.lit(UNITS)).cast("string")))
+    named = counts.withColumn("_unit", unit)
+    sums = named.groupBy("_unit").agg(*(F.sum(f"_{i}").alias(f"_{i}") for i in range(len(labels))))
+    found = [(r["_unit"], [r[f"_{i}"] for i in range(len(labels))]) for r in sums.collect()]
     total = [sum(c[i] for _, c in found) or 1 for i in range(len(labels))]
     held = [[0] * len(labels) for _ in range(folds)]
     dealt = []
-    for name, c in sorted(found, key=lambda x: (-sum(x[1]), str(x[0]))):
+    for name, c in sorted(found, key=lambda x: (-sum(x[1]), x[0])):
         spread = lambda f: sum(((h[i] + (c[i] if k == f else 0)) / total[i]) ** 2 for k, h in enumerate(held) for i in range(len(labels)))  # noqa: B023, E731
         best = min(range(folds), key=lambda f: (spread(f), sum(held[f]), f))
         held[best] = [a + b for a, b in zip(held[best], c, strict=True)]
         dealt.append((name, best))
-    schema = f"{group} {rows.schema[group].dataType.simpleString()}, fold int"
-    return rows.join(rows.sparkSession.createDataFrame(dealt, schema), group, "left")
+    by_unit = rows.sparkSession.createDataFrame(dealt, "_unit string, fold int")
+    by_group = named.join(F.broadcast(by_unit), "_unit").select(F.col(group).alias("_group"), "fold")
+    return rows.join(by_group, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
 
 
 def balanced_split(groups: DataFrame, group: str, counts: Sequence[str], trials: int, share: float, seed: int) -> DataFrame:
     """(trial, error, chosen groups) of the trial whose chosen share of groups has the label shares nearest to all.
 
-    ``groups``: a row a group with label counts. Trials are rows and go side by side.
+    ``groups``: a row a group with label counts. Each trial, of a stated number, orders the groups by its own hash;
+    only its sums are kept, and the names are looked up for the best trial alone.
     """
-    n = F.count("*").over(Window.partitionBy("trial"))
-    spark = groups.sparkSession
-    pairs = spark.range(trials).select(F.col("id").alias("trial")).join(F.broadcast(groups), F.lit(True))
-    ordered = pairs.withColumn("_place", F.row_number().over(Window.partitionBy("trial").orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), "trial", group), 256), group)))
-    picked = ordered.withColumn("_in", (F.col("_place") <= F.ceil(n * share)).cast("int"))
-    sums = picked.groupBy("trial").agg(*(F.sum(F.col("_in") * F.col(c)).alias(f"in_{c}") for c in counts), *(F.sum(c).alias(f"all_{c}") for c in counts), F.sort_array(F.collect_list(F.when(F.col("_in") == 1, F.col(group)))).alias("chosen"))
-    inside, whole = sum((F.col(f"in_{c}") for c in counts[1:]), F.col(f"in_{counts[0]}")), sum((F.col(f"all_{c}") for c in counts[1:]), F.col(f"all_{counts[0]}"))
-    error = sum((F.abs(F.try_divide(F.col(f"in_{c}"), inside) - F.col(f"all_{c}") / whole) + F.when(F.col(f"in_{c}") == 0, 1.0).otherwise(0.0) for c in counts[1:]), F.abs(F.try_divide(F.col(f"in_{counts[0]}"), inside) - F.col(f"all_{counts[0]}") / whole) + F.when(F.col(f"in_{counts[0]}") == 0, 1.0).otherwise(0.0))
-    scored = sums.select("trial", F.round(error, 12).alias("error"), "chosen")
-    return scored.agg(F.min(F.struct("error", "trial", "chosen")).alias("b")).select("b.trial", "b.error", "b.chosen")
+    digest = lambda trial: F.sha2(F.concat_ws("|", F.lit(str(seed)), trial, group), 256)
+    pairs = groups.withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))))
+    ordered = hash_ranked(pairs, F.col("trial"), digest(F.col("trial").cast("string")), group)
+    picked = ordered.withColumn("_in", (F.col("rank") <= F.ceil(F.col("n") * share)).cast("int"))
+    sums = picked.groupBy("trial").agg(*(F.sum(F.col("_in") * F.col(c)).alias(f"in_{c}") for c in counts), *(F.sum(c).alias(f"all_{c}") for c in counts))
+    total = lambda kind: sum((F.col(f"{kind}_{c}") for c in counts[1:]), F.col(f"{kind}_{counts[0]}"))
+    off = lambda c: F.abs(F.try_divide(F.col(f"in_{c}"), total("in")) - F.col(f"all_{c}") / total("all")) + F.when(F.col(f"in_{c}") == 0, 1.0).otherwise(0.0)
+    error = sum((off(c) for c in counts[1:]), off(counts[0]))
+    best = sums.select("trial", F.round(error, 12).alias("error")).agg(F.min(F.struct("error", "trial")).alias("b")).select("b.trial", "b.error")
+    won = best.first()
+    if won is None or won["trial"] is None:
+        return best.select("trial", "error", F.array().cast("array<string>").alias("chosen"))
+    names = hash_ranked(groups, F.lit(0), digest(F.lit(str(won["trial"]))), group).where(F.col("rank") <= F.ceil(F.col("n") * share))
+    chosen = names.agg(F.sort_array(F.collect_list(group)).alias("chosen"))
+    return chosen.select(F.lit(won["trial"]).cast("long").alias("trial"), F.lit(won["error"]).cast("double").alias("error"), "chosen")
 
 
 def derangement(rows: DataFrame, key: str, value: str, seed: int, block: str | None = None) -> DataFrame:
     """``rows`` with the ``value`` of the next row in hash order, the last taking the first's; within ``block`` if given."""
-    order = Window.partitionBy(*([block] if block else [])).orderBy(hash_order(seed, F.col(key)), key)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.withColumn(f"next_{value}", F.coalesce(F.lead(value).over(order), F.first(value).over(whole)))
+    placed = hash_ranked(rows, F.col(block) if block else F.lit(0), hash_order(seed, F.col(key)), key)
+    after = placed.select("_block", F.when(F.col("rank") == 1, F.col("n")).otherwise(F.col("rank") - 1).alias("rank"), F.col(value).alias(f"next_{value}"))
+    return placed.join(after, ["_block", "rank"]).select(*rows.columns, f"next_{value}")
 
 
 def batches(rows: DataFrame, group: str, order: Sequence[str], size: int = 12) -> DataFrame:

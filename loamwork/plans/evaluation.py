@@ -173,15 +173,25 @@ f AS (SELECT *, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 12) A
 SELECT lang, f1, recall, precision, threshold, tp, fp, fn FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY f1 DESC, recall DESC, precision DESC, threshold DESC) AS rn FROM f) WHERE rn = 1"""
 
 
-def grid_search(spark, sf_dir):
-    grid = spark.range(21 * 11).select(F.col("id").alias("grid_id"), (F.floor(F.col("id") / 11) / 20).alias("j"), ((F.col("id") % 11) / 10).alias("s"))
-    return decide.grid_search(gold(spark, sf_dir), grid, decide.judged(F.col("probs"), F.col("j"), F.col("s")), "gold")
+TEMPERATURES = [0.5 + 0.05 * i for i in range(51)]
+THRESHOLDS = [i / 20 for i in range(21)]
 
 
-GRID_SQL = f"""{_G}, t AS (SELECT i AS grid_id, (i // 11) / 20.0 AS j, (i % 11) / 10.0 AS s FROM (SELECT unnest(range(231)) AS i)),
-k AS (SELECT grid_id, gold, CASE WHEN p1 + p2 < CAST(j AS DOUBLE) THEN CASE WHEN p3 >= p4 THEN 'INSUFFICIENT_CONTEXT' ELSE 'ENTITY_OR_TYPE_ERROR' END WHEN {_SUP} >= CAST(s AS DOUBLE) THEN 'SUPPORTED' ELSE 'NOT_SUPPORTED' END AS pred FROM g, t),
-c AS (SELECT grid_id, label, count(*) FILTER (gold = label AND pred = label) AS tp, count(*) FILTER (gold = label) + count(*) FILTER (pred = label) AS gp, count(*) FILTER (gold = label) AS ns FROM k, d GROUP BY ALL)
-SELECT grid_id, round(sum(coalesce(2.0 * tp / nullif(gp, 0), 0)) / 4, 9) AS macro_f1, round(1.0 * sum(tp) / sum(ns), 9) AS accuracy FROM c GROUP BY grid_id"""
+def grid_search(spark, sf_dir):
+    """The temperature of the least loss, then all pairs of 21 thresholds on the tempered vectors."""
+    rows = gold(spark, sf_dir)
+    t = decide.best_temperature(rows, "gold", TEMPERATURES).first()["temperature"]
+    scaled = rows.withColumn("probs", F.transform(V.tempered(F.col("probs"), t), lambda x: F.round(x, 9)))
+    return decide.judged_grid_search(scaled, "gold", THRESHOLDS, THRESHOLDS).withColumn("temperature", F.lit(round(t, 6)))
+
+
+GRID_SQL = f"""{_G}, ts AS (SELECT unnest({[round(t, 6) for t in TEMPERATURES]})::DOUBLE AS t), w AS (SELECT t, doc_id, gold, pow(p1, 1 / t) AS a, pow(p2, 1 / t) AS b, pow(p3, 1 / t) AS c, pow(p4, 1 / t) AS e FROM g, ts),
+z AS (SELECT t, doc_id, gold, a / (a + b + c + e) AS p1, b / (a + b + c + e) AS p2, c / (a + b + c + e) AS p3, e / (a + b + c + e) AS p4 FROM w),
+n AS (SELECT t, round(avg(-ln(CASE gold WHEN 'SUPPORTED' THEN p1 WHEN 'NOT_SUPPORTED' THEN p2 WHEN 'INSUFFICIENT_CONTEXT' THEN p3 ELSE p4 END)), 9) AS nll FROM z GROUP BY t),
+h AS (SELECT t, doc_id, gold, round(p1, 9) AS p1, round(p2, 9) AS p2, round(p3, 9) AS p3, round(p4, 9) AS p4 FROM z WHERE t = (SELECT t FROM n ORDER BY nll, t LIMIT 1)), j AS (SELECT unnest(range(21)) / 20.0::DOUBLE AS j), s AS (SELECT unnest(range(21)) / 20.0::DOUBLE AS s),
+k AS (SELECT t, j, s, gold, CASE WHEN p1 + p2 < j THEN CASE WHEN p3 >= p4 THEN 'INSUFFICIENT_CONTEXT' ELSE 'ENTITY_OR_TYPE_ERROR' END WHEN p1 / (p1 + p2) >= s THEN 'SUPPORTED' ELSE 'NOT_SUPPORTED' END AS pred FROM h, j, s),
+c AS (SELECT t, j, s, label, count(*) FILTER (gold = label AND pred = label) AS tp, count(*) FILTER (gold = label) + count(*) FILTER (pred = label) AS gp, count(*) FILTER (gold = label) AS ns FROM k, d GROUP BY ALL)
+SELECT j AS judgeability, s AS support, round(sum(coalesce(2.0 * tp / nullif(gp, 0), 0)) / 4, 9) AS macro_f1, round(1.0 * sum(tp) / sum(ns), 9) AS accuracy, t AS temperature FROM c GROUP BY t, j, s"""
 
 
 def training_weights(spark, sf_dir):

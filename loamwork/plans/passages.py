@@ -223,8 +223,7 @@ SELECT item_id, round(s[1], 6) AS best, round(coalesce(s[2], 0), 6) AS second, r
 
 def donors(spark, sf_dir):
     g = gold(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", "gold")
-    score = -F.abs(F.col("i.n_chars") - F.col("d.n_chars")).cast("double")
-    return passages.nearest_donor(g.where("gold = 'SUPPORTED'"), g.where("gold <> 'SUPPORTED'"), (("lang", "source"), ("source",), ("lang",)), score, "doc_id")
+    return passages.closest_donor(g.where("gold = 'SUPPORTED'"), g.where("gold <> 'SUPPORTED'"), (("lang", "source"), ("source",), ("lang",)), "n_chars", "doc_id")
 
 
 DONORS_SQL = f"""WITH g AS ({GOLD_SQL}), i AS (SELECT * FROM g WHERE gold = 'SUPPORTED'), d AS (SELECT * FROM g WHERE gold <> 'SUPPORTED'),

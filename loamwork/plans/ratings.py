@@ -111,10 +111,14 @@ SELECT CAST(replicate AS INT) AS replicate, round(2.0 * sum(ta) / (2 * sum(ta) +
 
 
 def bootstrap_clusters(spark, sf_dir):
-    """Rows only: clusters are numbered by a checksum."""
     return nine(resample.bootstrap_clusters(_correct(spark, sf_dir), "source", "ok", R, 23), "estimate")
 
 
+CLUSTERS_SQL = f"""WITH {_OK}, s AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS unit, sum(ok) AS s, count(*) AS c FROM g GROUP BY source), k AS (SELECT count(*) AS k FROM s),
+d AS (SELECT replicate, CAST(floor({_U("'23|' || replicate || '|' || draw")} * k) AS BIGINT) AS unit FROM (SELECT unnest(range({R})) AS replicate), (SELECT k, unnest(range(k)) AS draw FROM k))
+SELECT CAST(replicate AS INT) AS replicate, round(CAST(sum(s.s) AS DOUBLE) / sum(s.c), 6) AS estimate FROM d JOIN s USING (unit) GROUP BY replicate"""
+
+
 def _pairs(spark, sf_dir):
     return study.paired(study_rows(spark, sf_dir), "participant", "system", "score", ("click", "view"), ("role",))
 
@@ -252,7 +256,7 @@ QUERIES = {
     "allocation": allocation, "folds": folds, "balanced_trial": balanced_trial, "shuffled": shuffled, "prompt_batches": prompt_batches,
 }
 ORACLES = {
-    "kappa": KAPPA_SQL, "rating_table": RATING_SQL, "adjudication": ADJUDICATION_SQL, "bootstrap_items": ITEMS_SQL, "bootstrap_interval": INTERVAL_SQL, "bootstrap_two_stage": TWO_STAGE_SQL,
+    "kappa": KAPPA_SQL, "rating_table": RATING_SQL, "adjudication": ADJUDICATION_SQL, "bootstrap_items": ITEMS_SQL, "bootstrap_clusters": CLUSTERS_SQL, "bootstrap_interval": INTERVAL_SQL, "bootstrap_two_stage": TWO_STAGE_SQL,
     "bootstrap_strata": STRATA_SQL, "paired_difference": PAIRED_SQL, "paired_study": STUDY_T_SQL, "log_ratio": LOG_SQL, "study_anova": ANOVA_SQL, "study_reliability": ICC_SQL, "study_summary": SUMMARY_SQL,
     "holm": HOLM_SQL, "stratified_sample": SAMPLE_SQL, "split_positions": SPLIT_SQL, "allocation": ALLOCATION_SQL, "balanced_trial": BALANCED_SQL, "shuffled": SHUFFLED_SQL, "prompt_batches": BATCH_SQL,
 }
