@@ -220,3 +220,21 @@ def best_policy(policies: DataFrame) -> DataFrame:
     """The policy of the greatest (f1, recall, precision); ties go to the first family and parameters in order."""
     key = F.struct((-F.col("f1")).alias("a"), (-F.col("recall")).alias("b"), (-F.col("precision")).alias("c"), "family", "parameters", "tp", "fp", "fn", "f1", "recall", "precision")
     return policies.agg(F.min(key).alias("x")).select("x.family", "x.parameters", "x.tp", "x.fp", "x.fn", "x.precision", "x.recall", "x.f1")
+
+
+def best_epoch(log: DataFrame, run: Sequence[str], epoch: str, score: str, patience: int, least: float = 1e-6) -> DataFrame:
+    """``run``, best_epoch, best_score, last_epoch: a run ends when ``patience`` epochs in a row gain no more than ``least``.
+
+    A run's epochs are folded in order; a null score gains nothing.
+    """
+    kind = "struct<best:double,at:long,waited:int,last:long>"
+    start = F.struct(F.lit(None).alias("best"), F.lit(None).alias("at"), F.lit(0).alias("waited"), F.lit(None).alias("last")).cast(kind)
+
+    def step(acc: Column, x: Column) -> Column:
+        gains = F.coalesce(acc["best"].isNull() & x["score"].isNotNull() | (x["score"] > acc["best"] + least), F.lit(False))
+        better = F.struct(x["score"].alias("best"), x["epoch"].alias("at"), F.lit(0).alias("waited"), x["epoch"].alias("last")).cast(kind)
+        worse = F.struct(acc["best"].alias("best"), acc["at"].alias("at"), (acc["waited"] + 1).alias("waited"), x["epoch"].alias("last")).cast(kind)
+        return F.when(acc["waited"] >= patience, acc).when(gains, better).otherwise(worse)
+
+    rows = log.groupBy(*run).agg(F.sort_array(F.collect_list(F.struct(F.col(epoch).cast("long").alias("epoch"), F.col(score).cast("double").alias("score")))).alias("log"))
+    return rows.select(*run, F.aggregate("log", start, step).alias("r")).select(*run, F.col("r.at").alias("best_epoch"), F.col("r.best").alias("best_score"), F.col("r.last").alias("last_epoch"))

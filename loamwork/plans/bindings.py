@@ -12,7 +12,7 @@ from loamwork.sources.tables import table
 #: Edges of all relations: one row an edge record, several records a (head, tail) pair. Ingredients are parts, recipes
 #: are customers (of all that they bought), diseases are nations of customers, meridians are nations of suppliers.
 EDGES_SQL = """
-WITH line AS (SELECT l_orderkey * 10 + l_linenumber AS edge_id, CASE WHEN l_quantity >= 40 THEN 4 WHEN l_quantity >= 25 THEN 3 WHEN l_quantity >= 10 THEN 2 ELSE 1 END AS authority_rank,
+WITH line AS (SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey AS edge_id, CASE WHEN l_quantity >= 40 THEN 4 WHEN l_quantity >= 25 THEN 3 WHEN l_quantity >= 10 THEN 2 ELSE 1 END AS authority_rank,
   CAST(l_orderkey % 3 + 1 AS INT) AS books, CAST(l_linenumber AS INT) AS support, l_discount AS confidence, o_custkey, 'd' || CAST(c_nationkey AS VARCHAR) AS disease, l_partkey, l_suppkey, l_returnflag
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
 e AS (
@@ -36,7 +36,7 @@ def edges(spark: SparkSession, sf_dir: str, relations: tuple[str, ...]) -> DataF
     disease = F.concat(F.lit("d"), text("c_nationkey"))
     quantity = F.col("l_quantity")
     line = t("lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("edge_id"),
         F.when(quantity >= 40, 4).when(quantity >= 25, 3).when(quantity >= 10, 2).otherwise(1).alias("authority_rank"),
         (F.col("l_orderkey") % 3 + 1).cast("int").alias("books"), F.col("l_linenumber").alias("support"), F.col("l_discount").alias("confidence"),
         "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag",

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+import zipfile
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,8 @@ from pyspark.sql import types as T
 from loamwork.sources import contracts
 from loamwork.sources.schemas import LABELLED_ITEM, PATH_RECORD
 
+BYTE_ORDER_MARK = "\ufeff"
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines, plain or gzip; blank lines are skipped, a line that is no object of the schema fails the job."""
@@ -28,6 +33,24 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
+def csv_shape(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """Number of rows and names of the fields, without a byte order mark."""
+    df = read_csv(spark, path)
+    return df.count(), [c.removeprefix(BYTE_ORDER_MARK) for c in df.columns]
+
+
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """(path, member, bytes) of the members of all archives at a path; an archive is read whole."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                members = zipfile.ZipFile(io.BytesIO(content)).infolist()
+                yield pa.record_batch([pa.array([name] * len(members), pa.string()), pa.array([m.filename for m in members], pa.string()), pa.array([m.file_size for m in members], pa.int64())], names=["path", "member", "bytes"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(listed, "path string, member string, bytes long")
+
+
 def read_labelled_items(spark: SparkSession, path: str, split: str) -> DataFrame:
     contracts.labelled_split(split)
     return contracts.holds(read_jsonl(spark, path, LABELLED_ITEM), F.col("label").isNotNull(), "label is required")
@@ -76,9 +99,12 @@ def write_jsonl(df: DataFrame, path: str, compression: str = "none") -> None:
     df.write.mode("error").option("compression", compression).option("ignoreNullFields", False).json(path)
 
 
-def write_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
-    """Only ``fields``, in their order, with a header."""
-    df.select(*fields).write.mode("error").option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, fields: Sequence[str], mark: bool = False) -> None:
+    """Only ``fields``, in their order, with a header, before which ``mark`` puts a byte order mark."""
+    out = df.select(*fields)
+    if mark:
+        out = out.withColumnRenamed(fields[0], BYTE_ORDER_MARK + fields[0])
+    out.write.mode("error").option("header", True).option("escape", '"').csv(path)
 
 
 def write_bio(tags: DataFrame, path: str, text_col: str = "text") -> None:
