@@ -5,8 +5,8 @@ bands of four rows bring units into buckets: at similarity 0.8, 24 bands miss a
 
 1. Small buckets compare their members' sketches, one byte of each of 48 MinHash values, in steps. After each step a
    pair is dropped if, given its matches so far, the posterior probability (uniform prior) that its similarity reaches
-   the threshold is below ``TOLERANCE``. Members of a larger bucket are all tied to its first member unpruned. Either
-   way a bucket gives a number of edges that is linear in its size.
+   the threshold is below ``TOLERANCE``; of those left a spanning forest goes on. Members of a bucket of more than
+   ``SMALL_BUCKET`` are all tied to its first member unpruned. Either way a bucket gives fewer edges than it has members.
 2. The edges' connected components hold every candidate pair. Components are dealt into bins; one of more than ``TILE``
    units is dealt into tiles, and every pair of its tiles is a task, so that no group lies whole in a task.
 3. In a task all pairs are pruned again in the same way by whole MinHash values, and those left are verified exactly
@@ -33,7 +33,7 @@ from loamwork.sources.tables import table
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, SKETCH = 24, 4, 48
 TOLERANCE, STEP = 1e-6, 16
-SMALL_BUCKET, HOT_PARTS = 16, 1000
+SMALL_BUCKET, HOT_PARTS = 64, 1000
 TILE, BIN_UNITS = 512, 1500
 
 _K = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)
@@ -138,6 +138,22 @@ def band_rows(units: DataFrame) -> DataFrame:
     return units.select("rid", "marks").mapInArrow(banded, "bucket long, rid long, sketch binary")
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the edges (a, b) connect, one for each node but the least of its part."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[: len(a)], at[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[left], label[right])
+        np.minimum.at(label, left, low)
+        np.minimum.at(label, right, low)
+        label = label[label]
+        if (before == label).all():
+            some = label != np.arange(len(names))
+            return names[label[some]], names[some]
+
+
 def bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges (a, b) of buckets that come sorted by (bucket, size known or not, rid).
 
@@ -160,8 +176,7 @@ def bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = at[survive(sketch[at], sketch[at + shift])]
             found.append((rid[keep], rid[keep + shift]))
         a, b = (np.concatenate([x[i] for x in found]) for i in (0, 1))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        return pa.record_batch([pa.array(x) for x in spanning(a, b)], names=["a", "b"])
 
     def columns(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows = pa.Table.from_batches(parts).combine_chunks()
