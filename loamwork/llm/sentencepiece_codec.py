@@ -35,7 +35,7 @@ N_BEST = 4
 LONG, UNIT = 512, 2.0**-16
 SLOT_BITS, SLOT_FACTOR = 20, np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text whose distinct segments are looked up together.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 20
 RESULT = "doc_id long, n_pieces int, score double, ids array<int>, nbest_scores array<double>, alternatives array<array<struct<at:int,drop:int,ids:array<int>>>>, round_trip boolean"
 
 
@@ -101,7 +101,7 @@ class Lattice:
         self.flat = np.frombuffer(b"".join(p if p else b"" for p in self.spelled()), np.uint8)
         sizes = np.array([len(p) for p in self.spelled()], np.int64)
         self.piece_size, self.piece_at = sizes, np.cumsum(sizes) - sizes
-        self.remembered = functools.lru_cache(1 << 17)(self._nbest)
+        self.remembered = functools.lru_cache(1 << 16)(self._nbest)
 
     def spelled(self) -> list[bytes]:
         out = list(self.v.pieces)
