@@ -46,3 +46,18 @@ def test_rows_keep_together_and_slots_are_gapless(docs_of):
 
 def test_empty_table(docs_of):
     assert sharding.shard_documents(docs_of([])).count() == 0
+
+
+def test_shards_of_a_whole_table_have_the_sums_of_plain_lpt(spark, docs_of):
+    random.seed(6)
+    rows = [(i, "x" * random.choice([0, 1, 5, 5, 5, 40, 41, 300, 2000]) + random.choice(["", "a", "é"])) for i in range(500)] + [(900, "y" * 1_000_000), (901, "y" * 1_000_000)]
+    docs = docs_of(rows)
+    for name in ("key", "salt", "size", "shard", "bucket"):
+        docs = docs.withColumn(name, docs.lang)
+    out = sharding.shard_documents(docs, 7).collect()
+    groups, sums = {}, dict.fromkeys(range(7), 0)
+    for _, text in rows:
+        groups[text] = groups.get(text, 0) + len(text.encode()) + 16
+    for r in out:
+        sums[r.shard] += r.size
+    assert sorted(sums.items()) == plain_lpt(groups.values(), 7)
