@@ -12,7 +12,7 @@ from loamwork.functions import distributions as D
 
 def duration(raw: Column, start: Column, end: Column) -> Column:
     """Seconds: the stated value, else the timestamps' difference."""
-    return F.coalesce(raw.cast("double"), (F.unix_micros(end) - F.unix_micros(start)) / 1e6)
+    return F.coalesce(raw.cast("double"), (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6)
 
 
 def row_total(flag: Column, scores: Sequence[Column]) -> Column:

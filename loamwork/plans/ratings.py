@@ -8,6 +8,7 @@ from loamwork.operators import agreement, resample, splits, study
 from loamwork.plans.bindings import GOLD_SQL, LABELS, RATER_SQL, STUDY_SQL, gold, raters
 from loamwork.plans.bindings import study as study_rows
 from loamwork.plans.evaluation import nine
+from loamwork.sources.tables import table
 
 _U = lambda key: f"('0x' || substr(sha256({key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 R = 60
@@ -135,10 +136,20 @@ SELECT role, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(sd / sqrt(n),
 
 
 def paired_tests(spark, sf_dir):
-    """Rows only: with p-values and t intervals."""
+    """With p-values and t intervals."""
     return nine(study.with_tests(study.paired_statistics(_pairs(spark, sf_dir))), "mean", "sd", "se", "t", "dz", "p_value", "low", "high")
 
 
+#: The t distribution by the trapezoid rule over its angle: with t = sqrt(df) * tan(a) its density is cos(a) ** (df - 1).
+TESTS_SQL = f"""WITH {_PAIR}, st AS (SELECT count(*) AS n, avg(difference) AS mean, stddev_samp(difference) AS sd, stddev_samp(difference) / sqrt(count(*)) AS se, count(*) - 1 AS df FROM p),
+a AS (SELECT i, i / 200000.0::DOUBLE * pi() / 2 AS a, pow(greatest(cos(i / 200000.0::DOUBLE * pi() / 2), 0), df - 1) AS f FROM st, (SELECT unnest(range(200001)) AS i)),
+c AS (SELECT i, a, sum(f) OVER (ORDER BY i) - f / 2 - 0.5 AS c FROM a), whole AS (SELECT max(c) AS c FROM c),
+x AS (SELECT c.i, c.a, c.c / whole.c AS c, lead(c.a) OVER (ORDER BY c.i) AS a2, lead(c.c / whole.c) OVER (ORDER BY c.i) AS c2 FROM c, whole),
+q AS (SELECT sqrt(df) * tan(a + (a2 - a) * (0.95 - c) / (c2 - c)) AS q FROM x, st WHERE c <= 0.95 AND c2 > 0.95),
+t AS (SELECT 1 - (c + (c2 - c) * (atan(abs(mean / se) / sqrt(df)) - a) / (a2 - a)) AS p FROM x, st WHERE a <= atan(abs(mean / se) / sqrt(df)) AND a2 > atan(abs(mean / se) / sqrt(df)))
+SELECT n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(se, 6) AS se, round(mean / se, 6) AS t, df, round(mean / sd, 6) AS dz, round(t.p, 6) AS p_value, round(mean - q * se, 6) AS low, round(mean + q * se, 6) AS high FROM st, q, t"""
+
+
 def log_ratio(spark, sf_dir):
     """Geometric mean ratio of two systems."""
     rows = _pairs(spark, sf_dir).where("click > 0 AND view > 0").select(F.log(F.col("click") / F.col("view")).alias("difference"))
@@ -187,10 +198,32 @@ SELECT name, round(CAST(p AS DOUBLE), 6) AS p, round(CAST(max(least(1, p * (m -
 
 
 def preference(spark, sf_dir):
-    """Rows only: exact binomial p-value."""
+    """Exact binomial p-value."""
     return nine(study.preference(_pairs(spark, sf_dir), "click", "view"), "p_value")
 
 
+PREFERENCE_SQL = f"""WITH {_PAIR}, k AS (SELECT count(*) FILTER (click > view) AS k, count(*) FILTER (click <> view) AS n FROM p),
+l AS (SELECT k, n, i, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5) AS l FROM (SELECT k, n, unnest(range(n + 1)) AS i FROM k)), a AS (SELECT l AS here FROM l WHERE i = k)
+SELECT k, n, round(least(1.0, sum(exp(l)) FILTER (l <= here + 1e-7)), 6) AS p_value FROM l, a GROUP BY k, n"""
+
+
+def study_inputs(spark, sf_dir):
+    """Durations, totals, weighted ratings and numbers out of task logs, by system."""
+    e = table(spark, sf_dir, "events")
+    k = study.number(F.get_json_object("props", "$.k"))
+    raw = F.when(F.col("event_id") % 3 == 0, F.col("value"))
+    scores = [k, F.when(F.col("event_id") % 7 > 0, F.col("value")), F.col("user_id").cast("double")]
+    weights = [(F.col("event_id") % 4).cast("double"), (F.col("user_id") % 2).cast("double"), F.lit(0.0)]
+    rows = e.select("event_type", study.duration(raw, F.col("ts"), F.timestamp_micros((F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") * 1000).cast("long"))).alias("seconds"), study.row_total(F.when(F.col("user_id") % 5 == 0, "y"), scores).alias("total"), study.weighted_rating([F.col("value"), k, k], weights).alias("rating"), study.number(F.col("event_type")).alias("none"))
+    out = rows.groupBy("event_type").agg(*(f(c).alias(f"{name}_{c}") for c in ("seconds", "total", "rating") for name, f in (("n", F.count), ("mean", F.avg))), F.count("none").alias("n_none"))
+    return nine(out, "mean_seconds", "mean_total", "mean_rating")
+
+
+INPUTS_SQL = """WITH x AS (SELECT event_type, event_id, user_id, value, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CASE WHEN event_id % 3 = 0 THEN value ELSE event_id / 1000.0::DOUBLE END AS seconds FROM events),
+y AS (SELECT *, CASE WHEN user_id % 5 = 0 THEN NULL ELSE k + CASE WHEN event_id % 7 > 0 THEN value END + user_id END AS total, (value * (event_id % 4) + k * (user_id % 2)) / nullif(event_id % 4 + user_id % 2, 0) AS rating FROM x)
+SELECT event_type, count(seconds) AS n_seconds, round(avg(seconds), 6) AS mean_seconds, count(total) AS n_total, round(avg(total), 6) AS mean_total, count(rating) AS n_rating, round(avg(rating), 6) AS mean_rating, count(TRY_CAST(event_type AS DOUBLE)) AS n_none FROM y GROUP BY event_type"""
+
+
 _H = lambda seed: f"sha256('{seed}|' || doc_id)"
 
 
@@ -251,12 +284,12 @@ BATCH_SQL = f"WITH {_OK} SELECT doc_id, source, CAST((row_number() OVER (PARTITI
 
 QUERIES = {
     "kappa": kappa, "rating_table": rating_table, "adjudication": adjudication, "bootstrap_items": bootstrap_items, "bootstrap_interval": bootstrap_interval, "bootstrap_two_stage": bootstrap_two_stage,
-    "bootstrap_strata": bootstrap_strata, "paired_difference": paired_difference, "bootstrap_clusters": bootstrap_clusters, "paired_study": paired_study, "paired_tests": paired_tests, "log_ratio": log_ratio,
+    "bootstrap_strata": bootstrap_strata, "paired_difference": paired_difference, "bootstrap_clusters": bootstrap_clusters, "paired_study": paired_study, "paired_tests": paired_tests, "study_inputs": study_inputs, "log_ratio": log_ratio,
     "study_anova": study_anova, "study_reliability": study_reliability, "study_summary": study_summary, "holm": holm, "preference": preference, "stratified_sample": stratified_sample, "split_positions": split_positions,
     "allocation": allocation, "folds": folds, "balanced_trial": balanced_trial, "shuffled": shuffled, "prompt_batches": prompt_batches,
 }
 ORACLES = {
-    "kappa": KAPPA_SQL, "rating_table": RATING_SQL, "adjudication": ADJUDICATION_SQL, "bootstrap_items": ITEMS_SQL, "bootstrap_clusters": CLUSTERS_SQL, "bootstrap_interval": INTERVAL_SQL, "bootstrap_two_stage": TWO_STAGE_SQL,
+    "kappa": KAPPA_SQL, "rating_table": RATING_SQL, "adjudication": ADJUDICATION_SQL, "bootstrap_items": ITEMS_SQL, "bootstrap_clusters": CLUSTERS_SQL, "paired_tests": TESTS_SQL, "preference": PREFERENCE_SQL, "study_inputs": INPUTS_SQL, "bootstrap_interval": INTERVAL_SQL, "bootstrap_two_stage": TWO_STAGE_SQL,
     "bootstrap_strata": STRATA_SQL, "paired_difference": PAIRED_SQL, "paired_study": STUDY_T_SQL, "log_ratio": LOG_SQL, "study_anova": ANOVA_SQL, "study_reliability": ICC_SQL, "study_summary": SUMMARY_SQL,
     "holm": HOLM_SQL, "stratified_sample": SAMPLE_SQL, "split_positions": SPLIT_SQL, "allocation": ALLOCATION_SQL, "balanced_trial": BALANCED_SQL, "shuffled": SHUFFLED_SQL, "prompt_batches": BATCH_SQL,
 }
