@@ -123,12 +123,14 @@ def propagated(edges: DataFrame) -> DataFrame:
 def flattened(found: DataFrame, edges: DataFrame, relations: Sequence[str], most: int = 3) -> DataFrame:
     """``found`` with its path's edges in columns ``edge1_...``, the least authority of them and their distinct books in order of the path.
 
-    ``relations`` names the relation of each edge of the path; edges that a shorter path lacks are null.
+    ``relations`` names the relation of each edge of the path; edges that a shorter path lacks are null. Of records with
+    one id in a relation the one of the greatest score counts.
     """
     out = found
     for i in range(most):
         if i < len(relations):
-            own = edges.where(F.col("relation") == relations[i]).dropDuplicates(["edge_id"]).select(F.col("edge_id").alias("_id"), *(F.col(c).alias(f"edge{i + 1}_{c}") for c in ("relation", "head", "tail", "authority_rank", "books")))
+            best = edges.where(F.col("relation") == relations[i]).groupBy("edge_id").agg(F.max(F.struct(*SCORE, "relation", "head", "tail")).alias("e"))
+            own = best.select(F.col("edge_id").alias("_id"), *(F.col(f"e.{c}").alias(f"edge{i + 1}_{c}") for c in ("relation", "head", "tail", "authority_rank", "books")))
             out = out.join(own, F.get("path", F.lit(i)) == F.col("_id"), "left").drop("_id")
         else:
             kinds = {"authority_rank": "int", "books": "int"}

@@ -88,7 +88,7 @@ def flattened_candidates(spark, sf_dir):
     return flat.select("head", "tail", "edge1_tail", "edge1_authority_rank", "edge2_tail", "edge3_head", "path_authority", "path_books")
 
 
-FLATTENED_SQL = f"""WITH f AS ({B1_SQL}), e AS (SELECT * FROM ({EDGES_SQL} SELECT * FROM e))
+FLATTENED_SQL = f"""WITH f AS ({B1_SQL}), e AS (SELECT * FROM ({EDGES_SQL} SELECT *, row_number() OVER (PARTITION BY relation, edge_id ORDER BY authority_rank DESC, books DESC, support DESC, confidence DESC, head DESC, tail DESC) AS rn FROM e) WHERE rn = 1)
 SELECT f.head, f.tail, a.tail AS edge1_tail, a.authority_rank AS edge1_authority_rank, b.tail AS edge2_tail, c.head AS edge3_head, least(a.authority_rank, b.authority_rank, c.authority_rank) AS path_authority,
   array_to_string([a.books::VARCHAR] || CASE WHEN b.books <> a.books THEN [b.books::VARCHAR] ELSE []::VARCHAR[] END || CASE WHEN c.books <> a.books AND c.books <> b.books THEN [c.books::VARCHAR] ELSE []::VARCHAR[] END, ';') AS path_books
 FROM f JOIN e a ON a.relation = 'entersmeridian' AND a.edge_id = f.path[1] JOIN e b ON b.relation = 'correspondsToOrgan' AND b.edge_id = f.path[2] JOIN e c ON c.relation = 'affectsOrgan' AND c.edge_id = f.path[3]"""
