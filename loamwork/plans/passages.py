@@ -109,14 +109,33 @@ SELECT doc_id, md5(CASE WHEN st > 0 THEN '…' ELSE '' END || substr(text, CAST(
 
 
 def evidence_windows(spark, sf_dir):
-    """Rows only: marked windows around two spans."""
+    """Marked windows around two spans, one near the text's beginning and one near its end."""
     d = table(spark, sf_dir, "documents")
-    head, tail = F.substr("text", F.lit(5), F.lit(6)), F.substr("text", F.length("text") - 8, F.lit(7))
+    head, tail = F.substr("text", F.lit(5), F.lit(6)), F.substr("text", F.greatest(F.length("text") - 8, F.lit(1)), F.lit(7))
     h = X.located(F.col("text"), head, F.lit(4), F.lit(10))
     t = X.located(F.col("text"), tail, F.lit(-1), F.lit(-1))
     return d.select("doc_id", F.md5(X.evidence_window(F.col("text"), h, t, 1200)).alias("digest"))
 
 
+def _marked_sql(low: str, high: str) -> str:
+    """The stretch from ``low`` to ``high`` with the spans hs:he and ts:te that lie in it marked, unless they cross."""
+    cut = lambda a, b: f"substr(text, CAST({a} + 1 AS INT), CAST(greatest({b} - ({a}), 0) AS INT))"
+    h, t = (f"({s}s >= 0 AND {s}s >= {low} AND {s}e <= {high})" for s in "ht")
+    one = lambda s, a: f"{cut(a, s + 's')} || '[{s.upper()}]' || {cut(s + 's', s + 'e')} || '[/{s.upper()}]'"
+    both = f"CASE WHEN hs <= ts THEN {one('h', low)} || {one('t', 'he')} || {cut('te', high)} ELSE {one('t', low)} || {one('h', 'te')} || {cut('he', high)} END"
+    return f"CASE WHEN {h} AND {t} AND hs < te AND ts < he THEN {cut(low, high)} WHEN {h} AND {t} THEN {both} WHEN {h} THEN {one('h', low)} || {cut('he', high)} WHEN {t} THEN {one('t', low)} || {cut('te', high)} ELSE {cut(low, high)} END"
+
+
+EVIDENCE_SQL = f"""WITH s AS (SELECT doc_id, text, length(text) AS n, substr(text, 5, 6) AS hp, substr(text, CAST(greatest(length(text) - 8, 1) AS INT), 7) AS tp FROM documents),
+p AS (SELECT *, CASE WHEN n >= 10 THEN 4 WHEN hp = '' THEN -1 ELSE instr(text, hp) - 1 END AS hs, CASE WHEN tp = '' THEN -1 ELSE instr(text, tp) - 1 END AS ts FROM s),
+q AS (SELECT *, CASE WHEN hs >= 0 THEN hs + length(hp) ELSE -1 END AS he, CASE WHEN ts >= 0 THEN ts + length(tp) ELSE -1 END AS te FROM p),
+r AS (SELECT *, CASE WHEN hs >= 0 AND ts >= 0 THEN least(hs, ts) WHEN hs >= 0 THEN hs ELSE ts END AS l, greatest(he, te) AS r FROM q),
+w AS (SELECT *, greatest(0, l - CAST(floor((1200 - (r - l)) / 2.0) AS BIGINT)) AS a FROM r), x AS (SELECT *, least(n, r + (1200 - (r - l)) - (l - a)) AS b FROM w), y AS (SELECT *, greatest(0, b - 1200) AS c FROM x),
+z AS (SELECT *, least(n, greatest(0, hs - 300) + 600) AS hb, least(n, greatest(0, ts - 300) + 600) AS tb FROM y), k AS (SELECT *, greatest(0, hb - 600) AS ha, greatest(0, tb - 600) AS ta FROM z)
+SELECT doc_id, md5(CASE WHEN hs < 0 AND ts < 0 THEN substr(text, 1, 1200) WHEN r - l <= 1200 THEN {_marked_sql('c', 'b')}
+  ELSE concat_ws(' [BRIDGE] ', CASE WHEN hs >= 0 THEN {_marked_sql('ha', 'hb')} END, CASE WHEN ts >= 0 THEN {_marked_sql('ta', 'tb')} END) END) AS digest FROM k"""
+
+
 def omission_masks(spark, sf_dir):
     """Characters masked at equal length when evidence is left out."""
     d = table(spark, sf_dir, "documents")
@@ -196,12 +215,19 @@ SELECT record_id, CAST(i - 1 AS INT) AS start, CAST(i - 1 + length(lex.text) AS
 
 
 def longest_matches(spark, sf_dir):
-    """Rows only: the greedy choice among a document's matches, and back from BIO tags."""
+    """The greedy choice among a document's matches, longest first, to BIO tags and back."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "text")
     kept = spans.without_overlap(lexicon_matches(spark, sf_dir))
     return spans.spans_from_tags(spans.bio_tags(docs, kept))
 
 
+LONGEST_SQL = f"""WITH RECURSIVE m AS ({LEXICON_SQL}), c AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY "end" - start DESC, start, n DESC, label, text) AS rk FROM m),
+g AS (SELECT record_id, CAST(0 AS BIGINT) AS rk, CAST([] AS STRUCT(a INT, b INT, label VARCHAR)[]) AS kept FROM c WHERE rk = 1
+UNION ALL SELECT g.record_id, c.rk, CASE WHEN len([x FOR x IN kept IF x.a < c."end" AND c.start < x.b]) > 0 THEN kept ELSE list_append(kept, {{'a': c.start, 'b': c."end", 'label': c.label}}) END FROM g JOIN c ON c.record_id = g.record_id AND c.rk = g.rk + 1),
+f AS (SELECT record_id, unnest(arg_max(kept, rk)) AS x FROM g GROUP BY record_id)
+SELECT record_id, x.a AS start, x.b AS "end", x.label AS label FROM f"""
+
+
 def retrieval(spark, sf_dir):
     """Best and second similarity of an item's lines to its first 24 characters, by character TF-IDF."""
     b = table(spark, sf_dir, "benchmark")
@@ -367,7 +393,7 @@ QUERIES = {
 }
 ORACLES = {
     "text_segments": SEGMENTS_SQL, "text_measures": MEASURES_SQL, "span_tokens": TOKENS_SQL, "located_spans": LOCATED_SQL, "offset_integrity": INTEGRITY_SQL, "bigram_sets": BIGRAM_SQL,
-    "window_plan": WINDOW_SQL, "context_windows": CONTEXT_SQL, "omission_masks": OMISSION_SQL, "stable_ids": STABLE_SQL, "salvaged_decisions": SALVAGED_SQL, "page_split": PAGE_SQL,
+    "window_plan": WINDOW_SQL, "context_windows": CONTEXT_SQL, "evidence_windows": EVIDENCE_SQL, "longest_matches": LONGEST_SQL, "omission_masks": OMISSION_SQL, "stable_ids": STABLE_SQL, "salvaged_decisions": SALVAGED_SQL, "page_split": PAGE_SQL,
     "character_errors": CER_SQL, "lexicon_matches": LEXICON_SQL, "retrieval": RETRIEVAL_SQL, "donors": DONORS_SQL, "identity_lexicon": IDENTITY_SQL, "identity_features": IDENTITY_F_SQL,
     "majorities": MAJORITY_SQL, "vocabulary": VOCABULARY_SQL, "crosswalk_summary": CROSSWALK_SQL, "coverage_counters": COUNTERS_SQL, "payload_long": PAYLOAD_SQL, "seed_means": SEED_SQL,
     "intervention_effects": EFFECTS_SQL, "key_sets": SETS_SQL, "long_scores": LONG_SQL,
