@@ -73,7 +73,7 @@ def group_folds(rows: DataFrame, group: str, label: str, labels: Sequence[str],
     dealt = []
     for name, c in sorted(found, key=lambda x: (-sum(x[1]), x[0])):
         spread = lambda f: sum(((h[i] + (c[i] if k == f else 0)) / total[i]) ** 2 for k, h in enumerate(held) for i in range(len(labels)))  # noqa: B023, E731
-        best = min(range(folds), key=lambda f: (spread(f), sum(held[f]), f))
+        best = min(range(folds), key=lambda f: (round(spread(f), 9), sum(held[f]), f))
         held[best] = [a + b for a, b in zip(held[best], c, strict=True)]
         dealt.append((name, best))
     by_unit = rows.sparkSession.createDataFrame(dealt, "_unit string, fold int")

@@ -253,10 +253,19 @@ SELECT source, size, CAST(least(fl + CASE WHEN place <= spare THEN 1 ELSE 0 END,
 
 
 def folds(spark, sf_dir):
-    """Rows only: folds by source with even labels."""
+    """Folds by source with even labels."""
     return splits.group_folds(gold(spark, sf_dir).select("doc_id", "source", "gold"), "source", "gold", LABELS, 5)
 
 
+#: A step a source, largest first; ``h`` holds five folds of four counts. All sources are units of their own here.
+_GAIN = "round(list_sum([pow((h[j + 1] + CASE WHEN j // 4 = f THEN c[j % 4 + 1] ELSE 0 END) / t[j % 4 + 1], 2) FOR j IN range(20)]), 9)"
+FOLDS_SQL = f"""WITH RECURSIVE g AS ({GOLD_SQL}), n AS (SELECT source, [{', '.join(f"count(*) FILTER (gold = '{x}')::DOUBLE" for x in LABELS)}] AS c, count(*) AS s FROM g GROUP BY source),
+u AS (SELECT source, c, row_number() OVER (ORDER BY s DESC, source) AS rk FROM n), w AS (SELECT [{', '.join(f"greatest(count(*) FILTER (gold = '{x}'), 1)::DOUBLE" for x in LABELS)}] AS t FROM g),
+r AS (SELECT CAST(0 AS BIGINT) AS rk, CAST([0 FOR i IN range(20)] AS DOUBLE[]) AS h, '' AS source, CAST(-1 AS BIGINT) AS fold
+UNION ALL SELECT rk, [h[j + 1] + CASE WHEN j // 4 = b THEN c[j % 4 + 1] ELSE 0 END FOR j IN range(20)], source, b FROM (SELECT u.rk, u.source, c, h, list_sort([{{'s': {_GAIN}, 'n': list_sum(h[f * 4 + 1:f * 4 + 4]), 'f': f}} FOR f IN range(5)])[1].f AS b FROM r JOIN u ON u.rk = r.rk + 1, w))
+SELECT doc_id, g.source, gold, CAST(fold AS INT) AS fold FROM g JOIN r ON r.source = g.source"""
+
+
 def balanced_trial(spark, sf_dir):
     g = _correct(spark, sf_dir).groupBy("source").agg(F.count_if(F.col("ok") == 1).alias("yes"), F.count_if(F.col("ok") == 0).alias("no"))
     return splits.balanced_split(g, "source", ("yes", "no"), 50, 0.3, 41).select("trial", F.round("error", 6).alias("error"), F.array_join("chosen", ",").alias("chosen"))
@@ -289,7 +298,7 @@ QUERIES = {
     "allocation": allocation, "folds": folds, "balanced_trial": balanced_trial, "shuffled": shuffled, "prompt_batches": prompt_batches,
 }
 ORACLES = {
-    "kappa": KAPPA_SQL, "rating_table": RATING_SQL, "adjudication": ADJUDICATION_SQL, "bootstrap_items": ITEMS_SQL, "bootstrap_clusters": CLUSTERS_SQL, "paired_tests": TESTS_SQL, "preference": PREFERENCE_SQL, "study_inputs": INPUTS_SQL, "bootstrap_interval": INTERVAL_SQL, "bootstrap_two_stage": TWO_STAGE_SQL,
+    "kappa": KAPPA_SQL, "rating_table": RATING_SQL, "adjudication": ADJUDICATION_SQL, "bootstrap_items": ITEMS_SQL, "bootstrap_clusters": CLUSTERS_SQL, "folds": FOLDS_SQL, "paired_tests": TESTS_SQL, "preference": PREFERENCE_SQL, "study_inputs": INPUTS_SQL, "bootstrap_interval": INTERVAL_SQL, "bootstrap_two_stage": TWO_STAGE_SQL,
     "bootstrap_strata": STRATA_SQL, "paired_difference": PAIRED_SQL, "paired_study": STUDY_T_SQL, "log_ratio": LOG_SQL, "study_anova": ANOVA_SQL, "study_reliability": ICC_SQL, "study_summary": SUMMARY_SQL,
     "holm": HOLM_SQL, "stratified_sample": SAMPLE_SQL, "split_positions": SPLIT_SQL, "allocation": ALLOCATION_SQL, "balanced_trial": BALANCED_SQL, "shuffled": SHUFFLED_SQL, "prompt_batches": BATCH_SQL,
 }
