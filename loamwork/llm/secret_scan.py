@@ -126,7 +126,12 @@ def classified(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, id_col: str = "
 
 
 def scan(docs: DataFrame, **options) -> DataFrame:
-    """One row a document: counts of the base kinds, their digest, and all spans as ``kind:start:end``."""
+    """One row a row of ``docs``: doc_id, counts of the base kinds, the digest of their spans, all spans as ``kind:start:end``, and counts by class.
+
+    A null text counts as empty and has no span; the digest is then that of an empty text. Repeated rows get equal
+    answers, an empty table gives no rows, other columns make no difference, and texts of any length are taken whole.
+    Spans that begin at one place come in the order of ``KINDS``.
+    """
     rows = classified(docs, **options)
     count = lambda name: F.size(F.filter("spans", lambda s: s["name"] == name)).cast("long").alias(f"n_{name}")
     return rows.select(
