@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +51,25 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(listed, "path string, member string, bytes long")
 
 
+def structures(spark: SparkSession, path: str) -> DataFrame:
+    """(path, records, damaged) of all ``.jsonl`` and ``.json`` files below a folder.
+
+    A record is a line that is not blank, or a whole ``.json`` file; it is damaged if it is no JSON, or a line no object.
+    """
+    read = lambda glob, whole: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=whole).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("value"))
+    sound = F.try_parse_json("value").isNotNull()
+    lines = read("*.jsonl", False).where("value <> ''").select("path", (sound & F.col("value").startswith("{")).alias("sound"))
+    return lines.unionByName(read("*.json", True).select("path", sound.alias("sound"))).groupBy("path").agg(F.count("*").alias("records"), F.count_if(~F.col("sound")).alias("damaged"))
+
+
+def run_manifest(spark: SparkSession, tables: Mapping[str, DataFrame], hashes: DataFrame, seeds: Mapping[str, int]) -> DataFrame:
+    """One row: rows of each named table, SHA-256 by path of the files of a ``manifest``, and seeds by name."""
+    counts = {name: df.count() for name, df in sorted(tables.items())}
+    fixed = spark.createDataFrame([(counts, dict(sorted(seeds.items())))], "rows map<string,long>, seeds map<string,long>")
+    by_path = hashes.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "sha256")))).alias("sha256"))
+    return fixed.join(F.broadcast(by_path), F.lit(True))
+
+
 def read_labelled_items(spark: SparkSession, path: str, split: str) -> DataFrame:
     contracts.labelled_split(split)
     return contracts.holds(read_jsonl(spark, path, LABELLED_ITEM), F.col("label").isNotNull(), "label is required")

@@ -170,3 +170,13 @@ def test_files_and_contracts(spark, tmp_path):
     expected = files.read_hash_list(spark, str(tmp_path / "hashes"))
     assert [tuple(r) for r in expected.collect()] == [("abc", "deep/x.txt")]
     assert files.mismatches(expected, files.manifest(spark, str(tmp_path / "tree"))).count() == 1
+
+
+def test_structures_and_run_manifest(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.jsonl").write_text('{"x": 1}\n\n[2]\n{broken\n', encoding="utf-8")
+    (tmp_path / "b.json").write_text('[1,\n 2]', encoding="utf-8")
+    found = {r.path.rsplit("/", 1)[1]: (r.records, r.damaged) for r in files.structures(spark, str(tmp_path)).collect()}
+    assert found == {"a.jsonl": (3, 2), "b.json": (1, 0)}
+    row = files.run_manifest(spark, {"t": spark.range(3)}, files.manifest(spark, str(tmp_path)), {"draws": 7}).first()
+    assert row["rows"] == {"t": 3} and row.seeds == {"draws": 7} and len(row.sha256) == 2
