@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.graph import components
-from loamwork.llm.shared import Words, blocks, fresh, mixed, stored
+from loamwork.llm.shared import Words, blocks, fresh, mixed, spanning, stored
 from loamwork.sources.tables import table
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -138,22 +138,6 @@ def band_rows(units: DataFrame) -> DataFrame:
     return units.select("rid", "marks").mapInArrow(banded, "bucket long, rid long, sketch binary")
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the edges (a, b) connect, one for each node but the least of its part."""
-    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right = at[: len(a)], at[len(a) :]
-    label = np.arange(len(names))
-    while True:
-        before = label.copy()
-        low = np.minimum(label[left], label[right])
-        np.minimum.at(label, left, low)
-        np.minimum.at(label, right, low)
-        label = label[label]
-        if (before == label).all():
-            some = label != np.arange(len(names))
-            return names[label[some]], names[some]
-
-
 def bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges (a, b) of buckets that come sorted by (bucket, size known or not, rid).
 

@@ -65,6 +65,30 @@ def discarded(*tables: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(folder, True)
 
 
+def range_sorted(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` dealt into ranges by ``order`` and sorted, with ``_nth``: the partition and the place in it, as one number.
+
+    Rows that ``order`` doesn't tell apart are cut by their place in ``df``, so no key fills a partition by itself. Spark
+    samples the rows for the ranges, so they are computed twice: give a stored table, and store the result.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("_salt", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(parts, *order, F.asc("_salt")).sortWithinPartitions(*order, F.asc("_salt"))
+    return rows.withColumn("_nth", F.monotonically_increasing_id()).drop("_salt")
+
+
+def with_places(rows: DataFrame, name: str) -> DataFrame:
+    """Stored rows of ``range_sorted`` with their place from 1 in the whole order instead of ``_nth``; a row a partition goes through the driver."""
+    part = F.shiftright("_nth", 33)
+    upto, starts = 0, []
+    for i, n in sorted(rows.groupBy(part.alias("part")).count().collect()):
+        starts.append((i, upto))
+        upto += n
+    starts = rows.sparkSession.createDataFrame(starts, "_part long, _start long")
+    placed = rows.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return placed.withColumn(name, F.col("_start") + F.col("_nth").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_start", "_nth")
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once, also where ``use`` names it inside of lambdas."""
     return F.transform(F.array(value), use)[0]
@@ -205,3 +229,19 @@ def window_hashes(words: np.ndarray, ends: np.ndarray, size: int, seed: int = 0)
     index = np.arange(n)
     last = np.minimum(index + size, n)
     return mixed((sums[last] - sums[:n]) * down[:n], seed + size), index + size <= ends
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the edges (a, b) connect, one for each node but the least of its part."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[: len(a)], at[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[left], label[right])
+        np.minimum.at(label, left, low)
+        np.minimum.at(label, right, low)
+        label = label[label]
+        if (before == label).all():
+            some = label != np.arange(len(names))
+            return names[label[some]], names[some]
