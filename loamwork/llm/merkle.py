@@ -190,4 +190,37 @@ def op12_merkle_manifest(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op12_merkle_manifest": op12_merkle_manifest}
-ORACLES: dict[str, str] = {}
+
+
+def said_sql(*values: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')" for v in values) + ")"
+
+
+def up_sql(name: str, nodes: str, group: str) -> str:
+    """All levels over ``nodes`` (group, i, h): l, i, h, and n, the number of nodes of the level."""
+    return f"""{name}(grp, l, i, h, n) AS (SELECT {group}, 0, i, h, count(*) OVER (PARTITION BY {group}) FROM {nodes}
+  UNION ALL SELECT grp, l + 1, i // {FANOUT}, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + {FANOUT - 1}) // {FANOUT} FROM {name} WHERE n > 1 GROUP BY grp, l, i // {FANOUT})"""
+
+
+OP12_SQL = f"""
+WITH RECURSIVE steps AS (SELECT range AS v, range AS b, 0 AS k FROM range(256) UNION ALL SELECT CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, b, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM steps WHERE k = 8),
+ids AS (SELECT doc_id, hex(encode(CAST(doc_id AS VARCHAR))) AS x FROM (SELECT DISTINCT doc_id FROM documents)),
+hit AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x), 2), lambda i: CAST(CAST('0x' || substr(x, i, 2) AS INTEGER) AS BIGINT))),
+  lambda s, y: xor(t[(xor(s, y) & 255) + 1], s >> 8)), 4294967295) % 2 = 0 AS hit FROM ids, crc),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, {said_sql(*FIELDS)} AS leaf,
+  {said_sql(*FIELDS[:4], "CASE WHEN hit THEN replace(text, chr(10), '') ELSE text END")} AS changed FROM documents LEFT JOIN hit USING (doc_id)),
+leaves AS (SELECT r, doc_id, source, leaf, changed, leaf AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+{up_sql("low", "leaves", "source")},
+tops AS (SELECT grp AS source, h, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS i FROM low WHERE n = 1),
+{up_sql("high", "tops", "true")},
+ways AS (SELECT p.r, u.l, u.i, u.h, p.i // CAST({FANOUT} ** u.l AS BIGINT) AS own FROM leaves p JOIN low u ON u.grp IS NOT DISTINCT FROM p.source AND u.n > 1 AND u.i // {FANOUT} = p.i // CAST({FANOUT} ** (u.l + 1) AS BIGINT)
+  UNION ALL SELECT p.r, 1000 + u.l, u.i, u.h, t.i // CAST({FANOUT} ** u.l AS BIGINT) FROM leaves p JOIN tops t ON t.source IS NOT DISTINCT FROM p.source JOIN high u ON u.n > 1 AND u.i // {FANOUT} = t.i // CAST({FANOUT} ** (u.l + 1) AS BIGINT)),
+runs AS (SELECT r, l, coalesce(string_agg(h, '' ORDER BY i) FILTER (i < own), '') AS a, coalesce(string_agg(h, '' ORDER BY i) FILTER (i > own), '') AS b FROM ways GROUP BY r, l),
+proofs AS (SELECT r, string_agg(a || b, '' ORDER BY l) AS proof, list(a || '|' || b ORDER BY l) AS path FROM runs GROUP BY r),
+folds AS (SELECT p.doc_id, p.leaf, t.h AS subroot, (SELECT h FROM high WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+  list_reduce(list_prepend(p.changed, coalesce(path, [])), lambda s, x: sha256(split_part(x, '|', 1) || s || split_part(x, '|', 2))) AS folded_root
+  FROM leaves p JOIN tops t ON t.source IS NOT DISTINCT FROM p.source LEFT JOIN proofs USING (r))
+SELECT *, folded_root = root AS verified FROM folds
+"""
+ORACLES = {"op12_merkle_manifest": OP12_SQL}
