@@ -44,27 +44,8 @@ def retrieval_summary(segments: DataFrame) -> DataFrame:
     return ordered.select("item_id", best.alias("best"), second.alias("second"), (best - second).alias("margin"))
 
 
-def nearest_donor(items: DataFrame, donors: DataFrame, tiers: Sequence[Sequence[str]], score: Column, key: str = "item_id") -> DataFrame:
-    """(key, donor, tier, score): the best donor of the first tier of keys that has any.
-
-    Tiers go one after the other, and only items without a donor yet enter the next, so the loosest keys meet the
-    fewest items. Columns of the sides are ``i.*`` and ``d.*``; ties go to the least donor.
-    """
-    left, out = items, None
-    for tier, on in enumerate(tiers, 1):
-        condition = F.lit(True)
-        for c in on:
-            condition = condition & (F.col(f"i.{c}") == F.col(f"d.{c}"))
-        pairs = left.alias("i").join(donors.alias("d"), condition & (F.col(f"i.{key}") != F.col(f"d.{key}")))
-        best = pairs.groupBy(F.col(f"i.{key}").alias(key)).agg(F.max(F.struct(F.round(score, 12).alias("score"), (-F.col(f"d.{key}")).alias("minus"))).alias("b"))
-        found = best.select(key, (-F.col("b.minus")).alias("donor"), F.lit(tier).alias("tier"), F.col("b.score").alias("score"))
-        out = found if out is None else out.unionByName(found)
-        left = left.join(found.select(key), key, "left_anti")
-    return out
-
-
 def closest_donor(items: DataFrame, donors: DataFrame, tiers: Sequence[Sequence[str]], by: str, key: str = "item_id") -> DataFrame:
-    """(key, donor, tier, score): ``nearest_donor`` for the score -|difference of ``by``|, without pairs.
+    """(key, donor, tier, score): the donor of the least difference of ``by`` in the first tier of keys with any; the score is minus that.
 
     Within the keys of a tier, cut into ranges of ``by`` so that no key lies in one task, a running maximum gives the
     nearest donor on either side, and a row a key and range carries it over the ranges between. ``by`` is not null.

@@ -1,10 +1,11 @@
 """Bounded simple paths between the ends of a query whose own edge is taken out.
 
-An iterated join extends all items' frontiers together, one hop a round, so that Spark spreads the work by node.
+Joins extend all items' fronts together, one hop a round, so that Spark spreads the work by node.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -20,6 +21,58 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return forward.unionByName(backward).distinct()
 
 
+def _step(front: DataFrame, near: DataFrame, local: DataFrame, forward: bool) -> DataFrame:
+    """``front`` one edge on from the head, or one edge back from the tail; simple paths that do not reach the other end."""
+    here, there = ("node", "neighbour") if forward else ("neighbour", "node")
+    join = lambda part, more: F.concat(part, more) if forward else F.concat(more, part)
+
+    def on(rows: DataFrame, node, token, semantic: int) -> DataFrame:
+        return rows.select(
+            "f.item_id", "f.head", "f.relation", "f.tail", node.alias("node"), join(F.col("f.nodes"), F.array(node)).alias("nodes"), join(F.col("f.path"), F.array(token)).alias("path"),
+            (F.col("f.semantic") + semantic).alias("semantic"),
+        )
+
+    f = front.alias("f")
+    by_edge = on(f.join(near.alias("n"), F.col("f.node") == F.col(f"n.{here}")), F.col(f"n.{there}"), F.col("n.token"), 1)
+    mentioned = (F.col("f.item_id") == F.col("m.item_id")) & (F.col("f.node") == F.col("m.node"))
+    tokens = ("mentioned_in", "mentions") if forward else ("mentions", "mentioned_in")
+    to_passage = on(f.join(local.alias("m"), mentioned, "left_semi"), F.lit(PASSAGE), F.lit(tokens[0]), 0)
+    from_passage = on(front.where(F.col("node") == PASSAGE).alias("f").join(local.alias("m"), F.col("f.item_id") == F.col("m.item_id")), F.col("m.node"), F.lit(tokens[1]), 0)
+    reached = by_edge.unionByName(to_passage).unionByName(from_passage)
+    other = F.slice("nodes", 1, F.size("nodes") - 1) if forward else F.slice("nodes", 2, F.size("nodes") - 1)
+    return reached.where(~F.array_contains(other, F.col("node")) & (F.col("node") != F.col("tail" if forward else "head")))
+
+
+def _met(front: DataFrame, back: DataFrame, near: DataFrame, local: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Paths of a front, one edge, and a back of the same item.
+
+    For every item and kind of edge, the edges that leave the front's nodes and those that enter the back's are counted.
+    Kinds that one side lacks are not followed at all, and the others from the side with fewer edges, so that a hub is
+    left by its edges only where the other side has still more.
+    """
+    leaving = front.join(degrees, "node").groupBy("item_id", "token").agg(F.sum("leaving").alias("out"))
+    entering = back.join(degrees, "node").groupBy("item_id", "token").agg(F.sum("entering").alias("in"))
+    followed = leaving.where("out > 0").join(entering.where(F.col("in") > 0), ["item_id", "token"]).select("item_id", "token", (F.col("out") <= F.col("in")).alias("ahead"))
+
+    def whole(rows: DataFrame, token, semantic: int) -> DataFrame:
+        # the queried relation between the two ends is taken out both ways
+        ends = (F.col("f.node") == F.col("f.head")) & (F.col("b.node") == F.col("f.tail"))
+        nodes, path = F.concat("f.nodes", "b.nodes"), F.concat("f.path", F.array(token), "b.path")
+        blocked = ends & F.regexp_replace(token, "^inverse::", "").eqNullSafe(F.col("f.relation")) if semantic else F.lit(False)
+        open_ = rows.where(~F.arrays_overlap("f.nodes", "b.nodes") & ~blocked)
+        return open_.select("f.item_id", nodes.alias("nodes"), path.alias("path"), (F.col("f.semantic") + F.col("b.semantic") + semantic).alias("semantic"))
+
+    item = F.col("f.item_id") == F.col("b.item_id")
+    ahead = front.join(followed.where("ahead"), "item_id").join(near, ["node", "token"]).alias("f").join(back.alias("b"), item & (F.col("f.neighbour") == F.col("b.node")))
+    turned = near.select(F.col("node").alias("before"), "token", F.col("neighbour").alias("node"))
+    behind = back.join(followed.where("not ahead"), "item_id").join(turned, ["node", "token"]).alias("b").join(front.alias("f"), item & (F.col("b.before") == F.col("f.node")))
+    own = lambda side: side.join(local, ["item_id", "node"], "left_semi")
+    into = own(front).alias("f").join(back.where(F.col("node") == PASSAGE).alias("b"), item)
+    out = front.where(F.col("node") == PASSAGE).alias("f").join(own(back).alias("b"), item)
+    parts = (whole(ahead, F.col("f.token"), 1), whole(behind, F.col("b.token"), 1), whole(into, F.lit("mentioned_in"), 0), whole(out, F.lit("mentions"), 0))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def enumerate_paths(items: DataFrame, edges: DataFrame, mentions: DataFrame, hops: int = 3) -> DataFrame:
     """All simple paths of at most ``hops`` edges: item_id, nodes, edges, hops, semantic_edges, passage_conditioned.
 
@@ -27,33 +80,21 @@ def enumerate_paths(items: DataFrame, edges: DataFrame, mentions: DataFrame, hop
     The queried relation between the two ends is taken out both ways. A path ends at the tail, visits no node twice
     and has an edge that is not a mention. Unlike a search with a cap, the result does not depend on an order.
 
-    The last hop meets the tail's own neighbours: it joins by node and tail at once, so a front is never extended over
-    all edges of its hubs only to be thrown away.
+    Paths grow from both ends and meet in the middle: one of n edges is a front of half of the others from the head, one
+    edge, and a back of the rest from the tail. Fronts and backs of three hops are one edge long each.
     """
-    near = adjacency(edges)
+    near = adjacency(edges).drop("relation")
     local = mentions.select("item_id", "node").distinct()
-    front = items.select("item_id", "head", "relation", "tail", F.col("head").alias("node"), F.array("head").alias("nodes"), F.array().cast("array<string>").alias("path"), F.lit(0).alias("semantic"))
-    found = None
-    for hop in range(1, hops + 1):
-        ends = (F.col("f.node") == F.col("f.head")) & (F.col("n.neighbour") == F.col("f.tail")) | (F.col("f.node") == F.col("f.tail")) & (F.col("n.neighbour") == F.col("f.head"))
-        blocked = (F.col("n.relation") == F.col("f.relation")) & ends
-        step = lambda node, token, semantic: (
-            "f.item_id", "f.head", "f.relation", "f.tail", node.alias("node"), F.concat("f.nodes", F.array(node)).alias("nodes"), F.concat("f.path", F.array(token)).alias("path"), (F.col("f.semantic") + semantic).alias("semantic"),
-        )
-        on = F.col("f.node") == F.col("n.node")
-        on = on & (F.col("n.neighbour") == F.col("f.tail")) if hop == hops else on
-        by_edge = front.alias("f").join(near.alias("n"), on).where(~blocked).select(*step(F.col("n.neighbour"), F.col("n.token"), 1))
-        inner = front if hop < hops else front.where(F.lit(False))
-        to_passage = inner.alias("f").join(local.alias("m"), (F.col("f.item_id") == F.col("m.item_id")) & (F.col("f.node") == F.col("m.node")), "left_semi").select(*step(F.lit(PASSAGE), F.lit("mentioned_in"), 0))
-        same = F.col("f.item_id") == F.col("m.item_id")
-        same = same & (F.col("m.node") == F.col("f.tail")) if hop == hops else same
-        from_passage = front.where(F.col("node") == PASSAGE).alias("f").join(local.alias("m"), same).select(*step(F.col("m.node"), F.lit("mentions"), 0))
-        reached = by_edge.unionByName(to_passage).unionByName(from_passage)
-        reached = reached.where(~F.array_contains(F.slice("nodes", 1, hop), F.col("node")))
-        done = reached.where((F.col("node") == F.col("tail")) & (F.col("semantic") > 0))
-        found = done if found is None else found.unionByName(done)
-        front = reached.where(F.col("node") != F.col("tail"))
-    return found.select(
+    sides = near.select("node", "token", F.lit(1).alias("leaving"), F.lit(0).alias("entering")).unionByName(near.select(F.col("neighbour").alias("node"), "token", F.lit(0).alias("leaving"), F.lit(1).alias("entering")))
+    degrees = sides.groupBy("node", "token").agg(F.sum("leaving").alias("leaving"), F.sum("entering").alias("entering"))
+    start = lambda end: items.select("item_id", "head", "relation", "tail", F.col(end).alias("node"), F.array(end).alias("nodes"), F.array().cast("array<string>").alias("path"), F.lit(0).alias("semantic"))
+    fronts, backs = [start("head")], [start("tail")]
+    for n in range(1, hops // 2 + 1):
+        fronts.append(_step(fronts[-1], near, local, True))
+        if n <= (hops - 1) // 2:
+            backs.append(_step(backs[-1], near, local, False))
+    found = functools.reduce(DataFrame.unionByName, (_met(fronts[n - n // 2], backs[n // 2], near, local, degrees) for n in range(hops)))
+    return found.where("semantic > 0").select(
         "item_id", "nodes", F.col("path").alias("edges"), F.size("path").alias("hops"), F.col("semantic").alias("semantic_edges"),
         F.array_contains("nodes", PASSAGE).alias("passage_conditioned"),
     ).distinct()

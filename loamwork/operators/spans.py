@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions import text as X
+from loamwork.operators.automaton import Automaton, match_batch
 
-MOST_ENTRIES = 10_000
+#: Entries of an automaton that goes to every task, and parts that a split lexicon's texts are dealt into for each start.
+MOST_ENTRIES, SALTS = 100_000, 16
 
 
 def lexicon(spans: DataFrame, least_count: int = 1, least_length: int = 1, single_labels: tuple[str, ...] = ()) -> DataFrame:
@@ -22,23 +26,57 @@ def lexicon(spans: DataFrame, least_count: int = 1, least_length: int = 1, singl
 def occurrences(docs: DataFrame, words: DataFrame, id_col: str = "record_id", text_col: str = "text", most: int = MOST_ENTRIES) -> DataFrame:
     """(id, start, end, label, text, n): every place where a lexicon entry stands, whatever its length.
 
-    All substrings as long as an entry meet the lexicon in an equi-join, so no pair of document and entry is tried in
-    vain. A lexicon of at most ``most`` entries goes to the tasks, and only its own substrings leave the row; those of
-    a larger one are all sent. A null text has no place; an empty lexicon gives no rows.
+    Texts are read once by an automaton of the entries. One of at most ``most`` entries goes to every task. A larger
+    lexicon is split by its entries' first two characters: a text goes to those parts alone that begin with characters
+    it holds, each part's entries come before the texts in a sorted stream, and so no task holds more than one part.
+    A null text has no place; entries that are null or empty stand nowhere; an empty lexicon gives no rows.
     """
-    lengths = sorted(r[0] for r in words.where(F.length("text") > 0).select(F.length("text")).distinct().collect())
-    few = words.limit(most + 1).count() <= most
-    entries = sorted(r[0] for r in words.select("text").distinct().collect()) if few and lengths else []
-
-    def places(chars, n: int):
-        every = F.transform(X._grams(chars, n), lambda g, i: F.struct(i.alias("start"), (i + n).alias("end"), g.alias("text")))
-        own = [e for e in entries if len(e) == n]
-        return F.filter(every, lambda x: x["text"].isin(*own)) if few else every
-
-    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    grams = lambda chars: F.concat(none, *(places(chars, n) for n in lengths))
-    parts = docs.select(id_col, F.explode(X.bound(X.characters(F.col(text_col)), grams)).alias("g")).select(id_col, "g.*")
-    return parts.join(F.broadcast(words) if few else words, "text").select(id_col, "start", "end", "label", "text", "n")
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = slim.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, start int, end int, text string"
+    entries = words.where(F.length("text") > 0).select("text").distinct()
+    if words.limit(most + 1).count() <= most:
+        automaton = Automaton(sorted(r[0] for r in entries.collect()))
+
+        def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from match_batch(automaton, batch, "id", "text")
+
+        places = slim.where(F.col("text").isNotNull()).mapInArrow(matched, schema)
+        found = places.join(F.broadcast(words), "text")
+    else:
+        found = _split_places(slim, entries, kind, schema, most).join(words, "text")
+    return found.select(F.col("id").alias(id_col), "start", "end", "label", "text", "n")
+
+
+def _split_places(slim: DataFrame, entries: DataFrame, kind: str, schema: str, most: int) -> DataFrame:
+    """Places of a lexicon in parts, which entries' first two characters (or their only one) choose."""
+    parts = -(-2 * entries.count() // most)
+    salts = SALTS
+    part_of = lambda start: F.pmod(F.xxhash64(start), F.lit(parts)).cast("int")
+    starts = lambda chars: F.array_distinct(F.concat(chars, F.zip_with(chars, F.slice(chars, 2, F.size(chars)), lambda a, b: F.concat(a, b))))
+    wanted = X.bound(X.characters(F.col("text")), lambda chars: F.array_distinct(F.transform(F.filter(starts(chars), lambda s: s.isNotNull()), part_of)))
+    salt = F.pmod(F.xxhash64("text"), F.lit(salts)).cast("int")
+    texts = slim.where(F.length("text") > 0).select(F.explode(wanted).alias("part"), salt.alias("salt"), F.lit(1).alias("turn"), "id", "text")
+    listed = entries.select(part_of(F.substring("text", 1, 2)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("turn"), F.lit(None).cast(kind).alias("id"), "text")
+    stream = listed.unionByName(texts).repartition("part", "salt").sortWithinPartitions("part", "salt", "turn")
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, automaton = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("part", "salt", "turn")])
+            cuts = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                run, (p, s, turn) = batch.slice(a, b - a), keys[:, a].tolist()
+                if (p, s) != part:
+                    part, held, automaton = (p, s), [], None
+                if turn == 0:
+                    held += run.column("text").to_pylist()
+                    continue
+                automaton = automaton or Automaton(sorted(held))
+                yield from match_batch(automaton, run, "id", "text")
+
+    return stream.mapInArrow(matched, schema)
 
 
 def without_overlap(candidates: DataFrame, id_col: str = "record_id", order: str = "longest") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions import text as X
 from loamwork.operators import passages, spans
+from loamwork.operators.donors import best_donor
 from loamwork.plans.bindings import GOLD_SQL, gold
 from loamwork.sources.tables import table
 
@@ -257,6 +258,27 @@ p AS (SELECT i.doc_id, d.doc_id AS donor, CASE WHEN i.lang = d.lang AND i.source
 SELECT doc_id, donor, CAST(tier AS INT) AS tier, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tier, score DESC, donor) AS rn FROM p) WHERE rn = 1"""
 
 
+def donors_by_score(spark, sf_dir):
+    """For each supported document, the other one of the best score: of its source and language, else of its source, else of all."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text", F.substring("text", 1, 6).alias("head_text"), F.col("source").alias("tail_text"))
+    g = gold(spark, sf_dir).select("doc_id", "lang", "source", "gold").join(texts, "doc_id")
+    out = best_donor(g.where("gold = 'SUPPORTED'"), g.where("gold <> 'SUPPORTED'"), (("lang", "source"), ("source",), ()), "doc_id")
+    return out.withColumn("score", F.round("score", 9))
+
+
+DONOR_SCORE_SQL = rf"""WITH g AS (SELECT doc_id, x.lang, x.source, gold, text, left(text, 6) AS head, x.source AS tail, length(text) AS n FROM ({GOLD_SQL}) x JOIN documents USING (doc_id)),
+c AS (SELECT doc_id, unnest(s) AS ch, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '[\s\x0B\x{{3000}}\x{{00A0}}]+', '', 'g'), '') AS s FROM g)),
+b AS (SELECT DISTINCT doc_id, ch || nxt AS gram FROM (SELECT doc_id, ch, lead(ch) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM c) WHERE nxt IS NOT NULL UNION SELECT doc_id, min(ch) FROM c GROUP BY doc_id HAVING count(*) = 1 AND min(ch) <> ''),
+m AS (SELECT doc_id, count(*) AS m FROM b GROUP BY doc_id),
+t AS (SELECT i.doc_id, d.doc_id AS donor, CASE WHEN i.lang = d.lang AND i.source = d.source THEN 1 WHEN i.source = d.source THEN 2 ELSE 3 END AS tier, i.n, d.n AS dn, contains(d.text, i.head) OR contains(d.text, i.tail) AS ends
+  FROM g i JOIN g d ON i.gold = 'SUPPORTED' AND d.gold <> 'SUPPORTED'),
+f AS (SELECT * FROM t QUALIFY tier = min(tier) OVER (PARTITION BY doc_id)),
+s AS (SELECT f.doc_id, f.donor, count(*) AS common FROM f JOIN b x ON x.doc_id = f.doc_id JOIN b y ON y.doc_id = f.donor AND y.gram = x.gram GROUP BY ALL),
+r AS (SELECT f.doc_id, f.donor, tier, round(coalesce(common / CAST(coalesce(a.m, 0) + coalesce(z.m, 0) - common AS DOUBLE), 0) + 0.2 * exp(-abs(dn - greatest(f.n, 1)) / CAST(greatest(f.n, 1) AS DOUBLE)) + CASE WHEN ends THEN 0.15 ELSE 0 END, 12) AS score
+  FROM f LEFT JOIN s USING (doc_id, donor) LEFT JOIN m a ON a.doc_id = f.doc_id LEFT JOIN m z ON z.doc_id = f.donor)
+SELECT doc_id, donor, CAST(tier AS INT) AS tier, round(score, 9) AS score FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, donor) = 1"""
+
+
 def _mentions(spark, sf_dir):
     return gold(spark, sf_dir).select("doc_id", F.col("gold").alias("label"), F.concat(F.lit(" "), F.upper("lang"), F.lit("。")).alias("head_text"), F.when(F.col("doc_id") % 3 == 0, "A").otherwise("B").alias("head_type"), F.col("source").alias("tail_text"), F.when(F.col("doc_id") % 2 == 0, "A").otherwise("C").alias("tail_type"))
 
@@ -387,14 +409,14 @@ LONG_SQL = "SELECT 'p_size' AS name, count(*) AS n, round(CAST(sum(p_size) AS DO
 QUERIES = {
     "text_segments": text_segments, "text_measures": text_measures, "span_tokens": span_tokens, "located_spans": located_spans, "offset_integrity": offset_integrity, "bigram_sets": bigram_sets,
     "window_plan": window_plan, "context_windows": context_windows, "evidence_windows": evidence_windows, "omission_masks": omission_masks, "stable_ids": stable_ids, "salvaged_decisions": salvaged_decisions,
-    "page_split": page_split, "character_errors": character_errors, "lexicon_matches": lexicon_matches, "longest_matches": longest_matches, "retrieval": retrieval, "donors": donors,
+    "page_split": page_split, "character_errors": character_errors, "lexicon_matches": lexicon_matches, "longest_matches": longest_matches, "retrieval": retrieval, "donors": donors, "donors_by_score": donors_by_score,
     "identity_lexicon": identity_lexicon, "identity_features": identity_features, "majorities": majorities, "vocabulary": vocabulary, "crosswalk_summary": crosswalk_summary, "coverage_counters": coverage_counters,
     "payload_long": payload_long, "seed_means": seed_means, "intervention_effects": intervention_effects, "key_sets": key_sets, "long_scores": long_scores,
 }
 ORACLES = {
     "text_segments": SEGMENTS_SQL, "text_measures": MEASURES_SQL, "span_tokens": TOKENS_SQL, "located_spans": LOCATED_SQL, "offset_integrity": INTEGRITY_SQL, "bigram_sets": BIGRAM_SQL,
     "window_plan": WINDOW_SQL, "context_windows": CONTEXT_SQL, "evidence_windows": EVIDENCE_SQL, "longest_matches": LONGEST_SQL, "omission_masks": OMISSION_SQL, "stable_ids": STABLE_SQL, "salvaged_decisions": SALVAGED_SQL, "page_split": PAGE_SQL,
-    "character_errors": CER_SQL, "lexicon_matches": LEXICON_SQL, "retrieval": RETRIEVAL_SQL, "donors": DONORS_SQL, "identity_lexicon": IDENTITY_SQL, "identity_features": IDENTITY_F_SQL,
+    "character_errors": CER_SQL, "lexicon_matches": LEXICON_SQL, "retrieval": RETRIEVAL_SQL, "donors": DONORS_SQL, "donors_by_score": DONOR_SCORE_SQL, "identity_lexicon": IDENTITY_SQL, "identity_features": IDENTITY_F_SQL,
     "majorities": MAJORITY_SQL, "vocabulary": VOCABULARY_SQL, "crosswalk_summary": CROSSWALK_SQL, "coverage_counters": COUNTERS_SQL, "payload_long": PAYLOAD_SQL, "seed_means": SEED_SQL,
     "intervention_effects": EFFECTS_SQL, "key_sets": SETS_SQL, "long_scores": LONG_SQL,
 }
