@@ -10,7 +10,8 @@ A document holds an item if a window of ``WINDOW`` canonical words (or the whole
 and the slots agree: the same value of the item always has the same value in the document and the other way round. So an
 item with other numbers or names is caught, too. Windows that follow each other in both are a run, and
 ``consistent`` says whether the slots agree over a whole run. Items of fewer than ``LEAST`` canonical words hold
-nothing: single common words would match everywhere. A window of the free form counts only if half of its words are no
+nothing: single common words would match everywhere. Typographic quotes and dashes and full-width forms count as the
+plain ones; a character of a script without spaces, such as Chinese, is a word, half a one where items are too short. A window of the free form counts only if half of its words are no
 placeholders.
 
 A window can only match where its anchor stands, of its pairs of literal words the one that the fewest items have, or
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from loamwork.llm.shared import fresh
 from loamwork.sources.tables import table
 
-WINDOW, LEAST, BROADCAST_WINDOWS, MOST_ITEMS = 13, 4, 50_000, 50
+WINDOW, LEAST, BROADCAST_WINDOWS = 13, 4, 50_000
 #: Units of measure and money.
 UNITS = (
     "kg", "g", "mg", "km", "m", "cm", "mm", "ml", "l", "s", "ms", "h", "min", "miles", "mile", "feet", "foot", "inches", "inch", "hours", "hour",
@@ -51,13 +52,26 @@ MARK, JOINT, SAME = "§", "·", "¤"
 #: What parts words: ASCII but letters and digits; in texts yet without placeholders, digits and the marks as well.
 APART, APART_LITERAL = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", rf"[\x00-\x60\x7b-\x7f{MARK}{SAME}]+"
 
+#: Typographic marks and what they count as; full-width forms follow ASCII at a fixed distance.
+QUOTES, DASHES, GAPS = "\u2018\u2019\u201a\u201b\u2032\u02bc", "\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "\u00a0\u2002\u2003\u2009\u202f\u3000\u201c\u201d\u201e\u201f\u2033\u00ab\u00bb\u2026\u2022\u3001\u3002\u3008\u3009\u300a\u300b\u300c\u300d\u300e\u300f\u3010\u3011\u3014\u3015\u30fb"
+FULL_WIDTH = [chr(c) for c in range(0xFF01, 0xFF5F)]
+MARKS = "".join((QUOTES, DASHES, GAPS, *FULL_WIDTH))
+PLAIN_MARKS = "".join(("'" * len(QUOTES), "-" * len(DASHES), " " * len(GAPS), *(chr(ord(c) - 0xFEE0) for c in FULL_WIDTH)))
+#: Characters of scripts that part no words by spaces: each is a word of its own.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+
 _NUMBER_WORD = rf"(?:{'|'.join(sorted(NUMBER_WORDS, key=len, reverse=True))})(?!\p{{L}})"
 _NAME = r"\p{Lu}\p{Ll}"
 
 
-def numbered(text: Column) -> Column:
-    """The text with numbers as ``§n`` and their units as ``§u``, each with its value behind it."""
-    t = F.translate(F.coalesce(text, F.lit("")), MARK + SAME, "  ")
+def simple(text: Column) -> Column:
+    """The text without placeholders' marks, with plain quotes, dashes, spaces and full-width forms, and unspaced characters apart."""
+    t = F.translate(F.coalesce(text, F.lit("")), MARK + SAME + MARKS, "  " + PLAIN_MARKS)
+    return F.when(t.rlike(UNSPACED), F.regexp_replace(t, UNSPACED, " $0 ")).otherwise(t)
+
+
+def numbered(t: Column) -> Column:
+    """A ``simple`` text with numbers as ``§n`` and their units as ``§u``, each with its value behind it."""
     joined = F.regexp_replace(F.regexp_replace(t, r",(?<=\d,)(?=\d{3}(?!\d))", ""), r"[.,](?<=\d[.,])(?=\d)", JOINT)
     joined = F.regexp_replace(joined, rf"(?i)(?=[ -]+{_NUMBER_WORD})(?<=\d|(?<!\p{{L}})(?:{'|'.join(NUMBER_WORDS)}))[ -]+", JOINT)
     number = rf"(?i)((?:\d+|(?=[{''.join(sorted({w[0] for w in NUMBER_WORDS}))}])(?<!\p{{L}}){_NUMBER_WORD})(?:{JOINT}(?:\d+|{_NUMBER_WORD}))*)"
@@ -82,7 +96,7 @@ FORMS = ("plain", "free")
 
 def with_words(rows: DataFrame, text_col: str) -> DataFrame:
     """For each of ``FORMS``: the canonical words, and as ``<form>_values`` the same with their values."""
-    out = rows.withColumn("_numbered", numbered(F.col(text_col)))
+    out = rows.withColumn("_numbered", numbered(simple(F.col(text_col))))
     for form in FORMS:
         text = F.lower("_numbered") if form == "plain" else F.lower(named(F.col("_numbered")))
         out = out.withColumn("_text", text).withColumn(f"{form}_values", split_words(F.col("_text")))
@@ -103,10 +117,12 @@ def literals(words: Column) -> Column:
 def item_windows(benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
     """(item_id, form, size, nth, hash, words, item_slots): every window of every item in both forms; an item shorter than a window is one itself.
 
-    Windows without a literal word are left out, those of the free form without a half of literal words as well, and
-    such of the free form that hold no name, as they are windows of the plain one.
+    Windows without a literal word are left out, those of the free form without a half of literal words as well. Both
+    forms have windows without names, so that either form's windows cover the whole item.
     """
-    rows = with_words(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "text").where(F.size("plain") >= least)
+    rows = with_words(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "text")
+    unspaced = F.size(F.filter("plain", lambda w: w.rlike(f"^{UNSPACED}$")))
+    rows = rows.where(F.size("plain") - unspaced / 2 >= least)
     out = None
     for form in FORMS:
         size = F.least(F.size(form), F.lit(window))
@@ -114,7 +130,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, least: int = LEAST)
         part = F.slice(form, F.col("nth") + 1, F.col("size"))
         each = each.select("item_id", F.lit(form).alias("form"), "size", "nth", F.xxhash64(part).alias("hash"), part.alias("words"), slots(F.col(f"{form}_values"), F.col("nth"), F.col("size")).alias("item_slots"))
         each = each.where(F.size(literals(F.col("words"))) * (2 if form == "free" else 1) >= (F.col("size") if form == "free" else F.lit(1)))
-        out = each if out is None else out.unionByName(each.where(F.array_contains("words", f"{MARK}p") & (F.col("size") >= least)))
+        out = each if out is None else out.unionByName(each.where(F.col("size") >= least))
     return out
 
 
@@ -123,17 +139,6 @@ def pairs_of(words: Column, pair: Callable[[Column, Column], Column]) -> Column:
     return F.zip_with(words, F.slice(words, 2, 1 << 30), pair)
 
 
-def telling(items: DataFrame, most: int = MOST_ITEMS) -> DataFrame:
-    """``items`` where a window that more than ``most`` items share, as a prompt's header is, stands for the least of them alone.
-
-    Windows count as the same if their slots repeat in the same places, so no document is lost that held one of them.
-    """
-    pattern = F.transform("item_slots", lambda x: F.array_position("item_slots", x))
-    same = Window.partitionBy("form", "hash", "pattern")
-    marked = items.withColumn("pattern", pattern).withColumn("n", F.count("*").over(same)).withColumn("least", F.min("item_id").over(same))
-    return marked.where((F.col("n") <= most) | (F.col("item_id") == F.col("least"))).drop("pattern", "n", "least")
-
-
 def anchors(items: DataFrame) -> DataFrame:
     """(size, anchor): for each window, of its pairs of literal words next to each other, or else of its literal words, the one that the fewest items have; of equals the longest."""
     literal = lambda w: ~w.startswith(MARK)
@@ -156,7 +161,7 @@ def anchored(words: Column, keys: list[str]) -> Column:
 def document_windows(docs: DataFrame, size: int, keys: list[str] | None, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(``ids``, form, at, hash, doc_slots) of windows of both forms that may match; all windows if ``keys`` is None."""
     if keys is not None:
-        words = split_words(F.lower("text"), APART_LITERAL)
+        words = split_words(F.lower(simple(F.col("text"))), APART_LITERAL)
         docs = docs.where(F.array_contains(anchored(words, keys), True))
 
     def windows(form: str) -> Column:
@@ -190,7 +195,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least:
 
     ``covered``: the part of the item's windows that the document holds. ``reparameterised``: no window has all its
     values unchanged. ``consistent``: the slots agree over a whole run of windows, of the free form if it has any. ``first_at``: where the first
-    shared window begins, in words of its form. A window that more than ``MOST_ITEMS`` items share names the least alone. Null and empty texts, an empty table or benchmark and items of fewer
+    shared window begins, in words of its form. A window that several items share counts for each of them. Null and empty texts, an empty table or benchmark and items of fewer
     than ``least`` words give no rows; repeated documents count by their id, a null id is an id, and other columns make
     no difference. Texts of any length are taken whole.
     """
@@ -201,15 +206,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least:
         sizes = [(r["size"], sorted(r["keys"])) for r in anchors(items).groupBy("size").agg(F.collect_set("anchor").alias("keys")).collect()]
     else:
         sizes = [(r["size"], None) for r in items.select("size").distinct().collect()]
-    told, found = telling(items), None
+    key = ["form", "hash", "item_slots"]
+    distinct, found = items.select("size", *key).distinct(), None  # a window that many items share meets the documents once
     for size, keys in sorted(sizes, key=lambda x: x[0]):
-        side = told.where(F.col("size") == size).select("item_id", "form", "nth", "hash", "item_slots")
+        side = distinct.where(F.col("size") == size).select(*key)
         part = document_windows(slim, size, keys, ids).join(F.broadcast(side) if few else side, ["hash", "form"])
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = slim.where(F.lit(False)).select(*ids, *(F.lit(None).cast(t).alias(c) for c, t in (("form", "string"), ("at", "int"), ("item_id", "long"), ("nth", "int"), ("doc_slots", "array<string>"), ("item_slots", "array<string>"))))
+        found = slim.where(F.lit(False)).select(*ids, *(F.lit(None).cast(t).alias(c) for c, t in (("hash", "long"), ("form", "string"), ("at", "int"), ("doc_slots", "array<string>"), ("item_slots", "array<string>"))))
     pairs = F.zip_with(valued(F.col("item_slots")), valued(F.col("doc_slots")), lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
-    found = found.select(*ids, "item_id", "form", "nth", "at", pairs.alias("pairs"), (F.col("item_slots") == F.col("doc_slots")).alias("same")).where(one_to_one(F.col("pairs")))
+    found = found.select(*ids, *key, "at", pairs.alias("pairs"), (F.col("item_slots") == F.col("doc_slots")).alias("same")).where(one_to_one(F.col("pairs")))
+    members = items.select(*key, "item_id", "nth")
+    found = found.join(F.broadcast(members) if few else members, key).drop("hash", "item_slots")
     runs = found.groupBy(*ids, "item_id", "form", (F.col("at") - F.col("nth")).alias("begin")).agg(
         F.collect_set("nth").alias("nths"), F.min("at").alias("at"), F.max("same").alias("same"), one_to_one(F.flatten(F.collect_list("pairs"))).alias("consistent")
     )
