@@ -2,11 +2,13 @@
 
 Rows with equal texts form a group that stays together. Groups sorted by size, largest first, go to the least-loaded
 shard, kept in a heap. Groups of one size are interchangeable, so the driver needs only the number of groups of each
-size: n distinct sizes add up to at least n*n/2 bytes, so it holds at most sqrt(2 * total bytes) rows. Each size comes
-back with how many of its groups every shard takes; a group finds its shard by its rank among its equals.
+size. Sizes of ``EXACT_BITS`` bits or fewer count as they are; larger ones are classes by their leading bits, whose
+groups differ by less than one in 2**14 and count as their mean. So the driver holds at most a fixed number of classes,
+about half a million, whatever the corpus, and texts of any length. Each class comes back with how many of its groups every shard takes; a
+group finds its shard by its rank among its equals.
 
 No step gathers one key: a group's rows are dealt by (text, salt), ranks and slots are counted in hashed buckets first
-and then within each.
+and then within each, and the plan meets a class's buckets before these meet the groups.
 """
 
 from __future__ import annotations
@@ -14,15 +16,13 @@ from __future__ import annotations
 import heapq
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.llm.shared import stored
 from loamwork.sources.tables import table
 
-SALTS, RANK_BUCKETS, SLOT_BUCKETS = 64, 4096, 256
-#: A plan of more bytes than this is joined by a shuffle.
-BROADCAST_BYTES = 8 << 20
+SALTS, RANK_BUCKETS, SLOT_BUCKETS, EXACT_BITS = 64, 4096, 256, 15
 
 
 def spread(loads: list[int], size: int, count: int) -> list[int]:
@@ -65,11 +65,17 @@ def schedule(sizes: list[tuple[int, int]], shards: int) -> pa.Table:
     return pa.table(rows, schema=pa.schema({"group_bytes": pa.int64(), "till": pa.list_(pa.int64()), "takes": pa.list_(pa.int32())}))
 
 
+def size_class(size: Column) -> Column:
+    """The size itself if it has at most ``EXACT_BITS`` bits, else its number of further bits and its leading ones."""
+    further = F.greatest(F.length(F.bin(size)) - EXACT_BITS, F.lit(0))
+    return further.cast("long") * (1 << 20) + F.call_function("shiftright", size, further.cast("int")).cast("long")
+
+
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
     """Every row of ``docs`` with its shard and its slot in it.
 
     Law ``bytes``: the shards' sums of UTF-8 bytes plus ``overhead`` a row are near equal, as far as whole groups allow.
-    A null text has no bytes, CRC 0, and all null texts are one group, apart from the empty texts. A null id is kept;
+    Texts of any length are taken whole. A null text has no bytes, CRC 0, and all null texts are one group, apart from the empty texts. A null id is kept;
     repeated rows each get a slot. Other columns of ``docs`` are left out. An empty input gives no rows.
     """
     text, spark = F.col(text_col), docs.sparkSession
@@ -84,19 +90,19 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
         "shard-rows",
     )
     units = rows.groupBy("key", "salt").agg(F.sum("size").alias("bytes"))
-    groups = stored(units.groupBy("key").agg(F.sum("bytes").alias("group_bytes")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(RANK_BUCKETS)).cast("int")), "shard-groups")
-    sizes = [(r[0], r[1]) for r in groups.groupBy("group_bytes").count().toLocalIterator()]
-    plan = schedule(sizes, shards)
-    planned = spark.createDataFrame(plan)
-
-    offsets = groups.groupBy("group_bytes", "bucket").count()
-    by_bucket = Window.partitionBy("group_bytes").orderBy("bucket")
-    offsets = offsets.select("group_bytes", "bucket", (F.sum("count").over(by_bucket) - F.col("count")).alias("offset"))
-    within = Window.partitionBy("group_bytes", "bucket").orderBy("key")
-    ranked = groups.withColumn("row", F.row_number().over(within)).join(offsets, ["group_bytes", "bucket"])
-    ranked = ranked.select("key", "group_bytes", (F.col("offset") + F.col("row") - 1).alias("rank"))
-    taker = F.element_at("takes", F.size(F.filter("till", lambda t: t <= F.col("rank"))) + 1)
-    placed = ranked.join(F.broadcast(planned) if plan.nbytes <= BROADCAST_BYTES else planned, "group_bytes").select("key", taker.alias("shard"))
+    groups = units.groupBy("key").agg(F.sum("bytes").alias("group_bytes")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(RANK_BUCKETS)).cast("int"))
+    groups = stored(groups.withColumn("kind", size_class(F.col("group_bytes"))), "shard-groups")
+    kinds = {round(total / n): (kind, n) for kind, n, total in groups.groupBy("kind").agg(F.count("*"), F.sum("group_bytes")).toLocalIterator()}
+    plan = schedule([(mean, n) for mean, (_, n) in kinds.items()], shards)
+    plan = plan.append_column("kind", pa.array([kinds[mean][0] for mean in plan.column("group_bytes").to_pylist()], pa.int64())).drop_columns(["group_bytes"])
+
+    counts = groups.groupBy("kind", "bucket").count()
+    offset = F.sum("count").over(Window.partitionBy("kind").orderBy("bucket")) - F.col("count")
+    planned = counts.select("kind", "bucket", offset.alias("offset")).join(spark.createDataFrame(plan), "kind")
+    ranked = groups.withColumn("row", F.row_number().over(Window.partitionBy("kind", "bucket").orderBy("key")))
+    rank = F.col("offset") + F.col("row") - 1
+    taker = F.element_at("takes", F.size(F.filter("till", lambda t: t <= rank)) + 1)
+    placed = ranked.join(planned, ["kind", "bucket"]).select("key", taker.alias("shard"))
 
     of_unit = units.select("key", "salt").join(placed, "key")
     bucket = F.pmod(F.xxhash64("doc_id", "key"), F.lit(SLOT_BUCKETS)).cast("int")

@@ -2,6 +2,8 @@ import heapq
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from loamwork.llm import sharding
 
 
@@ -61,3 +63,29 @@ def test_shards_of_a_whole_table_have_the_sums_of_plain_lpt(spark, docs_of):
     for r in out:
         sums[r.shard] += r.size
     assert sorted(sums.items()) == plain_lpt(groups.values(), 7)
+
+
+def test_sizes_fall_into_a_bounded_number_of_classes(spark):
+    """Sizes up to 15 bits are their own class; larger ones differ by less than one in 2**14 within theirs."""
+    rng = random.Random(3)
+    sizes = [1, 16, 32_767, 32_768, 32_769, 32_770] + [rng.randrange(1 << rng.randrange(16, 45)) + 1 for _ in range(3000)]
+    rows = spark.createDataFrame([(x,) for x in sizes], "size long").select("size", sharding.size_class(F.col("size")).alias("kind")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.kind, []).append(r.size)
+        if r.size < 1 << 15:
+            assert r.kind == r.size
+    assert all(max(v) - min(v) < min(v) / (1 << 14) + 1 for v in by.values())
+    assert len({r.kind for r in rows if r.size in (32_768, 32_769)}) == 1 and len({r.kind for r in rows if r.size in (32_769, 32_770)}) == 2
+
+
+def test_very_long_texts_and_one_common_size(docs_of):
+    """Long texts of nearly one size share classes; the shards' sums stay within a hundredth of plain scheduling's greatest."""
+    rng = random.Random(7)
+    rows = [(i, chr(97 + i % 26) * (400_000 + rng.randrange(3000)) + str(i)) for i in range(40)] + [(100 + i, f"{i:06d}") for i in range(3000)]
+    out = sharding.shard_documents(docs_of(rows), 6).collect()
+    sums = dict.fromkeys(range(6), 0)
+    for r in out:
+        sums[r.shard] += r.size
+    want = plain_lpt([len(t) + 16 for _, t in rows], 6)
+    assert sum(sums.values()) == sum(x for _, x in want) and max(sums.values()) <= 1.01 * max(x for _, x in want)
