@@ -4,7 +4,7 @@ Texts are cut into spans of ``SPAN`` bytes, which start from zero states both in
 probability for each language from the forward and the backward state at it; a text's are their means. The network is
 small, so that all spans of a block advance together as one matrix a step.
 
-The fit uses spans spread over at most ``SAMPLE_DOCS`` texts, those with the smallest hashes.
+The fit uses at most ``SAMPLE_SPANS`` spans of at most ``SAMPLE_DOCS`` whole texts, in both the smallest hashes.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from loamwork.llm.shared import blocks, text_bytes
 from loamwork.sources.tables import table
 
 SPAN, HIDDEN = 96, 8
-SAMPLE_DOCS, SPANS_A_DOC = 4000, 4
+SAMPLE_DOCS, SAMPLE_SPANS = 4000, 16_000
 Params = dict[str, np.ndarray]
 
 
@@ -153,11 +153,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def training_spans(docs: DataFrame, limit: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Spans spread evenly over each of at most ``limit`` different texts, with lengths, classes and the classes' names.
+def training_spans(docs: DataFrame, limit: int = SAMPLE_DOCS, spans_limit: int = SAMPLE_SPANS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Spans of at most ``limit`` different texts, with lengths, classes and the classes' names.
 
-    They are chosen by (id, language, hash of the text), as ids may repeat, with the least hashes of these; copies of a
-    chosen row are dropped before anything is collected.
+    Texts are chosen by (id, language, hash of the text), as ids may repeat, with the least hashes of these; copies of a
+    chosen row are dropped before anything is collected. Every span of a chosen text is a row, wherever it stands, and
+    the ``spans_limit`` rows with the least hashes are taken.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out())
     keyed = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("key"), "text")
@@ -168,17 +169,16 @@ def training_spans(docs: DataFrame, limit: int = SAMPLE_DOCS) -> tuple[np.ndarra
             data, at = text_bytes(block.column("text"))
             spans, lengths, row = cut_spans(data, at)
             first = np.searchsorted(row, np.arange(block.num_rows + 1))
-            pick = [j for a, b in zip(first[:-1], first[1:], strict=True) for j in sorted({int(x) for x in np.linspace(a, b - 1, min(SPANS_A_DOC, b - a)).round()})]
-            langs = block.column("lang").to_pylist()
-            of, nth = pa.array(row[pick]), pa.array([int(j - first[row[j]]) for j in pick], pa.int32())
+            langs, of, nth = block.column("lang").to_pylist(), pa.array(row), pa.array((np.arange(len(row)) - first[row]).astype(np.int32))
             yield pa.record_batch(
-                [block.column("doc_id").take(of), block.column("key").take(of), pa.array([langs[row[j]] for j in pick], pa.string()), nth, pa.array([spans[j, : lengths[j]].tobytes() for j in pick], pa.binary())],
+                [block.column("doc_id").take(of), block.column("key").take(of), pa.array([langs[r] for r in row.tolist()], pa.string()), nth, pa.array([x[:n].tobytes() for x, n in zip(spans, lengths.tolist(), strict=True)], pa.binary())],
                 names=["doc_id", "key", "lang", "nth", "span"],
             )
 
     texts = keyed.join(F.broadcast(chosen), ["doc_id", "lang", "key"]).select("doc_id", "key", "lang", "text")
     once = texts.mapInArrow(taken, "doc_id long, key long, lang string, nth int, span binary").dropDuplicates(["doc_id", "key", "lang", "nth"])
-    rows = sorted((r.doc_id, r.key, r.lang, r.nth, bytes(r.span)) for r in once.collect())
+    drawn = once.orderBy(F.xxhash64("doc_id", "key", "nth"), "doc_id", "key", "nth", "lang").limit(spans_limit)
+    rows = sorted((r.doc_id, r.key, r.lang, r.nth, bytes(r.span)) for r in drawn.collect())
     names = sorted({r[2] for r in rows})
     spans = np.zeros((len(rows), SPAN), np.uint8)
     for i, r in enumerate(rows):

@@ -19,7 +19,8 @@ def test_samples_are_bounded_whatever_repeats(spark, docs_of):
         found, marks = quality_classifier.training_rows(docs, labels, limit)
         assert len(found) == len(marks) <= limit
         spans = language_id.training_spans(docs, limit)
-        assert len(spans[0]) <= language_id.SPANS_A_DOC * limit
+        assert len(spans[0]) <= limit  # each text is shorter than a span
+        assert len(language_id.training_spans(docs, limit, 3)[0]) <= 3
     kept = [i for i in range(8) if zlib.crc32(str(i).encode()) % 4 != 2]
     assert len(found) == 4 * len(kept)  # four different texts an id, one label each
 
@@ -92,3 +93,28 @@ def test_odd_tables(spark, docs_of):
     langs = language_id.identify(docs).collect()
     assert len(langs) == 6 and {r.lang_pred for r in langs if r.doc_id in (2, 3, 4)} == {"und"}
     assert language_id.identify(docs_of([])).count() == 0
+
+
+def test_spans_are_drawn_from_all_of_a_long_text(docs_of):
+    """No part of a training text is left out: spans are numbered over the whole of it and drawn by their hashes."""
+    long = "".join(chr(97 + i % 26) for i in range(960_000))
+    a, b = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    spans, lengths, _, names = language_id.training_spans(docs_of([(a, long), (b, "short text")]), spans_limit=2000)
+    assert len(spans) == 2000 and names == ["en"] and (lengths <= language_id.SPAN).all()
+    first = {(s[0] - 97) % 26 for s in spans if s[0] >= 97}
+    assert len(first) == 13  # 96 letters on, a span begins an even number of letters further: all starts occur
+
+
+def test_language_of_a_long_text_is_that_of_its_bulk(spark):
+    rows = [(i, text * 6, lang) for i in range(60) for text, lang in (("the river and the house of stone ", "en"), ("der fluss und das haus aus stein ", "de"))]
+    rows = [(k, t, lang) for k, (_, t, lang) in enumerate(rows)] + [(900, "der fluss und das haus aus stein " * 60_000, None), (901, "x" * 500_000, None), (902, "1" * 300_000, None), (902, "1" * 300_000, None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    assert out[900].lang_pred == "de" and out[901].lang_pred in ("de", "en") and out[902].lang_pred == "und" and out[902].score == 0
+
+
+def test_quality_of_long_and_unbroken_texts(spark, docs_of):
+    good, bad = "the house of the river and a garden ", "zx!! qq## vv%% buy9 win7 "
+    rows = [(i, (good if i % 2 else bad) * 5) for i in range(80)] + [(900, good * 50_000), (901, bad * 80_000), (902, "a" * 3_000_000)]
+    out = {r.doc_id: r for r in quality_classifier.classify(docs_of(rows), labelled(spark, [(i, i % 2, 0) for i in range(80)])).collect()}
+    assert out[900].predicted == 1 and out[901].predicted == 0 and 0 <= out[902].score <= 1 and len(out) == len(rows)
