@@ -4,9 +4,10 @@ A window of 20 words that starts later than an equal one is a repeat, and the wo
 In the suffix tree of the corpus such windows are the leaves but the first below an internal node at a depth of 20 words
 or more. The tree is never built whole:
 
-* Texts are dealt into blocks of ``BLOCK`` bytes. Of each depth-20 node, a block sends its first leaf alone: its other
-  leaves are repeats whatever the other blocks hold. So no node, however common, has more rows than there are blocks.
-* A window's prefix is the run of ``LENGTHS[0]`` words with the least hash that the window holds. Equal windows have
+* Texts are dealt into blocks of ``BLOCK`` bytes. A block builds the subtrees of its own suffixes, grouped by their leading
+  words and then deeper, and of each depth-20 node sends the first leaf alone: the other leaves are repeats whatever
+  other blocks hold. So no node, however common, has more rows than there are blocks.
+* Between blocks a window's prefix is the run of ``LENGTHS[0]`` words with the least hash that the window holds. Equal windows have
   equal prefixes, and windows that follow each other mostly share theirs, so they travel as one row with the words of
   all. Prefixes that one block alone holds lead to no node and are left out.
 * A prefix of more than ``GROUP`` rows grows: its windows take the least run of the next length instead, up to the
@@ -16,7 +17,7 @@ or more. The tree is never built whole:
   at a time are its nodes at those depths. All leaves of a depth-20 node but the first, by (document, place), are
   repeats, and stretches of them are the maximal repeats that are removed.
 
-Words are told apart by 64 bits each; windows with equal hashes within a block are compared word by word.
+Words are told apart by 64 bits each; nodes are compared word by word, never by hashes of windows.
 
 Blocks wait compressed in the shared folder as a bucketed table, a row a block, so that prefixes and repeats come to the
 texts and the texts themselves are never shuffled.
@@ -43,6 +44,7 @@ BLOCK, PART = 4 << 20, 1 << 19
 #: Rows of a group that is built at once, of at most WINDOW * 2 words each, and rows that are built together.
 GROUP, TOGETHER = 100_000, 20_000
 SALTS = 64
+#: Null ids come first; whether an id is null is kept beside it.
 NULL_ID = -(1 << 63)
 
 
@@ -73,7 +75,7 @@ def packed_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         names = (x for x in range(task << 32, (task + 1) << 32) if bucket_of(x, n) == task % n)
 
         def out() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(waiting).sort_by("doc_id").combine_chunks()
+            rows = pa.Table.from_batches(waiting).sort_by([("doc_id", "ascending"), ("known", "ascending")]).combine_chunks()
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
                 to.write_table(rows)
@@ -88,7 +90,7 @@ def packed_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if waiting:
             yield out()
 
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(id_col).isNotNull().alias("known"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     name = f"suffix_blocks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     slim.mapInArrow(packed, "block long, texts binary").write.format("parquet").bucketBy(n, "block").sortBy("block").option("compression", "none").option("path", path).saveAsTable(name)
@@ -103,7 +105,7 @@ class Block:
 
     def __init__(self, texts: bytes) -> None:
         rows = pa.ipc.open_stream(texts).read_all().combine_chunks()
-        self.doc_id = rows.column("doc_id").to_numpy()
+        self.doc_id, self.known = rows.column("doc_id").to_numpy(), rows.column("known").to_numpy(zero_copy_only=False)
         self.text = rows.column("text").chunk(0) if rows.num_rows else pa.array([], pa.string())
         hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for part in blocks(iter([pa.record_batch([self.text], names=["text"])]), "text", PART):
@@ -115,19 +117,19 @@ class Block:
         self.end = np.repeat(self.first[1:], self.count)
 
     def leaves(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places where whole windows start, in order of (document, place): the first of each distinct one, and all others."""
-        key, whole = window_hashes(self.hash, self.end, WINDOW)
-        at = np.flatnonzero(whole)
-        order = at[np.argsort(key[at], kind="stable")]
-        new = np.ones(len(order), bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        twin = np.flatnonzero(~new)
-        one, head = order[twin], order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))[twin]]
-        other = np.zeros(len(twin), bool)
-        for k in range(WINDOW):  # equal hashes of other words don't count
-            other |= self.hash[one + k] != self.hash[head + k]
-        new[twin[other]] = True
-        return np.sort(order[new]), np.sort(order[~new])
+        """Places where whole windows start, in order of (document, place): the first leaf of each depth-20 node, and all others.
+
+        The block's own subtrees give the nodes; a window that no other equals is the only leaf of its own.
+        """
+        long = self.count >= WINDOW
+        words = self.hash if long.all() else self.hash[np.repeat(long, self.count)]
+        at, node = deep_nodes(words, self.count[long])
+        start = at + np.repeat((self.first[:-1] - (np.cumsum(self.count * long) - self.count * long))[long], self.count[long] - (WINDOW - 1))
+        inner = np.flatnonzero(node >= 0)
+        later = np.zeros(len(at), bool)
+        later[inner] = True
+        later[inner[np.unique(node[inner], return_index=True)[1]]] = False
+        return start[~later], start[later]
 
     def prefixes(self, at: np.ndarray, length: int) -> np.ndarray:
         """The least hash of the runs of ``length`` words in each window that starts at ``at``."""
@@ -322,7 +324,7 @@ def removed(texts: pa.Table, repeats: pa.Table) -> pa.Table:
             spans.append(",".join(f"{a}:{b}" for a, b in lost.reshape(-1, 2).tolist()))
             row += 1
     lost = np.add.reduceat(np.append(gone, False).astype(np.int64), np.minimum(block.first[:-1], len(gone))) * (block.count > 0)
-    ids = pa.array(block.doc_id, mask=block.doc_id == NULL_ID)
+    ids = pa.array(block.doc_id, mask=~block.known)
     return pa.table([ids, pa.array(block.count), pa.array(lost), pa.array(digests, pa.string()), pa.array(spans, pa.string())], schema=KEPT)
 
 
