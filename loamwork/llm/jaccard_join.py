@@ -3,12 +3,15 @@
 Texts are sets of five-word shingles (all words, if there are fewer); rows with equal texts are one unit. MinHash
 bands of four rows bring units into buckets: at similarity 0.8, 24 bands miss a pair with probability 3e-6.
 
-1. Small buckets compare their members' sketches, one byte of each of 48 MinHash values, in steps. After each step a
-   pair is dropped if, given its matches so far, the posterior probability (uniform prior) that its similarity reaches
-   the threshold is below ``TOLERANCE``; of those left a spanning forest goes on. Members of a bucket of more than
-   ``SMALL_BUCKET`` are all tied to its first member unpruned. Either way a bucket gives fewer edges than it has members.
+1. Buckets of up to ``SMALL_BUCKET`` units compare their members' sketches, one byte of each of 48 MinHash values, in
+   steps. After each step a pair is dropped if, given its matches so far, the posterior probability (uniform prior) that
+   its similarity reaches the threshold is below ``TOLERANCE``; of those left a spanning forest goes on. The members of a
+   larger bucket are compared with its first in the same way and tied to it if they pass. Where some don't, as where
+   boilerplate fills the bucket, all members go on to buckets split by four more MinHash values each, in ``FURTHER``
+   ways at once, until they are small. Members that share sixteen values are tied to their first.
 2. The edges' connected components hold every candidate pair. Components are dealt into bins; one of more than ``TILE``
-   units is dealt into tiles, and every pair of its tiles is a task, so that no group lies whole in a task.
+   units or ``TILE_BYTES`` of shingles is dealt into tiles, and every pair of its tiles is a task, so that no group lies
+   whole in a task.
 3. In a task all pairs are pruned again in the same way by whole MinHash values, and those left are verified exactly
    on the shingles. A task returns a row a unit: its links, and the least unit that it reaches in the task.
 4. Components of these are the classes.
@@ -33,8 +36,9 @@ from loamwork.sources.tables import table
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, SKETCH = 24, 4, 48
 TOLERANCE, STEP = 1e-6, 16
-SMALL_BUCKET, HOT_PARTS = 64, 1000
-TILE, BIN_UNITS = 512, 1500
+SMALL_BUCKET, FURTHER = 64, (4, 3, 3)
+#: Most units and bytes of shingles of a tile, and of a bin of small components.
+TILE, TILE_BYTES, BIN_UNITS, BIN_BYTES = 512, 24 << 20, 1500, 48 << 20
 
 _K = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)
 FLIPS, FACTORS = mixed(_K, 71), mixed(_K, 73) | np.uint64(1)
@@ -138,23 +142,19 @@ def band_rows(units: DataFrame) -> DataFrame:
     return units.select("rid", "marks").mapInArrow(banded, "bucket long, rid long, sketch binary")
 
 
-def bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of buckets that come sorted by (bucket, size known or not, rid).
+def sketches(array: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(array.to_pylist()), np.uint8).reshape(len(array), SKETCH)
 
-    Rows of one bucket may reach over batches: the last bucket of a batch waits for the next while it is small; of a
-    large one only the first member is remembered.
-    """
+
+def bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of small buckets, whose rows come together; the last bucket of a batch waits for the next."""
     rest: list[pa.RecordBatch] = []
-    leader: tuple[int, int] | None = None
-
-    def edges(bucket: np.ndarray, rid: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-        first = np.ones(len(bucket), bool)
-        first[1:] = bucket[1:] != bucket[:-1]
-        number = np.cumsum(first) - 1
-        size = np.bincount(number)[number]
-        found = [(rid[np.flatnonzero(first)][number[(size > SMALL_BUCKET) & ~first]], rid[(size > SMALL_BUCKET) & ~first])]
+
+    def edges(rows: pa.Table) -> pa.RecordBatch:
+        bucket, rid, sketch = rows.column("bucket").to_numpy(), rows.column("rid").to_numpy(), sketches(rows.column("sketch").combine_chunks())
+        found = [(rid[:0], rid[:0])]
         for shift in range(1, SMALL_BUCKET):
-            at = np.flatnonzero((number[shift:] == number[:-shift]) & (size[shift:] <= SMALL_BUCKET)) if len(bucket) > shift else np.zeros(0, np.int64)
+            at = np.flatnonzero(bucket[shift:] == bucket[:-shift]) if len(bucket) > shift else np.zeros(0, np.int64)
             if not len(at):
                 break
             keep = at[survive(sketch[at], sketch[at + shift])]
@@ -162,47 +162,58 @@ def bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (np.concatenate([x[i] for x in found]) for i in (0, 1))
         return pa.record_batch([pa.array(x) for x in spanning(a, b)], names=["a", "b"])
 
-    def columns(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = pa.Table.from_batches(parts).combine_chunks()
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(rows.num_rows, SKETCH)
-        return rows.column("bucket").to_numpy(), rows.column("rid").to_numpy(), sketch
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        bucket, rid, sketch = columns([*rest, batch])
-        rest = []
-        if leader is not None:  # goes on with a large bucket of the batch before
-            n = int(np.searchsorted(bucket != leader[0], True)) if (bucket != leader[0]).any() else len(bucket)
-            if n:
-                yield pa.record_batch([pa.array(np.full(n, leader[1], np.int64)), pa.array(rid[:n])], names=["a", "b"])
-            if n == len(bucket):
-                continue
-            bucket, rid, sketch, leader = bucket[n:], rid[n:], sketch[n:], None
-        start = len(bucket) - int(np.searchsorted(bucket[::-1] != bucket[-1], True)) if (bucket != bucket[-1]).any() else 0
-        if len(bucket) - start > SMALL_BUCKET:
-            leader = (int(bucket[start]), int(rid[start]))
-            yield edges(bucket, rid, sketch)
-        else:
-            yield edges(bucket[:start], rid[:start], sketch[:start])
-            rest = [pa.record_batch([pa.array(bucket[start:]), pa.array(rid[start:]), pa.array([x.tobytes() for x in sketch[start:]], pa.binary())], names=["bucket", "rid", "sketch"])]
+        rows = pa.Table.from_batches([*rest, batch]).combine_chunks()
+        bucket = rows.column("bucket").to_numpy()
+        start = int(np.flatnonzero(bucket == bucket[-1])[0])
+        yield edges(rows.slice(0, start))
+        rest = rows.slice(start).to_batches()
     if rest:
-        yield edges(*columns(rest))
+        yield edges(pa.Table.from_batches(rest))
 
 
-def candidate_edges(units: DataFrame) -> DataFrame:
-    """Edges whose components hold every candidate pair.
+def leader_tests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, rid, sketch, leader, near): whether a member may be similar to its bucket's leader."""
+    for batch in batches:
+        if batch.num_rows:
+            near = np.zeros(batch.num_rows, bool)
+            near[survive(sketches(batch.column("sketch")), sketches(batch.column("lead")))] = True
+            yield pa.record_batch([*(batch.column(c) for c in ("bucket", "rid", "sketch", "leader")), pa.array(near)], names=["bucket", "rid", "sketch", "leader", "near"])
 
-    Buckets with a thousandth of all rows or more, at most HOT_PARTS of them, are tied to their first member by a
-    broadcast of those few; the others are dealt by bucket.
-    """
-    bands = band_rows(units)
-    sizes = stored(bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rid").alias("leader")).where("n > 1"), "jaccard-buckets")
-    total = units.count() * BANDS
-    hot = sizes.where((F.col("n") * HOT_PARTS >= total) & (F.col("n") > SMALL_BUCKET)).select("bucket", "leader")
-    tied = bands.select("bucket", "rid").join(F.broadcast(hot), "bucket").select(F.col("leader").alias("a"), F.col("rid").alias("b")).where("a <> b")
-    shared = bands.join(F.broadcast(hot.select("bucket")), "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket", "rid")
-    return tied.unionByName(shared.mapInArrow(bucket_edges, "a long, b long"))
+
+def sketch_of(units: DataFrame) -> DataFrame:
+    """(rid, sketch), as ``band_rows`` has it."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint32).reshape(batch.num_rows, BANDS * ROWS)
+            yield pa.record_batch([batch.column("rid"), pa.array([x.tobytes() for x in marks[:, -SKETCH:].astype(np.uint8)], pa.binary())], names=["rid", "sketch"])
+
+    return units.select("rid", "marks").mapInArrow(cut, "rid long, sketch binary")
+
+
+def candidate_edges(units: DataFrame) -> DataFrame:
+    """Edges whose components hold every candidate pair; no large bucket is brought together, nor its pairs listed."""
+    rows, found = band_rows(units), []
+    for depth in range(len(FURTHER) + 1):
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rid").alias("leader")).where(F.col("n") > SMALL_BUCKET)
+        large = stored(sizes.select("bucket", "leader"), "jaccard-large")
+        few = rows.join(large.select("bucket"), "bucket", "left_anti")
+        found.append(few.repartition("bucket").sortWithinPartitions("bucket", "rid").mapInArrow(bucket_edges, "a long, b long"))
+        if not large.limit(1).count():
+            break
+        leads = stored(large.join(sketch_of(units.join(large.select(F.col("leader").alias("rid")).distinct(), "rid", "left_semi")).withColumnsRenamed({"rid": "leader", "sketch": "lead"}), "leader"), "jaccard-leads")
+        tested = stored(rows.join(leads, "bucket").mapInArrow(leader_tests, "bucket long, rid long, sketch binary, leader long, near boolean"), "jaccard-tested")
+        tied = tested.where("rid <> leader" if depth == len(FURTHER) else "rid <> leader and near")
+        found.append(tied.select(F.col("leader").alias("a"), F.col("rid").alias("b")))
+        if depth < len(FURTHER):
+            mixed_ = tested.where("not near").select("bucket").distinct()
+            first = 1 + 4 * sum(FURTHER[:depth])
+            ways = F.explode(F.array(*(F.xxhash64("bucket", F.lit(w), F.substring("sketch", first + 4 * w, 4)) for w in range(FURTHER[depth]))))
+            rows = tested.join(mixed_, "bucket", "left_semi").select(ways.alias("bucket"), "rid", "sketch")
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 LINKS = pa.schema({"rid": pa.int64(), "links": pa.int64(), "root": pa.int64()})
@@ -299,18 +310,20 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty table gives no rows, other columns make no difference, and texts of any length are taken whole.
     """
     rows = signed_rows(docs, id_col, text_col)
-    reps = stored(rows.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "rid")).alias("least"), F.count("*").alias("copies")).select("key", "least.*", "copies"), "jaccard-units")
+    reps = stored(rows.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "rid")).alias("least"), F.count("*").alias("copies"), F.max("n").alias("n")).select("key", "least.*", "copies", "n"), "jaccard-units")
     units = rows.select("rid", "marks").join(reps.select("rid"), "rid", "left_semi")
     near = stored(components(candidate_edges(units)), "jaccard-components")
-    sizes = near.groupBy("label").agg(F.count("*").alias("size"))
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    weighed = near.join(reps.select(F.col("rid").alias("node"), "n"), "node")
+    sizes = weighed.groupBy("label").agg(F.count("*").alias("size"), (8 * F.sum("n")).alias("bytes"))
+    tiles = F.ceil(F.greatest(F.col("size") / TILE, F.col("bytes") / TILE_BYTES)).cast("int")
     members = near.join(sizes, "label").select(F.col("node").alias("rid"), F.col("label").alias("component"), tiles.alias("tiles"))
     members = stored(members.join(reps.drop("doc_id"), "rid"), "jaccard-members")
     text = docs.select(F.col(text_col).alias("text"), F.coalesce(F.md5(text_col), F.lit("none")).alias("key"), F.col(id_col).cast("long").alias("doc_id"))
     wanted = members.join(reps.select("rid", F.col("doc_id").alias("least_id")), "rid")
     found = text.join(wanted, "key").where(F.col("doc_id").eqNullSafe(F.col("least_id"))).select("rid", "component", "copies", "tiles", "text")
     sets = found.mapInArrow(tile_sets, "rid long, component long, copies long, tiles int, shingles binary")
-    bins = max(1, -(-members.where("tiles = 1").count() // BIN_UNITS))
+    loose = members.where("tiles = 1").agg(F.count("*"), F.coalesce(8 * F.sum("n"), F.lit(0))).first()
+    bins = max(1, -(-loose[0] // BIN_UNITS), -(-loose[1] // BIN_BYTES))
     tile = F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int")
     # a unit of tile t meets its own tile in task (t, t) and every other tile u in task (min, max)
     task = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.struct(F.least(u, F.col("tile")).alias("i"), F.greatest(u, F.col("tile")).alias("j"))))
