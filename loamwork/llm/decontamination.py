@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamwork.llm.shared import fresh
+from loamwork.llm.shared import fresh, let
 from loamwork.sources.tables import table
 
 WINDOW, LEAST, BROADCAST_WINDOWS = 13, 4, 50_000
@@ -57,6 +57,8 @@ QUOTES, DASHES, GAPS = "\u2018\u2019\u201a\u201b\u2032\u02bc", "\u2010\u2011\u20
 FULL_WIDTH = [chr(c) for c in range(0xFF01, 0xFF5F)]
 MARKS = "".join((QUOTES, DASHES, GAPS, *FULL_WIDTH))
 PLAIN_MARKS = "".join(("'" * len(QUOTES), "-" * len(DASHES), " " * len(GAPS), *(chr(ord(c) - 0xFEE0) for c in FULL_WIDTH)))
+#: Any character but ASCII and Latin letters; all that ``simple`` changes is among these.
+SPECIAL = r"[^\x00-\x7f\u00c0-\u024f]"
 #: Characters of scripts that part no words by spaces: each is a word of its own.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
@@ -65,9 +67,13 @@ _NAME = r"\p{Lu}\p{Ll}"
 
 
 def simple(text: Column) -> Column:
-    """The text without placeholders' marks, with plain quotes, dashes, spaces and full-width forms, and unspaced characters apart."""
-    t = F.translate(F.coalesce(text, F.lit("")), MARK + SAME + MARKS, "  " + PLAIN_MARKS)
-    return F.when(t.rlike(UNSPACED), F.regexp_replace(t, UNSPACED, " $0 ")).otherwise(t)
+    """The text without placeholders' marks, with plain quotes, dashes, spaces and full-width forms, and unspaced characters apart.
+
+    One look for any such character spares most texts the rest.
+    """
+    given = F.coalesce(text, F.lit(""))
+    apart = lambda t: F.when(t.rlike(UNSPACED), F.regexp_replace(t, UNSPACED, " $0 ")).otherwise(t)
+    return F.when(given.rlike(SPECIAL), let(F.translate(given, MARK + SAME + MARKS, "  " + PLAIN_MARKS), apart)).otherwise(given)
 
 
 def numbered(t: Column) -> Column:
@@ -162,7 +168,7 @@ def document_windows(docs: DataFrame, size: int, keys: list[str] | None, ids: tu
     """(``ids``, form, at, hash, doc_slots) of windows of both forms that may match; all windows if ``keys`` is None."""
     if keys is not None:
         words = split_words(F.lower(simple(F.col("text"))), APART_LITERAL)
-        docs = docs.where(F.array_contains(anchored(words, keys), True))
+        docs = docs.where(F.array_contains(let(words, lambda w: anchored(w, keys)), True))
 
     def windows(form: str) -> Column:
         last = F.size(form) - size
