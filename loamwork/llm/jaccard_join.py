@@ -6,9 +6,10 @@ bands of four rows bring units into buckets: at similarity 0.8, 24 bands miss a
 1. Buckets of up to ``SMALL_BUCKET`` units compare their members' sketches, one byte of each of 48 MinHash values, in
    steps. After each step a pair is dropped if, given its matches so far, the posterior probability (uniform prior) that
    its similarity reaches the threshold is below ``TOLERANCE``; of those left a spanning forest goes on. The members of a
-   larger bucket are compared with its first in the same way and tied to it if they pass. Where some don't, as where
-   boilerplate fills the bucket, all members go on to buckets split by four more MinHash values each, in ``FURTHER``
-   ways at once, until they are small. Members that share sixteen values are tied to their first.
+   larger bucket are compared with its first in the same way and tied to it if they pass. If at most ``SMALL_BUCKET``
+   don't, all members are compared with these. If more don't, as where boilerplate fills the bucket, all members go on
+   to buckets split by four more MinHash values each, in ``FURTHER`` ways at once. Members that share sixteen values are
+   tied to their first.
 2. The edges' connected components hold every candidate pair. Components are dealt into bins; one of more than ``TILE``
    units or ``TILE_BYTES`` of shingles is dealt into tiles, and every pair of its tiles is a task, so that no group lies
    whole in a task.
@@ -183,6 +184,20 @@ def leader_tests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([*(batch.column(c) for c in ("bucket", "rid", "sketch", "leader")), pa.array(near)], names=["bucket", "rid", "sketch", "leader", "near"])
 
 
+def far_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) between members of a bucket and those few of it that are not near its leader."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 2000):
+            part = batch.slice(a, 2000)
+            far = part.column("far")
+            at = np.repeat(np.arange(part.num_rows), far.value_lengths().to_numpy())
+            rid, other = part.column("rid").to_numpy()[at], far.flatten().field("rid").to_numpy()
+            sketch = sketches(part.column("sketch"))[at]
+            kept = survive(sketch, sketches(far.flatten().field("sketch")))
+            kept = kept[rid[kept] != other[kept]]
+            yield pa.record_batch([pa.array(x) for x in spanning(rid[kept], other[kept])], names=["a", "b"])
+
+
 def sketch_of(units: DataFrame) -> DataFrame:
     """(rid, sketch), as ``band_rows`` has it."""
 
@@ -209,7 +224,10 @@ def candidate_edges(units: DataFrame) -> DataFrame:
         tied = tested.where("rid <> leader" if depth == len(FURTHER) else "rid <> leader and near")
         found.append(tied.select(F.col("leader").alias("a"), F.col("rid").alias("b")))
         if depth < len(FURTHER):
-            mixed_ = tested.where("not near").select("bucket").distinct()
+            counted = stored(tested.where("not near").groupBy("bucket").agg(F.count("*").alias("n")), "jaccard-far")
+            few_far = tested.where("not near").join(counted.where(F.col("n") <= SMALL_BUCKET), "bucket").groupBy("bucket").agg(F.collect_list(F.struct("rid", "sketch")).alias("far"))
+            found.append(tested.select("bucket", "rid", "sketch").join(few_far, "bucket").select("rid", "sketch", "far").mapInArrow(far_edges, "a long, b long"))
+            mixed_ = counted.where(F.col("n") > SMALL_BUCKET).select("bucket")
             first = 1 + 4 * sum(FURTHER[:depth])
             ways = F.explode(F.array(*(F.xxhash64("bucket", F.lit(w), F.substring("sketch", first + 4 * w, 4)) for w in range(FURTHER[depth]))))
             rows = tested.join(mixed_, "bucket", "left_semi").select(ways.alias("bucket"), "rid", "sketch")
