@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions import text as X
 from loamwork.operators import passages, spans
+from loamwork.operators.decoding import Chain, best_tags
 from loamwork.operators.donors import best_donor
 from loamwork.plans.bindings import GOLD_SQL, gold
 from loamwork.sources.tables import table
@@ -248,6 +249,28 @@ s AS (SELECT a.item_id, a.idx, sum(a.v * b.v) AS s FROM v a JOIN v b ON a.item_i
 SELECT item_id, round(s[1], 6) AS best, round(coalesce(s[2], 0), 6) AS second, round(s[1] - coalesce(s[2], 0), 6) AS margin FROM o"""
 
 
+#: Scores of the tags of a word outside, at the beginning and inside of a name: by its first letter and its length.
+CHAIN = Chain(("O", "B", "I"), {"I": -50.0}, {("O", "I"): -50.0, ("B", "I"): 0.5, ("I", "I"): 0.25}, {})
+
+
+def decoded_tags(spark, sf_dir):
+    """The best tags of every turn's words, a letter a word: capitals may begin a name and long words go on with it."""
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    score = lambda w: F.array(F.lit(1.0), F.when(w.rlike(r"^\p{Lu}"), 1.5).otherwise(0.0), F.when(F.length(w) >= 6, 1.25).otherwise(0.5))
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), F.transform(words, score).alias("emissions"))
+    return best_tags(turns, CHAIN, "turn_id").select("turn_id", F.array_join("tags", "").alias("tags"), "score")
+
+
+DECODED_SQL = r"""WITH RECURSIVE w AS (SELECT conv_id || ':' || turn AS turn_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS t FROM conversations),
+e AS (SELECT turn_id, t, g.tag, CASE g.tag WHEN 0 THEN 1.0 WHEN 1 THEN CASE WHEN regexp_matches(word, '^\p{Lu}') THEN 1.5 ELSE 0 END ELSE CASE WHEN length(word) >= 6 THEN 1.25 ELSE 0.5 END END::DOUBLE AS score FROM w, (SELECT unnest([0, 1, 2]) AS tag) g),
+s AS (SELECT * FROM (VALUES (0, 0, 0.0), (0, 1, 0.0), (0, 2, -50.0), (1, 0, 0.0), (1, 1, 0.0), (1, 2, 0.5), (2, 0, 0.0), (2, 1, 0.0), (2, 2, 0.25)) v(a, b, step)),
+v(turn_id, t, tag, score, path) AS (SELECT turn_id, 1::BIGINT, tag, (score + CASE WHEN tag = 2 THEN -50.0 ELSE 0.0 END)::DOUBLE, substr('OBI', tag + 1, 1) FROM e WHERE t = 1
+  UNION ALL SELECT v.turn_id, v.t + 1, s.b, (max(v.score + s.step) + any_value(e.score))::DOUBLE, arg_max(v.path, (v.score + s.step) * 1000 - s.a) || substr('OBI', s.b + 1, 1)
+  FROM v JOIN s ON s.a = v.tag JOIN e ON e.turn_id = v.turn_id AND e.t = v.t + 1 AND e.tag = s.b GROUP BY v.turn_id, v.t, s.b),
+n AS (SELECT turn_id, max(t) AS n FROM w GROUP BY turn_id), b AS (SELECT v.turn_id, max(score) AS score, arg_max(path, score * 1000 - tag) AS tags FROM v JOIN n ON n.turn_id = v.turn_id AND n.n = v.t GROUP BY v.turn_id)
+SELECT c.conv_id || ':' || c.turn AS turn_id, coalesce(b.tags, '') AS tags, b.score FROM conversations c LEFT JOIN b ON b.turn_id = c.conv_id || ':' || c.turn"""
+
+
 def donors(spark, sf_dir):
     g = gold(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", "gold")
     return passages.closest_donor(g.where("gold = 'SUPPORTED'"), g.where("gold <> 'SUPPORTED'"), (("lang", "source"), ("source",), ("lang",)), "n_chars", "doc_id")
@@ -409,14 +432,14 @@ LONG_SQL = "SELECT 'p_size' AS name, count(*) AS n, round(CAST(sum(p_size) AS DO
 QUERIES = {
     "text_segments": text_segments, "text_measures": text_measures, "span_tokens": span_tokens, "located_spans": located_spans, "offset_integrity": offset_integrity, "bigram_sets": bigram_sets,
     "window_plan": window_plan, "context_windows": context_windows, "evidence_windows": evidence_windows, "omission_masks": omission_masks, "stable_ids": stable_ids, "salvaged_decisions": salvaged_decisions,
-    "page_split": page_split, "character_errors": character_errors, "lexicon_matches": lexicon_matches, "longest_matches": longest_matches, "retrieval": retrieval, "donors": donors, "donors_by_score": donors_by_score,
+    "page_split": page_split, "character_errors": character_errors, "lexicon_matches": lexicon_matches, "longest_matches": longest_matches, "retrieval": retrieval, "donors": donors, "decoded_tags": decoded_tags, "donors_by_score": donors_by_score,
     "identity_lexicon": identity_lexicon, "identity_features": identity_features, "majorities": majorities, "vocabulary": vocabulary, "crosswalk_summary": crosswalk_summary, "coverage_counters": coverage_counters,
     "payload_long": payload_long, "seed_means": seed_means, "intervention_effects": intervention_effects, "key_sets": key_sets, "long_scores": long_scores,
 }
 ORACLES = {
     "text_segments": SEGMENTS_SQL, "text_measures": MEASURES_SQL, "span_tokens": TOKENS_SQL, "located_spans": LOCATED_SQL, "offset_integrity": INTEGRITY_SQL, "bigram_sets": BIGRAM_SQL,
     "window_plan": WINDOW_SQL, "context_windows": CONTEXT_SQL, "evidence_windows": EVIDENCE_SQL, "longest_matches": LONGEST_SQL, "omission_masks": OMISSION_SQL, "stable_ids": STABLE_SQL, "salvaged_decisions": SALVAGED_SQL, "page_split": PAGE_SQL,
-    "character_errors": CER_SQL, "lexicon_matches": LEXICON_SQL, "retrieval": RETRIEVAL_SQL, "donors": DONORS_SQL, "donors_by_score": DONOR_SCORE_SQL, "identity_lexicon": IDENTITY_SQL, "identity_features": IDENTITY_F_SQL,
+    "character_errors": CER_SQL, "lexicon_matches": LEXICON_SQL, "retrieval": RETRIEVAL_SQL, "donors": DONORS_SQL, "decoded_tags": DECODED_SQL, "donors_by_score": DONOR_SCORE_SQL, "identity_lexicon": IDENTITY_SQL, "identity_features": IDENTITY_F_SQL,
     "majorities": MAJORITY_SQL, "vocabulary": VOCABULARY_SQL, "crosswalk_summary": CROSSWALK_SQL, "coverage_counters": COUNTERS_SQL, "payload_long": PAYLOAD_SQL, "seed_means": SEED_SQL,
     "intervention_effects": EFFECTS_SQL, "key_sets": SETS_SQL, "long_scores": LONG_SQL,
 }

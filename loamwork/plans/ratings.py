@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loamwork.operators import agreement, resample, splits, study
+from loamwork.operators.multinomial import cell_weights, value_replicates
 from loamwork.plans.bindings import GOLD_SQL, LABELS, RATER_SQL, STUDY_SQL, gold, raters
 from loamwork.plans.bindings import study as study_rows
 from loamwork.plans.evaluation import nine
@@ -73,6 +74,65 @@ SELECT round(quantile_cont(estimate, 0.025), 6) AS low, round(quantile_cont(esti
 UNION ALL SELECT round(v[CAST(floor(0.025 * {R}) AS INT) + 1], 6), round(v[CAST(floor(0.975 * {R}) AS INT) + 1], 6), {R}, 'nearest' FROM o"""
 
 
+CELL_R = 2000
+
+
+def _cell_replicates(weights, *by):
+    """Accuracy and macro-F1 of every replicate from the weights of (gold|pred) cells."""
+    w = weights.select("replicate", *by, F.split("cell", r"\|").alias("c"), "weight").select("replicate", *by, F.col("c")[0].alias("gold"), F.col("c")[1].alias("pred"), "weight")
+    side = F.explode(F.array(F.struct(F.col("gold").alias("label"), F.col("weight").alias("b")), F.struct(F.col("pred").alias("label"), F.col("weight").alias("b"))))
+    hit = F.when((F.col("gold") == F.col("pred")), F.col("weight") / 2).otherwise(0)  # both sides of a hit are rows
+    labels = w.select("*", side.alias("s")).groupBy("replicate", "s.label").agg(F.sum("s.b").alias("b"), F.sum(hit).alias("tp"))
+    f1 = labels.groupBy("replicate").agg((F.sum(2 * F.col("tp") / F.col("b")) / len(LABELS)).alias("macro_f1"))
+    total = w.groupBy("replicate").agg((F.sum(F.when(F.col("gold") == F.col("pred"), F.col("weight")).otherwise(0)) / F.sum("weight")).alias("accuracy"))
+    return total.join(f1, "replicate")
+
+
+def bootstrap_cells(spark, sf_dir):
+    """Accuracy and macro-F1 of 2,000 replicates of all items, their draws split over the cells of gold and predicted labels."""
+    cells = _correct(spark, sf_dir).groupBy(F.concat_ws("|", "gold", "pred").alias("cell")).agg(F.count("*").alias("n"))
+    return nine(_cell_replicates(cell_weights(cells, "cell", "n", CELL_R, 29)), "accuracy", "macro_f1")
+
+
+def bootstrap_cells_by_source(spark, sf_dir):
+    """The same with items drawn within their source, as (low, high) of the percentile interval."""
+    cells = _correct(spark, sf_dir).groupBy("source", F.concat_ws("|", "gold", "pred").alias("cell")).agg(F.count("*").alias("n"))
+    out = _cell_replicates(cell_weights(cells, "cell", "n", CELL_R, 31, "source"))
+    accuracy, f1 = (resample.interval(out, c).withColumn("measure", F.lit(c)) for c in ("accuracy", "macro_f1"))
+    return nine(accuracy.unionByName(f1), "low", "high")
+
+
+def _split_sql(seed: int, stratum: str) -> str:
+    """Weights (replicate, s, cell, w) of the cells ``c`` (s, cell, n): sequential binomial splits by their distribution function."""
+    key = f"'{seed}|' || replicate{stratum} || '|' || c.cell"
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY cell) AS k, sum(n) OVER (PARTITION BY s) AS total, sum(n) OVER (PARTITION BY s ORDER BY cell ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM c),
+u AS (SELECT replicate, c.s, c.cell, c.k, c.n::DOUBLE / c.rest AS p, (('0x' || substr(sha256({key}), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE AS u, c.total FROM o c, (SELECT unnest(range({CELL_R})) AS replicate)),
+w(replicate, s, k, cell, left_, w) AS (SELECT replicate, s, 0::BIGINT, NULL::VARCHAR, total::BIGINT, 0::BIGINT FROM u WHERE k = 1
+  UNION ALL SELECT replicate, s, k, any_value(cell), any_value(left_) - x, x FROM (SELECT *, CASE WHEN p >= 1 OR left_ = 0 THEN left_ ELSE least(high, low + count(*) FILTER (cum <= u * whole) OVER (PARTITION BY replicate, s)) END AS x FROM (
+    SELECT *, sum(pmf) OVER (PARTITION BY replicate, s ORDER BY v ROWS UNBOUNDED PRECEDING) AS cum, sum(pmf) OVER (PARTITION BY replicate, s) AS whole FROM (
+    SELECT *, CASE WHEN p >= 1 THEN 1 ELSE exp(lgamma(left_ + 1) - lgamma(v + 1) - lgamma(left_ - v + 1) + v * ln(least(p, 0.5 + p / 2)) + (left_ - v) * ln(greatest(1 - p, 1e-300))) END AS pmf FROM (
+    SELECT *, unnest(range(low, high + 1)) AS v FROM (SELECT u.replicate, u.s, u.k, u.cell, u.p, u.u, w.left_,
+      CASE WHEN p >= 1 THEN w.left_ ELSE greatest(0, CAST(floor(w.left_ * p - 12 * sqrt(w.left_ * p * (1 - p)) - 12) AS BIGINT)) END AS low,
+      CASE WHEN p >= 1 THEN w.left_ ELSE least(w.left_, CAST(ceil(w.left_ * p + 12 * sqrt(w.left_ * p * (1 - p)) + 12) AS BIGINT)) END AS high
+      FROM w JOIN u ON u.replicate = w.replicate AND u.s IS NOT DISTINCT FROM w.s AND u.k = w.k + 1))))) GROUP BY replicate, s, k, x),
+x AS (SELECT replicate, string_split(cell, '|')[1] AS gold, string_split(cell, '|')[2] AS pred, w FROM w WHERE k > 0),
+a AS (SELECT replicate, sum(w) FILTER (gold = pred) / sum(w) AS accuracy FROM x GROUP BY replicate),
+l AS (SELECT replicate, label, sum(CASE WHEN gold = label AND pred = label THEN w ELSE 0 END) AS tp, sum(CASE WHEN gold = label THEN w ELSE 0 END) + sum(CASE WHEN pred = label THEN w ELSE 0 END) AS b FROM x, (SELECT unnest({list(LABELS)}) AS label) GROUP BY ALL),
+f AS (SELECT replicate, sum(coalesce(2.0 * tp / nullif(b, 0), 0)) / {len(LABELS)} AS macro_f1 FROM l GROUP BY replicate)"""
+
+
+CELLS_SQL = f"""WITH RECURSIVE {_OK}, c AS (SELECT 1 AS s, gold || '|' || pred AS cell, count(*) AS n FROM g GROUP BY ALL), {_split_sql(29, "")}
+SELECT a.replicate, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1 FROM a JOIN f USING (replicate)"""
+CELLS_SOURCE_SQL = f"""WITH RECURSIVE {_OK}, c AS (SELECT source AS s, gold || '|' || pred AS cell, count(*) AS n FROM g GROUP BY ALL), {_split_sql(31, " || '|' || c.s")}
+SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(*) AS replicates, measure FROM (SELECT 'accuracy' AS measure, accuracy AS v FROM a UNION ALL SELECT 'macro_f1', macro_f1 FROM f) GROUP BY measure"""
+
+
+def bootstrap_values(spark, sf_dir):
+    """Percentile interval of the mean number of characters of all documents, from 2,000 replicates."""
+    out = value_replicates(table(spark, sf_dir, "documents"), "n_chars", "doc_id", CELL_R, 37)
+    return nine(resample.interval(out, "estimate"), "low", "high")
+
+
 def bootstrap_two_stage(spark, sf_dir):
     rows = _correct(spark, sf_dir)
     weights = resample.two_stage_weights(rows, "source", "doc_id", R, 13)
@@ -292,13 +352,13 @@ def prompt_batches(spark, sf_dir):
 BATCH_SQL = f"WITH {_OK} SELECT doc_id, source, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 12 AS INT) AS batch FROM g"
 
 QUERIES = {
-    "kappa": kappa, "rating_table": rating_table, "adjudication": adjudication, "bootstrap_items": bootstrap_items, "bootstrap_interval": bootstrap_interval, "bootstrap_two_stage": bootstrap_two_stage,
+    "kappa": kappa, "rating_table": rating_table, "adjudication": adjudication, "bootstrap_items": bootstrap_items, "bootstrap_interval": bootstrap_interval, "bootstrap_cells": bootstrap_cells, "bootstrap_cells_by_source": bootstrap_cells_by_source, "bootstrap_values": bootstrap_values, "bootstrap_two_stage": bootstrap_two_stage,
     "bootstrap_strata": bootstrap_strata, "paired_difference": paired_difference, "bootstrap_clusters": bootstrap_clusters, "paired_study": paired_study, "paired_tests": paired_tests, "study_inputs": study_inputs, "log_ratio": log_ratio,
     "study_anova": study_anova, "study_reliability": study_reliability, "study_summary": study_summary, "holm": holm, "preference": preference, "stratified_sample": stratified_sample, "split_positions": split_positions,
     "allocation": allocation, "folds": folds, "balanced_trial": balanced_trial, "shuffled": shuffled, "prompt_batches": prompt_batches,
 }
 ORACLES = {
-    "kappa": KAPPA_SQL, "rating_table": RATING_SQL, "adjudication": ADJUDICATION_SQL, "bootstrap_items": ITEMS_SQL, "bootstrap_clusters": CLUSTERS_SQL, "folds": FOLDS_SQL, "paired_tests": TESTS_SQL, "preference": PREFERENCE_SQL, "study_inputs": INPUTS_SQL, "bootstrap_interval": INTERVAL_SQL, "bootstrap_two_stage": TWO_STAGE_SQL,
+    "kappa": KAPPA_SQL, "rating_table": RATING_SQL, "adjudication": ADJUDICATION_SQL, "bootstrap_items": ITEMS_SQL, "bootstrap_clusters": CLUSTERS_SQL, "folds": FOLDS_SQL, "paired_tests": TESTS_SQL, "preference": PREFERENCE_SQL, "study_inputs": INPUTS_SQL, "bootstrap_interval": INTERVAL_SQL, "bootstrap_cells": CELLS_SQL, "bootstrap_cells_by_source": CELLS_SOURCE_SQL, "bootstrap_two_stage": TWO_STAGE_SQL,
     "bootstrap_strata": STRATA_SQL, "paired_difference": PAIRED_SQL, "paired_study": STUDY_T_SQL, "log_ratio": LOG_SQL, "study_anova": ANOVA_SQL, "study_reliability": ICC_SQL, "study_summary": SUMMARY_SQL,
     "holm": HOLM_SQL, "stratified_sample": SAMPLE_SQL, "split_positions": SPLIT_SQL, "allocation": ALLOCATION_SQL, "balanced_trial": BALANCED_SQL, "shuffled": SHUFFLED_SQL, "prompt_batches": BATCH_SQL,
 }
