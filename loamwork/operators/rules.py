@@ -50,11 +50,26 @@ def candidates(path: DataFrame, head: str, tail: str, prefixes: Sequence[str], a
 
 
 def b1(edges: DataFrame) -> DataFrame:
-    """Ingredient enters a meridian, which corresponds to an organ that a disease affects: the ingredient may treat it."""
+    """Ingredient enters a meridian, which corresponds to an organ that a disease affects: the ingredient may treat it.
+
+    The few organs would spread every ingredient over every disease of theirs once a meridian. So the way to the organ
+    is summed up before diseases come in: of each ingredient, organ and least authority, the number of ways and the
+    best. As authority has few values and the rest of a score adds up, the best path is among these.
+    """
     enters = _named(best_edges(of_type(edges, "entersmeridian", "Ingredient", "Meridian")), "ingredient", "meridian", "a")
     organ = _named(best_edges(of_type(edges, "correspondsToOrgan", "Meridian", "Organ")), "meridian", "organ", "b")
     affects = _named(best_edges(of_type(edges, "affectsOrgan", "Disease", "Organ")), "disease", "organ", "c")
-    return candidates(enters.join(organ, "meridian").join(affects, "organ"), "ingredient", "disease", ("a", "b", "c"), edges.where("relation = 'treats'"))
+    both = lambda c: F.col(f"a_{c}") + F.col(f"b_{c}")
+    way = F.struct(both("authority_rank").alias("ranks"), both("books").alias("books"), both("support").alias("support"), F.round(both("confidence"), 9).alias("confidence"), F.array("a_edge_id", "b_edge_id").alias("path"))
+    ways = enters.join(organ, "meridian").groupBy("ingredient", "organ", F.least("a_authority_rank", "b_authority_rank").alias("least")).agg(F.count("*").alias("ways"), F.max(way).alias("way"))
+    asserted = edges.where("relation = 'treats'").select(F.col("head").alias("ingredient"), F.col("tail").alias("disease")).distinct()
+    whole = ways.join(affects, "organ").join(asserted, ["ingredient", "disease"], "left_anti")
+    score = F.struct(
+        F.least("least", "c_authority_rank").alias("least_rank"), (F.col("way.ranks") + F.col("c_authority_rank")).alias("ranks"), (F.col("way.books") + F.col("c_books")).alias("books"),
+        (F.col("way.support") + F.col("c_support")).alias("support"), F.round(F.col("way.confidence") + F.col("c_confidence"), 9).alias("confidence"), F.concat("way.path", F.array("c_edge_id")).alias("path"),
+    )
+    found = whole.groupBy(F.col("ingredient").alias("head"), F.col("disease").alias("tail")).agg(F.sum("ways").alias("path_count"), F.max(score).alias("best"))
+    return found.select("head", "tail", "path_count", *(f"best.{c}" for c in ("least_rank", "ranks", "books", "support", "confidence", "path")))
 
 
 def b2(edges: DataFrame) -> DataFrame:
