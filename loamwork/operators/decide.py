@@ -79,22 +79,6 @@ def threshold_search(rows: DataFrame, score: str, positive: str, grid: Sequence[
     return scored.groupBy(*by).agg(F.max("best").alias("best")).select(*by, "best.*")
 
 
-def grid_search(rows: DataFrame, grid: DataFrame, decision: Column, gold: str, labels: Sequence[str] = LABELS) -> DataFrame:
-    """Macro-F1 and accuracy of a decision at every row of ``grid``, a small table of parameters with ``grid_id``.
-
-    Each row of data is decided at each point and counted in its task, so only (point, gold, decision) counts move.
-    """
-    # a stated set of parameters against all rows
-    decided = rows.join(F.broadcast(grid), F.lit(True)).select("grid_id", F.col(gold).alias("gold"), decision.alias("pred"))
-    counts = decided.groupBy("grid_id", "gold", "pred").count()
-    sides = F.explode(F.array(F.struct(F.col("gold").alias("label"), F.col("count").alias("g"), F.lit(0).cast("long").alias("p")), F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("g"), F.col("count").alias("p"))))
-    hit = F.when((F.col("gold") == F.col("pred")) & (F.col("s.g") > 0), F.col("count")).otherwise(0)
-    by_label = counts.select("grid_id", "gold", "pred", "count", sides.alias("s")).groupBy("grid_id", "s.label").agg(F.sum("s.g").alias("g"), F.sum("s.p").alias("p"), F.sum(hit).alias("tp"))
-    return by_label.groupBy("grid_id").agg(
-        F.round(F.sum(ratio(2 * F.col("tp"), F.col("g") + F.col("p"))) / len(labels), 9).alias("macro_f1"), F.round(ratio(F.sum("tp"), F.sum("g")), 9).alias("accuracy")
-    )
-
-
 def judged_grid_search(rows: DataFrame, gold: str, judgeability: Sequence[float], support: Sequence[float], by: Sequence[str] = (), probs: str = "probs", labels: Sequence[str] = LABELS) -> DataFrame:
     """``by``, judgeability, support, macro_f1, accuracy of ``judged`` at every pair of thresholds.
 

@@ -361,9 +361,7 @@ CROSSWALK_SQL = """SELECT n_name, count(c_acctbal) AS n, count(DISTINCT c_custke
 
 def coverage_counters(spark, sf_dir):
     """Counts by (lang, gold), by lang, and in all."""
-    g = gold(spark, sf_dir)
-    g.createOrReplaceTempView("_coverage_rows")
-    return spark.sql("SELECT lang, gold, CAST(grouping_id() AS INT) AS level, count(*) AS n, count(DISTINCT source) AS sources FROM _coverage_rows GROUP BY GROUPING SETS ((lang, gold), (lang), ())")
+    return spark.sql("SELECT lang, gold, CAST(grouping_id() AS INT) AS level, count(*) AS n, count(DISTINCT source) AS sources FROM {rows} GROUP BY GROUPING SETS ((lang, gold), (lang), ())", rows=gold(spark, sf_dir))
 
 
 COUNTERS_SQL = f"WITH g AS ({GOLD_SQL}) SELECT lang, gold, CAST(grouping(lang, gold) AS INT) AS level, count(*) AS n, count(DISTINCT source) AS sources FROM g GROUP BY GROUPING SETS ((lang, gold), (lang), ())"

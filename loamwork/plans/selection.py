@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions import text as X
 from loamwork.functions import vectors as V
-from loamwork.operators import decide, learning, metrics, passages, paths, rules, splits
+from loamwork.operators import decide, learning, logistic, metrics, passages, paths, rules, splits
 from loamwork.operators.extra_trees import extra_trees
 from loamwork.plans.bindings import EDGES_SQL, GOLD_SQL, LABELS, edges, gold
 from loamwork.plans.graph import _PATHS, _paths, rule_b1, B1_SQL
@@ -180,6 +180,14 @@ def extra_trees_probabilities(spark, sf_dir):
     return out.select("doc_id", *(F.round(F.get("probs", F.lit(i)), 6).alias(f"p{i + 1}") for i in range(4)))
 
 
+def logistic_probabilities(spark, sf_dir):
+    """Balanced one-against-rest logistic regressions by a Newton method; no SQL, as they are fitted by iteration."""
+    dense = _framed(spark, sf_dir).withColumn("x", vector_to_array("features"))
+    rows = staged(dense.select("doc_id", "gold", F.sequence(F.lit(0), F.size("x") - 1).alias("at"), "x"), "logistic-frame")
+    out = logistic.probabilities(rows, logistic.fitted(rows, "gold", LABELS))
+    return out.select("doc_id", *(F.round(F.get("probs", F.lit(i)), 6).alias(f"p{i + 1}") for i in range(4)))
+
+
 def penalty_selection(spark, sf_dir):
     """Rows only: penalties by cross-validation over folds of whole sources; solvers differ."""
     rows = splits.group_folds(_framed(spark, sf_dir), "source", "gold", LABELS, 2)
@@ -195,7 +203,7 @@ def cascade_probabilities(spark, sf_dir):
 
 QUERIES = {
     "policy_search": policy_search, "best_policy": best_policy, "selection_score": selection_score, "rule_sets": rule_sets, "flattened_candidates": flattened_candidates, "encoded_paths": encoded_paths,
-    "span_flags": span_flags, "query_texts": query_texts, "forest_probabilities": forest_probabilities, "extra_trees_probabilities": extra_trees_probabilities, "penalty_selection": penalty_selection, "cascade_probabilities": cascade_probabilities,
+    "span_flags": span_flags, "query_texts": query_texts, "forest_probabilities": forest_probabilities, "extra_trees_probabilities": extra_trees_probabilities, "logistic_probabilities": logistic_probabilities, "penalty_selection": penalty_selection, "cascade_probabilities": cascade_probabilities,
 }
 ORACLES = {
     "policy_search": POLICIES_SQL, "best_policy": BEST_POLICY_SQL, "selection_score": SELECTION_SQL, "rule_sets": RULE_SETS_SQL, "flattened_candidates": FLATTENED_SQL, "encoded_paths": ENCODED_SQL,
