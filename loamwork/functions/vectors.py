@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FLOOR = 1e-12
+#: What the sum of a vector that was brought to sum one is off by, at most.
+ROUNDING = 1e-14
 
 
 def total(p: Column) -> Column:
@@ -21,9 +23,9 @@ def valid(p: Column, size: int, tolerance: float = 2e-5) -> Column:
 
 
 def normalised(p: Column) -> Column:
-    """Clipped from below and brought to sum one."""
+    """Clipped from below and brought to sum one; a vector that is so but for rounding stays, as a bin's border may lie at it."""
     clipped = F.transform(p, lambda x: F.least(F.greatest(x, F.lit(FLOOR)), F.lit(1.0)))
-    return F.transform(clipped, lambda x: x / total(clipped))
+    return F.when(F.abs(total(clipped) - 1) <= ROUNDING, clipped).otherwise(F.transform(clipped, lambda x: x / total(clipped)))
 
 
 def checked(p: Column, size: int) -> Column:

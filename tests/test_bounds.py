@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from loamwork.operators import resample
+from loamwork.functions import vectors as V
+from loamwork.operators import calibration, resample
 
 
 def _plan(df):
@@ -25,3 +26,18 @@ def test_bootstrap_draws_are_spread_over_tasks(spark, monkeypatch):
     assert {(r.replicate, r.unit): r.weight for r in cut.collect()} == whole
     assert sum(whole.values()) == 3000
     assert resample.draws(spark, 3, spark.createDataFrame([(0,)], "n long"), 7).count() == 0
+
+
+def test_vectors_of_sum_one_keep_their_bin(spark):
+    found = [(a / t, b / t, c / t, d / t) for a in range(40, 90) for b in range(1, 12) for c in range(1, 6) for d in range(1, 6) if (t := float(a + b + c + d))]
+    off = [p for p in found if ((0.0 + p[0] + p[1]) + p[2]) + p[3] != 1.0]
+    assert off  # sums that rounding leaves beside one
+    rows = spark.createDataFrame([("x", list(p)) for p in off], "gold string, probs array<double>")
+    assert rows.where(V.normalised(F.col("probs")) != F.col("probs")).count() == 0
+    wanted = {}
+    for p in off:
+        k = min(int(max(p) * 15), 14)
+        wanted[k] = wanted.get(k, 0) + 1
+    assert {r.bin: r.n for r in calibration.bins(rows, "gold", "probs", ["x", "y", "z", "w"]).collect()} == wanted
+    scaled = spark.range(1).select(V.normalised(F.array(F.lit(0.50001), F.lit(0.5))).alias("p")).first().p
+    assert abs(sum(scaled) - 1) < 1e-15
