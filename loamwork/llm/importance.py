@@ -1,10 +1,10 @@
 """Resampling towards a target distribution by importance weights of hashed n-grams.
 
-1. Texts become a sparse matrix of documents by buckets, the counts of the hashed features. It is stored once, in blocks
-   of compressed sparse rows: a row of the table holds the documents of a megabyte of text and their three arrays.
-2. Column sums over the blocks give both distributions: a task adds its blocks to one dense vector, and only that
-   vector's entries are shuffled. A bucket's gain is the logarithm of the ratio of its smoothed shares.
-3. The product of the matrix with the vector of gains gives every document's weight, read from the blocks alone.
+1. Texts become a sparse matrix of documents by buckets, the counts of the hashed features. It is stored once, a row a
+   document with its arrays of buckets and counts.
+2. Column sums give both distributions: a task adds its rows to one dense vector, and only that vector's entries are
+   shuffled. A bucket's gain is the logarithm of the ratio of its smoothed shares.
+3. The product of the matrix with the vector of gains gives every document's weight, read from the matrix alone.
 4. Weights with Gumbel noise from a hash of the id are drawn from the top; Spark's range partitioning numbers the rows,
    so no task sorts them all.
 
@@ -77,11 +77,12 @@ def features(words: Words, longest: int, buckets: int) -> tuple[np.ndarray, np.n
 
 
 def count_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST, buckets: int = BUCKETS) -> DataFrame:
-    """The stored matrix of documents by buckets, a row of the table a block of compressed sparse rows.
+    """The stored matrix of documents by buckets, a row of the table a block of compressed sparse rows, of one document each.
 
-    ``ids``, ``words``: the documents' ids and numbers of words; ``upto``: where each document's entries end; ``columns``
-    and ``counts``: the entries, buckets ascending within a document. A null or wordless text is a row without entries.
-    A block holds the documents of a megabyte of text; a longer text is a block alone, with at most ``buckets`` entries.
+    ``ids``, ``words``: the document's id and number of words; ``upto``: where its entries end; ``columns`` and ``counts``:
+    the entries, buckets ascending. A null or wordless text is a row without entries, and a long one has at most
+    ``buckets``. Features are counted for a megabyte of text at once, but blocks are no larger than a document, as
+    readers hold thousands of rows together, whatever their sizes.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,10 +90,12 @@ def count_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             words = Words(block.column("text"), APART, LOWER)
             row, bucket = features(words, longest, buckets)
             cell, count = np.unique(row * buckets + bucket, return_counts=True)
-            upto = np.searchsorted(cell, np.arange(1, block.num_rows + 1) * buckets)
-            one = lambda values, kind: pa.array([values], pa.list_(kind))
+            upto = np.searchsorted(cell, np.arange(block.num_rows + 1) * buckets).astype(np.int32)
+            each = pa.array(np.arange(block.num_rows + 1, dtype=np.int32))
+            one = lambda values: pa.ListArray.from_arrays(each, values)  # noqa: B023, E731
+            entries = lambda values: pa.ListArray.from_arrays(pa.array(upto), pa.array(values.astype(np.int32)))  # noqa: B023, E731
             yield pa.record_batch(
-                [one(block.column("doc_id").to_pylist(), pa.int64()), one(words.count, pa.int64()), one(upto, pa.int32()), one(cell % buckets, pa.int32()), one(count, pa.int32())],
+                [one(block.column("doc_id")), one(pa.array(words.count.astype(np.int64))), one(pa.array(np.diff(upto))), entries(cell % buckets), entries(count)],
                 names=["ids", "words", "upto", "columns", "counts"],
             )
 
@@ -100,20 +103,13 @@ def count_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return stored(slim.mapInArrow(counted, "ids array<long>, words array<long>, upto array<int>, columns array<int>, counts array<int>"), "importance-matrix", "zstd")
 
 
-def _arrays(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    """Each block's arrays; ids stay as they are, as they may be null."""
-    for i in range(batch.num_rows):
-        yield tuple(batch.column(n)[i].values if n == "ids" else batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in names)
-
-
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, n) of every bucket with a feature: a task's blocks are added up before anything is shuffled."""
+    """(bucket, n) of every bucket with a feature: a task's rows are added up before anything is shuffled."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for columns, counts in _arrays(batch, "columns", "counts"):
-                np.add.at(total, columns, counts.astype(np.int64))
+            np.add.at(total, batch.column("columns").flatten().to_numpy(), batch.column("counts").flatten().to_numpy().astype(np.int64))
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
@@ -135,11 +131,10 @@ def weighted(matrix: DataFrame, gains: np.ndarray) -> DataFrame:
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, words, upto, columns, counts in _arrays(batch, "ids", "words", "upto", "columns", "counts"):
-                at = np.concatenate([[0], upto]).astype(np.int64)
-                over = lambda values: np.diff(np.concatenate([[0], np.cumsum(values)])[at])  # noqa: B023, E731
-                counts = counts.astype(np.int64)
-                yield pa.record_batch([ids, pa.array(words), pa.array(over(counts)), pa.array(over(counts * gains[columns]))], names=["doc_id", "n_words", "n_features", "weight"])
+            at = np.concatenate([[0], np.cumsum(batch.column("upto").flatten().to_numpy(), dtype=np.int64)])
+            columns, counts = batch.column("columns").flatten().to_numpy(), batch.column("counts").flatten().to_numpy().astype(np.int64)
+            over = lambda values: pa.array(np.diff(np.concatenate([[0], np.cumsum(values)])[at]))  # noqa: B023, E731
+            yield pa.record_batch([batch.column("ids").flatten(), batch.column("words").flatten(), over(counts), over(counts * gains[columns])], names=["doc_id", "n_words", "n_features", "weight"])
 
     return matrix.mapInArrow(multiplied, "doc_id long, n_words long, n_features long, weight long")
 

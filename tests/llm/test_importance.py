@@ -78,3 +78,10 @@ def test_blocks_hold_the_counts(spark, docs_of):
             assert b.columns[part] == sorted(set(b.columns[part])) and sum(b.counts[part]) == n
         seen += len(b.ids)
     assert seen == len(docs)
+
+
+def test_a_block_is_no_larger_than_a_document(spark, docs_of):
+    """Readers hold thousands of rows together, so that blocks of a megabyte of text each filled an executor."""
+    rows = importance.count_matrix(docs_of([(i, f"word{i} and word{i + 1}" if i % 7 else None) for i in range(200)]), buckets=500).collect()
+    assert sorted(r.ids[0] for r in rows) == list(range(200)) and {len(r.ids) for r in rows} == {1}
+    assert max(len(r.columns) for r in rows) == 3
