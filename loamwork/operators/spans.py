@@ -125,15 +125,26 @@ def bio_tags(docs: DataFrame, spans: DataFrame, id_col: str = "record_id", text_
 
 
 def spans_from_tags(tags: DataFrame, id_col: str = "record_id") -> DataFrame:
-    """(id, start, end, label): maximal runs, a B- with the I- of its label that follow; an I- without one is nothing."""
-    t = tags.select(id_col, F.posexplode("tags").alias("i", "tag"))
-    order = Window.partitionBy(id_col).orderBy("i")
-    label = F.substr("tag", F.lit(3))
-    # a run breaks at B-, at O and at a change of label
-    breaks = F.col("tag").startswith("B-") | (F.col("tag") == "O") | (label != F.coalesce(F.substr(F.lag("tag").over(order), F.lit(3)), F.lit("")))
-    runs = t.withColumn("run", F.sum(breaks.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = runs.groupBy(id_col, "run").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("end"), F.min_by("tag", "i").alias("first"))
-    return whole.where(F.col("first").startswith("B-")).select(id_col, "start", "end", F.substr("first", F.lit(3)).alias("label"))
+    """(id, start, end, label): maximal runs, a B- with the I- of its label that follow; an I- without one is nothing.
+
+    A document's runs are cut within its row, so that no row a character is shuffled or sorted.
+    """
+    label = lambda tag: F.substr(tag, F.lit(3))
+
+    def runs(t):
+        def cut(i):
+            # at B-, and where a tag before it ends: at O and at a change of label
+            tag, before = F.get(t, i), F.get(t, i - 1)
+            return tag.startswith("B-") | ((before != "O") & ((tag == "O") | (label(tag) != label(before))))
+
+        def between(cuts):
+            ends = F.slice(F.concat(cuts, F.array(F.size(t))), 2, F.size(cuts))
+            return F.filter(F.zip_with(cuts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.get(t, a).alias("first"))), lambda r: r["first"].startswith("B-"))
+
+        return X.bound(F.filter(F.sequence(F.lit(0), F.size(t) - 1), cut), between)
+
+    found = tags.select(id_col, F.explode(X.bound(F.col("tags"), runs)).alias("r"))
+    return found.select(id_col, "r.start", "r.end", label(F.col("r.first")).alias("label"))
 
 
 def stitched(spans: DataFrame, own: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loamwork.functions import vectors as V
-from loamwork.operators import calibration, resample
+from loamwork.operators import calibration, resample, spans
 
 
 def _plan(df):
@@ -41,3 +41,10 @@ def test_vectors_of_sum_one_keep_their_bin(spark):
     assert {r.bin: r.n for r in calibration.bins(rows, "gold", "probs", ["x", "y", "z", "w"]).collect()} == wanted
     scaled = spark.range(1).select(V.normalised(F.array(F.lit(0.50001), F.lit(0.5))).alias("p")).first().p
     assert abs(sum(scaled) - 1) < 1e-15
+
+
+def test_tag_runs_are_cut_without_a_row_a_character(spark):
+    tags = spark.createDataFrame([(1, ["O", "B-X", "I-X", "I-Y", "B-Y", "B-Y", "I-Y", "O", "I-Y"]), (2, []), (3, None), (4, ["B-X"])], "record_id long, tags array<string>")
+    out = spans.spans_from_tags(tags)
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 3, "X"), (1, 4, 5, "Y"), (1, 5, 7, "Y"), (4, 0, 1, "X")]
+    assert "Exchange" not in _plan(out) and "Window" not in _plan(out)
