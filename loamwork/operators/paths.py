@@ -11,6 +11,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamwork.sources.staging import staged
+
 PASSAGE = "__PASSAGE__"
 
 
@@ -81,23 +83,29 @@ def enumerate_paths(items: DataFrame, edges: DataFrame, mentions: DataFrame, hop
     and has an edge that is not a mention. Unlike a search with a cap, the result does not depend on an order.
 
     Paths grow from both ends and meet in the middle: one of n edges is a front of half of the others from the head, one
-    edge, and a back of the rest from the tail. Fronts and backs of three hops are one edge long each.
+    edge, and a back of the rest from the tail. Fronts and backs of three hops are one edge long each. All joins
+    read the edges as staged once; files say little of a table's size in memory, so no join but the first, with the
+    items, may broadcast them. As each path has one such parting, paths differ without a comparison of them all, unless
+    items share an id.
     """
-    near = adjacency(edges).drop("relation")
+    near = staged(adjacency(edges).drop("relation").distinct(), "paths-near")
     local = mentions.select("item_id", "node").distinct()
+    items = staged(items.select("item_id", "head", "relation", "tail").distinct(), "paths-items")
+    repeated = not items.groupBy("item_id").count().where("count > 1").isEmpty()
     sides = near.select("node", "token", F.lit(1).alias("leaving"), F.lit(0).alias("entering")).unionByName(near.select(F.col("neighbour").alias("node"), "token", F.lit(0).alias("leaving"), F.lit(1).alias("entering")))
     degrees = sides.groupBy("node", "token").agg(F.sum("leaving").alias("leaving"), F.sum("entering").alias("entering"))
     start = lambda end: items.select("item_id", "head", "relation", "tail", F.col(end).alias("node"), F.array(end).alias("nodes"), F.array().cast("array<string>").alias("path"), F.lit(0).alias("semantic"))
     fronts, backs = [start("head")], [start("tail")]
     for n in range(1, hops // 2 + 1):
-        fronts.append(_step(fronts[-1], near, local, True))
+        fronts.append(_step(fronts[-1], near if n == 1 else near.hint("merge"), local, True))
         if n <= (hops - 1) // 2:
-            backs.append(_step(backs[-1], near, local, False))
-    found = functools.reduce(DataFrame.unionByName, (_met(fronts[n - n // 2], backs[n // 2], near, local, degrees) for n in range(hops)))
-    return found.where("semantic > 0").select(
+            backs.append(_step(backs[-1], near if n == 1 else near.hint("merge"), local, False))
+    found = functools.reduce(DataFrame.unionByName, (_met(fronts[n - n // 2], backs[n // 2], near.hint("merge"), local, degrees) for n in range(hops)))
+    whole = found.where("semantic > 0").select(
         "item_id", "nodes", F.col("path").alias("edges"), F.size("path").alias("hops"), F.col("semantic").alias("semantic_edges"),
         F.array_contains("nodes", PASSAGE).alias("passage_conditioned"),
-    ).distinct()
+    )
+    return whole.distinct() if repeated else whole
 
 
 def select_paths(paths: DataFrame, most: int = 32, passage_quota: int = 16, semantic_quota: int = 16) -> DataFrame:

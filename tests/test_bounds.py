@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loamwork.functions import vectors as V
-from loamwork.operators import calibration, resample, spans
+from loamwork.operators import calibration, paths, resample, spans
 
 
 def _plan(df):
@@ -48,3 +48,16 @@ def test_tag_runs_are_cut_without_a_row_a_character(spark):
     out = spans.spans_from_tags(tags)
     assert sorted(map(tuple, out.collect())) == [(1, 1, 3, "X"), (1, 4, 5, "Y"), (1, 5, 7, "Y"), (4, 0, 1, "X")]
     assert "Exchange" not in _plan(out) and "Window" not in _plan(out)
+
+
+def test_paths_of_unlike_items_are_not_compared(spark):
+    edges = spark.createDataFrame([("a", "r", "b"), ("a", "r", "b"), ("b", "s", "c"), ("a", "t", "c"), ("d", "s", "c")], "head string, relation string, tail string")
+    mentions = spark.createDataFrame([(1, "a"), (1, "c"), (1, "b"), (1, "b")], "item_id long, node string")
+    one = spark.createDataFrame([(1, "a", "t", "c")] * 2, "item_id long, head string, relation string, tail string")
+    out = paths.enumerate_paths(one, edges, mentions)
+    found = sorted((tuple(r.nodes), tuple(r.edges)) for r in out.collect())
+    assert found == sorted(set(found)) and (("a", "b", "c"), ("r", "s")) in found and (("a", "c"), ("t",)) not in found
+    assert not [line for line in _plan(out).splitlines() if "Aggregate(keys=[item_id" in line and "nodes#" in line]
+    two = one.unionByName(one.withColumn("relation", F.lit("z")))
+    twice = sorted((tuple(r.nodes), tuple(r.edges)) for r in paths.enumerate_paths(two, edges, mentions).collect())
+    assert twice == sorted({*found, (("a", "c"), ("t",)), *twice})
