@@ -142,7 +142,8 @@ def omission_masks(spark, sf_dir):
     """Characters masked at equal length when evidence is left out."""
     d = table(spark, sf_dir, "documents")
     out = X.omitted(F.col("text"), X.segments(F.col("text")), F.lit(2), F.lit(6), F.lit(10), F.lit(14))
-    return d.select("doc_id", F.length(out).alias("n"), X.count_of(out, "□").alias("masked"), F.substr(out, F.lit(3), F.lit(4)).alias("head"))
+    measured = X.bound(out, lambda t: F.struct(F.length(t).alias("n"), X.count_of(t, "□").alias("masked"), F.substr(t, F.lit(3), F.lit(4)).alias("head")))
+    return d.select("doc_id", measured.alias("m")).select("doc_id", "m.n", "m.masked", "m.head")
 
 
 OMISSION_SQL = rf"""WITH p AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '{_SEG}')) AS part, generate_subscripts(regexp_extract_all(text, '{_SEG}'), 1) AS i FROM documents),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from loamwork.functions import text as X
 from loamwork.functions import vectors as V
 from loamwork.operators import calibration, paths, resample, spans
 
@@ -61,3 +62,10 @@ def test_paths_of_unlike_items_are_not_compared(spark):
     two = one.unionByName(one.withColumn("relation", F.lit("z")))
     twice = sorted((tuple(r.nodes), tuple(r.edges)) for r in paths.enumerate_paths(two, edges, mentions).collect())
     assert twice == sorted({*found, (("a", "c"), ("t",)), *twice})
+
+
+def test_units_are_found_once_where_evidence_is_left_out(spark):
+    d = spark.createDataFrame([(1, "One two. Three four five! Six.")], "doc_id long, text string")
+    out = d.select(X.omitted(F.col("text"), X.segments(F.col("text")), F.lit(0), F.lit(3), F.lit(15), F.lit(19)).alias("t"))
+    assert out.first().t == "One □□□□ □□□□□ four □□□□□ Six."
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
