@@ -10,6 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamwork.operators.ordering import in_order
+from loamwork.sources.staging import staged
+
 SCORE = ("authority_rank", "books", "support", "confidence")
 
 
@@ -89,14 +92,23 @@ def b3(edges: DataFrame) -> DataFrame:
 def inherited(edges: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """A1 to A3: a recipe has each ingredient's nature, flavour and meridian. One join for all three rules.
 
-    ``vocabulary`` (rule, tail) keeps valid values only.
+    ``vocabulary`` (rule, tail) keeps valid values only. Values are numbered, and an ingredient holds them as bits of words
+    of 64 values. So a recipe meets a few words an ingredient, whose union is taken, instead of a row a property, and
+    repeated edges change nothing.
     """
     rule = F.when(F.col("relation") == "hasNature", "A1").when(F.col("relation") == "hasFlavor", "A2").otherwise("A3")
-    properties = edges.where(F.col("relation").isin("hasNature", "hasFlavor", "entersmeridian")).select(F.col("head").alias("ingredient"), "tail", rule.alias("rule")).distinct()
-    if vocabulary is not None:
-        properties = properties.join(vocabulary, ["rule", "tail"], "left_semi")
-    contains = edges.where("relation = 'containsIngredient'").select(F.col("head").alias("recipe"), F.col("tail").alias("ingredient")).distinct()
-    return contains.join(properties, "ingredient").select("rule", F.col("recipe").alias("head"), "tail").distinct()
+    properties = edges.where(F.col("relation").isin("hasNature", "hasFlavor", "entersmeridian")).select(F.col("head").alias("ingredient"), "tail", rule.alias("rule"))
+    values = (properties if vocabulary is None else vocabulary.where("tail is not null")).select("rule", "tail").distinct()
+    values = staged(in_order(values, [F.asc("rule"), F.asc("tail")], "nth").select("rule", "tail", F.shiftright("nth", 6).alias("word"), F.col("nth").bitwiseAND(63).cast("int").alias("bit")), "rule-values")
+    union = F.bit_or("bits").alias("bits")
+    valid = (F.col("p.rule") == F.col("v.rule")) & F.col("p.tail").eqNullSafe(F.col("v.tail"))
+    held = properties.alias("p").join(values.alias("v"), valid).withColumn("bits", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")))
+    held = held.groupBy("ingredient", "word").agg(union)
+    contains = edges.where("relation = 'containsIngredient'").select(F.col("head").alias("recipe"), F.col("tail").alias("ingredient"))
+    words = contains.join(held, "ingredient").groupBy("recipe", "word").agg(union)
+    named = values.groupBy("word").agg(F.collect_list(F.struct("bit", "rule", "tail")).alias("names"))
+    own = F.filter("names", lambda n: F.call_function("getbit", F.col("bits"), n["bit"]) == 1)
+    return words.join(named, "word").select("recipe", F.explode(own).alias("n")).select("n.rule", F.col("recipe").alias("head"), "n.tail")
 
 
 def keyword_conflicts(edges: DataFrame, relation: str, rule: str, related: Column) -> DataFrame:

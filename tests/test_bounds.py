@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions import text as X
 from loamwork.functions import vectors as V
-from loamwork.operators import calibration, paths, resample, spans
+from loamwork.operators import calibration, paths, resample, rules, spans
 
 
 def _plan(df):
@@ -69,3 +69,17 @@ def test_units_are_found_once_where_evidence_is_left_out(spark):
     out = d.select(X.omitted(F.col("text"), X.segments(F.col("text")), F.lit(0), F.lit(3), F.lit(15), F.lit(19)).alias("t"))
     assert out.first().t == "One □□□□ □□□□□ four □□□□□ Six."
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_recipes_meet_words_of_properties(spark):
+    of = lambda relation, pairs: [(relation, h, t) for h, t in pairs]
+    rows = of("containsIngredient", [("r1", "i1"), ("r1", "i2"), ("r1", "i2"), ("r2", "i2"), ("r3", "i9")]) + of("hasNature", [("i1", None), ("i2", "n")])
+    rows += of("entersmeridian", [("i1", f"m{k:03}") for k in range(200)] + [("i2", "m007")] * 2)
+    e = spark.createDataFrame(rows, "relation string, head string, tail string")
+    wanted = {("A3", "r1", f"m{k:03}") for k in range(200)} | {("A3", "r2", "m007"), ("A1", "r1", "n"), ("A1", "r2", "n")}
+    out = rules.inherited(e)
+    found = [tuple(r) for r in out.collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted | {("A1", "r1", None)}
+    assert "keys=[recipe#" in _plan(out) and not [line for line in _plan(out).splitlines() if "Aggregate(keys=[" in line and "recipe#" in line and "tail#" in line]
+    valid = spark.createDataFrame([("A1", None), ("A1", "n"), ("A3", "m007"), ("A2", "m008")], "rule string, tail string")
+    assert set(map(tuple, rules.inherited(e, valid).collect())) == {("A1", "r1", "n"), ("A1", "r2", "n"), ("A3", "r1", "m007"), ("A3", "r2", "m007")}
