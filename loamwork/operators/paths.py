@@ -16,11 +16,15 @@ from loamwork.sources.staging import staged
 PASSAGE = "__PASSAGE__"
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """(node, token, neighbour, relation): every edge and its inverse; parallel edges of a relation count once."""
+def adjacency(edges: DataFrame, *tokens: str) -> DataFrame:
+    """(node, token, neighbour, relation): every edge and its inverse; parallel edges of a relation count once.
+
+    ``tokens`` names the columns that tell edges apart, without which (token, relation) do.
+    """
+    kept = ("node", *(tokens or ("token", "relation")), "neighbour")
     forward = edges.select(F.col("head").alias("node"), F.col("relation").alias("token"), F.col("tail").alias("neighbour"), "relation")
     backward = edges.select(F.col("tail").alias("node"), F.concat(F.lit("inverse::"), "relation").alias("token"), F.col("head").alias("neighbour"), "relation")
-    return forward.unionByName(backward).distinct()
+    return forward.unionByName(backward).select(*kept).distinct()
 
 
 def _step(front: DataFrame, near: DataFrame, local: DataFrame, forward: bool) -> DataFrame:
@@ -83,24 +87,27 @@ def enumerate_paths(items: DataFrame, edges: DataFrame, mentions: DataFrame, hop
     and has an edge that is not a mention. Unlike a search with a cap, the result does not depend on an order.
 
     Paths grow from both ends and meet in the middle: one of n edges is a front of half of the others from the head, one
-    edge, and a back of the rest from the tail. Fronts and backs of three hops are one edge long each. All joins
-    read the edges as staged once; files say little of a table's size in memory, so no join but the first, with the
+    edge, and a back of the rest from the tail. Fronts and backs of three hops are one edge long each; a front meets
+    all its backs at once. Edges, mentions, fronts and backs are staged, so that no join computes them anew; files say little of a table's size in memory, so no join but the first, with the
     items, may broadcast them. As each path has one such parting, paths differ without a comparison of them all, unless
     items share an id.
     """
-    near = staged(adjacency(edges).drop("relation").distinct(), "paths-near")
-    local = mentions.select("item_id", "node").distinct()
+    near = staged(adjacency(edges, "token"), "paths-near")
+    local = staged(mentions.select("item_id", "node").distinct(), "paths-local")
     items = staged(items.select("item_id", "head", "relation", "tail").distinct(), "paths-items")
     repeated = not items.groupBy("item_id").count().where("count > 1").isEmpty()
     sides = near.select("node", "token", F.lit(1).alias("leaving"), F.lit(0).alias("entering")).unionByName(near.select(F.col("neighbour").alias("node"), "token", F.lit(0).alias("leaving"), F.lit(1).alias("entering")))
-    degrees = sides.groupBy("node", "token").agg(F.sum("leaving").alias("leaving"), F.sum("entering").alias("entering"))
+    degrees = staged(sides.groupBy("node", "token").agg(F.sum("leaving").alias("leaving"), F.sum("entering").alias("entering")), "paths-degrees")
     start = lambda end: items.select("item_id", "head", "relation", "tail", F.col(end).alias("node"), F.array(end).alias("nodes"), F.array().cast("array<string>").alias("path"), F.lit(0).alias("semantic"))
     fronts, backs = [start("head")], [start("tail")]
     for n in range(1, hops // 2 + 1):
-        fronts.append(_step(fronts[-1], near if n == 1 else near.hint("merge"), local, True))
+        fronts.append(staged(_step(fronts[-1], near if n == 1 else near.hint("merge"), local, True), "paths-front"))
         if n <= (hops - 1) // 2:
-            backs.append(_step(backs[-1], near if n == 1 else near.hint("merge"), local, False))
-    found = functools.reduce(DataFrame.unionByName, (_met(fronts[n - n // 2], backs[n // 2], near.hint("merge"), local, degrees) for n in range(hops)))
+            backs.append(staged(_step(backs[-1], near if n == 1 else near.hint("merge"), local, False), "paths-back"))
+    met = []
+    for i, front in enumerate(fronts):  # a front of i edges meets backs of as many and of one less
+        met.append(_met(front, functools.reduce(DataFrame.unionByName, (backs[j] for j in (i - 1, i) if 0 <= j < len(backs) and i + j < hops)), near.hint("merge"), local, degrees))
+    found = functools.reduce(DataFrame.unionByName, met)
     whole = found.where("semantic > 0").select(
         "item_id", "nodes", F.col("path").alias("edges"), F.size("path").alias("hops"), F.col("semantic").alias("semantic_edges"),
         F.array_contains("nodes", PASSAGE).alias("passage_conditioned"),
@@ -138,7 +145,8 @@ def path_features(paths: DataFrame) -> DataFrame:
     """(item_id, feature, value): how often each edge token and each number of hops occurs, and both kinds' counts."""
     kind = F.when(F.col("passage_conditioned"), "kind=passage").otherwise("kind=semantic")
     names = F.concat(F.transform("edges", lambda e: F.concat(F.lit("edge="), e)), F.array(F.concat(F.lit("hops="), F.col("hops").cast("string")), kind, F.lit("paths")))
-    return paths.select("item_id", F.explode(names).alias("feature")).groupBy("item_id", "feature").agg(F.count("*").alias("value"))
+    alike = paths.groupBy("item_id", "edges", "hops", "passage_conditioned").agg(F.count("*").alias("n"))  # their features are too
+    return alike.select("item_id", "n", F.explode(names).alias("feature")).groupBy("item_id", "feature").agg(F.sum("n").alias("value"))
 
 
 def encoded(paths: DataFrame, tokens: DataFrame, node_type, most: int = 16, hops: int = 3) -> DataFrame:

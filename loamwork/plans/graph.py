@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loamwork.operators import paths, rules
 from loamwork.plans.bindings import EDGES_SQL, edges
+from loamwork.sources.staging import staged
 from loamwork.sources.tables import table
 
 _BEST = EDGES_SQL + """, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY relation, head, tail ORDER BY authority_rank DESC, books DESC, support DESC, confidence DESC, edge_id DESC) AS rn FROM e) WHERE rn = 1)
@@ -135,6 +136,7 @@ def _paths(spark, sf_dir):
     name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     sold = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     sells = sold.select(name("N", "s_nationkey").alias("head"), F.lit("sells").alias("relation"), name("P", "l_partkey").alias("tail")).distinct()
+    sells = staged(sells, "paths-sells")
     graph = nation.select(name("N", "n_nationkey").alias("head"), F.lit("inRegion").alias("relation"), name("R", "n_regionkey").alias("tail")).unionByName(sells)
     other = nation.select(F.col("n_nationkey").alias("k2"), F.col("n_regionkey").alias("n_regionkey"))
     pair = nation.join(other, "n_regionkey").where("n_nationkey < k2")

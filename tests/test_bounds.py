@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from loamwork.functions import text as X
 from loamwork.functions import vectors as V
 from loamwork.operators import calibration, paths, resample, rules, spans
+from loamwork.sources.staging import staged
 
 
 def _plan(df):
@@ -83,3 +84,16 @@ def test_recipes_meet_words_of_properties(spark):
     assert "keys=[recipe#" in _plan(out) and not [line for line in _plan(out).splitlines() if "Aggregate(keys=[" in line and "recipe#" in line and "tail#" in line]
     valid = spark.createDataFrame([("A1", None), ("A1", "n"), ("A3", "m007"), ("A2", "m008")], "rule string, tail string")
     assert set(map(tuple, rules.inherited(e, valid).collect())) == {("A1", "r1", "n"), ("A1", "r2", "n"), ("A3", "r1", "m007"), ("A3", "r2", "m007")}
+
+
+def test_paths_read_mentions_and_fronts_as_staged(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "r", "b"), ("b", "s", "c"), ("c", "u", "d"), ("a", "t", "d"), ("b", "t", "d")], "head string, relation string, tail string")
+    items = spark.createDataFrame([(1, "a", "t", "d")], "item_id long, head string, relation string, tail string")
+    mentions = spark.range(8).selectExpr("1L AS item_id", "element_at(array('a', 'b', 'c', 'd'), cast(id % 4 AS int) + 1) AS node")
+    for hops, wanted in ((1, set()), (2, {"a>b>d"}), (3, {"a>b>d", "a>b>c>d"}), (4, {"a>b>d", "a>b>c>d"})):
+        names = []
+        monkeypatch.setattr(paths, "staged", lambda df, name: (names.append(name), staged(df, name))[1])
+        out = paths.enumerate_paths(items, edges, mentions, hops)
+        assert {">".join(r.nodes) for r in out.collect() if not r.passage_conditioned} == wanted
+        assert "paths-local" in names and names.count("paths-front") == hops // 2
+        assert "Range (" not in _plan(out)
