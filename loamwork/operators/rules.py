@@ -5,6 +5,7 @@ Edges are rows ``edge_id, relation, head_type, head, tail_type, tail, authority_
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -42,13 +43,14 @@ def candidates(path: DataFrame, head: str, tail: str, prefixes: Sequence[str], a
     total = lambda c: sum((F.col(f"{p}_{c}") for p in prefixes[1:]), F.col(f"{prefixes[0]}_{c}"))
     ranks = [F.col(f"{p}_authority_rank") for p in prefixes]
     least = F.least(*ranks) if len(ranks) > 1 else ranks[0]
-    score = F.struct(
+    flat = (
         least.alias("least_rank"), total("authority_rank").alias("ranks"), total("books").alias("books"), total("support").alias("support"),
-        F.round(total("confidence"), 9).alias("confidence"), F.array(*(F.col(f"{p}_edge_id") for p in prefixes)).alias("path"),
+        F.round(total("confidence"), 9).alias("confidence"), *(F.col(f"{p}_edge_id") for p in prefixes),
     )
-    rows = path.select(F.col(head).alias("head"), F.col(tail).alias("tail"), score.alias("score"))
+    rows = path.select(F.col(head).alias("head"), F.col(tail).alias("tail"), *flat)
     open_ = rows.join(asserted.select("head", "tail").distinct(), ["head", "tail"], "left_anti")
-    found = open_.groupBy("head", "tail").agg(F.count("*").alias("path_count"), F.max("score").alias("best"))
+    score = F.struct("least_rank", "ranks", "books", "support", "confidence", F.array(*(f"{p}_edge_id" for p in prefixes)).alias("path"))
+    found = open_.groupBy("head", "tail").agg(F.count("*").alias("path_count"), F.max(score).alias("best"))
     return found.select("head", "tail", "path_count", F.col("best.least_rank"), F.col("best.ranks"), F.col("best.books"), F.col("best.support"), F.col("best.confidence"), F.col("best.path"))
 
 
@@ -77,7 +79,8 @@ def b1(edges: DataFrame) -> DataFrame:
 
 def b2(edges: DataFrame) -> DataFrame:
     """A recipe may treat what an ingredient of it treats."""
-    contains = _named(best_edges(of_type(edges, "containsIngredient", "Recipe", "Ingredient")), "recipe", "ingredient", "a")
+    # dealt by the key of the join, so that choosing a pair's best edge needs no exchange of its own
+    contains = _named(best_edges(of_type(edges, "containsIngredient", "Recipe", "Ingredient").repartition("tail")), "recipe", "ingredient", "a")
     treats = _named(best_edges(of_type(edges, "treats", "Ingredient", "Disease")), "ingredient", "disease", "b")
     return candidates(contains.join(treats, "ingredient"), "recipe", "disease", ("a", "b"), edges.where("relation = 'treats'"))
 
@@ -85,7 +88,7 @@ def b2(edges: DataFrame) -> DataFrame:
 def b3(edges: DataFrame) -> DataFrame:
     """An ingredient may treat a disease that a recipe with it treats."""
     treated = _named(best_edges(of_type(edges, "treatedByRecipe", "Disease", "Recipe")), "disease", "recipe", "a")
-    contains = _named(best_edges(of_type(edges, "containsIngredient", "Recipe", "Ingredient")), "recipe", "ingredient", "b")
+    contains = _named(best_edges(of_type(edges, "containsIngredient", "Recipe", "Ingredient").repartition("head")), "recipe", "ingredient", "b")
     return candidates(treated.join(contains, "recipe"), "ingredient", "disease", ("a", "b"), edges.where("relation = 'treats'"))
 
 
@@ -99,16 +102,25 @@ def inherited(edges: DataFrame, vocabulary: DataFrame | None = None) -> DataFram
     rule = F.when(F.col("relation") == "hasNature", "A1").when(F.col("relation") == "hasFlavor", "A2").otherwise("A3")
     properties = edges.where(F.col("relation").isin("hasNature", "hasFlavor", "entersmeridian")).select(F.col("head").alias("ingredient"), "tail", rule.alias("rule"))
     values = (properties if vocabulary is None else vocabulary.where("tail is not null")).select("rule", "tail").distinct()
-    values = staged(in_order(values, [F.asc("rule"), F.asc("tail")], "nth").select("rule", "tail", F.shiftright("nth", 6).alias("word"), F.col("nth").bitwiseAND(63).cast("int").alias("bit")), "rule-values")
-    union = F.bit_or("bits").alias("bits")
-    valid = (F.col("p.rule") == F.col("v.rule")) & F.col("p.tail").eqNullSafe(F.col("v.tail"))
-    held = properties.alias("p").join(values.alias("v"), valid).withColumn("bits", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")))
-    held = held.groupBy("ingredient", "word").agg(union)
     contains = edges.where("relation = 'containsIngredient'").select(F.col("head").alias("recipe"), F.col("tail").alias("ingredient"))
-    words = contains.join(held, "ingredient").groupBy("recipe", "word").agg(union)
-    named = values.groupBy("word").agg(F.collect_list(F.struct("bit", "rule", "tail")).alias("names"))
+    return _united(contains, properties, "ingredient", "recipe", ("rule", "tail"), values).select("rule", F.col("recipe").alias("head"), "tail")
+
+
+def _united(pairs: DataFrame, held: DataFrame, by: str, key: str, value: Sequence[str], values: DataFrame | None = None) -> DataFrame:
+    """(key, value): each value that ``held`` (by, value) gives any ``by`` of a key in ``pairs`` (key, by), once.
+
+    Values are numbered, those of ``values`` or all; 64 of them are the bits of a word.
+    """
+    values = held.select(*value).distinct() if values is None else values
+    number = in_order(values, [F.asc(c) for c in value], "nth")
+    values = staged(number.select(*value, F.shiftright("nth", 6).alias("word"), F.col("nth").bitwiseAND(63).cast("int").alias("bit")), "rule-values")
+    union = F.bit_or("bits").alias("bits")
+    known = [F.col(f"h.{c}").eqNullSafe(F.col(f"v.{c}")) for c in value]
+    bits = held.alias("h").join(values.alias("v"), functools.reduce(Column.__and__, known)).withColumn("bits", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")))
+    words = pairs.join(bits.groupBy(by, "word").agg(union), by).groupBy(key, "word").agg(union)
+    named = values.groupBy("word").agg(F.collect_list(F.struct("bit", *value)).alias("names"))
     own = F.filter("names", lambda n: F.call_function("getbit", F.col("bits"), n["bit"]) == 1)
-    return words.join(named, "word").select("recipe", F.explode(own).alias("n")).select("n.rule", F.col("recipe").alias("head"), "n.tail")
+    return words.join(named, "word").select(key, F.explode(own).alias("n")).select(key, *(f"n.{c}" for c in value))
 
 
 def keyword_conflicts(edges: DataFrame, relation: str, rule: str, related: Column) -> DataFrame:
@@ -137,14 +149,14 @@ def by_support(edges: DataFrame) -> DataFrame:
 
 
 def propagated(edges: DataFrame) -> DataFrame:
-    """B1 to B3 as sets: (rule, head, tail), asserted pairs included, each once. Edges are reduced to pairs before they meet."""
-    pairs = lambda relation, head_type, tail_type, head, tail: of_type(edges, relation, head_type, tail_type).select(F.col("head").alias(head), F.col("tail").alias(tail)).distinct()
+    """B1 to B3 as sets: (rule, head, tail), asserted pairs included, each once. What an end reaches is united as bits."""
+    pairs = lambda relation, head_type, tail_type, head, tail: of_type(edges, relation, head_type, tail_type).select(F.col("head").alias(head), F.col("tail").alias(tail))
     contains = pairs("containsIngredient", "Recipe", "Ingredient", "recipe", "ingredient")
-    to_organ = pairs("entersmeridian", "Ingredient", "Meridian", "ingredient", "meridian").join(pairs("correspondsToOrgan", "Meridian", "Organ", "meridian", "organ"), "meridian").select("ingredient", "organ").distinct()
-    b1_ = to_organ.join(pairs("affectsOrgan", "Disease", "Organ", "disease", "organ"), "organ").select(F.lit("B1").alias("rule"), F.col("ingredient").alias("head"), F.col("disease").alias("tail"))
-    b2_ = contains.join(pairs("treats", "Ingredient", "Disease", "ingredient", "disease"), "ingredient").select(F.lit("B2").alias("rule"), F.col("recipe").alias("head"), F.col("disease").alias("tail"))
-    b3_ = contains.join(pairs("treatedByRecipe", "Disease", "Recipe", "disease", "recipe"), "recipe").select(F.lit("B3").alias("rule"), F.col("ingredient").alias("head"), F.col("disease").alias("tail"))
-    return b1_.unionByName(b2_).unionByName(b3_).distinct()
+    to_organ = _united(pairs("entersmeridian", "Ingredient", "Meridian", "ingredient", "meridian"), pairs("correspondsToOrgan", "Meridian", "Organ", "meridian", "organ"), "meridian", "ingredient", ("organ",))
+    b1_ = _united(to_organ, pairs("affectsOrgan", "Disease", "Organ", "disease", "organ"), "organ", "ingredient", ("disease",)).select(F.lit("B1").alias("rule"), F.col("ingredient").alias("head"), F.col("disease").alias("tail"))
+    b2_ = _united(contains, pairs("treats", "Ingredient", "Disease", "ingredient", "disease"), "ingredient", "recipe", ("disease",)).select(F.lit("B2").alias("rule"), F.col("recipe").alias("head"), F.col("disease").alias("tail"))
+    b3_ = _united(contains, pairs("treatedByRecipe", "Disease", "Recipe", "disease", "recipe"), "recipe", "ingredient", ("disease",)).select(F.lit("B3").alias("rule"), F.col("ingredient").alias("head"), F.col("disease").alias("tail"))
+    return b1_.unionByName(b2_).unionByName(b3_)
 
 
 def flattened(found: DataFrame, edges: DataFrame, relations: Sequence[str], most: int = 3) -> DataFrame:

@@ -97,3 +97,24 @@ def test_paths_read_mentions_and_fronts_as_staged(spark, monkeypatch):
         assert {">".join(r.nodes) for r in out.collect() if not r.passage_conditioned} == wanted
         assert "paths-local" in names and names.count("paths-front") == hops // 2
         assert "Range (" not in _plan(out)
+
+
+def _edge_rows(spark):
+    rows = [("containsIngredient", "Recipe", r, "Ingredient", i) for r, i in (("r1", "i1"), ("r1", "i2"), ("r1", "i2"), ("r2", "i2"))]
+    rows += [("treats", "Ingredient", i, "Disease", d) for i, d in (("i1", "d1"), ("i2", "d1"), ("i2", "d2"))] + [("treatedByRecipe", "Disease", "d3", "Recipe", "r1")]
+    return spark.createDataFrame([(k, *r, 1, 1, k, 0.5) for k, r in enumerate(rows)], "edge_id long, relation string, head_type string, head string, tail_type string, tail string, authority_rank int, books int, support int, confidence double")
+
+
+def test_rule_sets_unite_bits(spark):
+    out = rules.propagated(_edge_rows(spark))
+    wanted = {("B2", r, d) for r in ("r1", "r2") for d in ("d1", "d2")} | {("B3", "i1", "d3"), ("B3", "i2", "d3")}
+    found = [tuple(r) for r in out.collect()]
+    assert len(found) == len(wanted) and set(found) == wanted
+    assert _plan(out).count("bit_or(bits#") > 0 and "keys=[rule#" not in _plan(out)
+
+
+def test_best_edges_share_the_exchange_of_the_join(spark):
+    for rule, wanted in ((rules.b2, {("r1", "d1", 2), ("r1", "d2", 1), ("r2", "d1", 1), ("r2", "d2", 1)}), (rules.b3, {("i1", "d3", 1), ("i2", "d3", 1)})):
+        out = rule(_edge_rows(spark))
+        assert {tuple(r)[:3] for r in out.collect()} == wanted
+        assert "REPARTITION_BY_COL" in _plan(out)
