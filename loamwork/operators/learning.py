@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from loamwork.functions import text as X
 from loamwork.functions import vectors as V
 from loamwork.operators.decide import counted_scores
+from loamwork.sources.staging import staged
 
 
 def with_frequent(train: DataFrame, rows: DataFrame, categorical: Sequence[str]) -> DataFrame:
@@ -119,8 +120,10 @@ def forest_ensemble(train: DataFrame, rows: DataFrame, label: str, labels: Seque
 def selected_penalty(rows: DataFrame, label: str, labels: Sequence[str], fold: str, grid: Sequence[float] = (0.01, 0.1, 1.0, 10.0)) -> DataFrame:
     """(c, macro_f1, accuracy) of one-against-rest models, each fold predicted by a model of the other folds; the best first.
 
-    Folds hold whole groups (``splits.group_folds``). Ties go to the smaller ``c``.
+    Folds hold whole groups (``splits.group_folds``). Ties go to the smaller ``c``. Rows are staged slim, so that the passes
+    of a fit have the few tasks that these files fill, each of which reports to the driver.
     """
+    rows = staged(rows.select(fold, label, "features"), "penalty-rows")
     folds = sorted(r[0] for r in rows.select(fold).distinct().collect())
     scored = None
     for c in grid:
