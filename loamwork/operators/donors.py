@@ -27,6 +27,14 @@ from loamwork.sources.staging import staged
 #: Weights of the lengths' likeness and of a shared end.
 LENGTH_WEIGHT, END_BONUS = 0.20, 0.15
 BLOCK, ITEMS_A_TASK, EPS = 128, 2000, 1e-9
+ROWS_AT_ONCE = 128  # of a batch, as a row's pairs are many times the row
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
 
 
 def pair_codes(text: str) -> np.ndarray:
@@ -42,7 +50,7 @@ def _with_pairs(rows: DataFrame, key: str, text: str, ends: Sequence[str], tiers
     slim = rows.select(F.col(key).alias("id"), said.alias("text"), F.array(*ends).cast("array<string>").alias("ends"), keys.alias("keys"), F.length(said).alias("length"), X.compact(F.col(text)).alias("_solid"))
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches):
             codes = [pair_codes(t) for t in batch.column("_solid").to_pylist()]
             yield pa.record_batch([*batch.columns[:-1], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([len(c) for c in codes], pa.int32())], names=[*batch.schema.names[:-1], "pairs", "n"])
 
@@ -54,7 +62,7 @@ def _exploded(rows: DataFrame, *kept: str) -> DataFrame:
     """(kept, pair): a row a pair of characters."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches):
             values = [np.frombuffer(p, np.int64) for p in batch.column("pairs").to_pylist()]
             at = pa.array(np.repeat(np.arange(batch.num_rows), [len(v) for v in values]))
             yield pa.record_batch([*(batch.column(c).take(at) for c in kept), pa.array(np.concatenate([np.zeros(0, np.int64), *values]))], names=[*kept, "pair"])

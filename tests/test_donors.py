@@ -64,3 +64,21 @@ def test_an_item_alone_has_no_donor(spark):
     schema = "item_id long, relation string, kind string, text string, head_text string, tail_text string"
     one = spark.createDataFrame([(1, "r", "k", "text", "a", "b")], schema)
     assert donors.best_donor(one, one, TIERS).count() == 0 and donors.best_donor(one.limit(0), one, TIERS).count() == 0 and donors.best_donor(one, one.limit(0), TIERS).count() == 0
+
+
+def test_pairs_leave_python_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    class Rows:
+        schema = spark.range(1).selectExpr("'k' AS tkey", "0L AS block", "binary('') AS pairs").schema
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, spread, schema):  # noqa: N802
+            batch = pa.record_batch([pa.array(["k"] * 1000), pa.array(range(1000)), pa.array([donors.pair_codes("abcd").tobytes()] * 1000, pa.binary())], names=["tkey", "block", "pairs"])
+            return list(spread(iter([batch])))
+
+    out = donors._exploded(Rows(), "tkey", "block")
+    assert sum(b.num_rows for b in out) == 3000 and max(b.num_rows for b in out) <= 3 * donors.ROWS_AT_ONCE
+    assert [x for b in out for x in b.column("block").to_pylist()][::3] == list(range(1000))
