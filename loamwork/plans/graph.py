@@ -131,19 +131,29 @@ _PATHS = _PATH_EDGES + "".join(_hop_sql(n) for n in (1, 2, 3)) + """, allp AS (S
 """
 
 
-def _paths(spark, sf_dir):
+def _bound(spark, sf_dir):
+    """Items, edges and mentions of the path queries."""
     nation = table(spark, sf_dir, "nation")
     name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     sold = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    sells = sold.select(name("N", "s_nationkey").alias("head"), F.lit("sells").alias("relation"), name("P", "l_partkey").alias("tail")).distinct()
-    sells = staged(sells, "paths-sells")
+    sold = sold.select("s_nationkey", "l_partkey").repartition("l_partkey").distinct()  # a part's sellers in one task, where its mentions are united
+    sells = staged(sold.select(name("N", "s_nationkey").alias("head"), F.lit("sells").alias("relation"), name("P", "l_partkey").alias("tail")), "paths-sells")
     graph = nation.select(name("N", "n_nationkey").alias("head"), F.lit("inRegion").alias("relation"), name("R", "n_regionkey").alias("tail")).unionByName(sells)
     other = nation.select(F.col("n_nationkey").alias("k2"), F.col("n_regionkey").alias("n_regionkey"))
     pair = nation.join(other, "n_regionkey").where("n_nationkey < k2")
     tail = F.when((F.col("n_nationkey") + F.col("k2")) % 2 == 0, name("R", "n_regionkey")).otherwise(name("N", "k2"))
     items = pair.select((F.col("n_nationkey") * 100 + F.col("k2")).cast("long").alias("item_id"), name("N", "n_nationkey").alias("head"), F.lit("inRegion").alias("relation"), tail.alias("tail"))
     mentions = items.select("item_id", F.explode(F.array("head", "tail")).alias("node")).unionByName(items.join(sells.select("head", F.col("tail").alias("node")), "head").select("item_id", "node"))
-    return paths.enumerate_paths(items, graph, mentions, 3)
+    return items, graph, mentions
+
+
+def _paths(spark, sf_dir):
+    return paths.enumerate_paths(*_bound(spark, sf_dir), 3)
+
+
+def _shared(spark, sf_dir):
+    ways, index, _ = paths.shared_paths(*_bound(spark, sf_dir), 3)  # the pairs of nations have ids of their own
+    return ways, index
 
 
 def target_deleted_paths(spark, sf_dir):
@@ -165,13 +175,13 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY hops, pass
 
 
 def path_coverage(spark, sf_dir):
-    return paths.path_counts(_paths(spark, sf_dir))
+    return paths.path_counts(paths.counted(*_shared(spark, sf_dir), "hops", "passage_conditioned"), F.col("n"))
 
 
 COVERAGE_SQL = _PATHS + "SELECT item_id, count(*) AS path_count, count(*) FILTER (passage_conditioned) AS passage_paths, count(*) FILTER (NOT passage_conditioned) AS semantic_paths, min(hops) AS least_hops FROM allp GROUP BY item_id"
 
 def path_features(spark, sf_dir):
-    return paths.path_features(_paths(spark, sf_dir))
+    return paths.path_features(paths.counted(*_shared(spark, sf_dir), "edges", "hops", "passage_conditioned"), F.col("n"))
 
 
 FEATURES_SQL = _PATHS + """, f AS (SELECT item_id, 'edge=' || unnest(edges) AS feature FROM allp UNION ALL SELECT item_id, 'hops=' || hops FROM allp
@@ -182,8 +192,10 @@ SELECT item_id, feature, count(*) AS value FROM f GROUP BY ALL"""
 def path_relevance(spark, sf_dir):
     """The most relevant path of each item against a passage that names its regions."""
     passage = F.lit("R0 R1 R2 R3 R4 P1 P2 P3")
-    scored = _paths(spark, sf_dir).withColumn("score", F.round(paths.relevance(passage), 6))
-    return scored.groupBy("item_id").agg(F.max("score").alias("best"), F.round(F.avg("score"), 6).alias("mean"))
+    ways, index = _shared(spark, sf_dir)
+    scored = paths.counted(ways, index, F.round(paths.relevance(passage, ends=False), 6).alias("score"))
+    mean = F.sum(F.col("score").cast("decimal(12,6)") * F.col("n")).cast("double") / F.sum("n")
+    return scored.groupBy("item_id").agg(F.max("score").alias("best"), F.round(mean, 6).alias("mean"))
 
 
 RELEVANCE_SQL = _PATHS + """, r AS (SELECT item_id, round(4.0 * CAST(passage_conditioned AS INT) + 1.5 * len([n FOR n IN nodes[2:-2] IF n <> '__PASSAGE__' AND contains('R0 R1 R2 R3 R4 P1 P2 P3', n)]) + 0.25 * semantic_edges - 0.15 * hops, 6) AS score FROM allp)

@@ -1,5 +1,7 @@
 """What goes through the driver or one task stays bounded, whatever the sizes."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from loamwork.functions import text as X
@@ -118,3 +120,55 @@ def test_best_edges_share_the_exchange_of_the_join(spark):
         out = rule(_edge_rows(spark))
         assert {tuple(r)[:3] for r in out.collect()} == wanted
         assert "REPARTITION_BY_COL" in _plan(out)
+
+
+def _walks(items, edges, mentions, hops):
+    steps = {(a, r, b, r) for a, r, b in edges} | {(b, f"inverse::{r}", a, r) for a, r, b in edges}
+    out = []
+    for item, head, relation, tail in items:
+        touched = {n for i, n in mentions if i == item}
+        near = steps | {(n, "mentioned_in", paths.PASSAGE, None) for n in touched} | {(paths.PASSAGE, "mentions", n, None) for n in touched}
+        front, found = [((head,), ())], set()
+        for _ in range(hops):
+            front = [(ns + (b,), ts + (t,)) for ns, ts in front for a, t, b, r in near if a == ns[-1] and a != tail and b not in ns and not (r == relation and {a, b} == {head, tail})]
+            found |= {(ns, ts) for ns, ts in front if ns[-1] == tail and not set(ts) <= {"mentioned_in", "mentions"}}
+        out += [(item, *f) for f in found]
+    return sorted(out)
+
+
+def _path_case():
+    draw = random.Random(3)
+    edges = [(f"h{draw.randrange(4)}", "sells", f"p{draw.randrange(8)}") for _ in range(30)] + [(f"h{k}", "in", f"r{k % 2}") for k in range(4)] + [("p1", "sells", "p1"), ("p1", "like", "p2"), ("p2", "inverse::like", "p1")]
+    items = [(k, f"h{k % 4}", "in" if k % 5 else "like", f"r{k % 4 // 2}" if k % 3 else f"h{(k + 1) % 4}") for k in range(70)] + [(70, "h0", "in", "h0")]
+    mentions = [(k, n) for k, h, _, t in items for n in (h, t, *(b for a, _, b in edges if a == h and (k + len(b)) % 5))]
+    return items, edges, mentions
+
+
+def _path_tables(spark, items, edges, mentions):
+    return spark.createDataFrame(items, "item_id long, head string, relation string, tail string"), spark.createDataFrame(edges, "head string, relation string, tail string"), spark.createDataFrame(mentions, "item_id long, node string")
+
+
+def test_items_that_reach_a_node_alike_share_a_row(spark, monkeypatch):
+    case, sizes = _path_case(), {}
+
+    def sized(df, name):
+        out = staged(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(paths, "staged", sized)
+    for hops in (1, 4, 3):
+        sizes.clear()
+        found = sorted((r.item_id, tuple(r.nodes), tuple(r.edges)) for r in paths.enumerate_paths(*_path_tables(spark, *case), hops).collect())
+        assert found == _walks(*case, hops) and found
+    reached = {(h, n) for k, h, _, _ in case[0] for a, _, n in case[1] if a == h}
+    assert sizes["paths-front"] <= 2 * (len({n for _, n in reached}) + 7) < len(case[0])  # two words of items
+
+
+def test_relevance_counts_are_those_of_whole_paths(spark):
+    case = _path_case()
+    tables, passage = _path_tables(spark, *case), F.lit("p1 p2 h3")
+    ways, index, repeated = paths.shared_paths(*tables)
+    shared = paths.counted(ways, index, F.round(paths.relevance(passage, ends=False), 6).alias("score")).groupBy("item_id", "score").agg(F.sum("n").alias("n"))
+    whole = paths.enumerate_paths(*tables).groupBy("item_id", F.round(paths.relevance(passage), 6).alias("score")).count()
+    assert not repeated and sorted(map(tuple, shared.collect())) == sorted(map(tuple, whole.collect()))
