@@ -191,16 +191,33 @@ def _whole(ways: DataFrame, index: DataFrame, repeated: bool = False) -> DataFra
     return paths.distinct() if repeated else paths
 
 
+_ORDER = ("hops", "-semantic_edges", "edges", "nodes")
+
+
 def select_paths(paths: DataFrame, most: int = 32, passage_quota: int = 16, semantic_quota: int = 16) -> DataFrame:
-    """At most ``most`` paths an item: each kind's best up to its quota, then the best of the rest; with ``rank``."""
-    order = ("hops", F.desc("semantic_edges"), "edges", "nodes")
-    kind = Window.partitionBy("item_id", "passage_conditioned").orderBy(*order)
+    """At most ``most`` paths an item: each kind's best up to its quota, then the best of the rest; with ``rank``.
+
+    No path beyond the ``most`` best of its kind can be among them, as the better ones of its kind go first.
+    """
+    order = [F.expr(c) for c in _ORDER]
     quota = F.when(F.col("passage_conditioned"), passage_quota).otherwise(semantic_quota)
-    ranked = paths.withColumn("in_quota", F.row_number().over(kind) <= quota)
+    kind = Window.partitionBy("item_id", "passage_conditioned").orderBy(*order)
+    ranked = paths.withColumn("nth", F.row_number().over(kind)).where(F.col("nth") <= most).withColumn("in_quota", F.col("nth") <= quota)
     fill = Window.partitionBy("item_id").orderBy(F.desc("in_quota"), *order)
     kept = ranked.withColumn("place", F.row_number().over(fill)).where(F.col("place") <= most)
     final = Window.partitionBy("item_id").orderBy("hops", F.desc("passage_conditioned"), "edges", "nodes")
-    return kept.withColumn("rank", F.row_number().over(final)).drop("in_quota", "place")
+    return kept.withColumn("rank", F.row_number().over(final)).drop("nth", "in_quota", "place")
+
+
+def select_shared(ways: DataFrame, index: DataFrame, most: int = 32, passage_quota: int = 16, semantic_quota: int = 16) -> DataFrame:
+    """``select_paths`` of shared paths of items with ids of their own.
+
+    Items keep the order of a way among others, as their ends are first and last in all; so of ways that the same
+    items share, those beyond the ``most`` best of a kind go before items are told apart.
+    """
+    alike = Window.partitionBy("word", "mask", "passage_conditioned").orderBy(*(F.expr(c) for c in _ORDER))
+    best = ways.withColumn("nth", F.row_number().over(alike)).where(F.col("nth") <= most).drop("nth")
+    return select_paths(_whole(best, index), most, passage_quota, semantic_quota)
 
 
 def path_counts(paths: DataFrame, n=None) -> DataFrame:

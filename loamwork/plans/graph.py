@@ -165,7 +165,7 @@ PATHS_SQL = _PATHS + "SELECT item_id, array_to_string(nodes, '>') AS nodes, arra
 
 
 def selected_paths(spark, sf_dir):
-    p = paths.select_paths(_paths(spark, sf_dir), 8, 4, 4)
+    p = paths.select_shared(*_shared(spark, sf_dir), 8, 4, 4)
     return p.select("item_id", "rank", F.array_join("nodes", ">").alias("nodes"), F.array_join("edges", ">").alias("edges"), "passage_conditioned")
 
 

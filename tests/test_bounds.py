@@ -172,3 +172,21 @@ def test_relevance_counts_are_those_of_whole_paths(spark):
     shared = paths.counted(ways, index, F.round(paths.relevance(passage, ends=False), 6).alias("score")).groupBy("item_id", "score").agg(F.sum("n").alias("n"))
     whole = paths.enumerate_paths(*tables).groupBy("item_id", F.round(paths.relevance(passage), 6).alias("score")).count()
     assert not repeated and sorted(map(tuple, shared.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_paths_are_cut_to_the_best_of_a_kind_before_an_exchange(spark):
+    case = _path_case()
+    tables = _path_tables(spark, *case)
+    ways, index, _ = paths.shared_paths(*tables)
+    rank = lambda ns, ts: (len(ts), -sum(not t.startswith("mention") for t in ts), ts, ns)
+    kind = lambda f: paths.PASSAGE in f[0]
+    wanted = set()
+    for item in {i for i, *_ in case[0]}:
+        found = sorted(((ns, ts) for i, ns, ts in _walks([x for x in case[0] if x[0] == item], case[1], case[2], 3)), key=lambda f: rank(*f))
+        first = [f for k in (True, False) for f in [x for x in found if kind(x) == k][: 3 if k else 2]]
+        kept = (sorted(first, key=lambda f: rank(*f)) + [f for f in found if f not in first])[:4]
+        wanted |= {(item, n, *f) for n, f in enumerate(sorted(kept, key=lambda f: (len(f[1]), not kind(f), f[1], f[0])), 1)}
+    whole, shared = paths.select_paths(paths.enumerate_paths(*tables), 4, 3, 2), paths.select_shared(ways, index, 4, 3, 2)
+    for out in (whole, shared):
+        assert {(r.item_id, r["rank"], tuple(r.nodes), tuple(r.edges)) for r in out.collect()} == wanted
+        assert "WindowGroupLimit" in _plan(out)
