@@ -6,8 +6,11 @@ Edges are rows ``edge_id, relation, head_type, head, tail_type, tail, authority_
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from loamwork.operators.ordering import in_order
 from loamwork.sources.staging import staged
 
 SCORE = ("authority_rank", "books", "support", "confidence")
+#: Stands for a null score, which is below any other; bits of a number within its list; rows of a batch taken at once.
+_NONE, _LIST_BITS, _ROWS_AT_ONCE = -(1 << 62), 10, 4096
 
 
 def of_type(edges: DataFrame, relation: str, head_type: str, tail_type: str) -> DataFrame:
@@ -34,11 +39,12 @@ def _named(edges: DataFrame, head: str, tail: str, prefix: str) -> DataFrame:
     return edges.select(F.col("head").alias(head), F.col("tail").alias(tail), *(F.col(c).alias(f"{prefix}_{c}") for c in (*SCORE, "edge_id")))
 
 
-def candidates(path: DataFrame, head: str, tail: str, prefixes: Sequence[str], asserted: DataFrame) -> DataFrame:
+def candidates(path: DataFrame, head: str, tail: str, prefixes: Sequence[str], asserted: DataFrame, paths: str | None = None) -> DataFrame:
     """One row a (head, tail) that the paths give and that is not asserted: number of paths and the best of them.
 
     A path's score is the tuple of its least authority, then the sums of authority, books, support and confidence; ties
     go to the greater edge ids. Pairs are compared by text alone. The asserted pairs are taken out before aggregation.
+    ``paths`` names a column with the number of a pair's paths, where ``path`` holds only those that may be its best.
     """
     total = lambda c: sum((F.col(f"{p}_{c}") for p in prefixes[1:]), F.col(f"{prefixes[0]}_{c}"))
     ranks = [F.col(f"{p}_authority_rank") for p in prefixes]
@@ -46,11 +52,13 @@ def candidates(path: DataFrame, head: str, tail: str, prefixes: Sequence[str], a
     flat = (
         least.alias("least_rank"), total("authority_rank").alias("ranks"), total("books").alias("books"), total("support").alias("support"),
         F.round(total("confidence"), 9).alias("confidence"), *(F.col(f"{p}_edge_id") for p in prefixes),
+        *(() if paths is None else [F.col(paths).alias("_paths")]),
     )
     rows = path.select(F.col(head).alias("head"), F.col(tail).alias("tail"), *flat)
     open_ = rows.join(asserted.select("head", "tail").distinct(), ["head", "tail"], "left_anti")
     score = F.struct("least_rank", "ranks", "books", "support", "confidence", F.array(*(f"{p}_edge_id" for p in prefixes)).alias("path"))
-    found = open_.groupBy("head", "tail").agg(F.count("*").alias("path_count"), F.max(score).alias("best"))
+    number = F.count("*") if paths is None else F.max("_paths")
+    found = open_.groupBy("head", "tail").agg(number.alias("path_count"), F.max(score).alias("best"))
     return found.select("head", "tail", "path_count", F.col("best.least_rank"), F.col("best.ranks"), F.col("best.books"), F.col("best.support"), F.col("best.confidence"), F.col("best.path"))
 
 
@@ -78,11 +86,106 @@ def b1(edges: DataFrame) -> DataFrame:
 
 
 def b2(edges: DataFrame) -> DataFrame:
-    """A recipe may treat what an ingredient of it treats."""
+    """A recipe may treat what an ingredient of it treats.
+
+    Paths are many times the edges, so none is shuffled by itself. Diseases are numbered, and an edge to an ingredient takes
+    what this treats, as numbers that hold disease and leading scores, to its recipe. There paths are counted, and those
+    that lead by these scores are kept (``_leading``). Only they meet the whole edges.
+    """
+    kinds = ["head", "tail", "head_type", "tail_type"]
+    asserted = staged(best_edges(edges.where("relation = 'treats'"), kinds), "rule-treats")  # asserted pairs and edges of the path in one pass
+    treats = _named(asserted.where("head_type = 'Ingredient' AND tail_type = 'Disease'"), "ingredient", "disease", "b")
+    numbers = staged(in_order(treats.select("disease").distinct(), [F.asc("disease")], "number"), "rule-diseases")
+    code, fields = _coded(treats)
+    treats = treats.alias("t").join(numbers.alias("n"), F.col("t.disease").eqNullSafe(F.col("n.disease"))).select("t.*", "number")
+    lists = treats.repartition("ingredient").groupBy("ingredient", F.shiftright("number", _LIST_BITS).alias("word")).agg(F.collect_list(code).alias("codes"))
     # dealt by the key of the join, so that choosing a pair's best edge needs no exchange of its own
     contains = _named(best_edges(of_type(edges, "containsIngredient", "Recipe", "Ingredient").repartition("tail")), "recipe", "ingredient", "a")
-    treats = _named(best_edges(of_type(edges, "treats", "Ingredient", "Disease")), "ingredient", "disease", "b")
-    return candidates(contains.join(treats, "ingredient"), "recipe", "disease", ("a", "b"), edges.where("relation = 'treats'"))
+    met = contains.join(lists, "ingredient").repartition("recipe").sortWithinPartitions("recipe")
+    kept = ("recipe", "ingredient", *(f"a_{c}" for c in (*SCORE, "edge_id")))
+    schema = ", ".join(f"{c} {met.schema[c].dataType.simpleString()}" for c in kept)
+    leading = met.select(*kept, "word", "codes").mapInArrow(lambda batches: _leading(batches, fields), f"{schema}, number long, paths long")
+    return candidates(leading.join(treats, ["ingredient", "number"]), "recipe", "disease", ("a", "b"), asserted, "paths")
+
+
+def _coded(treats: DataFrame) -> tuple[Column, list[tuple[str, int, int, int]]]:
+    """The lower bits of ``number`` and the leading whole scores of an edge as one number, and (score, shift, bits, least) of each score.
+
+    The widths come from the least and greatest of each score; those from the first that doesn't fit stay out. Zero is null.
+    """
+    whole = []
+    for c in SCORE[:-1]:
+        if treats.schema[f"b_{c}"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+            break
+        whole.append(c)
+    bounds = treats.agg(*(f(f"b_{c}").alias(f"{n}_{c}") for c in whole for n, f in (("min", F.min), ("max", F.max)))).first() if whole else {}
+    at, code, fields = _LIST_BITS, F.col("number").bitwiseAND((1 << _LIST_BITS) - 1), []
+    for c in whole:
+        low, high = bounds[f"min_{c}"] or 0, bounds[f"max_{c}"] or 0
+        bits = (high - low + 1).bit_length()
+        if at + bits > 63:
+            break
+        code = code.bitwiseOR(F.shiftleft(F.coalesce(F.col(f"b_{c}").cast("long") - low + 1, F.lit(0).cast("long")), at))
+        fields.append((f"a_{c}", at, bits, low))
+        at += bits
+    return (code.cast("int") if at < 32 else code), fields
+
+
+def _leading(batches: Iterator[pa.RecordBatch], fields: Sequence[tuple[str, int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """The paths of each recipe and number that lead by the scores in ``codes``, and ``paths``, how many there are in all.
+
+    Rows come in order of the recipe. The last recipe of a batch goes on in the next, so its leading paths are held, with
+    the number of paths so far at the first one of each number.
+    """
+    held = None
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS_AT_ONCE):
+            part = batch.slice(at, _ROWS_AT_ONCE)
+            lists = part.column("codes")
+            code = lists.flatten().to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+            number = (part.column("word").to_numpy()[row] << _LIST_BITS) | (code & ((1 << _LIST_BITS) - 1))
+            rows, count = pa.Table.from_batches([part]).drop_columns(["word", "codes"]), np.ones(len(code), np.int64)
+            if held is not None:
+                row = np.concatenate([np.arange(held[0].num_rows), row + held[0].num_rows])
+                rows = pa.concat_tables([held[0], rows])
+                number, code, count = (np.concatenate([a, b]) for a, b in zip(held[1:], (number, code, count), strict=True))
+            run = pc.dictionary_encode(rows.column("recipe").combine_chunks(), null_encoding="encode").indices.to_numpy().astype(np.int64)
+            pair, group = np.unique((run[row] << 32) | number, return_inverse=True)
+            total = np.bincount(group, count, len(pair)).astype(np.int64)
+            keep = _best_of(rows, row, code, group, len(pair), fields)
+            ends = run[row[keep]] < run[-1]
+            done, last = keep[ends], keep[~ends]
+            yield _with_paths(rows, row[done], number[done], total[group[done]])
+            first = np.unique(group[last], return_index=True)[1]
+            count = np.zeros(len(last), np.int64)
+            count[first] = total[group[last[first]]]
+            held = rows.take(pa.array(row[last])), number[last], code[last], count
+    if held is not None:
+        group = np.unique(held[1], return_inverse=True)[1]
+        yield _with_paths(held[0], np.arange(len(group)), held[1], np.bincount(group, held[3]).astype(np.int64)[group])
+
+
+def _best_of(rows: pa.Table, row: np.ndarray, code: np.ndarray, group: np.ndarray, groups: int, fields: Sequence[tuple[str, int, int, int]]) -> np.ndarray:
+    """Places of the paths of each group with the greatest least authority, then the greatest sum of each score."""
+    keep = np.arange(len(code))
+    for i, (name, shift, bits, low) in enumerate(fields):
+        mine = rows.column(name).cast(pa.int64()).fill_null(_NONE).to_numpy()
+        for least in (True, False) if i == 0 else (False,):
+            held = (code[keep] >> shift) & ((1 << bits) - 1)
+            x, y = mine[row[keep]], np.where(held == 0, _NONE, held + (low - 1))
+            none = (x == _NONE) | (y == _NONE)
+            value = np.where(none, np.maximum(x, y) if least else _NONE, np.minimum(x, y) if least else x + y)
+            best = np.full(groups, np.iinfo(np.int64).min)
+            np.maximum.at(best, group[keep], value)
+            keep = keep[value == best[group[keep]]]
+    return keep
+
+
+def _with_paths(rows: pa.Table, row: np.ndarray, number: np.ndarray, paths: np.ndarray) -> pa.RecordBatch:
+    taken = rows.take(pa.array(row, pa.int64()))
+    columns = [pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in taken.columns]
+    return pa.record_batch([*columns, pa.array(number, pa.int64()), pa.array(paths, pa.int64())], names=[*rows.schema.names, "number", "paths"])
 
 
 def b3(edges: DataFrame) -> DataFrame:

@@ -43,7 +43,8 @@ def edges(spark: SparkSession, sf_dir: str, relations: tuple[str, ...]) -> DataF
     )
     bought = lambda: line.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     people = lambda: t("customer").select("c_custkey", "c_nationkey")
-    flagged = lambda flag: bought().where(F.col("l_returnflag") == flag).join(people(), F.col("o_custkey") == F.col("c_custkey"))
+    owned = lambda: t("orders").select("o_orderkey", "o_custkey").join(people(), F.col("o_custkey") == F.col("c_custkey"))
+    flagged = lambda flag: line.where(F.col("l_returnflag") == flag).join(owned(), F.col("l_orderkey") == F.col("o_orderkey"))
 
     def edge(df, relation, edge_id, head_type, head, tail_type, tail, score=own):
         fixed = dict(zip(own, score, strict=True)) if score is not own else None

@@ -122,6 +122,52 @@ def test_best_edges_share_the_exchange_of_the_join(spark):
         assert "REPARTITION_BY_COL" in _plan(out)
 
 
+def test_recipes_count_paths_and_keep_those_that_lead(spark, monkeypatch):
+    import collections
+
+    import pyarrow as pa
+
+    draw = random.Random(8)
+    score = lambda: (draw.choice([1, 2, 3, None]), draw.choice([1, 2]), draw.choice([-2, 0, 5]), draw.choice([0.1, 0.25]))
+    contains = {(draw.choice(["r1", "r2", "r3", "hub", "hub", None]), f"i{draw.randrange(60)}"): score() for _ in range(220)}
+    treats = {(f"i{draw.randrange(60)}", draw.choice([None, *(f"d{d}" for d in range(1500))]) if draw.random() < 0.9 else "r1"): score() for _ in range(2600)}
+    treats |= {(f"i{i}", f"d{d}"): score() for i in range(60) for d in range(3)} | {("r1", "d0"): score(), ("hub", "d1"): score()}
+    rows = [("containsIngredient", "Recipe", r, "Ingredient", i, *v) for (r, i), v in contains.items()] + [("treats", "Ingredient", i, "Disease", d, *v) for (i, d), v in treats.items()]
+    rows += [("treats", "Recipe", "r2", "Disease", "d2", 1, 1, 1, 0.1)]  # asserted, but no edge of a path
+    edges = spark.createDataFrame([(k % 700, *r) for k, r in enumerate(rows)], "edge_id long, relation string, head_type string, head string, tail_type string, tail string, authority_rank int, books int, support int, confidence double")
+    ids = {r[1:3] + r[3:5]: k % 700 for k, r in enumerate(rows)}
+    low = lambda t: tuple((v is not None, v if v is not None else 0) for v in t)
+    paths_of, by = collections.defaultdict(list), collections.defaultdict(list)
+    for (i, d), y in treats.items():
+        by[i].append((d, y))
+    for (r, i), x in contains.items():
+        for d, y in by[i]:
+            ranks = [v for v in (x[0], y[0]) if v is not None]
+            whole = (min(ranks, default=None), None if len(ranks) < 2 else sum(ranks), x[1] + y[1], x[2] + y[2], round(x[3] + y[3], 9))
+            paths_of[r, d].append((low(whole), [ids["Recipe", r, "Ingredient", i], ids["Ingredient", i, "Disease", d]], whole))
+    asserted = {*treats, ("r2", "d2")}
+    wanted = {k: (len(p), *max(p)[2], max(p)[1]) for k, p in paths_of.items() if k not in asserted or None in k}
+    out = rules.b2(edges)
+    got = {(x.head, x["tail"]): tuple(x)[2:] for x in out.collect()}
+    assert len(wanted) > 2000 and got == wanted and "MapInArrow" in _plan(out)
+
+    # recipes that go on over batches, and rows of several lists
+    monkeypatch.setattr(rules, "_ROWS_AT_ONCE", 3)
+    fields, cells = [("a_authority_rank", 10, 3, 1), ("a_books", 13, 2, 1)], []
+    for r in [None, *sorted(["a"] * 2 + ["b"] * 11 + ["c"] + ["d"] * 9)]:
+        cells.append((r, draw.choice([1, 2, 3, None]), draw.choice([1, 2]), draw.randrange(2), [draw.randrange(4) | draw.randrange(4) << 10 | draw.randrange(1, 3) << 13 for _ in range(draw.randrange(4))]))
+    batch = pa.record_batch([pa.array(c) for c in zip(*[c[:4] for c in cells], strict=True)] + [pa.array([c[4] for c in cells], pa.list_(pa.int32()))], names=["recipe", "a_authority_rank", "a_books", "word", "codes"])
+    want = collections.defaultdict(list)
+    for r, rank, books, word, codes in cells:
+        for code in codes:
+            y, b = (code >> 10 & 7) or None, (code >> 13 & 3)
+            both = [v for v in (rank, y) if v is not None]
+            want[r, word << 10 | code & 1023].append((low((min(both, default=None), None if len(both) < 2 else sum(both), books + b)), (rank, books)))
+    want = sorted((str(r), n, len(p), *map(str, x)) for (r, n), p in want.items() for k, x in p if k == max(p)[0])
+    got = [x for out in rules._leading(iter([batch.slice(0, 10), batch.slice(10)]), fields) for x in out.to_pylist()]
+    assert sorted((str(x["recipe"]), x["number"], x["paths"], str(x["a_authority_rank"]), str(x["a_books"])) for x in got) == want
+
+
 def _walks(items, edges, mentions, hops):
     steps = {(a, r, b, r) for a, r, b in edges} | {(b, f"inverse::{r}", a, r) for a, r, b in edges}
     out = []
