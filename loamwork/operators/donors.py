@@ -3,11 +3,11 @@
 ``score = |A & C| / |A | C| + 0.20 * exp(-|len_c - len_a| / max(1, len_a)) + 0.15 * (C's text holds an end of A)`` with A and
 C the distinct character pairs of both texts without white space.
 
-Donors of a key are dealt into blocks by length. An inverted index says which blocks hold which pair of characters, and
-in how many each stands. An item is compared first with a block that holds its rarest pair, which gives a score to beat.
-What beats it needs a likeness above that score less both bonuses, so it shares one of the item's rarest pairs, so many
-as that likeness leaves; only blocks with one of these, and whose lengths and numbers of pairs allow the score, are
-compared. Tasks return a row an item and block, never pairs.
+Items and donors of a key are sorted by length and dealt into chunks and blocks; a task compares a chunk with a block. It
+counts common pairs as a product of matrices over the pairs that most donors hold, and through an inverted index for the
+rest. Each chunk meets the block of the nearest lengths first, which gives scores to beat; pieces whose lengths and numbers
+of pairs rule a better score out are passed over. Ends that a donor's text holds are looked up once a donor, so texts go
+into no comparison. Tasks return a row an item and block, never pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from loamwork.sources.staging import staged
 
 #: Weights of the lengths' likeness and of a shared end.
 LENGTH_WEIGHT, END_BONUS = 0.20, 0.15
-BLOCK, ITEMS_A_TASK, EPS = 128, 2000, 1e-9
+BLOCK, ITEMS_A_TASK, EPS = 8192, 4096, 1e-9
+PIECE, WIDTH, DENSE = 256, 1024, 1024  # items and donors compared at once, and pairs of characters that are columns of the matrices
+TEXTS_A_TASK, ENDS_A_TASK = 512, 50_000
 ROWS_AT_ONCE = 128  # of a batch, as a row's pairs are many times the row
 
 
@@ -72,62 +74,151 @@ def _exploded(rows: DataFrame, *kept: str) -> DataFrame:
     return slim.mapInArrow(spread, f"{schema}, pair long")
 
 
-def block_best(items: pa.Table, donors: pa.Table) -> tuple[list[int], list[int], list[float]]:
-    """For each item that has a donor other than itself in the block: its place, the donor's, and the score, rounded to 12 digits."""
-    d_ids, d_texts = donors.column("id").to_pylist(), donors.column("text").to_pylist()
-    order = sorted(range(len(d_ids)), key=lambda k: d_ids[k])
-    d_ids, d_texts = [d_ids[k] for k in order], [d_texts[k] for k in order]
-    sets = [np.frombuffer(donors.column("pairs")[k].as_py(), np.int64) for k in order]
-    size, length = np.array([len(s) for s in sets]), np.array([len(t) for t in d_texts], float)
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    by = np.argsort(flat, kind="stable")
-    flat, owner = flat[by], owner[by]
-    held: dict[str, np.ndarray] = {}
-    rows, chosen, scores = [], [], []
-    i_ids, i_pairs, i_ends, i_length = (items.column(c).to_pylist() for c in ("id", "pairs", "ends", "length"))
-    for i, (own, ends) in enumerate(zip(i_pairs, i_ends, strict=True)):
-        mine = np.frombuffer(own, np.int64)
-        low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
-        n = high - low
-        hit = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        common = np.bincount(owner[hit], minlength=len(sets))
-        union = size + len(mine) - common
-        target = max(1, i_length[i])
-        score = common / np.maximum(union, 1) + LENGTH_WEIGHT * np.exp(-np.abs(length - target) / target)
-        some = np.array([d != i_ids[i] for d in d_ids])
-        if not some.any():
-            continue
-        score[~some] = -1.0
-        bonus = np.zeros(len(sets), bool)
-        for end in ends:
-            if end is not None:
-                if end not in held:
-                    held[end] = np.array([end in t for t in d_texts])
-                bonus |= held[end]
-        score = np.round(np.where(some & bonus, score + END_BONUS, score), 12)
-        k = int(np.argmax(score))  # ids ascend, so the first of equals is the least
-        rows.append(i)
-        chosen.append(k)
-        scores.append(float(score[k]))
-    return rows, [d_ids[k] for k in chosen], scores
+def _flat(pairs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' pairs in one array, and where each row's begin."""
+    each = [np.frombuffer(p, np.int64) for p in pairs.to_pylist()]
+    return np.concatenate([np.zeros(0, np.int64), *each]), np.concatenate([[0], np.cumsum([len(e) for e in each], dtype=np.int64)])
+
+
+def _split(code: np.ndarray, row: np.ndarray, rows: int, dense: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A matrix of ones for the codes below ``dense``, and code and row of the others."""
+    matrix = np.zeros((rows, dense), np.float32)
+    often = code < dense
+    matrix[row[often], code[often]] = 1
+    return matrix, code[~often], row[~often]
+
+
+def tile_best(items: pa.Table, donors: pa.Table) -> tuple[np.ndarray, list, np.ndarray]:
+    """Of each item that has a donor here other than itself whose score is ``got`` or more: its place, the donor, and the score, rounded to 12 digits."""
+    ids = donors.column("id").to_pylist()
+    length, size = donors.column("length").to_numpy(), donors.column("n").to_numpy()
+    rank = np.empty(len(ids), np.int64)
+    rank[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
+    order = np.argsort(length, kind="stable")  # pieces have close lengths; within one the least id comes first
+    order = np.concatenate([p[np.argsort(rank[p])] for p in np.split(order, range(WIDTH, len(order), WIDTH))])
+    ids, rank, length, size = [ids[k] for k in order], rank[order], length[order].astype(float), size[order].astype(float)
+    donors = donors.take(pa.array(order))
+
+    flat, begins = _flat(donors.column("pairs"))
+    known, code, often = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.empty(len(known), np.int64)
+    place[np.argsort(-often, kind="stable")] = np.arange(len(known))
+    dense = min(DENSE, len(known))
+    theirs, rare, owner = _split(place[code], np.repeat(np.arange(len(ids)), np.diff(begins)), len(ids), dense)
+    flat, begins = _flat(items.column("pairs"))
+    at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+    hit = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+    mine, own_rare, own_row = _split(place[at[hit]], np.repeat(np.arange(items.num_rows), np.diff(begins))[hit], items.num_rows, dense)
+
+    ends = {e: k for k, e in enumerate(dict.fromkeys(e for row in items.column("ends").to_pylist() for e in row if e is not None))}
+    holds = np.zeros((len(ends) + 1, len(ids)), bool)  # the last row is that of a null end
+    if "" in ends:
+        holds[ends[""]] = True
+    for d, held in enumerate(donors.column("held").to_pylist()):
+        for e in held or ():
+            if e in ends:
+                holds[ends[e], d] = True
+    end_rows = np.array([[len(ends) if e is None else ends[e] for e in row] for row in items.column("ends").to_pylist()]).reshape(items.num_rows, -1)
+
+    where = {k: d for d, k in enumerate(ids)}
+    self_at = np.array([where.get(k, -1) for k in items.column("id").to_pylist()])
+    n = items.column("n").to_numpy().astype(float)
+    target = np.maximum(items.column("length").to_numpy(), 1).astype(float)
+    best, chosen, chosen_rank = items.column("got").to_numpy().copy(), np.full(items.num_rows, -1), np.full(items.num_rows, len(ids))
+    by_length = np.argsort(target, kind="stable")
+    pieces = []
+    for a in range(0, len(ids), WIDTH):
+        z = min(a + WIDTH, len(ids))
+        inside = (owner >= a) & (owner < z)
+        c, o = rare[inside] - dense, owner[inside] - a
+        by = np.argsort(c, kind="stable")
+        first = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=len(known) - dense))])
+        pieces.append((a, z, o[by], first, size[a:z].min(), size[a:z].max(), length[a:z].min(), length[a:z].max()))
+    by_row = np.argsort(own_row, kind="stable")
+    own_rare, own_first = own_rare[by_row] - dense, np.concatenate([[0], np.cumsum(np.bincount(own_row, minlength=items.num_rows))])
+    for i in range(0, len(by_length), PIECE):
+        group = by_length[i : i + PIECE]
+        middle = np.median(target[group])
+        for a, z, o, first, n0, n1, l0, l1 in sorted(pieces, key=lambda p: abs((p[6] + p[7]) / 2 - middle)):
+            away = np.maximum(np.maximum(l0 - target[group], target[group] - l1), 0)
+            like = np.where(n1 < n[group], n1 / np.maximum(n[group], 1), np.where(n0 > n[group], n[group] / max(n0, 1), 1.0))
+            rows = group[like + LENGTH_WEIGHT * np.exp(-away / target[group]) + END_BONUS >= best[group] - EPS]
+            if not len(rows):
+                continue
+            common = (mine[rows] @ theirs[a:z].T).astype(float)
+            count = own_first[rows + 1] - own_first[rows]
+            codes = own_rare[_spans(own_first[rows], count)]
+            found = first[codes + 1] - first[codes]
+            cell = np.repeat(np.repeat(np.arange(len(rows)), count), found) * (z - a) + o[_spans(first[codes], found)]
+            np.add.at(common.reshape(-1), cell, 1.0)
+            t = target[rows, None]
+            score = common / np.maximum(size[a:z] + n[rows, None] - common, 1) + LENGTH_WEIGHT * np.exp(-np.abs(length[a:z] - t) / t)
+            for k in range(end_rows.shape[1]):
+                bonus = holds[end_rows[rows, k], a:z] if k == 0 else bonus | holds[end_rows[rows, k], a:z]
+            score = np.round(score + np.where(bonus, END_BONUS, 0.0) if end_rows.shape[1] else score, 12)
+            own = (self_at[rows] >= a) & (self_at[rows] < z)
+            score[np.flatnonzero(own), self_at[rows][own] - a] = -1.0
+            k = np.argmax(score, axis=1)
+            top = score[np.arange(len(rows)), k]
+            better = (top > best[rows]) | ((top == best[rows]) & (rank[a + k] < chosen_rank[rows]))
+            rows, k = rows[better], a + k[better]
+            best[rows], chosen[rows], chosen_rank[rows] = top[better], k, rank[k]
+    rows = np.flatnonzero(chosen >= 0)
+    return rows, [ids[k] for k in chosen[rows]], best[rows]
+
+
+def _spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` numbers from each ``first`` on."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
 def _compared(wanted: DataFrame, items: DataFrame, blocks: DataFrame, kind: str) -> DataFrame:
-    """(id, donor, score): the best of each wanted (id, tkey, block); a block's items are dealt over as many tasks as they fill."""
-    load = wanted.groupBy("tkey", "block").agg(F.ceil(F.count("*") / ITEMS_A_TASK).cast("int").alias("salts"))
-    dealt = wanted.join(load, ["tkey", "block"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
-    left = dealt.join(items.select("id", "tkey", "length", "ends", "pairs"), ["id", "tkey"])
-    right = blocks.join(load, ["tkey", "block"]).select("tkey", "block", "id", "text", "pairs", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    """(id, donor, score): the best of each item in each wanted (tkey, chunk, block), if it is ``got`` or more."""
+    left = items.select("id", "tkey", "chunk", "length", "n", "ends", "pairs", "got").join(wanted, ["tkey", "chunk"])
+    right = blocks.join(wanted, ["tkey", "block"])
 
     def best(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        rows, chosen, scores = block_best(mine, theirs) if mine.num_rows and theirs.num_rows else ([], [], [])
+        rows, chosen, scores = tile_best(mine, theirs) if mine.num_rows and theirs.num_rows else ([], [], [])
         ids = mine.column("id").take(pa.array(rows, pa.int64())) if mine.num_rows else theirs.column("id").slice(0, 0)
         return pa.table({"id": ids, "donor": pa.array(chosen, ids.type), "score": pa.array(scores, pa.float64())})
 
-    keys = ("tkey", "block", "salt")
+    keys = ("tkey", "chunk", "block")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"id {kind}, donor {kind}, score double")
 
 
+def ends_held(texts: Sequence[str], ends: Sequence[str]) -> list[list[str]]:
+    """The ends that each text holds; many ends of a length are looked up by the text's pieces of that length."""
+    by: dict[int, set[str]] = {}
+    for e in ends:
+        by.setdefault(len(e), set()).add(e)
+    out = []
+    for t in texts:
+        held: list[str] = []
+        for m, names in by.items():
+            held.extend([e for e in names if e in t] if len(names) < 32 else names & {t[i : i + m] for i in range(len(t) - m + 1)})
+        out.append(held)
+    return out
+
+
+def _with_held(theirs: DataFrame, my: DataFrame, kind: str) -> DataFrame:
+    """(tkey, id, held): the ends of the key's items that a donor's text holds."""
+    ends = my.select("tkey", F.explode("ends").alias("end")).where("end <> ''").distinct()
+    parts = ends.groupBy("tkey").agg(F.ceil(F.count("*") / ENDS_A_TASK).cast("int").alias("parts"))
+    load = theirs.groupBy("tkey").agg(F.ceil(F.count("*") / TEXTS_A_TASK).cast("int").alias("salts")).join(parts, "tkey")
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = theirs.select("id", "tkey", "text").join(load, "tkey").withColumn("salt", dealt("id", "salts")).withColumn("part", every("parts")).drop("salts", "parts")
+    right = ends.join(load, "tkey").withColumn("part", dealt("end", "parts")).withColumn("salt", every("salts")).drop("salts", "parts")
+
+    def look(texts: pa.Table, ends: pa.Table) -> pa.Table:
+        held = ends_held(texts.column("text").to_pylist(), ends.column("end").to_pylist())
+        return pa.table({"tkey": texts.column("tkey"), "id": texts.column("id"), "held": pa.array(held, pa.list_(pa.string()))})
+
+    keys = ("tkey", "salt", "part")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(look, f"tkey string, id {kind}, held array<string>")
+    return found.where("size(held) > 0").groupBy("tkey", "id").agg(F.flatten(F.collect_list("held")).alias("held"))
+
+
 def best_donor(items: DataFrame, donors: DataFrame, tiers: Sequence[Sequence[str]], key: str = "item_id", text: str = "text", ends: Sequence[str] = ("head_text", "tail_text")) -> DataFrame:
     """(key, donor, tier, score): the best donor of the first tier of columns in which an item has any; ties go to the least donor.
 
@@ -141,33 +232,20 @@ def best_donor(items: DataFrame, donors: DataFrame, tiers: Sequence[Sequence[str
     held = d_rows.select("id", F.explode("keys").alias("tkey")).groupBy("tkey").agg(F.count("*").alias("held"), F.min("id").alias("only"))
     asked = i_rows.select("id", F.posexplode("keys").alias("tier", "tkey")).join(held, "tkey").where((F.col("held") > 1) | (F.col("only") != F.col("id")))
     first = asked.groupBy("id").agg(F.min(F.struct("tier", "tkey")).alias("t")).select("id", (F.col("t.tier") + 1).alias("tier"), "t.tkey")
-    my = staged(i_rows.drop("keys", "text").join(first, "id"), "donor-items")
+    dealt = lambda rows, name, size: in_order_within(rows, ["tkey"], [F.asc("length"), F.asc("id")], "place").withColumn(name, F.floor((F.col("place") - 1) / size).cast("long")).drop("place")
+    my = staged(dealt(i_rows.drop("keys", "text").join(first, "id"), "chunk", ITEMS_A_TASK), "donor-items")
 
     theirs = d_rows.select("id", "text", "length", "n", "pairs", F.explode("keys").alias("tkey")).join(my.select("tkey").distinct(), "tkey", "left_semi")
-    blocks = in_order_within(theirs, ["tkey"], [F.asc("length"), F.asc("id")], "place")
-    blocks = staged(blocks.withColumn("block", F.floor((F.col("place") - 1) / BLOCK).cast("long")).drop("place"), "donor-blocks")
-    summary = blocks.groupBy("tkey", "block").agg(F.min("length").alias("l0"), F.max("length").alias("l1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
-    index = staged(_exploded(blocks, "tkey", "block").distinct(), "donor-index")
-    stats = index.groupBy("tkey", "pair").agg(F.count("*").alias("df"), F.min("block").alias("where"))
-
-    own = _exploded(my, "id", "tkey").join(stats, ["tkey", "pair"], "left").select("id", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "pair", "where").alias("p"))
-    rarest = own.groupBy("id").agg(F.sort_array(F.collect_list("p")).alias("ps"))  # an item's own pairs
-    start = F.coalesce(F.get(F.filter("ps", lambda p: p["df"] > 0), F.lit(0))["where"], F.lit(0).cast("long"))
-    ordered = staged(my.select("id", "tkey", "tier", "length", "n").join(rarest, "id", "left").withColumn("ps", F.coalesce("ps", F.array().cast("array<struct<df:bigint,pair:bigint,where:bigint>>"))).withColumn("start", start), "donor-order")
-    seeds = staged(_compared(ordered.select("id", "tkey", F.col("start").alias("block")), my, blocks, kind), "donor-seeds")
-
-    beat = ordered.join(seeds.select("id", F.col("score").alias("got")), "id", "left").withColumn("got", F.coalesce("got", F.lit(0.0)))
-    needed = F.col("got") - (LENGTH_WEIGHT + END_BONUS) - EPS
-    prefix = F.when(needed > 0, F.col("n") - F.ceil(needed * F.col("n") - EPS) + 1)
-    beat = beat.select("id", "tkey", "length", "n", "start", "got", "ps", prefix.cast("int").alias("prefix"))
-    rare = beat.where("prefix is not null").withColumn("pair", F.explode(F.transform(F.slice("ps", 1, F.greatest("prefix", F.lit(0))), lambda p: p["pair"]))).drop("ps")
-    by_pair = rare.join(index, ["tkey", "pair"]).drop("pair").distinct().join(summary, ["tkey", "block"])
-    everywhere = beat.where("prefix is null").drop("ps").join(summary, "tkey").select(by_pair.columns)
-    away = F.greatest(F.col("l0") - F.greatest("length", F.lit(1)), F.greatest("length", F.lit(1)) - F.col("l1"), F.lit(0))
-    like = F.when(F.col("n1") < F.col("n"), F.col("n1") / F.col("n")).when(F.col("n0") > F.col("n"), F.col("n") / F.col("n0")).otherwise(1.0)
-    bound = F.coalesce(like, F.lit(0.0)) + LENGTH_WEIGHT * F.exp(-away / F.greatest("length", F.lit(1))) + END_BONUS
-    wanted = by_pair.unionByName(everywhere).where((F.col("block") != F.col("start")) & (bound >= F.col("got") - EPS)).select("id", "tkey", "block")
-    found = seeds.unionByName(_compared(staged(wanted, "donor-wanted"), my, blocks, kind))
+    blocks = dealt(theirs.drop("text"), "block", BLOCK).join(_with_held(theirs, my, kind), ["tkey", "id"], "left")
+    blocks = staged(blocks, "donor-blocks")
+    middle = (F.min("length") + F.max("length")) / 2
+    tiles = my.groupBy("tkey", "chunk").agg(middle.alias("c")).join(blocks.groupBy("tkey", "block").agg(middle.alias("b")), "tkey")
+    nearest = F.min(F.struct(F.abs(F.col("c") - F.col("b")).alias("away"), "block"))
+    tiles = staged(tiles.groupBy("tkey", "chunk").agg(nearest.alias("near"), F.collect_list("block").alias("blocks")), "donor-tiles")
+    seeds = staged(_compared(tiles.select("tkey", "chunk", "near.block"), my.withColumn("got", F.lit(0.0)), blocks, kind), "donor-seeds")
+    rest = tiles.select("tkey", "chunk", F.explode(F.array_remove("blocks", F.col("near.block"))).alias("block"))
+    beat = my.join(seeds.select("id", F.col("score").alias("got")), "id", "left").withColumn("got", F.coalesce("got", F.lit(0.0)))
+    found = seeds.unionByName(_compared(rest, beat, blocks, kind))
     least = F.struct((-F.col("score")).alias("s"), F.col("donor").alias("d"))
     out = found.groupBy("id").agg(F.min(least).alias("b")).join(my.select("id", "tier"), "id")
     return out.select(F.col("id").alias(key), F.col("b.d").alias("donor"), "tier", (-F.col("b.s")).alias("score"))

@@ -82,3 +82,45 @@ def test_pairs_leave_python_in_small_batches(spark, monkeypatch):
     out = donors._exploded(Rows(), "tkey", "block")
     assert sum(b.num_rows for b in out) == 3000 and max(b.num_rows for b in out) <= 3 * donors.ROWS_AT_ONCE
     assert [x for b in out for x in b.column("block").to_pylist()][::3] == list(range(1000))
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghij", "数据分析é😀ab"])
+def test_tiles_compare_whole_blocks(monkeypatch, alphabet):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(donors, "PIECE", 7)
+    monkeypatch.setattr(donors, "WIDTH", 11)
+    monkeypatch.setattr(donors, "DENSE", 9)  # most pairs of characters go through the index
+    items, others = ([(*r[:1], "r", "k", *r[3:]) for r in rows(seed, 90, start, alphabet)] for seed, start in ((5, 0), (6, 50)))
+    said = lambda r: r[3] or ""
+    ends = {e for r in items for e in r[4:] if e}
+    slim = lambda t: {"id": [r[0] for r in t], "length": [len(said(r)) for r in t], "pairs": [donors.pair_codes("".join(said(r).split())).tobytes() for r in t], "n": [len(pairs(r[3])) for r in t]}
+    theirs = pa.table(slim(others) | {"held": donors.ends_held([said(r) for r in others], sorted(ends))})
+    mine = lambda got: pa.table(slim(items) | {"ends": [list(r[4:]) for r in items], "got": got})
+    want = {i: (d, s) for i, (d, _, s) in plain(items, others).items()}
+    place, chosen, scores = donors.tile_best(mine([0.0] * 90), theirs)
+    assert len(want) == 90 and {items[p][0]: (d, s) for p, d, s in zip(place, chosen, scores, strict=True)} == want
+    # a score that is reached elsewhere is only met by its equals
+    got = [want[r[0]][1] + (1e-6 if k % 3 == 0 else 0.0) for k, r in enumerate(items)]
+    place, chosen, _ = donors.tile_best(mine(got), theirs)
+    assert {items[p][0]: d for p, d in zip(place, chosen, strict=True)} == {r[0]: want[r[0]][0] for k, r in enumerate(items) if k % 3}
+    assert len(donors.tile_best(mine(np.zeros(90)), theirs.slice(0, 0))[0]) == 0
+
+
+def test_ends_are_looked_up_alike_whatever_their_number():
+    texts, few = ["abcabd", "", "xyz", "aab"], ["ab", "abd", "z", "q"]
+    many = few + [f"{k:02d}" for k in range(60)] + [f"{k:03d}" for k in range(60)]
+    want = [sorted(e for e in few if e in t) for t in texts]
+    assert [sorted(h) for h in donors.ends_held(texts, few)] == want == [sorted(h) for h in donors.ends_held(texts, many)]
+
+
+def test_no_row_an_item_and_pair_is_made(spark, monkeypatch):
+    names = []
+    keep = donors.staged
+    monkeypatch.setattr(donors, "staged", lambda df, name: names.append(name) or keep(df, name))
+    schema = "item_id long, relation string, kind string, text string, head_text string, tail_text string"
+    items, others = rows(9, 40, 0, "abcdef"), rows(10, 60, 40, "abcdef")
+    found = {r.item_id: r.donor for r in donors.best_donor(spark.createDataFrame(items, schema), spark.createDataFrame(others, schema), TIERS).collect()}
+    assert found == {i: d for i, (d, _, _) in plain(items, others).items()}
+    assert not {"donor-index", "donor-order", "donor-wanted"} & set(names) and "donor-tiles" in names
